@@ -36,7 +36,8 @@ ON_WORDS = frozenset("article articlebody body content entry main maincontent po
 PRIOR = {"role:off": (40.0, 0.5), "role:on": (1.0, 15.0), "role:none": (20.0, 30.0), "hidden": (40.0, 0.2)} | {f"tag:{t}": (30.0, 0.5) for t in FURNITURE} | {f"tag:{t}": (0.5, 30.0) for t in MAIN} | {f"tag:{t}": (3.0, 12.0) for t in ("p", "blockquote", "pre", "figcaption", "h1", "h2", "h3")} | {f"link:{i}": x for i, x in enumerate(((10.0, 30.0), (4.0, 4.0), (20.0, 1.0)))} | {f"size:{i}": x for i, x in enumerate(((12.0, 5.0), (8.0, 8.0), (4.0, 12.0), (2.0, 15.0)))}
 EDGES = {"page": {(1, 1): 10.0, (1, 0): 10.0, (0, 0): 400.0, (0, 1): 0.5}, "part": {(1, 1): 70.0, (1, 0): 60.0, (0, 0): 400.0, (0, 1): 0.5}, "text": {(1, 1): 100.0, (1, 0): 5.0, (0, 0): 400.0, (0, 1): 0.5}}
 
-GENERIC = frozenset(f"tag:{t}" for t in ("html", "body", "div", "section", "table", "tbody", "tr", "td"))  # say nothing by themselves
+GENERIC = frozenset(f"tag:{t}" for t in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "ul", "ol", "li", "dl", "dt", "dd"))  # say nothing by themselves
+ROOT = 6.0  # a page's own log odds of having content
 
 TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(" + HIDDEN.replace(" ", "|") + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z))|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", regex.S | regex.I)
 MARKS = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
@@ -159,7 +160,7 @@ class Model:
         for f in {f for f, _ in total} | set(PRIOR):
             a, b = (PRIOR.get(f, (1.0, 1.0))[y] + total.get((f, y), 0) * min(1.0, 2000 / n[y]) for y in (0, 1))
             m = [min(2000.0, n[y] - 100) + 100 for y in (0, 1)]
-            bound = 6.0 if f in ("role:off", "role:on", "hidden") or f.removeprefix("tag:") in FURNITURE | MAIN else 0.7 if f.startswith(("size:", "link:0", "link:1")) else 1.5
+            bound = 6.0 if f in ("role:off", "role:on", "hidden") or f.removeprefix("tag:") in FURNITURE | MAIN else 0.3 if f.startswith("size:") else 1.5
             if f in GENERIC or f == "nodes" or f.startswith("edge:"):
                 continue
             self.weight[f] = max(-bound, min(bound, math.log(b / m[1]) - math.log(a / m[0])))
@@ -178,6 +179,7 @@ class Model:
         edge = [self.edge[tree.kind(i)] for i in range(n)]
         up = [sum(weight.get(f, 0.0) for f in seen) for seen in tree.seen]
         sent = [0.0] * n
+        up = [x + ROOT if seen[0] in ("tag:html", "tag:body") else x for x, seen in zip(up, tree.seen, strict=True)]
         for i in range(n - 1, 0, -1):
             e = math.exp(max(-30.0, min(30.0, up[i])))
             t00, t01, t10, t11 = edge[i]

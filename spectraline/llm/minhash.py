@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bands:
     return own.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; a null doc_id stays."""
-    found = near_duplicates(docs, k, percent)
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
+    """docs without those whose component has a smaller doc_id; a null doc_id stays. At s = 0.8 a pair misses all bands with 3e-6."""
+    found = near_duplicates(docs, k, percent, bands, rows)
     return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")

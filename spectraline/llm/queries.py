@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraline.llm import bpe, fingerprint, html, langid, linefreq, minhash, mixing, substring, toxicity
+from spectraline.llm import bpe, fingerprint, hmm, html, langid, linefreq, minhash, mixing, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path, texts=False)
 
 
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model_scores(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,15 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_minhash, op5_langid, op6_line_frequency, op7_toxicity, op8_mixing, op9_html, op10_winnowing)
+    f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_hmm, op4_minhash, op5_langid, op6_line_frequency, op7_toxicity, op8_mixing, op9_html, op10_winnowing)
 }
 ORACLE_SQL = {"op8_mixing": mixing.ORACLE}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline

@@ -21,6 +21,7 @@ rows repeating a doc_id are one document's for the question of which is smaller;
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from spectraline.llm.shared import cut
 from spectraline.llm.words import U, Words, mix, runs, signed, slices, words
 
 LENGTH, GRAM = 13, 6
+WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 SHARD_WORDS, TASK_WORDS = 40_000, 1_000_000
 
 
@@ -189,29 +191,65 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return whole.union(judged)
 
 
-def _keeper(texts: bool):
+def _keep_mask(spans, total: int) -> np.ndarray | None:
+    """Which of the words stay; None if all do."""
+    if not spans.is_valid or not len(spans):
+        return None
+    keep = np.ones(total, bool)
+    for lo, hi in zip(spans.values.field("lo").to_pylist(), spans.values.field("hi").to_pylist(), strict=True):
+        keep[lo:hi] = False
+    return keep
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept: the words left, joined by one space (or, without texts, that text's SHA-256)."""
+
     def put(batches):
         for batch in batches:
             for part in slices(batch):
                 out = []
                 for text, spans in zip(part.column("text"), part.column("spans"), strict=True):
-                    raw = (text.as_py() or "").encode()
-                    tokens = raw.split()
-                    total, kept = len(tokens), tokens
-                    if spans.is_valid and len(spans):
-                        keep = np.ones(total, bool)
-                        for x in spans:
-                            keep[x["lo"].as_py() : x["hi"].as_py()] = False
-                        kept = [tokens[i] for i in np.flatnonzero(keep)]
-                    line = b" ".join(kept)
-                    out.append((total, total - len(kept), line.decode() if texts else hashlib.sha256(line).hexdigest()))
+                    tokens = (text.as_py() or "").encode().split()
+                    keep = _keep_mask(spans, len(tokens))
+                    left = tokens if keep is None else [tokens[i] for i in np.flatnonzero(keep)]
+                    line = b" ".join(left)
+                    out.append((len(tokens), len(tokens) - len(left), line.decode() if texts else hashlib.sha256(line).hexdigest()))
                 n, gone, last = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(last, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return put
+    return docs.select("doc_id", "text").join(_spans(docs, length, gram), "doc_id", "left").mapInArrow(put, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, texts: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept: the words left, joined by one space (or, without texts, that text's SHA-256)."""
-    spans = cut(repeated_spans(docs, length, gram), "spans").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(_keeper(texts), "doc_id long, n_words long, n_removed long, kept string")
+def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """One row for each document with something to remove."""
+    return cut(repeated_spans(docs, length, gram), "spans").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with repeated words cut out of text, all else of a text kept; rows left without a word go, n_chars follows the text."""
+
+    def put(batches):
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+                old = text.as_py()
+                raw = (old or "").encode()
+                found = list(WORD.finditer(raw)) if spans.is_valid else []
+                keep = _keep_mask(spans, len(found))
+                if keep is None:
+                    texts.append(old)
+                elif not keep.any():
+                    texts.append("")
+                else:
+                    out, at = [], 0
+                    for lo, hi in spans_of(np.flatnonzero(~keep)):
+                        out.append(raw[at : found[lo].start()])
+                        at = found[hi].end()
+                    texts.append(b"".join([*out, raw[at:]]).decode())
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
+
+    columns = docs.columns
+    out = docs.join(_spans(docs, length, gram), "doc_id", "left").select(*columns, "spans").mapInArrow(put, docs.schema)
+    out = out.filter(F.col("text").isNull() | (F.col("text") != ""))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
