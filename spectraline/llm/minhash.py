@@ -13,7 +13,8 @@ The t coordinates make bands of `rows`; a pair with similarity s shares no band
 Groups. Equal sets collapse to their smallest doc_id before banding. In a bucket, members are compared with
 one leader (first the smallest id, then the member with most links); what is then still in different
 components is compared member by member, one side always outside the bucket's largest component, so a hot
-bucket of real copies costs rows in proportion to its size and no pair of different components is skipped.
+bucket of real copies costs rows in proportion to its size. Of pairs of different components only those are skipped
+whose similarity is too low by an exact bound, from their sizes and the parities of their members' hashed slots.
 
 Edge cases: null or empty text has n_shingles 0 and its own component; a null doc_id gives a null component
 and is kept; rows repeating a doc_id give one row each; further columns are ignored.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from spectraline.llm.shared import cut
 from spectraline.llm.words import U, Words, lists, mix, runs, signed, slices, words
 
-K, PERCENT, BANDS, ROWS = 3, 85, 24, 6
+K, PERCENT, BANDS, ROWS, PARITY = 3, 85, 24, 6, 16
 
 
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +114,16 @@ def _setter(k: int):
     return put
 
 
+def _parity(batches):
+    """Of each set, by 64 * PARITY hashed slots, whether the slot holds an odd number of members."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, PARITY), np.int64)
+        for i, raw in enumerate(batch.column("members")):
+            slot = (mix(np.frombuffer(raw.as_buffer(), U) ^ U(991)) % U(64 * PARITY)).astype(np.int64)
+            out[i] = np.packbits((np.bincount(slot, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in out.T.copy())], names=["doc_id", *(f"p{i}" for i in range(PARITY))])
+
+
 def _verifier(percent: int):
     def verify(batches):
         for batch in batches:
@@ -189,10 +200,16 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bands:
         done, links = done.union(pairs), links.union(cut(verified(pairs), "links"))
         label = components(links)
         at = cut(placed(label), "open")
+        # Slots of unequal parity each hold a shingle of the symmetric difference: their number is at most its size.
+        odd = sets.join(at.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_parity, "doc_id long, " + ", ".join(f"p{i} long" for i in range(PARITY)))
+        at = cut(at.join(odd, "doc_id"), "bounded")
         size = at.groupBy("bucket", "component").agg(F.count("*").alias("c"))
         largest = size.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
-        minor = at.join(largest, "bucket").filter("component <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        rest = minor.join(at.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), "bucket").filter("ca <> cb").filter(close)
+        side = lambda x: [F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *(F.col(f"p{i}").alias(f"p{i}{x}") for i in range(PARITY))]
+        minor = at.join(largest, "bucket").filter("component <> main").select("bucket", *side("a"))
+        apart = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(1, PARITY)), F.bit_count(F.col("p0a").bitwiseXOR(F.col("p0b"))))
+        both = F.col("na") + F.col("nb")  # |A & B| is at most (both - apart) / 2, |A | B| at least (both + apart) / 2
+        rest = minor.join(at.select("bucket", *side("b")), "bucket").filter("ca <> cb").filter(close & (100 * (both - apart) >= percent * (both + apart)))
         pairs = cut(rest.select(*ordered).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             links = links.union(cut(verified(pairs), "links"))
