@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored below the threshold; learnt from labels on the whole table of documents."""
     classifier = toxicity.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) != 2)
     rest = [c for c in docs.columns if c != "doc_id"]
-    return toxicity.scores(docs, classifier, *rest).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    return toxicity.scores(docs, classifier, *rest, name="_toxicity").filter(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,6 +83,6 @@ def quality(docs: DataFrame, least: int = LEAST, share: float = SHARE, left: flo
 
 def clean_texts(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """docs with the lines that are too frequent on their host taken out of the text."""
-    bad = frequent_lines(docs, least, share).groupBy("host").agg(F.collect_set("line").alias("bad"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("bad", F.xxhash64(normal(x))), F.lit(False))), "\n")
-    return docs.withColumn("host", host()).join(bad, "host", "left").withColumn("text", kept).select(*docs.columns)
+    bad = frequent_lines(docs, least, share).groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_bad"))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_bad", F.xxhash64(normal(x))), F.lit(False))), "\n")
+    return docs.withColumn("_host", host()).join(bad, "_host", "left").withColumn("text", kept).select(*docs.columns)

@@ -231,7 +231,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     def put(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("_spans"), strict=True):
                 old = text.as_py()
                 raw = (old or "").encode()
                 found = list(WORD.finditer(raw)) if spans.is_valid else []
@@ -250,6 +250,6 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
     columns = docs.columns
-    out = docs.join(_spans(docs, length, gram), "doc_id", "left").select(*columns, "spans").mapInArrow(put, docs.schema)
+    out = docs.join(_spans(docs, length, gram).withColumnRenamed("spans", "_spans"), "doc_id", "left").select(*columns, "_spans").mapInArrow(put, docs.schema)
     out = out.filter(F.col("text").isNull() | (F.col("text") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -133,15 +133,15 @@ def trained(docs: DataFrame, labels: DataFrame, kept: Column, sample: int = SAMP
     return out
 
 
-def scores(docs: DataFrame, classifier: Classifier, *columns: str) -> DataFrame:
-    """doc_id, score and the named further columns of each row."""
+def scores(docs: DataFrame, classifier: Classifier, *columns: str, name: str = "score") -> DataFrame:
+    """doc_id, the score as `name`, and the named further columns of each row."""
     held = docs.sparkSession.sparkContext.broadcast(classifier)
     names = ["doc_id", *columns]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + f", `{name}` double"
 
     def put(batches):
         judge = held.value.start()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([judge.score(t.as_py()) for t in batch.column("text")], pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([judge.score(t.as_py()) for t in batch.column("text")], pa.float64())], names=[*names, name])
 
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(put, schema)
