@@ -795,7 +795,7 @@ def t6(s, d):
     return by_tic(s, d).select("y", "x", G.map_index(C("y"), 3, 2.5).alias("ty"), G.map_index(C("x"), 4, 2.5).alias("tx"))
 
 
-@op("T7_affine", ANN + "SELECT ann_id, round(2 * x0 + 0.5 * y0 + 1, 4) AS px, round(-0.5 * x0 + 2 * y0 + 3, 4) AS py FROM ann")
+@op("T7_affine", ANN + "SELECT ann_id, round(2 * x0 + 0.5::DOUBLE * y0 + 1, 4) AS px, round(-0.5::DOUBLE * x0 + 2 * y0 + 3, 4) AS py FROM ann")
 def t7(s, d):
     g = annotations(s, d).select("ann_id", G.affine(G.wkt_polygon("wkt"), ((2.0, 0.5, 1.0), (-0.5, 2.0, 3.0)))[0].alias("p"))
     return g.select("ann_id", r4(C("p.x"), "px"), r4(C("p.y"), "py"))
