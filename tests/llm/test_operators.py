@@ -144,7 +144,7 @@ def test_toxicity(spark):
     bad = [f"the plain text of it and that vermin{x} is here again today" for x in "abcdefghij"] * 4
     good = [f"the plain text of it and that {x}{x} is here again today" for x in "abcdefghij"] * 40
     model = toxicity.fit(bad, good).start()
-    assert model.score("and the verminz is here") > 0.3 > model.score("and the plain text is here") and model.score(None) == model.score("")
+    assert model.score("and the vermina is here") > 0.3 > model.score("and the plain text is here") and model.score(None) == model.score("")
 
 
 def test_mixing(spark, docs, odd, none):
