@@ -5,7 +5,7 @@ clamped there and the excess goes to the rest by weight, until none exceeds. Wit
 epochs * size / weight the clamped ones come first, so one ordered pass over the small table of sources finds the level.
 A source at rate target/size takes every document floor(rate) times, and then documents in the seeded order of
 md5(doc_id|seed) until the remaining words are taken; the last of them is taken in part, so taken words meet the
-rounded target. The order is cut into 256 buckets per source, summed first, so no source is ever one task's.
+rounded target. The order is cut into 4096 buckets per source, summed first, so no source is ever one task's.
 
 Edge cases: null text has size 0; null sources form one source, ordered last; a source without words has
 target 0; an empty table gives an empty result; rows repeating a doc_id are separate documents.
@@ -37,7 +37,7 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, keep: tuple = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, whole (times the document is taken whole), part (words taken once more), taken."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.substring(key, 1, 2).alias("bucket"), *keep)
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("bucket"), *keep)
     goal = targets(sized, weights, share, epochs).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("whole", F.floor("rate")).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
