@@ -53,10 +53,11 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epo
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """docs as the mixture takes them: a row for each whole repetition, and one with the first words of the part, if any."""
     rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
-    out = mixture(rows, keep=("text", "_row"), **options).filter("taken > 0")
-    piece = F.concat_ws(" ", F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("part").cast("int")))
+    out = mixture(rows, keep=("_row",), **options).filter("taken > 0")
+    whole_text = F.col("_row")["text"]
+    piece = F.concat_ws(" ", F.slice(F.filter(F.split(whole_text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("part").cast("int")))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") + F.when(F.col("part") > 0, 0).otherwise(-1))))
-    text = F.when((F.col("copy") == F.col("whole")) & (F.col("part") < F.col("size")), piece).otherwise(F.col("text"))
+    text = F.when((F.col("copy") == F.col("whole")) & (F.col("part") < F.col("size")), piece).otherwise(whole_text)
     own = {"text": text, "n_chars": F.length(text).cast("long")}
     return out.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
