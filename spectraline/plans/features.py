@@ -260,7 +260,11 @@ def m14(s, d):
     return stats.roc_auc(e, "event_type").select("event_type", F.round("auc", 6).alias("auc"))
 
 
-@op("M15_mean_roc")
+@op("M15_mean_roc", """, e AS (SELECT user_id % 5 AS fold, event_id % 2 AS t, value FROM events), gr AS (SELECT fold, value, sum(t) AS p, sum(1 - t) AS q FROM e GROUP BY ALL),
+cu AS (SELECT fold, value, sum(q) OVER w / sum(q) OVER (PARTITION BY fold) AS f1, sum(p) OVER w / sum(p) OVER (PARTITION BY fold) AS t1 FROM gr WINDOW w AS (PARTITION BY fold ORDER BY value DESC)),
+st AS (SELECT fold, f1, t1, coalesce(lag(f1) OVER w, 0) AS f0, coalesce(lag(t1) OVER w, 0) AS t0 FROM cu WINDOW w AS (PARTITION BY fold ORDER BY value DESC)),
+ap AS (SELECT fold, k, t0 + (t1 - t0) * (k / 99 - f0) / (f1 - f0) AS tpr FROM st, (SELECT range AS k FROM range(100)) WHERE f1 > f0 AND k / 99 <= f1 AND (k / 99 > f0 OR k = 0 AND f0 = 0))
+SELECT k, round(avg(tpr), 6) AS mean, round(stddev_pop(tpr), 6) AS std FROM ap GROUP BY 1""")
 def m15(s, d):
     """Mean and deviation over folds of the true-positive rate, interpolated on 100 false-positive rates."""
     e = P.table(s, d, "events").select((C("user_id") % 5).alias("fold"), (C("event_id") % 2).alias("t"), "value")
@@ -268,9 +272,9 @@ def m15(s, d):
     w, all_ = Window.partitionBy("fold").orderBy(F.desc("value")), Window.partitionBy("fold")
     curve = g.select("fold", "value", (F.sum("q").over(w) / F.sum("q").over(all_)).alias("f1"), (F.sum("p").over(w) / F.sum("p").over(all_)).alias("t1"))
     step = curve.withColumns({"f0": F.coalesce(F.lag("f1").over(w), F.lit(0.0)), "t0": F.coalesce(F.lag("t1").over(w), F.lit(0.0))})
-    grid = step.filter("f1 > f0").withColumn("k", F.explode(F.sequence(F.ceil(C("f0") * 99), F.floor(C("f1") * 99)))).withColumn("x", C("k") / 99)
-    at = grid.filter("x > f0 or k = 0").select("fold", "k", (C("t0") + (C("t1") - C("t0")) * (C("x") - C("f0")) / (C("f1") - C("f0"))).alias("tpr"))
-    return at.groupBy("k").agg(F.avg("tpr").alias("mean"), F.stddev_pop("tpr").alias("std"))
+    grid = step.filter("f1 > f0").withColumn("k", F.explode(F.sequence(F.floor(C("f0") * 99), F.least(F.lit(99).cast("long"), F.ceil(C("f1") * 99))))).withColumn("x", C("k") / 99)
+    at = grid.filter("x <= f1 and (x > f0 or k = 0 and f0 = 0)").select("fold", "k", (C("t0") + (C("t1") - C("t0")) * (C("x") - C("f0")) / (C("f1") - C("f0"))).alias("tpr"))
+    return at.groupBy("k").agg(F.round(F.avg("tpr"), 6).alias("mean"), F.round(F.stddev_pop("tpr"), 6).alias("std"))
 
 
 @op("M16_score_vs_imbalance", "SELECT event_type, avg(CASE WHEN value > 245 THEN 1.0 ELSE 0.0 END) >= 1.5 * greatest(avg(CAST(event_id % 2 AS DOUBLE)), 1 - avg(CAST(event_id % 2 AS DOUBLE))) AS good FROM events GROUP BY 1")
@@ -322,8 +326,9 @@ def m22(s, d):
 
 
 CP = """, cp AS (SELECT h AS head, range AS comp_idx, 1.0 / 20 AS pi, range * (1050.0::DOUBLE / 19) + CASE WHEN h = 'p' THEN 5 ELSE 0 END AS mu, 2 * ln(1050.0::DOUBLE / 40) AS lv FROM range(20), (VALUES ('n'), ('p')) t(h)),
-gm AS (SELECT range AS k, range * 1050.0::DOUBLE / 199 AS mz FROM range(200)),
-pr AS (SELECT k, mz, head, sum(pi * exp(-0.5 * (mz - mu) ** 2 / exp(lv)) / sqrt(2 * pi() * exp(lv))) AS p FROM gm, cp GROUP BY ALL)
+mr AS (SELECT min(mz) AS a, max(mz) AS b FROM pk),
+gm AS (SELECT DISTINCT mz FROM pk),
+pr AS (SELECT mz, head, sum(pi * exp(-0.5 * (mz - mu) ** 2 / exp(lv)) / sqrt(2 * pi() * exp(lv))) AS p FROM gm, cp GROUP BY ALL)
 """
 CP = CP.replace("sum(pi * exp", "sum(cp.pi * exp")
 
@@ -332,24 +337,35 @@ def comps(s):
     return X.equispaced(s, 0.0, 1050.0, 20).withColumn("mu", C("mu") + F.when(C("head") == "p", 5).otherwise(0))
 
 
-def grid(s):
-    return s.range(200).select(C("id").alias("k"), (C("id") * 1050.0 / 199).alias("mz"))
+def grid(s, lo=0.0, hi=1050.0):
+    return s.range(200).select(C("id").alias("k"), (lo + C("id") * ((hi - lo) / 199)).alias("mz"))
 
 
-def heads(s):
-    """k, mz and the two heads' NLL on the grid."""
-    p = X.mixture_prob(grid(s), comps(s)).withColumn("nll", X.nll(C("p")))
-    return p.groupBy("k", "mz").agg(*[F.max(F.when(C("head") == h, C("nll"))).alias(h) for h in ("n", "p")])
+def masses(s, d):
+    return P.peaks(s, d).select("mz").distinct()
 
 
-@op("G1_gmm_prob", CP + "SELECT l_orderkey AS spectrum_id, l_linenumber AS idx, head, round(sum(cp.pi * exp(-0.5 * (l_extendedprice / 100 - mu) ** 2 / exp(lv)) / sqrt(2 * pi() * exp(lv))), 8) AS p FROM lineitem, cp WHERE l_orderkey % 10 < 5 GROUP BY l_orderkey, l_linenumber, l_extendedprice, l_quantity, head, l_partkey, l_suppkey, l_shipdate, l_discount, l_tax")
+def mass_range(s, d):
+    return P.peaks(s, d).agg(F.min("mz").alias("lo"), F.max("mz").alias("hi"))
+
+
+def heads(s, d):
+    """Distinct masses of the peaks with the two heads' NLL."""
+    p = X.mixture_prob(masses(s, d), comps(s)).withColumn("nll", X.nll(C("p")))
+    return p.groupBy("mz").agg(*[F.max(F.when(C("head") == h, C("nll"))).alias(h) for h in ("n", "p")])
+
+
+DENSITY = "sum(cp.pi * exp(-0.5 * (mz - mu) ** 2 / exp(lv)) / sqrt(2 * pi() * exp(lv)))"
+
+
+@op("G1_gmm_prob", CP + f"SELECT spectrum_id, idx, h.head, round((SELECT {DENSITY} FROM cp WHERE cp.head = h.head), 8) AS p FROM pk, (VALUES ('n'), ('p')) h(head)")
 def g1(s, d):
-    return X.mixture_prob(P.peaks(s, d).filter("spectrum_id % 10 < 5"), comps(s)).select("spectrum_id", "idx", "head", F.round("p", 8).alias("p"))
+    return X.mixture_prob(P.peaks(s, d), comps(s)).select("spectrum_id", "idx", "head", F.round("p", 8).alias("p"))
 
 
-@op("G2_gmm_nll", CP + "SELECT k, head, round(-ln(1e-6 + p), 6) AS nll FROM pr")
+@op("G2_gmm_nll", CP + "SELECT mz, head, round(-ln(1e-6 + p), 6) AS nll FROM pr")
 def g2(s, d):
-    return X.mixture_prob(grid(s), comps(s)).select("k", "head", F.round(X.nll(C("p")), 6).alias("nll"))
+    return X.mixture_prob(masses(s, d), comps(s)).select("mz", "head", F.round(X.nll(C("p")), 6).alias("nll"))
 
 
 PN = ", pn AS (SELECT spectrum_id, mz, intensity, CASE WHEN target = 'F' THEN 'n' ELSE 'p' END AS head FROM pk JOIN lab USING (spectrum_id) WHERE target IN ('F', 'O'))\n"
@@ -366,9 +382,11 @@ def g3(s, d):
     return p.groupBy("head").agg(F.round(F.sum(C("intensity") * X.nll(C("p"))) / F.sum("intensity"), 4).alias("nll"))
 
 
-@op("G4_gmm_init", CP + "SELECT head, comp_idx, round(mu, 6) AS mu, round(lv, 6) AS lv FROM cp")
+@op("G4_gmm_init", CP + "SELECT h.head, range AS comp_idx, round(a + range * ((b - a) / 19), 6) AS mu, round(2 * ln((b - a) / 40), 6) AS lv FROM mr, range(20), (VALUES ('n'), ('p')) h(head)")
 def g4(s, d):
-    return comps(s).select("head", "comp_idx", F.round("mu", 6).alias("mu"), F.round("lv", 6).alias("lv"))
+    """Starting components on the mass range of the table."""
+    lo, hi = mass_range(s, d).first()
+    return X.equispaced(s, lo, hi, 20).select("head", "comp_idx", F.round("mu", 6).alias("mu"), F.round("lv", 6).alias("lv"))
 
 
 @op("G5_gmm_fit")
@@ -376,20 +394,25 @@ def g5(s, d):
     return X.fit(headed(s, d).cache(), X.equispaced(s, 0.0, 1050.0, 5), rounds=3)
 
 
-@op("G6_gmm_posterior")
+G6 = f", q AS (SELECT spectrum_id, head AS own, intensity, (SELECT {DENSITY} FROM cp WHERE cp.head = 'n') AS a, (SELECT {DENSITY} FROM cp WHERE cp.head = 'p') AS b FROM pn), " + """
+t AS (SELECT spectrum_id, own, sum(ln(1e-6 + a) * intensity) AS n, sum(ln(1e-6 + b) * intensity) AS p FROM q GROUP BY ALL)
+SELECT spectrum_id, own, round(exp(p - greatest(n, p)) / (exp(p - greatest(n, p)) + exp(n - greatest(n, p)) + 1e-6), 4) AS posterior FROM t"""
+
+
+@op("G6_gmm_posterior", PN + CP.rstrip() + G6)
 def g6(s, d):
     """P(head p | spectrum): intensity-weighted log likelihoods, shifted by the larger one."""
     p = X.mixture_prob(headed(s, d).withColumnRenamed("head", "own"), comps(s))
     ll = p.groupBy("spectrum_id", "own", "head").agg(F.sum(-X.nll(C("p")) * C("intensity")).alias("l"))
     two = ll.groupBy("spectrum_id", "own").agg(*[F.max(F.when(C("head") == h, C("l"))).alias(h) for h in ("n", "p")])
     top = F.greatest("n", "p")
-    return two.select("spectrum_id", "own", (F.exp(C("p") - top) / (F.exp(C("p") - top) + F.exp(C("n") - top) + 1e-6)).alias("posterior"))
+    return two.select("spectrum_id", "own", F.round(F.exp(C("p") - top) / (F.exp(C("p") - top) + F.exp(C("n") - top) + 1e-6), 4).alias("posterior"))
 
 
-@op("G7_gmm_shared", CP + "SELECT k, round(max(p) FILTER (head = 'n'), 8) AS n, round(max(p) FILTER (head = 'p'), 8) AS p FROM pr GROUP BY 1")
+@op("G7_gmm_shared", CP + "SELECT mz, round(max(p) FILTER (head = 'n'), 8) AS n, round(max(p) FILTER (head = 'p'), 8) AS p FROM pr GROUP BY 1")
 def g7(s, d):
-    p = X.mixture_prob(grid(s), comps(s))
-    return p.groupBy("k").agg(*[F.round(F.max(F.when(C("head") == h, C("p"))), 8).alias(h) for h in ("n", "p")])
+    p = X.mixture_prob(masses(s, d), comps(s))
+    return p.groupBy("mz").agg(*[F.round(F.max(F.when(C("head") == h, C("p"))), 8).alias(h) for h in ("n", "p")])
 
 
 @op("G8_class_ratio", PN + "SELECT round(sum(intensity) FILTER (head = 'n') / sum(intensity) FILTER (head = 'p'), 6) AS ratio FROM pn")
@@ -397,29 +420,31 @@ def g8(s, d):
     return headed(s, d).agg(F.round(F.sum(F.when(C("head") == "n", C("intensity"))) / F.sum(F.when(C("head") == "p", C("intensity"))), 6).alias("ratio"))
 
 
-H2 = CP + ", hd AS (SELECT k, mz, max(-ln(1e-6 + p)) FILTER (head = 'n') AS n, max(-ln(1e-6 + p)) FILTER (head = 'p') AS p FROM pr GROUP BY ALL)\n"
+H2 = CP + ", hd AS (SELECT mz, max(-ln(1e-6 + p)) FILTER (head = 'n') AS n, max(-ln(1e-6 + p)) FILTER (head = 'p') AS p FROM pr GROUP BY ALL)\n"
 
 
-@op("G9_mass_class_prob", H2 + "SELECT k, round(1 / (1 + exp(p - n) * 1.25), 6) AS prob FROM hd")
+@op("G9_mass_class_prob", H2 + "SELECT mz, round(1 / (1 + exp(p - n) * 1.25), 6) AS prob FROM hd")
 def g9(s, d):
-    return heads(s).select("k", F.round(1 / (1 + F.exp(C("p") - C("n")) * 1.25), 6).alias("prob"))
+    return heads(s, d).select("mz", F.round(1 / (1 + F.exp(C("p") - C("n")) * 1.25), 6).alias("prob"))
 
 
-@op("G10_ratio_min_max", H2 + "SELECT k, round(greatest(exp(n - p), exp(p - n)), 6) AS hi, round(1 - least(exp(n - p), exp(p - n)), 6) AS lo FROM hd")
+@op("G10_ratio_min_max", H2 + "SELECT mz, round(greatest(exp(n - p), exp(p - n)), 6) AS hi, round(1 - least(exp(n - p), exp(p - n)), 6) AS lo FROM hd")
 def g10(s, d):
     r = F.exp(C("n") - C("p"))
-    return heads(s).select("k", F.round(F.greatest(r, 1 / r), 6).alias("hi"), F.round(1 - F.least(r, 1 / r), 6).alias("lo"))
+    return heads(s, d).select("mz", F.round(F.greatest(r, 1 / r), 6).alias("hi"), F.round(1 - F.least(r, 1 / r), 6).alias("lo"))
 
 
-@op("G11_head_ratios", H2 + "SELECT k, round(exp(abs(n - p)), 6) AS up, round(1 - exp(-abs(n - p)), 6) AS off FROM hd")
+@op("G11_head_ratios", H2 + "SELECT mz, round(exp(abs(n - p)), 6) AS up, round(1 - exp(-abs(n - p)), 6) AS off FROM hd")
 def g11(s, d):
     g = F.abs(C("n") - C("p"))
-    return heads(s).select("k", F.round(F.exp(g), 6).alias("up"), F.round(1 - F.exp(-g), 6).alias("off"))
+    return heads(s, d).select("mz", F.round(F.exp(g), 6).alias("up"), F.round(1 - F.exp(-g), 6).alias("off"))
 
 
-@op("G12_mass_grid", CP + "SELECT k, head, round(p, 8) AS p FROM pr WHERE mz BETWEEN 100 AND 500")
+@op("G12_mass_grid", CP + f", g12 AS (SELECT range AS k, a + range * ((b - a) / 199) AS mz FROM mr, range(200)) SELECT k, h.head, round((SELECT {DENSITY} FROM cp WHERE cp.head = h.head), 8) AS p FROM g12, (VALUES ('n'), ('p')) h(head) WHERE mz BETWEEN 100 AND 500")
 def g12(s, d):
-    return X.mixture_prob(grid(s).filter(C("mz").between(100, 500)), comps(s)).select("k", "head", F.round("p", 8).alias("p"))
+    """Densities on a grid over the mass range of the table, of which a window is shown."""
+    lo, hi = mass_range(s, d).first()
+    return X.mixture_prob(grid(s, lo, hi).filter(C("mz").between(100, 500)), comps(s)).select("k", "head", F.round("p", 8).alias("p"))
 
 
 def fpr(s, d):
@@ -461,9 +486,11 @@ def g14(s, d):
     return B.soft_bin(P.peaks(s, d), centres(s), ["spectrum_id"]).withColumn("value", F.round("value", 4))
 
 
-@op("G15_soft_bin_init", SB + "SELECT bin_idx, mu, sigma FROM ce")
+@op("G15_soft_bin_init", ", mr AS (SELECT min(mz) AS a, max(mz) AS b FROM pk) SELECT range AS bin_idx, round(a + range * ((b - a) / 20), 6) AS mu, round((b - a) / 42, 6) AS sigma FROM mr, range(21)")
 def g15(s, d):
-    return centres(s)
+    """21 peaks spread evenly over the mass range of the table."""
+    x = mass_range(s, d).select("lo", (C("hi") - C("lo")).alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))).alias("bin_idx"))
+    return x.select("bin_idx", F.round(C("lo") + C("bin_idx") * (C("w") / 20), 6).alias("mu"), F.round(C("w") / 42, 6).alias("sigma"))
 
 
 @op("G16_soft_bin_classifier")

@@ -724,10 +724,10 @@ def u4(s, d):
     return x.select("spectrum_id", "region", (C("region") * 10 + F.substring("ann", 1, 1).cast("long")).alias("ann_idx"))
 
 
-@op("U5_concat_spectra", "SELECT spectrum_id, len FROM sp WHERE spectrum_id % 3 < 2")
+@op("U5_concat_spectra", "SELECT spectrum_id, len FROM sp")
 def u5(s, d):
     x = P.spectra(s, d)
-    return x.filter("spectrum_id % 3 = 0").unionByName(x.filter("spectrum_id % 3 = 1")).select("spectrum_id", "len")
+    return x.filter("spectrum_id % 3 = 0").unionByName(x.filter("spectrum_id % 3 <> 0")).select("spectrum_id", "len")
 
 
 @op("U6_mz_intersection", "SELECT mz FROM pk WHERE dataset = 'F' INTERSECT SELECT mz FROM pk WHERE dataset = 'O'")
@@ -768,9 +768,11 @@ def t1(s, d):
     return P.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", G.lerp(C("l_discount"), C("l_tax"), F.lit(0.25)).alias("v"))
 
 
-@op("T2_uniform_bins", "SELECT bin_idx, lo, hi FROM ub")
+@op("T2_uniform_bins", ", mr AS (SELECT min(mz) AS a, max(mz) AS b FROM pk) SELECT range AS bin_idx, round(a + range * ((b - a) / 100), 8) AS lo, round(a + (range + 1) * ((b - a) / 100), 8) AS hi FROM mr, range(100)")
 def t2(s, d):
-    return bins(s)
+    """100 equal bins on the mass range of the table."""
+    x = a4(s, d).select(C("lo").alias("a"), ((C("hi") - C("lo")) / 100).alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("bin_idx"))
+    return x.select("bin_idx", F.round(C("a") + C("bin_idx") * C("w"), 8).alias("lo"), F.round(C("a") + (C("bin_idx") + 1) * C("w"), 8).alias("hi"))
 
 
 @op("T3_fticr_bin_index")
@@ -834,9 +836,9 @@ def t13(s, d):
     return by_tic(s, d).select("y", "x", F.round(C("v") / F.max("v").over(Window.partitionBy("y")), 6).alias("v"))
 
 
-@op("T14_bin_names", "SELECT bin_idx, printf('%.2f-%.2f', lo, hi) AS name FROM ub")
+@op("T14_bin_names", "SELECT idx, printf('%.4f-%.4f', mz - width / 2, mz + width / 2) AS name FROM lip")
 def t14(s, d):
-    return bins(s).select("bin_idx", F.format_string("%.2f-%.2f", "lo", "hi").alias("name"))
+    return P.lipids(s, d).select("idx", F.format_string("%.4f-%.4f", C("mz") - C("width") / 2, C("mz") + C("width") / 2).alias("name"))
 
 
 @op("T15_truncate_label", "SELECT idx, CASE WHEN length(name) > 20 THEN substr(name, 1, 17) || '...' ELSE name END AS name FROM lip")
