@@ -1,18 +1,21 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
 Training. Of the labelled rows that may be learnt from, at most SAMPLE toxic and SAMPLE ordinary ones are used,
-of at most LIMIT code points each, in the order of md5(doc_id): a documented bound, as this fits a classifier. The ordinary
-dictionary holds the commonest ordinary words; the toxic one holds the stretches of words of toxic texts made
-of 4-grams that toxic documents have far more often than ordinary ones.
+in the order of md5(doc_id): a documented bound, as this fits a classifier. Of a text over LIMIT code points a span of
+LIMIT is learnt from, at a place drawn by that md5. The ordinary dictionary holds the commonest ordinary words; the toxic
+one holds the stretches of words of toxic texts made of 4-grams that toxic documents have far more often than ordinary ones.
 
 Scoring. A window is one word with a space at each end. It is compressed with either dictionary behind a lead
 that both end in, which pays for the first sequence of a frame, so that the difference of the two lengths is
 what the dictionary explains of the word. Each difference has a weight, the log ratio of its rates in toxic and
-ordinary training text; weights above a threshold add up over the whole text, to log odds from the labels'
-own odds. A word that shares no 4 bytes with the toxic dictionary can't be shortened by it and weighs nothing.
+ordinary training text; differences under a threshold, and words that share no 4 bytes with the toxic dictionary and can't
+be shortened by it, have one negative weight together. A text's evidence is the largest sum of weights over any stretch of its words, so that
+neither a long clean rest hides a toxic passage nor hits far apart add up. The best stretch of ordinary text grows with
+the logarithm of its words; log odds are linear in the evidence less that logarithm and in the logarithm, fitted to the
+labels. Weights and fit use differences by dictionaries of the other half of the training rows only.
 
 Edge cases: null, empty and wordless texts get the score of no evidence; without toxic or ordinary training rows all
-do, at odds of half a document each; repeated rows give equal rows.
+do, at the labels' own odds, half a document added to each; repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 import zstandard as zstd
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 SAMPLE, LIMIT, LEAST_WEIGHT, GRAM = 1500, 20_000, 2.5, 4
 LEAD = b"<<>>[[]]{{}}##@@"
-KEPT_WORDS = 200_000
+KEPT_WORDS, MOST = 200_000, 8.0
 WORD = regex.compile(r"\p{L}+")
 
 
@@ -47,6 +51,7 @@ class Classifier:
     toxic: bytes
     odds: float
     weight: dict[int, float] = field(default_factory=dict)
+    line: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
     def start(self) -> Classifier:
         """Compressors are made where they are used; they can't be sent to another process."""
@@ -77,15 +82,26 @@ class Classifier:
         return found
 
     def score(self, text: str | None) -> float:
-        total, at = self.odds, self.weight
-        for n in map(self.distance, WORD.findall(text.lower()) if text else ()):
-            if n in at:
-                total += at[n]
-        return 1 / (1 + math.exp(-min(total, 30.0)))
-
-
-def fit(toxic: list[str], ordinary: list[str]) -> Classifier:
-    """A classifier from bounded lists of toxic and ordinary texts."""
+        found = list(map(self.distance, WORD.findall(text.lower()))) if text else []
+        total = self.odds + sum(a * x for a, x in zip(self.line, (1.0, *evidence(found, self.weight)), strict=True)) if found else self.odds
+        return 1 / (1 + math.exp(-max(-30.0, min(total, 30.0))))
+
+
+def evidence(found: list[int], weight: dict[int, float]) -> tuple[float, float]:
+    """The largest sum of weights over a stretch of words (0 for none) less the log of the number of words, at most MOST; that log."""
+    best = total = 0.0
+    for n in found:
+        total += weight.get(n, 0.0)
+        if total < 0.0:
+            total = 0.0
+        elif total > best:
+            best = total
+    size = math.log1p(len(found))
+    return min(best - size, MOST), size
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> Classifier:
+    """A classifier without weights."""
     share = [Counter(), Counter()]
     for y, texts in enumerate((ordinary, toxic)):
         for t in texts:
@@ -105,32 +121,63 @@ def fit(toxic: list[str], ordinary: list[str]) -> Classifier:
         cores.update(found)
     top = lambda c, n: [x for x, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]]
     least = max(3, 0.002 * len(toxic))
-    out = Classifier("".join(reversed(top(common, 1000))).encode(), "|".join(reversed([x for x in top(cores, 400) if cores[x] >= least])).encode(),
-                     math.log((len(toxic) + 0.5) / (len(ordinary) + 0.5))).start()
-    rate = [Counter(), Counter()]
-    for y, texts in enumerate((ordinary, toxic)):
-        for t in texts:
-            rate[y].update(map(out.distance, WORD.findall(t.lower())))
-    all_ = [c.total() + 10 for c in rate]
-    ratio = {n: math.log((rate[1][n] + 0.5) / all_[1]) - math.log((rate[0][n] + 0.5) / all_[0]) for n in range(10)}
-    out.weight = {n: w for n, w in ratio.items() if w >= LEAST_WEIGHT}
+    return Classifier("".join(reversed(top(common, 1000))).encode(), "|".join(reversed([x for x in top(cores, 400) if cores[x] >= least])).encode(), 0.0).start()
+
+
+def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Classifier:
+    """A classifier from bounded lists of toxic and ordinary texts; odds: log odds of the class where they differ from the lists' own."""
+    own = math.log((len(toxic) + 0.5) / (len(ordinary) + 0.5))
+    out = dictionaries(toxic, ordinary)
+    out.odds = own if odds is None else odds
+    if toxic and ordinary:
+        held = [], []
+        for k in (0, 1):
+            judge = dictionaries(toxic[1 - k :: 2], ordinary[1 - k :: 2])
+            for y, texts in enumerate((ordinary, toxic)):
+                held[y].extend([judge.distance(w) for w in WORD.findall(t.lower())] for t in texts[k::2])
+        rate = [Counter(n for found in x for n in found) for x in held]
+        all_ = [c.total() + 10 for c in rate]
+        ratio = lambda *n: math.log((sum(rate[1][i] for i in n) + 0.5) / all_[1]) - math.log((sum(rate[0][i] for i in n) + 0.5) / all_[0])
+        rest = [n for n in range(-1, 10) if n < 1 or not rate[1][n] or ratio(n) < LEAST_WEIGHT]
+        out.weight = {-1: min(0.0, ratio(*rest))}
+        for n in range(10):  # a difference not met in training weighs as the next smaller one
+            out.weight[n] = ratio(n) if n not in rest else out.weight[-1] if rate[0][n] or rate[1][n] else out.weight[n - 1]
+        seen = [(*evidence(found, out.weight), y) for y in (0, 1) for found in held[y] if found]
+        if len({y for *_, y in seen}) == 2:
+            base, *line = logistic(np.array([x[:2] for x in seen]), np.array([x[2] for x in seen]))
+            out.line = base - own, *line
     out.squeeze = out.parts = out.kept = None
     return out
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
+    """Intercept and slopes of the log odds of y; the ridge keeps slopes finite where the classes are apart."""
+    x = np.column_stack([np.ones(len(x)), x])
+    b, hold = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
+    loss = lambda b: np.logaddexp(0, x @ b).sum() - y @ (x @ b) + b @ hold @ b / 2
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + hold, x.T @ (p - y) + hold @ b)
+        while loss(b - step) > loss(b) and abs(step).max() > 1e-9:
+            step = step / 2
+        b = b - step
+        if abs(step).max() < 1e-8:
+            break
+    return b.tolist()
+
+
 def trained(docs: DataFrame, labels: DataFrame, kept: Column, sample: int = SAMPLE) -> Classifier:
     """Fit on the labelled rows for which `kept` is true; labels: doc_id, toxic."""
     rows = labels.filter(kept & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
     order, texts = F.md5(F.col("doc_id").cast("string")), {}
     odds = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    usable = docs.filter(F.col("text").isNotNull() & (F.length("text") <= LIMIT)).select("doc_id", "text")
+    at = F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.length("text") - LIMIT + 1) + 1
+    usable = docs.filter(F.col("text").isNotNull()).select("doc_id", F.substring("text", at.cast("int"), F.lit(LIMIT)).alias("text"))
     for y in (0, 1):
         ids = rows.filter(F.col("toxic") == y).select("doc_id", order.alias("o")).orderBy("o").limit(sample)
         # at most `sample` ids, hence the broadcast
         texts[y] = [r.text for r in usable.join(F.broadcast(ids), "doc_id").orderBy("o", "text").limit(sample).collect()]
-    out = fit(texts[1], texts[0])
-    out.odds = math.log((odds.get(1, 0) + 0.5) / (odds.get(0, 0) + 0.5))
-    return out
+    return fit(texts[1], texts[0], math.log((odds.get(1, 0) + 0.5) / (odds.get(0, 0) + 0.5)))
 
 
 def scores(docs: DataFrame, classifier: Classifier, *columns: str, name: str = "score") -> DataFrame:

@@ -147,6 +147,22 @@ def test_toxicity(spark):
     assert model.score("and the vermina is here") > 0.3 > model.score("and the plain text is here") and model.score(None) == model.score("")
 
 
+def test_toxicity_long_texts():
+    bad = [f"the plain text of it and that vermin{x} is here again today" for x in "abcdefghij"] * 4
+    good = [f"the plain text of it and that {x}{x} is here again today" for x in "abcdefghij"] * 40
+    clean = "the plain text of it is here again today "
+    model = toxicity.fit(bad, good).start()
+    assert model.score(clean * 2000 + "vermina " + clean * 2000) < 0.3 < model.score(clean * 2000 + "vermina of it " * 9 + clean * 2000)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    long = "the plain text of it is here again today " * 600
+    docs = spark.createDataFrame([(i, long + "verminous of it " * 9000 if i % 4 == 0 else long) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.trained(docs, labels, Q.fold(4) >= 0).start()
+    assert model.score("verminous of it is verminous") > 0.3 > model.score("the plain text of it")
+
+
 def test_mixing(spark, docs, odd, none):
     out = Q.op8_mixing(spark, SF).collect()
     assert all(r.taken <= 2 * r["size"] for r in out)
