@@ -1,8 +1,8 @@
 """Quality rules on cross-document line frequency, in DataFrame expressions only.
 
 A line is normalised (lower case, white space runs to one space, trimmed) and hashed; per host (`source`) the
-distinct documents that hold it are counted over the whole table. A line in more than max(LEAST, SHARE * the
-host's documents) documents is boilerplate and removed; a document left with less than LEFT of its words is
+distinct documents (doc_ids) that hold it are counted over the whole table. A line in more than LEAST documents of
+a host is boilerplate and removed, however large the host; a document left with less than LEFT of its words is
 depleted and rejected. Base rules on each text come first (see base_measures).
 
 Edge cases: null or empty text has zero counts and fails the base rules; null hosts form one host; lines of
@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST, SHARE, LEFT = 30, 0.1, 0.3
+from spectraline.llm.shared import cut
+
+LEAST, LEFT = 30, 0.3
 GAPS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -43,12 +45,18 @@ def base_measures(docs: DataFrame) -> DataFrame:
     return out.select(*rest, F.coalesce(F.aggregate(F.transform("starts", lambda p, i: F.least(F.lit(5), F.coalesce(F.get("starts", i + 1), p + 5) - p)), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def frequent_lines(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(host, line): hashes of lines in too many documents of a host."""
     keys = F.array_distinct(line_hashes(F.col("text")))
-    count = docs.select(host(), F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    size = docs.groupBy(host()).agg(F.count("*").alias("documents"))
-    return count.filter(F.col("n") > least).join(size, "host").filter(F.col("n") > share * F.col("documents")).select("host", "line")
+    rows = docs.select("doc_id", host(), F.explode(keys).alias("line"))
+    # rows of a line bound its documents from above: only lines in too many rows have their documents counted
+    many = rows.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("host", "line")
+    return too_many(rows.join(many, ["host", "line"], "left_semi").select("host", "line", "doc_id").distinct(), least)
+
+
+def too_many(documents: DataFrame, least: int) -> DataFrame:
+    """(host, line) of distinct (host, line, doc_id) that stand there more than `least` times."""
+    return documents.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("host", "line")
 
 
 def host() -> Column:
@@ -63,26 +71,30 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines_of(text), lambda x: F.xxhash64(normal(x)))
 
 
-def line_shares(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+def line_shares(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_frequent_words: words in lines that are too frequent on the host."""
+    keys = F.array_distinct(line_hashes(F.col("text")))
+    many = docs.select(host(), F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("host", "line")
     pairs = F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(normal(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n")))
     lines = docs.select("doc_id", host(), F.explode(pairs).alias("x")).select("doc_id", "host", "x.line", "x.n")
-    return lines.join(frequent, ["host", "line"], "left_semi").groupBy("doc_id").agg(F.sum("n").alias("n_frequent_words"))
+    # the lines in too many rows, by document: one pass gives both the documents and the words
+    lines = cut(lines.join(many, ["host", "line"], "left_semi").groupBy("host", "line", "doc_id").agg(F.sum("n").alias("n")), "frequent-lines")
+    return lines.join(too_many(lines, least), ["host", "line"], "left_semi").groupBy("doc_id").agg(F.sum("n").alias("n_frequent_words"))
 
 
-def quality(docs: DataFrame, least: int = LEAST, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def quality(docs: DataFrame, least: int = LEAST, left: float = LEFT) -> DataFrame:
     """The base measures of each text, base_failed, n_frequent_words (in removed lines) and kept."""
     docs = docs.select("doc_id", "text", "source")
     copies = docs.groupBy("doc_id").agg(F.count("*").alias("copies"))
-    lost = line_shares(docs, frequent_lines(docs, least, share)).join(copies, "doc_id").select("doc_id", (F.col("n_frequent_words") / F.col("copies")).cast("long").alias("n_frequent_words"))
+    lost = line_shares(docs, least).join(copies, "doc_id").select("doc_id", (F.col("n_frequent_words") / F.col("copies")).cast("long").alias("n_frequent_words"))
     out = base_measures(docs).join(lost, "doc_id", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_frequent_words") >= left * F.col("n_words")))
 
 
-def clean_texts(docs: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def clean_texts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the lines that are too frequent on their host taken out of the text."""
-    bad = frequent_lines(docs, least, share).groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_bad"))
+    bad = frequent_lines(docs, least).groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_bad"))
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("_bad", F.xxhash64(normal(x))), F.lit(False))), "\n")
     return docs.withColumn("_host", host()).join(bad, "_host", "left").withColumn("text", kept).select(*docs.columns)

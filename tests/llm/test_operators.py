@@ -140,6 +140,16 @@ def test_line_frequency(spark, docs, odd, none):
     assert all("Cookie" not in r.text for r in linefreq.clean_texts(many).collect())
 
 
+def test_line_frequency_of_a_big_host(spark):
+    schema, line = "doc_id long, text string, source string", " ".join(f"cookie{i}" for i in range(40))
+    big = spark.createDataFrame([(i, (line + "\n" if i < 40 else "") + " ".join(f"own{i}x{j}" for j in range(12)), "s") for i in range(1000)], schema)
+    got = linefreq.quality(big).collect()
+    assert not any(r.base_failed for r in got) and all(r.kept == (r.doc_id >= 40) for r in got)
+    assert not any("cookie" in r.text for r in linefreq.clean_texts(big).collect())
+    again = spark.createDataFrame([(i % 20, f"{line}\nown{i}", "s") for i in range(40)], schema)
+    assert all(r.kept and r.n_frequent_words == 0 for r in linefreq.quality(again).collect())
+
+
 def test_toxicity(spark):
     bad = [f"the plain text of it and that vermin{x} is here again today" for x in "abcdefghij"] * 4
     good = [f"the plain text of it and that {x}{x} is here again today" for x in "abcdefghij"] * 40
