@@ -1,17 +1,25 @@
 """Main text of web pages by a tree-structured graphical model.
 
 The nodes are a page's block elements and its text blocks; each is content or not. A node has a potential from
-what is seen of it (tag, role words in class and id; length, link share and place of a text), an edge one from
-parent and child. Sum-product messages go up and then down the tree and give each text block's marginal, and
+what is seen of it (tag, role words in class and id; for a text its link share and length together), an edge one
+from parent and child. Sum-product messages go up and then down the tree and give each text block's marginal, and
 blocks more likely content than not are the text, in page order.
 
-Training. Pages that mark their parts label their own nodes: what is under <article> or <main> is content,
-what is under <nav>, <footer>, <aside>, <form>, a role word for page furniture and the like is not, and what
-holds content is on its path. Counts of features and of edges over all such pages, with the prior counts
-below, are the potentials. Their number is fixed by the feature sets, whatever the data.
-
-Edge cases: null or empty html gives the empty text; unclosed and stray tags are tolerated; a page without
-markup is one block; repeated rows give equal rows.
+Marks. <article> and <main> stand for content, <nav>, <footer>, <aside>, <form> and the like, `hidden`, and role words
+such as `comments` or `advert` (PARTS) stand for what is not; a <header> inside an article is that article's own. Marks
+off are evidence: their node is held at not content. If every <article> and <main> is below some mark off, those marks go.
+
+Training. A page with an <article> or <main> labels its nodes: what is under it is content, what holds it is on its
+path, all else is not; below marks off inside it nothing is said. The marks are therefore no features of the fit: learnt
+are the rates of all other tags and role words, of link share with length, and of edges, over all such pages without a cap.
+Each rate is PRIOR_SHARE of a prior rate and the rest the counted one, at any number of pages, so that a layout
+which the table lacks is still known; without a labelled page priors alone hold. The features are fixed sets, so
+the counts' size does not depend on the data.
+
+Edge cases: null or empty html gives the empty text; so does an empty table no row. Unclosed and stray tags are tolerated:
+elements whose text is not the page's (HIDE) end at the next block where their end tag is missing, only script, style and
+comments run to the end of the page. A page without markup is one block; long pages are used whole; repeated rows give
+equal rows; null page_ids stay; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,49 +34,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # HTML's element names and words that page authors use for parts.
-HIDDEN = "script style template noscript title textarea select svg iframe object head"
+HIDE = frozenset("title textarea select svg iframe object noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 FURNITURE = frozenset("nav header footer aside form button menu dialog fieldset label legend option".split())
 MAIN = frozenset("article main".split())
-OFF_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus discussion footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion reactions reader related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split())
+GENERIC = frozenset("html body div section table thead tbody tfoot tr td th ul ol li dl dt dd".split())  # say nothing by themselves
+PARTS = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related sidebar signup sponsor sponsored subscribe toolbar topbar widget widgets".split())
+VAGUE = frozenset("discussion form header reactions reader replies reply respond responses search share sharing skip social tags".split())
 ON_WORDS = frozenset("article articlebody body content entry main maincontent post postcontent story text".split())
-PRIOR = {"role:off": (40.0, 0.5), "role:on": (1.0, 15.0), "role:none": (20.0, 30.0), "hidden": (40.0, 0.2)} | {f"tag:{t}": (30.0, 0.5) for t in FURNITURE} | {f"tag:{t}": (0.5, 30.0) for t in MAIN} | {f"tag:{t}": (3.0, 12.0) for t in ("p", "blockquote", "pre", "figcaption", "h1", "h2", "h3")} | {f"link:{i}": x for i, x in enumerate(((10.0, 30.0), (4.0, 4.0), (20.0, 1.0)))} | {f"size:{i}": x for i, x in enumerate(((12.0, 5.0), (8.0, 8.0), (4.0, 12.0), (2.0, 15.0)))}
-EDGES = {"page": {(1, 1): 10.0, (1, 0): 10.0, (0, 0): 400.0, (0, 1): 0.5}, "part": {(1, 1): 70.0, (1, 0): 60.0, (0, 0): 400.0, (0, 1): 0.5}, "text": {(1, 1): 100.0, (1, 0): 5.0, (0, 0): 400.0, (0, 1): 0.5}}
-
-GENERIC = frozenset(f"tag:{t}" for t in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "ul", "ol", "li", "dl", "dt", "dd"))  # say nothing by themselves
-ROOT = 6.0  # a page's own log odds of having content
-
-TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(" + HIDDEN.replace(" ", "|") + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z))|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", regex.S | regex.I)
-MARKS = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
-GONE = regex.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", regex.I)
+SHAPES = frozenset("area bar block box button buttons container global group holder icons inner item items left links list main outer page panel right row section site title top wrap wrapper".split())
+STATES = frozenset("has no with without open closed is not hide show".split())
+
+PRIOR_SHARE, HELD = 0.25, -30.0
+# Prior rates among what is not content and what is, within each group of features.
+TAGS = {"p": (0.1, 0.4), "blockquote": (0.02, 0.06), "pre": (0.02, 0.06), "figure": (0.02, 0.03), "figcaption": (0.02, 0.04), "h1": (0.02, 0.06), "h2": (0.04, 0.08), "h3": (0.05, 0.06), "other": (0.1, 0.1)}
+ROLES = {"on": (0.02, 0.3), "none": (0.7, 0.68), "vague": (0.28, 0.02)}
+LINKS, SIZES = ((0.3, 0.72), (0.2, 0.2), (0.5, 0.08)), ((0.35, 0.25), (0.25, 0.25), (0.2, 0.25), (0.2, 0.25))
+PRIOR = {f"tag:{k}": v for k, v in TAGS.items()} | {f"role:{k}": v for k, v in ROLES.items()} | {f"text:{i}{j}": (a * c, b * d) for i, (a, b) in enumerate(LINKS) for j, (c, d) in enumerate(SIZES)}
+EDGES = {"page": (0.5, 0.001), "part": (0.7, 0.001), "text": (0.95, 0.001), "in": (0.97, 0.001), "words": (0.98, 0.001), "beside": (0.1, 0.001)}  # prior rates of content below content, and below other parts
+MAIN_ODDS, ROOT_ODDS = 4.0, 6.0  # log odds of an <article> or <main>, and that a page has content
+
+ATTRIBUTES = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)"
+TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(script|style)(?=[\s/>])" + ATTRIBUTES + r"(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)" + ATTRIBUTES + r">|</?[a-zA-Z][^<>]*+\Z", regex.S | regex.I)
+WALL = r"body|form|main|html"  # a hidden element that reaches one of these was not closed
+MARKS = regex.compile(r"(?:^|[\s/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
+GONE = regex.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", regex.I)
 LETTERS = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ANY_BLOCK = regex.compile(r"</?(?:" + "|".join(sorted(BLOCKS - {"option"})) + r")(?=[\s/>])", regex.I)
+ENDS = {t: regex.compile(rf"<(/?)({t}|{WALL})(?=[\s/>])", regex.I) for t in HIDE}
+
+
+def hidden_end(page: str, tag: str, at: int) -> int:
+    """Where the hidden element whose start tag ends at `at` is over."""
+    depth = 1
+    for m in ENDS[tag].finditer(page, at):
+        if m[2].lower() != tag:
+            break
+        depth += -1 if m[1] else 1
+        if not depth:
+            end = page.find(">", m.end())
+            return len(page) if end < 0 else end + 1
+    found = ANY_BLOCK.search(page, at)
+    return found.start() if found else len(page)
+
+
+def role_of(rest: str) -> str:
+    """off, vague, on or none, from the class names and ids of a start tag."""
+    role = "none"
+    for m in MARKS.finditer(rest):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in LETTERS.findall(name)}
+            if words & STATES:
+                continue
+            if words & PARTS:
+                return "off"
+            if words & VAGUE and words <= VAGUE | SHAPES:
+                role = "vague"
+            elif role == "none" and words & ON_WORDS:
+                role = "on"
+    return role
 
 
 class Tree:
-    """Nodes in page order: parent, features, given label (None if the page doesn't say); text for text blocks."""
+    """Nodes in page order: parent, features, whether marked off, whether <article> or <main>, label (None if the page doesn't say); text for text blocks."""
 
     def __init__(self, page: str) -> None:
-        self.parent, self.seen, self.label, self.text = [-1], [("tag:html", "role:none")], [None], [None]
+        self.parent, self.seen, self.off, self.main, self.top, self.text = [-1], [()], [0], [False], [True], [None]
         self.stack: list[tuple[str, int]] = [("", 0)]
         self.pieces: list[str] = []
-        self.linked, self.in_link = 0, False
+        self.linked, self.link_depth, self.mains = 0, 0, 0
         last = 0
-        for m in TOKEN.finditer(page):
+        while m := TOKEN.search(page, last):
             if m.start() > last:
                 self.words(page[last : m.start()])
             last = m.end()
-            tag = m.group(3)
-            if tag:
-                self.tag(tag.lower(), bool(m.group(2)), m.group(4))
+            name = m.group(4)
+            if name:
+                tag = name.lower()
+                if tag in HIDE:
+                    if not m.group(3) and not (tag == "svg" and m.group(5).endswith("/")):
+                        last = hidden_end(page, tag, last)
+                else:
+                    self.tag(tag, bool(m.group(3)), m.group(5))
         self.words(page[last:])
         self.block()
+        n = len(self.parent)
+        level = list(map(int, self.off))  # the strongest mark off at a node or above it
+        for i in range(1, n):
+            level[i] = max(level[i], level[self.parent[i]])
+        best = min((x for x, m, o in zip(level, self.main, self.off, strict=True) if m and not o), default=0)
+        self.holds = [False] * n  # has an <article> or <main> below it, of those with the weakest mark above
+        for i in range(n - 1, 0, -1):
+            self.holds[self.parent[i]] |= self.holds[i] or self.main[i] and not self.off[i] and level[i] == best
+        self.off = [bool(o) and not h for o, h in zip(self.off, self.holds, strict=True)]
+        self.inside = [m and not o for m, o in zip(self.main, self.off, strict=True)]
+        for i in range(1, n):
+            self.inside[i] |= self.inside[self.parent[i]] and not self.off[i]
 
     def words(self, raw: str) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
         self.pieces.append(text)
-        if self.in_link:
+        if self.link_depth:
             self.linked += len(text)
 
     def block(self) -> None:
@@ -77,22 +145,30 @@ class Tree:
             raw = "".join(self.pieces)
             text = " ".join(raw.split())
             if text:
-                tag, at = self.stack[-1]
-                share = self.linked / len(raw)
-                size = len(text)
-                self.node(at, (f"link:{0 if share < 0.2 else 1 if share < 0.6 else 2}", f"size:{0 if size < 25 else 1 if size < 80 else 2 if size < 250 else 3}"), self.label[at], text)
+                share, size = self.linked / len(raw), len(text)
+                self.node(self.stack[-1][1], (f"text:{0 if share < 0.2 else 1 if share < 0.6 else 2}{0 if size < 25 else 1 if size < 80 else 2 if size < 250 else 3}",), text=text)
             self.pieces, self.linked = [], 0
 
-    def node(self, parent: int, seen: tuple, label, text=None) -> int:
+    def node(self, parent: int, seen: tuple, off: int = 0, main: bool = False, top: bool = False, text: str | None = None) -> int:
         self.parent.append(parent)
         self.seen.append(seen)
-        self.label.append(label)
+        self.off.append(off)
+        self.main.append(main)
+        self.top.append(top)
         self.text.append(text)
         return len(self.parent) - 1
 
+    def leave(self, depth: int) -> None:
+        """Close elements down to the given depth; a link opened inside them, if left open, ends there."""
+        for tag, _ in self.stack[depth:]:
+            self.mains -= tag in MAIN
+        del self.stack[depth:]
+        if self.link_depth > depth:
+            self.link_depth = 0
+
     def tag(self, tag: str, closing: bool, rest: str) -> None:
         if tag == "a":
-            self.in_link = not closing
+            self.link_depth = 0 if closing else len(self.stack)
         if tag == "br" or tag == "hr":
             self.block()
         if tag not in BLOCKS or tag in VOID:
@@ -101,92 +177,104 @@ class Tree:
         if closing:
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i][0] == tag:
-                    del self.stack[i:]
+                    self.leave(i)
                     break
             return
         if self.stack[-1][0] == "p":
-            self.stack.pop()
+            self.leave(len(self.stack) - 1)
         shut = CLOSES.get(tag)
         while shut and self.stack[-1][0] in shut:
-            self.stack.pop()
-        seen, role = [f"tag:{tag}"], "none"
-        if rest:
-            found = {w.lower() for m in MARKS.finditer(rest) for w in LETTERS.findall(m[1] or m[2] or m[3] or "")}
-            role = "off" if found & OFF_WORDS else "on" if found & ON_WORDS else "none"
-            if GONE.search(rest):
-                seen.append("hidden")
-        at = self.stack[-1][1]
-        label = self.label[at]
-        off = tag in FURNITURE or role == "off" or "hidden" in seen
-        if label != 0 and tag not in ("body", "html"):
-            label = 0 if off else 1 if tag in MAIN else label
-        self.stack.append((tag, self.node(at, (*seen, f"role:{role}"), label)))
+            self.leave(len(self.stack) - 1)
+        role = role_of(rest) if rest else "none"
+        off = int(role == "off")  # 1: by its name, 2: by its nature
+        if tag in FURNITURE and not (tag == "header" and self.mains) or rest and GONE.search(rest):
+            off = 2
+        if tag in ("body", "html"):
+            off = 0
+        seen = (f"role:{role}",) if role != "off" else ()
+        if tag not in GENERIC and tag not in MAIN and tag not in FURNITURE:
+            seen = (*seen, f"tag:{tag if tag in TAGS else 'other'}")
+        at = self.node(self.stack[-1][1], seen, off, tag in MAIN, tag in ("html", "body"))
+        self.mains += tag in MAIN
+        self.stack.append((tag, at))
 
     def kind(self, i: int) -> str:
-        """Edges to text blocks, edges from the whole page and edges between its parts are counted apart."""
-        return "text" if self.text[i] is not None else "page" if self.seen[self.parent[i]][0] in ("tag:html", "tag:body") else "part"
-
-    def labelled(self) -> list:
-        """Labels for training: what holds content is content; empty if the page marks none."""
-        label = list(self.label)
-        if 1 not in label:
-            return []
-        for i in range(len(label) - 1, 0, -1):
-            if label[i] == 1 and label[self.parent[i]] is None:
-                label[self.parent[i]] = 1
+        """Edges are counted apart to text blocks, inside an <article> or <main>, beside one, from the whole page, and between other parts."""
+        up = self.parent[i]
+        if self.text[i] is not None:
+            return "words" if self.inside[up] else "text"
+        return "in" if self.inside[up] else "beside" if self.holds[up] and not self.holds[i] and not self.main[i] else "page" if self.top[up] else "part"
+
+    def labels(self) -> list:
+        """1 under an <article> or <main> and on the path to one, 0 elsewhere, None where nothing is said; all None on a page without."""
+        n = len(self.parent)
+        if not self.holds[0]:
+            return [None] * n
+        label = [1] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            if label[up] != 1:
+                label[i] = label[up]
+            elif self.inside[up]:
+                label[i] = None if self.off[i] else 1
+            else:
+                label[i] = int(self.holds[i] or self.inside[i])
         return label
 
 
 def counts(page: str) -> Counter:
     """Features by label and edges by labels of one page."""
     tree, out = Tree(page), Counter()
-    label = tree.labelled()
+    label = tree.labels()
     for i, y in enumerate(label):
-        if y is not None:
+        if i and y is not None:
             for f in tree.seen[i]:
                 out[f, y] += 1
-            out["nodes", y] += 1
-            up = label[tree.parent[i]] if i else None
-            if up is not None:
+            up = label[tree.parent[i]]
+            if up is not None and not tree.off[i] and not tree.main[i] and not tree.top[i]:
                 out[f"edge:{tree.kind(i)}:{up}", y] += 1
     return out
 
 
 class Model:
     def __init__(self, total: dict[tuple[str, int], int]) -> None:
-        """total: counts over all pages. A feature's weight is the log ratio of its smoothed rates under either label, within bounds."""
-        n = [total.get(("nodes", y), 0) + 100.0 for y in (0, 1)]
-        self.weight = {}
-        for f in {f for f, _ in total} | set(PRIOR):
-            a, b = (PRIOR.get(f, (1.0, 1.0))[y] + total.get((f, y), 0) * min(1.0, 2000 / n[y]) for y in (0, 1))
-            m = [min(2000.0, n[y] - 100) + 100 for y in (0, 1)]
-            bound = 6.0 if f in ("role:off", "role:on", "hidden") or f.removeprefix("tag:") in FURNITURE | MAIN else 0.3 if f.startswith("size:") else 1.5
-            if f in GENERIC or f == "nodes" or f.startswith("edge:"):
-                continue
-            self.weight[f] = max(-bound, min(bound, math.log(b / m[1]) - math.log(a / m[0])))
+        """total: counts over all pages. A feature's weight is the log ratio of its rates in content and elsewhere."""
+        group: Counter = Counter()
+        for (f, y), n in total.items():
+            group[f.split(":")[0], y] += n
+
+        def rate(f: str, y: int) -> float:
+            g = f.split(":")[0]
+            whole = sum(v[y] for k, v in PRIOR.items() if k.startswith(g))
+            own = PRIOR[f][y] / whole
+            return own if not group[g, y] else PRIOR_SHARE * own + (1 - PRIOR_SHARE) * total.get((f, y), 0) / group[g, y]
+
+        self.weight = {f: math.log(rate(f, 1) / rate(f, 0)) for f in PRIOR}
         self.edge = {}
         for k, prior in EDGES.items():
-            p = {}
-            for up in (0, 1):
+            p = []
+            for up, own in ((0, prior[1]), (1, prior[0])):
                 seen = [total.get((f"edge:{k}:{up}", y), 0) for y in (0, 1)]
-                row = [prior[up, y] + seen[y] * min(1.0, 50 / max(1, sum(seen))) for y in (0, 1)]
-                p |= {(up, y): row[y] / sum(row) for y in (0, 1)}
-            self.edge[k] = p[0, 0], p[0, 1], p[1, 0], p[1, 1]
+                p.append(own if not sum(seen) else PRIOR_SHARE * own + (1 - PRIOR_SHARE) * seen[1] / sum(seen))
+            self.edge[k] = 1 - p[0], p[0], 1 - p[1], p[1]
 
     def marginals(self, tree: Tree) -> list[float]:
         """Log odds of content for each node, by messages up and then down the tree."""
         n, weight, parent = len(tree.parent), self.weight, tree.parent
         edge = [self.edge[tree.kind(i)] for i in range(n)]
-        up = [sum(weight.get(f, 0.0) for f in seen) for seen in tree.seen]
+        up = [HELD if tree.off[i] else MAIN_ODDS * tree.main[i] + sum(weight[f] for f in tree.seen[i]) for i in range(n)]
+        up = [x + ROOT_ODDS * t for x, t in zip(up, tree.top, strict=True)]
         sent = [0.0] * n
-        up = [x + ROOT if seen[0] in ("tag:html", "tag:body") else x for x, seen in zip(up, tree.seen, strict=True)]
         for i in range(n - 1, 0, -1):
             e = math.exp(max(-30.0, min(30.0, up[i])))
             t00, t01, t10, t11 = edge[i]
-            sent[i] = math.log((t11 * e + t10) / (t01 * e + t00))
-            up[parent[i]] += sent[i]
+            sent[i] = 0.0 if tree.off[i] else math.log((t11 * e + t10) / (t01 * e + t00))
+            if not tree.off[parent[i]]:
+                up[parent[i]] += sent[i]
         for i in range(1, n):
-            q = math.exp(max(-30.0, min(30.0, up[parent[i]] - sent[i])))
+            if tree.off[i]:
+                continue
+            q = math.exp(max(-30.0, min(30.0, up[parent[i]] - (0.0 if tree.off[parent[i]] else sent[i]))))
             t00, t01, t10, t11 = edge[i]
             up[i] += math.log((t11 * q + t01) / (t10 * q + t00))
         return up
