@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,8 @@ from pyspark.sql import DataFrame
 
 # The pattern of byte-level pre-splitting.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-KEPT_WORDS = 200_000
+LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+KEPT_WORDS = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,6 +44,8 @@ class Automaton:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.label = {i: bytes(letter[c] for c in t) for t, i in vocab.items() if t not in self.special} | {i: t.encode() for t, i in self.special.items()}
+        self.labels = [self.label.get(i, b"") for i in range(max(self.label) + 1)]
+        self.size = list(map(len, self.labels))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.gadget, self.born, self.parts = {}, {}, {}
         for rank, (u, v) in enumerate(pairs):
@@ -81,63 +85,110 @@ class Automaton:
         return False
 
     def encode_word(self, word: bytes) -> list[int]:
-        entered, came = [0] * (len(word) + 1), [-1] * (len(word) + 1)
-        after, n = self.after, len(word)
-        for i in range(n):
-            node, state = self.trie, entered[i]
-            for j in range(i, n):
+        """The one accepted path: arcs are followed longest first, and places from which no arc goes on are left again.
+
+        A prefix has one accepted path as well, so a place that was left once need not be entered again.
+        """
+        trie, after, size, n = self.trie, self.after, self.size, len(word)
+        out: list[int] = []
+        at, state, open_, left = 0, -1, [], set()
+        while True:
+            node, arcs = trie, []
+            for j in range(at, n):
                 node = node.get(word[j])
                 if node is None:
                     break
                 t = node.get(-1)
                 if t is not None:
-                    if i:
-                        gone = after.get((state, t))
-                        if gone is None:
-                            if len(after) > 2_000_000:
-                                after.clear()
-                            gone = after[state, t] = self.removed(state, t)
-                        if gone:
-                            continue
-                    entered[j + 1], came[j + 1] = t, i
-        out = []
-        while n:
-            out.append(entered[n])
-            n = came[n]
-        return out[::-1]
-
-    def encode(self, text: str, kept: Kept) -> np.ndarray:
-        if self.cut is None or not self.cut.search(text):
-            return np.frombuffer(b"".join([kept[x] for x in PATTERN.findall(text)]), "<u4")
-        out = []
-        for part in self.cut.split(text):
-            out += [np.array([self.special[part]], "<u4").tobytes()] if part in self.special else [kept[x] for x in PATTERN.findall(part)]
-        return np.frombuffer(b"".join(out), "<u4")
-
-    def decode(self, ids) -> str:
-        label = self.label
-        return b"".join([label[i] for i in ids]).decode("utf-8", "replace")
+                    arcs.append(t)
+            open_.append(arcs)
+            while True:
+                while not arcs:
+                    open_.pop()
+                    arcs = open_[-1]
+                    left.add(at)
+                    at -= size[out.pop()]
+                    state = out[-1] if out else -1
+                t = arcs.pop()
+                if at + size[t] in left:
+                    continue
+                if state >= 0:
+                    gone = after.get((state, t))
+                    if gone is None:
+                        if len(after) > 2_000_000:
+                            after.clear()
+                        gone = after[state, t] = self.removed(state, t)
+                    if gone:
+                        continue
+                break
+            out.append(t)
+            at += size[t]
+            state = t
+            if at == n:
+                return out
+
+    def encode(self, text: str, kept: Splitter) -> bytes:
+        """Ids as little-endian 32-bit integers. Pre-splits never cross a single space between two letters, digits or marks, so what stands there is known as a whole."""
+        if self.cut is None or not any(x in text for x in self.special):
+            return kept.ids(text)
+        return b"".join([np.array([self.special[x]], "<u4").tobytes() if x in self.special else kept.ids(x) for x in self.cut.split(text)])
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.labels.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 class Kept(dict):
-    """Ids of words met before, as little-endian bytes; emptied when it holds too many."""
+    """What make() gave for words met before. When full, only words met since the last time it was full stay."""
 
-    def __init__(self, machine: Automaton) -> None:
-        self.machine = machine
+    def __init__(self, make) -> None:
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        out = np.array(self.machine.encode_word(word.encode()), "<u4").tobytes()
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
         if len(word) < 64:
+            if len(self) >= KEPT_WORDS:
+                self.old = dict(self)
+                self.clear()
             self[word] = out
         return out
 
 
+class Uneven(Exception):
+    """A piece between two spaces that is empty or has white space at an end, so that pre-splits may cross its spaces."""
+
+
+class Splitter:
+    """Ids of texts without special tokens."""
+
+    def __init__(self, machine: Automaton) -> None:
+        self.words = Kept(lambda word: np.array(machine.encode_word(word.encode()), "<u4").tobytes())
+        self.pieces = Kept(self.spaced)
+
+    def split(self, text: str) -> bytes:
+        return b"".join([self.words[x] for x in PATTERN.findall(text)])
+
+    def spaced(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise Uneven
+        return self.split(" " + piece)
+
+    def ids(self, text: str) -> bytes:
+        head, *rest = text.split(" ")
+        try:
+            if head and not head[-1].isspace():
+                return self.split(head) + b"".join(map(self.pieces.__getitem__, rest))
+        except Uneven:
+            pass
+        head, *rest = LONE_SPACE.split(text)
+        return b"".join([self.split(head), *[self.split(" " + x) for x in rest]])
+
+
 @lru_cache(1)
-def machine_of(definition: str) -> tuple[Automaton, Kept]:
+def machine_of(definition: str) -> tuple[Automaton, Splitter]:
     machine = Automaton(definition)
-    return machine, Kept(machine)
+    return machine, Splitter(machine)
 
 
 def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
@@ -153,10 +204,11 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, out = batch.slice(at, 500), []
-                for text in part.column("text"):
-                    ids = machine.encode(text.as_py() or "", kept)
-                    decoded = machine.decode(ids.tolist())
-                    out.append((ids.astype(np.int64), decoded) if texts else (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                for text in part.column("text").to_pylist():
+                    raw = machine.encode(text or "", kept)
+                    ids = np.frombuffer(raw, "<u4")
+                    decoded = machine.decode(ids)
+                    out.append((ids.astype(np.int64), decoded) if texts else (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                 columns = zip(*out, strict=True)
                 kinds = [pa.list_(pa.int64()), pa.string()] if texts else [pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "ids", "decoded"] if texts else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
