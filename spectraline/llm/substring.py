@@ -14,8 +14,11 @@ The passages that own repeated windows are the reference. They are dealt to shar
 in each task the shard's suffix automaton is built and the segments routed to it are streamed for matching
 statistics, which alone decide what is removed. A shard that many segments reach is copied to several tasks.
 
-Edge cases: null or empty text has no words; rows with a null doc_id keep all words and remove none elsewhere;
-rows repeating a doc_id are one document's for the question of which is smaller; further columns are ignored.
+A row is known by its doc_id and the hash of its text (`key`), so rows that repeat a doc_id keep their own spans; doc_id
+alone decides which document is smaller, and rows of one doc_id never remove words from each other.
+
+Edge cases: null or empty text has no words; rows with a null doc_id keep all words and remove none elsewhere; equal rows
+get equal results; very long texts are used whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraline.llm.automaton import SuffixAutomaton
-from spectraline.llm.shared import cut
+from spectraline.llm.shared import cut, free_name
 from spectraline.llm.words import U, Words, mix, runs, signed, slices, words
 
 LENGTH, GRAM = 13, 6
@@ -87,7 +90,8 @@ def _run(length: int, gram: int):
                 marks = part.column("marks")
                 flagged = np.zeros(len(w.row), bool)
                 for r in range(w.n):
-                    flagged[first[r] + np.array(marks[r].values.to_numpy(zero_copy_only=False), np.int64)] = True
+                    at = first[r] + np.array(marks[r].values.to_numpy(zero_copy_only=False), np.int64)
+                    flagged[at[at < first[r + 1]]] = True  # a mark may stem from another text of the same doc_id
                 hit = starts[flagged[place]]
                 out = []
                 for a, b in spans_of(hit):
@@ -98,8 +102,9 @@ def _run(length: int, gram: int):
                         out.append((r, a - int(first[r]), last - a + 1, text.decode()))
                         a = last + 1
                 rows, start, n, text = zip(*out, strict=True) if out else ((), (), (), ())
+                rows = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "start", "n", "text"])
+                    [part.column("doc_id").take(rows), part.column("key").take(rows), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(text, pa.string())], names=["doc_id", "key", "start", "n", "text"])
 
     return put
 
@@ -112,7 +117,7 @@ def _windows(length: int):
                 at, h = runs(w.hash, w.row, length)
                 row = w.row[at]
                 take = lambda c: part.column(c).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([signed(h), take("doc_id"), take("start"), pa.array((at - w.first()[row]).astype(np.int32))], names=["h", "doc_id", "start", "offset"])
+                yield pa.RecordBatch.from_arrays([signed(h), take("doc_id"), take("run"), pa.array((at - w.first()[row]).astype(np.int32))], names=["h", "doc_id", "run", "offset"])
 
     return put
 
@@ -123,8 +128,8 @@ def _deal(length: int, shards: int):
     def put(batches):
         for batch in batches:
             out = []
-            for doc, start, text, owned in zip(*(batch.column(c) for c in ("doc_id", "start", "text", "owned")), strict=True):
-                doc, start, tokens = doc.as_py(), start.as_py(), text.as_py().split(" ")
+            for doc, key, start, text, owned in zip(*(batch.column(c) for c in ("doc_id", "key", "start", "text", "owned")), strict=True):
+                doc, key, start, tokens = doc.as_py(), key.as_py(), start.as_py(), text.as_py().split(" ")
                 offset = owned.values.field("offset").to_numpy()
                 order = np.argsort(offset)
                 offset, owner = offset[order].astype(np.int64), owned.values.field("owner").to_numpy()[order]
@@ -133,9 +138,9 @@ def _deal(length: int, shards: int):
                 edge = np.flatnonzero((np.diff(offset) != 1) | (np.diff(kind) != 0))
                 for a, b in zip(np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(offset) - 1]]), strict=True):
                     lo, hi = int(offset[a]), int(offset[b]) + length
-                    out.append((int(shard[a]), int(kind[a] >= 0), doc, start + lo, hi - lo, " ".join(tokens[lo:hi])))
-            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "kind", "doc_id", "start", "n", "text"), x, strict=True)) for x in out], schema=pa.schema(
-                [("shard", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("text", pa.string())]))
+                    out.append((int(shard[a]), int(kind[a] >= 0), doc, key, start + lo, hi - lo, " ".join(tokens[lo:hi])))
+            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "kind", "doc_id", "key", "start", "n", "text"), x, strict=True)) for x in out], schema=pa.schema(
+                [("shard", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("text", pa.string())]))
 
     return put
 
@@ -147,7 +152,7 @@ def _judge(length: int):
         here, machine, ready = None, None, False
         for batch in batches:
             out = []
-            for shard, copy, kind, doc, start, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "copy", "kind", "doc_id", "start", "text")), strict=True):
+            for shard, copy, kind, doc, key, start, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "copy", "kind", "doc_id", "key", "start", "text")), strict=True):
                 if (shard, copy) != here:
                     here, machine, ready = (shard, copy), SuffixAutomaton(), False
                 if not kind:
@@ -158,37 +163,45 @@ def _judge(length: int):
                     ready = True
                 owners = machine.owners_of_windows(text.split(" "), length)
                 ends = np.array([i for i, o in enumerate(owners) if o is not None and o < doc], np.int64)
-                out += [(doc, start + a - length + 1, start + b + 1) for a, b in spans_of(ends)]
-            doc, lo, hi = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, lo, hi)], names=["doc_id", "lo", "hi"])
+                out += [(doc, key, start + a - length + 1, start + b + 1) for a, b in spans_of(ends)]
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "key", "lo", "hi"])
 
     return put
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, lo, hi): words lo..hi-1 of a document are covered by windows that start in a smaller document; spans may overlap."""
-    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    """(doc_id, key, lo, hi): words lo..hi-1 of a row are covered by windows that start in a smaller document; spans may overlap."""
+    docs = docs.select("doc_id", "text", text_key().alias("key")).filter("doc_id is not null and text is not null")
     anchors = docs.mapInArrow(_anchor(length, gram), "h long, doc_id long, pos int")
-    several = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
+    # written, so that the join below reads two plain shuffles and a hot anchor's rows can be split among tasks
+    several = cut(anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h"), "shared-anchors")
     marks = anchors.join(several, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
-    found = docs.join(marks, "doc_id").mapInArrow(_run(length, gram), "doc_id long, start long, n long, text string")
+    found = docs.join(marks, "doc_id").mapInArrow(_run(length, gram), "doc_id long, key long, start long, n long, text string")
     found = cut(found.withColumns({"k1": F.xxhash64("text"), "k2": F.md5("text")}), "runs")
     first = cut(found.groupBy("k1", "k2").agg(F.min("doc_id").alias("least")), "first")
     placed = found.join(first, ["k1", "k2"])
-    whole = placed.filter("doc_id > least").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + length - 1).alias("hi"))
-    rep = cut(placed.filter("doc_id = least").select("doc_id", "start", "text"), "distinct-runs")
-    window = rep.mapInArrow(_windows(length), "h long, doc_id long, start long, offset int")
+    whole = placed.filter("doc_id > least").select("doc_id", "key", F.col("start").alias("lo"), (F.col("start") + F.col("n") + length - 1).alias("hi"))
+    rep = placed.filter("doc_id = least").select("doc_id", "key", "start", "text")
+    rep = cut(rep.withColumn("run", F.xxhash64("key", "start")), "distinct-runs")
+    window = rep.mapInArrow(_windows(length), "h long, doc_id long, run long, offset int")
     # A window that collapsed runs alone share is still owned by the run that stands for them, and need not be looked at.
     owners = window.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi").select("h", "owner")
-    owned = window.join(owners, "h").groupBy("doc_id", "start").agg(F.collect_list(F.struct("offset", "owner")).alias("owned"))
+    owned = window.join(owners, "h").groupBy("doc_id", "run").agg(F.collect_set(F.struct("offset", "owner")).alias("owned"))
     total = rep.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, int(total // (6 * SHARD_WORDS)))
-    dealt = cut(rep.dropDuplicates(["doc_id", "start"]).join(owned, ["doc_id", "start"]).mapInArrow(_deal(length, shards), "shard long, kind int, doc_id long, start long, n long, text string"), "dealt")
+    schema = "shard long, kind int, doc_id long, key long, start long, n long, text string"
+    dealt = cut(rep.dropDuplicates(["doc_id", "run"]).join(owned, ["doc_id", "run"]).mapInArrow(_deal(length, shards), schema), "dealt")
     load = dealt.groupBy("shard").agg(F.ceil(F.sum(F.col("kind") * F.col("n")) / TASK_WORDS).cast("int").alias("copies")).filter("copies > 0")
     each = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int")))
-    routed = dealt.join(load, "shard").withColumn("copy", F.explode(each)).select("shard", "copy", "kind", "doc_id", "start", "text")
-    judged = routed.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "doc_id", "start").mapInArrow(_judge(length), "doc_id long, lo long, hi long")
-    return whole.union(judged)
+    routed = dealt.join(load, "shard").withColumn("copy", F.explode(each)).select("shard", "copy", "kind", "doc_id", "key", "start", "text")
+    sorted_ = routed.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "doc_id", "key", "start")
+    return whole.union(sorted_.mapInArrow(_judge(length), "doc_id long, key long, lo long, hi long"))
+
+
+def text_key() -> Column:
+    """With the doc_id, what a row is known by."""
+    return F.xxhash64("text")
 
 
 def _keep_mask(spans, total: int) -> np.ndarray | None:
@@ -217,12 +230,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
                 n, gone, last = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(last, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return docs.select("doc_id", "text").join(_spans(docs, length, gram), "doc_id", "left").mapInArrow(put, "doc_id long, n_words long, n_removed long, kept string")
+    keyed = docs.select("doc_id", "text", text_key().alias("key"))
+    return keyed.join(_spans(docs, length, gram), ["doc_id", "key"], "left").mapInArrow(put, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """One row for each document with something to remove."""
-    return cut(repeated_spans(docs, length, gram), "spans").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    """One row (doc_id, key, spans) for each text with something to remove."""
+    return cut(repeated_spans(docs, length, gram), "spans").groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -231,7 +245,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     def put(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text"), batch.column("_spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column(spans_at), strict=True):
                 old = text.as_py()
                 raw = (old or "").encode()
                 found = list(WORD.finditer(raw)) if spans.is_valid else []
@@ -250,6 +264,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
     columns = docs.columns
-    out = docs.join(_spans(docs, length, gram).withColumnRenamed("spans", "_spans"), "doc_id", "left").select(*columns, "_spans").mapInArrow(put, docs.schema)
+    key_at, spans_at = free_name(columns, "key"), free_name(columns, "spans")
+    found = _spans(docs, length, gram).withColumnsRenamed({"key": key_at, "spans": spans_at})
+    out = docs.withColumn(key_at, text_key()).join(found, ["doc_id", key_at], "left").select(*columns, spans_at).mapInArrow(put, docs.schema)
     out = out.filter(F.col("text").isNull() | (F.col("text") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
