@@ -16,8 +16,12 @@ components is compared member by member, one side always outside the bucket's la
 bucket of real copies costs rows in proportion to its size. Of pairs of different components only those are skipped
 whose similarity is too low by an exact bound, from their sizes and the parities of their members' hashed slots.
 
+What is linked are sets, each known by the smallest doc_id that has it and a hash of the set (`id`), so that rows
+which repeat a doc_id with another text are separate documents; a component is named by its smallest doc_id.
+
 Edge cases: null or empty text has n_shingles 0 and its own component; a null doc_id gives a null component
-and is kept; rows repeating a doc_id give one row each; further columns are ignored.
+and is kept; rows repeating a doc_id give one row each, linked by their texts alone; very long texts are used whole;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraline.llm.shared import cut
+from spectraline.llm.shared import cut, free_name
 from spectraline.llm.words import U, Words, lists, mix, runs, signed, slices, words
 
 K, PERCENT, BANDS, ROWS, PARITY = 3, 85, 24, 6, 16
+MINOR = 500  # members outside a bucket's largest component that one task pairs with the bucket
+ID = "struct<doc_id:bigint,s:bigint>"
 
 
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,23 +88,27 @@ def bands_of(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total
 
 
+def set_hash(values: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each set, 0 for an empty one."""
+    out, some = np.zeros(len(first) - 1, U), np.flatnonzero(np.diff(first))
+    if len(some):
+        out[some] = np.add.reduceat(mix(values ^ U(seed)), first[some])
+    return out
+
+
 def _signer(k: int, bands: int, rows: int):
     def sign(batches):
         for batch in batches:
             for part in slices(batch):
                 values, first = shingle_sets(words(part.column("text"), lower=True), k)
                 size = np.diff(first)
-                some = np.flatnonzero(size)
-                both = np.zeros((2, len(size)), U)
-                if len(some):
-                    for j in (0, 1):
-                        both[j, some] = np.add.reduceat(mix(values ^ U(j + 77)), first[some])
+                both = [set_hash(values, first, j) for j in (77, 78)]
                 marks = bands_of(sketch(values, first, bands * rows), bands, rows)
                 each = np.where(size > 0, bands, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size), signed(both[0]), signed(both[1]),
+                    [part.column("doc_id"), part.column("key"), pa.array(size), signed(both[0]), signed(both[1]),
                      lists(signed(marks[size > 0].ravel()), np.concatenate([[0], np.cumsum(each)]))],
-                    names=["doc_id", "n_shingles", "set1", "set2", "bands"])
+                    names=["doc_id", "key", "n_shingles", "set1", "set2", "bands"])
 
     return sign
 
@@ -109,7 +119,8 @@ def _setter(k: int):
             for part in slices(batch):
                 values, first = shingle_sets(words(part.column("text"), lower=True), k)
                 raw = [values[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "members"])
+                ids = pa.StructArray.from_arrays([part.column("doc_id"), signed(set_hash(values, first, 77))], names=["doc_id", "s"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary())], names=["id", "members"])
 
     return put
 
@@ -121,7 +132,7 @@ def _parity(batches):
         for i, raw in enumerate(batch.column("members")):
             slot = (mix(np.frombuffer(raw.as_buffer(), U) ^ U(991)) % U(64 * PARITY)).astype(np.int64)
             out[i] = np.packbits((np.bincount(slot, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x) for x in out.T.copy())], names=["doc_id", *(f"p{i}" for i in range(PARITY))])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x) for x in out.T.copy())], names=["id", *(f"p{i}" for i in range(PARITY))])
 
 
 def _verifier(percent: int):
@@ -155,30 +166,30 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); and the hash of its text as `key` if asked for."""
     docs = docs.select("doc_id", "text")
-    signed_docs = cut(docs.mapInArrow(_signer(k, bands, rows), "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"), "sketches")
+    signed_docs = cut(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_signer(k, bands, rows), "doc_id long, key long, n_shingles long, set1 long, set2 long, bands array<long>"), "sketches")
     same = ["n_shingles", "set1", "set2"]
     rep = cut(signed_docs.filter("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-              .select(*same, "r.doc_id", "r.bands"), "representatives")
-    member = rep.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+              .select(*same, F.struct("r.doc_id", F.col("set1").alias("s")).alias("id"), "r.bands"), "representatives")
+    member = rep.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     many = member.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
     member = cut(member.join(many, "bucket"), "buckets")
-    sets = cut(docs.join(member.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_setter(k), "doc_id long, members binary")
-               .dropDuplicates(["doc_id"]), "sets")
+    sets = cut(docs.join(member.select("id.doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_setter(k), f"id {ID}, members binary")
+               .dropDuplicates(["id"]), "sets")
 
     close = F.col("na") * 100 >= F.col("nb") * percent
     close &= F.col("nb") * 100 >= F.col("na") * percent
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
-        two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
-        return pairs.join(one, "a").join(two, "b").mapInArrow(_verifier(percent), "a long, b long")
+        one = sets.select(F.col("id").alias("a"), F.col("members").alias("set_a"))
+        two = sets.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
+        return pairs.join(one, "a").join(two, "b").mapInArrow(_verifier(percent), f"a {ID}, b {ID}")
 
     def led(members: DataFrame, order) -> DataFrame:
-        leader = members.groupBy("bucket").agg(F.min(F.struct(*order, "doc_id", "n")).alias("l")).select("bucket", F.col("l.doc_id").alias("a"), F.col("l.n").alias("na"))
-        return (members.join(leader, "bucket").select("a", F.col("doc_id").alias("b"), "na", F.col("n").alias("nb"), *[c for c in ("component",) if c in members.columns])
+        leader = members.groupBy("bucket").agg(F.min(F.struct(*order, "id", "n")).alias("l")).select("bucket", F.col("l.id").alias("a"), F.col("l.n").alias("na"))
+        return (members.join(leader, "bucket").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"), *[c for c in ("component",) if c in members.columns])
                 .filter("a <> b").filter(close))
 
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -188,40 +199,45 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bands:
 
     def placed(label: DataFrame) -> DataFrame:
         """Members of buckets that still hold several components."""
-        at = member.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        at = member.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = at.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
         return at.join(open_, "bucket")
 
     at = cut(placed(label), "open")
     if not at.isEmpty():
-        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("doc_id")).agg((-F.count("*")).alias("rank"))
-        hubs = led(at.join(degree, "doc_id", "left").withColumn("rank", F.coalesce("rank", F.lit(0))), ["rank"])
+        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg((-F.count("*")).alias("rank"))
+        hubs = led(at.join(degree, "id", "left").withColumn("rank", F.coalesce("rank", F.lit(0))), ["rank"])
         pairs = cut(hubs.select(*ordered).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         done, links = done.union(pairs), links.union(cut(verified(pairs), "links"))
         label = components(links)
         at = cut(placed(label), "open")
         # Slots of unequal parity each hold a shingle of the symmetric difference: their number is at most its size.
-        odd = sets.join(at.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_parity, "doc_id long, " + ", ".join(f"p{i} long" for i in range(PARITY)))
-        at = cut(at.join(odd, "doc_id"), "bounded")
+        odd = sets.join(at.select("id").distinct(), "id", "left_semi").mapInArrow(_parity, f"id {ID}, " + ", ".join(f"p{i} long" for i in range(PARITY)))
+        at = cut(at.join(odd, "id"), "bounded")
         size = at.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-        largest = size.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m")).select("bucket", F.col("m.component").alias("main"))
-        side = lambda x: [F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *(F.col(f"p{i}").alias(f"p{i}{x}") for i in range(PARITY))]
-        minor = at.join(largest, "bucket").filter("component <> main").select("bucket", *side("a"))
+        largest = size.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("total"))
+        # a bucket's minor members are dealt to parts, each of which meets the whole bucket
+        largest = largest.select("bucket", F.col("m.component").alias("main"), F.ceil((F.col("total") - F.col("m.c")) / MINOR).cast("int").alias("parts"))
+        side = lambda x: [F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *(F.col(f"p{i}").alias(f"p{i}{x}") for i in range(PARITY))]
+        both_sides = at.join(largest, "bucket")
+        minor = both_sides.filter("component <> main").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), *side("a"))
+        every = both_sides.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *side("b"))
         apart = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(1, PARITY)), F.bit_count(F.col("p0a").bitwiseXOR(F.col("p0b"))))
         both = F.col("na") + F.col("nb")  # |A & B| is at most (both - apart) / 2, |A | B| at least (both + apart) / 2
-        rest = minor.join(at.select("bucket", *side("b")), "bucket").filter("ca <> cb").filter(close & (100 * (both - apart) >= percent * (both + apart)))
+        rest = minor.join(every, ["bucket", "part"]).filter("ca <> cb").filter(close & (100 * (both - apart) >= percent * (both + apart)))
         pairs = cut(rest.select(*ordered).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             links = links.union(cut(verified(pairs), "links"))
             label = components(links)
 
-    of_rep = rep.select(*same, F.col("doc_id").alias("id")).join(label, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
-    own = signed_docs.select("doc_id", *same).join(of_rep, same, "left")
+    of_rep = rep.join(label, "id", "left").select(*same, F.coalesce("component", "id")["doc_id"].alias("component_id"))
+    own = signed_docs.select("doc_id", "key", *same).join(of_rep, same, "left")
     own = own.withColumn("component_id", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id")))
-    return own.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return own.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *["key"] * key)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """docs without those whose component has a smaller doc_id; a null doc_id stays. At s = 0.8 a pair misses all bands with 3e-6."""
-    found = near_duplicates(docs, k, percent, bands, rows)
-    return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    key = free_name(docs.columns, "key")
+    gone = near_duplicates(docs, k, percent, bands, rows, key=True).filter("not kept").select("doc_id", F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("text")).join(gone, ["doc_id", key], "left_anti").select(*docs.columns)
