@@ -1,14 +1,15 @@
 """Language identification by cross-parsing entropy.
 
-From each language's labelled training text a suffix automaton is made (of a bounded sample: SAMPLE documents
-of at most LIMIT code points each, at most SYMBOLS code points in all, taken in the order of md5(doc_id)).
-A word's letters, with a space at either end, are cross-parsed: from each place the longest match in the language's text
-makes a phrase, the next phrase starts after it. The language whose text parses a document's words into the
-fewest phrases, normalised by code points and by the logarithm of its text's length, wins; ties go to the smaller name.
-The score is the softmax share of the winner over mean bits per code point.
-
-Words are parsed once per batch of Arrow rows and kept in a bounded table; texts are used whole.
-Edge cases: null text or text without a letter gives `und` with score 0; without training text all do.
+From each language's labelled training text a suffix automaton is made, of a bounded sample: SAMPLE documents in the order of
+md5(doc_id), of each a span of at most LIMIT code points from a place drawn by that md5, at most SYMBOLS code points in all.
+A text is lower-cased and its runs of letters are joined by one space. Cross-parsing it with a language, from each place the
+longest match in the language's text makes a phrase, the next phrase starts after it; phrases may cross words. The language
+whose text parses it into the fewest phrases, normalised by code points and by the logarithm of its text's length, wins; ties
+go to the smaller name. The score is the softmax share of the winner over mean bits per code point.
+
+Texts are used whole, of any length; repeated rows get equal results; further columns are ignored.
+Edge cases: null text or text without a letter gives `und` with score 0; without training text all do; an empty table gives
+an empty result; rows without a language, text or doc_id are learnt from only if they have the former two.
 """
 
 from __future__ import annotations
@@ -18,72 +19,66 @@ import math
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraline.llm.automaton import SuffixAutomaton
 
 SAMPLE, LIMIT, SYMBOLS = 60, 4000, 40_000
-KEPT_WORDS = 200_000
-LETTER, LETTERS = regex.compile(r"\p{L}"), regex.compile(r"\p{L}+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
-def training_rows(docs: DataFrame, kept, sample: int = SAMPLE, limit: int = LIMIT) -> dict[str, str]:
+def training_rows(docs: DataFrame, kept: Column, sample: int = SAMPLE, limit: int = LIMIT) -> dict[str, str]:
     """Bounded training text of each language; `kept` is a Column that is true on rows that may be learnt from."""
-    order = F.md5(F.col("doc_id").cast("string"))
-    rows = docs.filter(kept & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, limit))
-    least = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    out: dict[str, str] = {}
-    for lang in sorted(r.lang for r in least):
-        found = rows.filter(F.col("lang") == lang).select("text", order.alias("o")).orderBy("o", "text").limit(sample).collect()
-        out[lang] = " ".join(" ".join(r.text.lower().split()) for r in found)[:SYMBOLS]
-    return out
-
-
-class CrossParser(dict):
-    """Of words met before, the phrase counts in each language and the letters, packed in one integer (BITS bits each)."""
-
-    BITS = 40
-
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    at = F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.length("text") - limit + 1) + 1
+    rows = docs.filter(kept & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", order.alias("o"), F.substring("text", at.cast("int"), F.lit(limit)).alias("text"))
+    # of each language no more than `sample` rows leave a task: the ranks are cut before the shuffle
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
+    found: dict[str, list] = {}
+    for r in rows.withColumn("rank", rank).filter(F.col("rank") <= sample).collect():
+        found.setdefault(r.lang, []).append((r["rank"], r.text))
+    return {lang: " ".join(letters(text) for _, text in sorted(found[lang]))[:SYMBOLS] for lang in sorted(found)}
+
+
+def letters(text: str) -> str:
+    return " ".join(LETTERS.findall(text.lower()))
+
+
+def automaton(text: str) -> dict:
+    """The start state of the suffix automaton of a text; a state is a dict from symbols to states."""
+    machine = SuffixAutomaton()
+    machine.add(text)
+    states: list[dict] = [{} for _ in machine.next]
+    for state, arcs in zip(states, machine.next, strict=True):
+        state.update({c: states[to] for c, to in arcs.items()})
+    return states[0]
+
+
+def phrases(start: dict, text: str) -> int:
+    """Number of phrases of the cross-parse; a symbol that the automaton lacks is a phrase by itself."""
+    n, state = 0, {}
+    for c in text:
+        to = state.get(c)
+        if to is None:
+            n += 1
+            to = start.get(c, {})
+        state = to
+    return n
+
+
+class CrossParser:
     def __init__(self, texts: dict[str, str]) -> None:
         self.names = sorted(texts)
-        self.arcs, self.bits = [], []
-        for name in self.names:
-            machine = SuffixAutomaton()
-            machine.add(f" {texts[name]} ")
-            self.arcs.append(machine.next)
-            self.bits.append(math.log2(len(texts[name]) + 2))
-
-    def __missing__(self, word: str) -> int:
-        letters, packed = "".join(LETTERS.findall(word)), 0
-        if letters:
-            for arcs in [*self.arcs, None]:
-                packed = packed << self.BITS | (self.parse(arcs, f" {letters} ") if arcs else len(letters) + 1)
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        if len(word) < 64:
-            self[word] = packed
-        return packed
-
-    @staticmethod
-    def parse(arcs: list[dict], text: str) -> int:
-        n, s, root = 1, 0, arcs[0]
-        for c in text:
-            to = arcs[s].get(c)
-            if to is None:
-                n += 1  # a phrase ends before c; c begins the next one
-                to = root.get(c, 0)
-            s = to
-        return n
+        self.starts = [automaton(f" {texts[name]} ") for name in self.names]
+        self.bits = np.array([math.log2(len(texts[name]) + 2) for name in self.names])
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.names or not LETTER.search(text):
+        plain = letters(text) if text and self.names else ""
+        if not plain:
             return "und", 0.0
-        packed, mask, counts = sum(map(self.__getitem__, text.lower().split())), (1 << self.BITS) - 1, []
-        for _ in range(len(self.names) + 1):
-            counts.append(packed & mask)
-            packed >>= self.BITS
-        bits = np.array(counts[:0:-1]) * np.array(self.bits) / max(1, counts[0])
+        plain = f" {plain} "
+        bits = np.array([phrases(s, plain) for s in self.starts]) * self.bits / len(plain)
         best = int(np.argmin(bits))
         return self.names[best], float(1 / np.exp((bits[best] - bits) * math.log(2) * 4).sum())
 
