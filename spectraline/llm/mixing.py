@@ -4,7 +4,7 @@ Sources share a total in proportion to their weights; a source whose share excee
 clamped there and the excess goes to the rest by weight, until none exceeds. With sources in order of
 epochs * size / weight the clamped ones come first, so one ordered pass over the small table of sources finds the level.
 A source at rate target/size takes every document floor(rate) times, and then documents in the seeded order of
-md5(doc_id|seed) until the remaining words are taken; the last of them is taken in part, so taken words meet the
+md5(doc_id|seed) (of the text's md5 where doc_id is null) until the remaining words are taken; the last of them is taken in part, so taken words meet the
 rounded target. The order is cut into 4096 buckets per source, summed first, so no source is ever one task's.
 
 Edge cases: null text has size 0; null sources form one source, ordered last; a source without words has
@@ -36,7 +36,7 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, keep: tuple = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, whole (times the document is taken whole), part (words taken once more), taken."""
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))), F.lit(f"|{seed}")))
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("bucket"), *keep)
     goal = targets(sized, weights, share, epochs).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = goal.withColumn("whole", F.floor("rate")).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
@@ -63,7 +63,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|8') AS key FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) || '|8') AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 2 * source_size::DOUBLE AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OVER o, 0)) / ((SELECT sum(w) FROM r) - coalesce(sum(w) OVER o, 0)) AS level FROM r
