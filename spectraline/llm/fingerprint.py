@@ -5,7 +5,8 @@ on ties; chosen hashes are kept with their positions. Two texts that share k + w
 share a chosen hash. A text shorter than that has one window; one shorter than k is one gram of its own.
 
 Edge cases: null is the empty text, whose fingerprint is empty; two empty fingerprints are alike to 1. Equal
-doc_ids are ordered by text; rows with a null doc_id come last in descending order.
+doc_ids are ordered by text; rows with a null doc_id come last in descending order; very long texts are used whole;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from spectraline.llm.words import U, mix, powers
 
-K, WINDOW, BLOCKS = 16, 32, 2000
+K, WINDOW, BLOCKS, BLOCK_ROWS = 16, 32, 20_000, 20_000
 
 
 def winnow(text: str, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -115,12 +116,13 @@ DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 def edited_likeness(docs: DataFrame, k: int = K, w: int = WINDOW, blocks: int = BLOCKS) -> DataFrame:
     """Fingerprints of each text, of the text with its last half replaced from the next document, and their likeness.
 
-    The next document is the next in descending doc_id, after the last the first. Ids are cut into at most
-    `blocks` blocks at quantiles; only the blocks' first ids (so at most `blocks` numbers) reach the driver.
+    The next document is the next in descending doc_id, after the last the first. Ids are cut into blocks of about
+    BLOCK_ROWS rows, at most `blocks`, at quantiles; only the blocks' first ids (so at most `blocks` numbers) reach the driver.
     Repeated doc_ids make the first row of their block stand for all of them where blocks meet.
     """
     docs = docs.select("doc_id", "text")
     ids = docs.select("doc_id")
+    blocks = max(2, min(blocks, docs.count() // BLOCK_ROWS))
     share = [i / blocks for i in range(1, blocks)]
     bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", share, 10 * blocks)).first()[0] or []))
     low = -(2**63)
