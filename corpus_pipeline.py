@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spectraline.llm import bpe, minhash, mixing, substring, toxicity
 from spectraline.llm.queries import fold, table
-from spectraline.llm.shared import cut
+from spectraline.llm.shared import cut, free_name
 
 THRESHOLD = 0.3
 
@@ -20,7 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored below the threshold; learnt from labels on the whole table of documents."""
     classifier = toxicity.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) != 2)
     rest = [c for c in docs.columns if c != "doc_id"]
-    return toxicity.scores(docs, classifier, *rest, name="_toxicity").filter(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    score = free_name(docs.columns, "toxicity")
+    return toxicity.scores(docs, classifier, *rest, name=score).filter(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), texts=False)
 
 
-STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_copies), ("substring dedup", drop_repeated_passages), ("mixing", mix_sources), ("encoding", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
 ORACLE_SQL = None
 
 
