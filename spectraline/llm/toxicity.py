@@ -109,7 +109,7 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> Classifier:
         for t in texts:
             share[y].update({g for w in word_set(t) for g in grams(w)})
     scale = len(toxic) / max(1, len(ordinary))
-    telling = {g for g, n in share[1].items() if n >= max(3, 0.004 * len(toxic)) and n >= 20 * (share[0][g] * scale + 0.15)}
+    telling = {g for g, n in share[1].items() if n >= max(3, 0.004 * len(toxic)) and n >= 20 * (share[0][g] * scale + 0.3)}
     common, cores = Counter(), Counter()
     for t in ordinary:
         common.update(word_set(t))
