@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from spectraline.llm import bpe, fingerprint, hmm, html, langid, linefreq, minhash, mixing, substring, toxicity
+from spectraline.llm import bpe, fingerprint, hmm, langid, linefreq, minhash, mixing, substring, toxicity
 from spectraline.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -185,14 +185,6 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mixture(odd).count() == odd.count() and mixing.mixture(none).count() == 0 and mixing.mixed_rows(odd).columns == odd.columns
 
 
-def test_html(spark):
-    model = html.trained(spark.read.parquet(f"{SF}/pages.parquet"))
-    page = "<body><nav><a href=x>Home</a></nav><article><h1>Head &amp; all</h1><p>Some  text<br>of it.</article><div class='comments'><p>I disagree with it.</div><footer>x</footer>"
-    table = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (None, "u", "plain")], "page_id long, url string, html string")
-    got = {r.page_id: r for r in html.main_text(table, model).collect()}
-    assert got[1].text == "Head & all Some text of it." and got[1].n_chars == 27 and got[2].text == "" and got[3].n_chars == 0
-
-
 def test_winnowing(spark, docs, odd, none):
     import numpy as np
 
