@@ -35,10 +35,29 @@ def bin_sum(peaks: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
     return range_join(peaks, bins).groupBy(*keys, "bin_idx").agg(F.sum("intensity").alias("value"))
 
 
-def bin_sum_dense(peaks: DataFrame, bins: DataFrame, keys: list[str], rows: DataFrame) -> DataFrame:
-    """bin_sum with zeros for every row of `rows` and every bin."""
-    grid = rows.select(*keys).distinct().join(F.broadcast(bins.agg(F.collect_list("bin_idx").alias("_b")))).select(*keys, F.explode("_b").alias("bin_idx"))
-    return grid.join(bin_sum(peaks, bins, keys), [*keys, "bin_idx"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+def mass_filter(peaks: DataFrame, lo: float, hi: float, least: float, label: str) -> DataFrame:
+    """Peaks with lo < mz < hi and intensity > least; an error if a class of `label` loses all its peaks."""
+    keep = (F.col("mz") > lo) & (F.col("mz") < hi) & (F.col("intensity") > least)
+    lost = [r[0] for r in peaks.groupBy(label).agg(F.max(keep).alias("some")).filter("not some").select(label).collect()]  # classes
+    if lost:
+        raise ValueError(f"no peak is left of {sorted(map(str, lost))}")
+    return peaks.filter(keep)
+
+
+def isotope_followers(peaks: DataFrame, spacing: float = 1.00335, tol: float = 0.002) -> DataFrame:
+    """Peaks (spectrum_id, idx) that are second or later in a chain of at least three, a spacing apart, with intensities that fall from the second on.
+
+    Followers are met through cells of m/z inside a spectrum. Chains overlap, so the last two of each three name all followers.
+    """
+    p = peaks.select("spectrum_id", "idx", "mz", "intensity")
+    width = 2 * tol
+    to = p.select("spectrum_id", F.col("idx").alias("i"), F.col("intensity").alias("ia"), (F.col("mz") + spacing - tol).alias("lo"), (F.col("mz") + spacing + tol).alias("hi"))
+    to = to.withColumn("_cell", F.explode(cells(F.col("lo"), F.col("hi"), width)))
+    steps = p.withColumn("_cell", F.floor(F.col("mz") / width)).join(to, ["spectrum_id", "_cell"]).filter("mz between lo and hi")
+    steps = steps.select("spectrum_id", "i", F.col("idx").alias("j"), "ia", F.col("intensity").alias("ib"))
+    first, then = steps.select("spectrum_id", F.col("j").alias("second")), steps.select("spectrum_id", F.col("i").alias("second"), F.col("j").alias("third"), "ia", "ib")
+    chains = first.distinct().join(then.filter("ib <= ia"), ["spectrum_id", "second"])
+    return chains.select("spectrum_id", F.explode(F.array("second", "third")).alias("idx")).distinct()
 
 
 def segments(peaks: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,36 +26,57 @@ def packed(components: DataFrame) -> DataFrame:
     return F.broadcast(components.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("comp_idx", "pi", "mu", "lv"))).alias("comps")))
 
 
-def mixture_prob(values: DataFrame, components: DataFrame, value: str = "mz") -> DataFrame:
-    """values for each head, with p = sum of pi * N(value; mu, exp(lv)); the sum runs inside the row, without a shuffle."""
-    term = lambda acc, c: acc + c["pi"] * density(F.col(value), c["mu"], c["lv"])
-    return values.join(packed(components), F.lit(True)).withColumn("p", F.aggregate("comps", F.lit(0.0), term)).drop("comps")
+def mixture_prob(values: DataFrame, components: DataFrame, value: str = "mz", block: int = 64) -> DataFrame:
+    """values for each head, with p = sum of pi * N(value; mu, exp(lv)).
+
+    Components are parameters of the model and reach the driver. They become one plain expression, which Spark compiles; of many
+    components, blocks of terms are added one after another, so that no generated method grows too large.
+    """
+    found: dict[str, list] = {}
+    for c in components.orderBy("head", "comp_idx").collect():
+        found.setdefault(c.head, []).append((c.pi / math.sqrt(2 * math.pi * math.exp(c.lv)), c.mu, -0.5 / math.exp(c.lv)))
+    out = values.withColumn("head", F.explode(F.array(*[F.lit(h) for h in found]))).withColumn("p", F.lit(0.0))
+    for at in range(0, max(map(len, found.values()), default=0), block):
+        total = F.lit(0.0)
+        for h, terms in found.items():
+            part = F.lit(0.0)
+            for a, mu, b in terms[at : at + block]:
+                d = F.col(value) - mu
+                part = part + a * F.exp(b * d * d)
+            total = F.when(F.col("head") == h, part).otherwise(total)
+        out = out.withColumn("p", F.col("p") + total)
+    return out
 
 
 def nll(p: Column) -> Column:
     return -F.ln(FLOOR + p)
 
 
-def em_step(peaks: DataFrame, components: DataFrame) -> DataFrame:
-    """One weighted EM step per head: peaks hold head, mz, intensity; the result is the next components."""
+def em_sums(peaks: DataFrame, components: DataFrame) -> DataFrame:
+    """Sums of a weighted EM step for each head and component; peaks hold head, mz, intensity. l adds up to the head's weighted NLL."""
     at = peaks.join(packed(components), "head")
     parts = F.transform("comps", lambda c: F.struct(c["comp_idx"].alias("comp_idx"), (c["pi"] * density(F.col("mz"), c["mu"], c["lv"])).alias("w")))
     at = at.withColumn("parts", parts).withColumn("total", F.aggregate("parts", F.lit(1e-300), lambda a, x: a + x["w"]))
     each = at.select("head", "mz", "intensity", "total", F.explode("parts").alias("c")).withColumn("r", F.col("intensity") * F.col("c.w") / F.col("total"))
-    s = each.groupBy("head", F.col("c.comp_idx").alias("comp_idx")).agg(F.sum("r").alias("r"), F.sum(F.col("r") * F.col("mz")).alias("m"), F.sum(F.col("r") * F.col("mz") ** 2).alias("q"))
-    whole = s.groupBy("head").agg(F.sum("r").alias("all_r"))
-    mean = F.col("m") / F.greatest("r", F.lit(1e-12))
-    return s.join(F.broadcast(whole), "head").select("head", "comp_idx", (F.col("r") / F.col("all_r")).alias("pi"), mean.alias("mu"), F.ln(F.greatest(F.col("q") / F.greatest("r", F.lit(1e-12)) - mean**2, F.lit(1e-4))).alias("lv"))
+    r = F.col("r")
+    return each.groupBy("head", F.col("c.comp_idx").alias("comp_idx")).agg(F.sum("r").alias("r"), F.sum(r * F.col("mz")).alias("m"), F.sum(r * F.col("mz") ** 2).alias("q"), F.sum(r * nll(F.col("total"))).alias("l"))
 
 
-def fit(peaks: DataFrame, components: DataFrame, rounds: int = 5, tol: float = 1e-4) -> DataFrame:
-    """Components after at most `rounds` steps, or once the mean NLL of no head moves by tol. Only components (parameters) are collected, once a round."""
+def fit(peaks: DataFrame, components: DataFrame, rounds: int = 20, tol: float = 1e-4) -> DataFrame:
+    """Components after at most `rounds` steps, or once no head's mean NLL moves by tol. A step is one job; only sums of components (parameters) are collected."""
     spark, before = peaks.sparkSession, {}
     for _ in range(rounds):
-        rows = em_step(peaks, components).collect()
-        components = spark.createDataFrame(rows, "head string, comp_idx long, pi double, mu double, lv double")
-        now = {r.head: r.v for r in mixture_prob(peaks.withColumnRenamed("head", "own"), components).filter("own = head").groupBy("head").agg((F.sum(F.col("intensity") * nll(F.col("p"))) / F.sum("intensity")).alias("v")).collect()}
-        if before and all(abs(now[h] - before.get(h, 1e9)) < tol for h in now):
+        rows = em_sums(peaks, components).collect()
+        weight, loss = {}, {}
+        for x in rows:
+            weight[x.head] = weight.get(x.head, 0.0) + x.r
+            loss[x.head] = loss.get(x.head, 0.0) + x.l
+        now = {h: loss[h] / max(weight[h], 1e-12) for h in weight}
+        if before and all(abs(now[h] - before.get(h, math.inf)) < tol for h in now):
             break
-        before = now
+        before, new = now, []
+        for x in rows:
+            r = max(x.r, 1e-12)
+            new.append((x.head, x.comp_idx, x.r / max(weight[x.head], 1e-12), x.m / r, math.log(max(x.q / r - (x.m / r) ** 2, 1e-4))))
+        components = spark.createDataFrame(new, "head string, comp_idx long, pi double, mu double, lv double")
     return components

@@ -1,18 +1,21 @@
 """Model selection and importances on feature tables, with Spark ML.
 
-A feature table has id, features (array), target (0/1) and group. Folds come from md5 order, so they are the same in
-every engine. Fits run one after another from the driver; each is a Spark job over the whole table.
-Extra-trees have no Spark counterpart; random forests stand in for them.
+A feature table has id, features (array), target (0/1) and group. Folds and permutations come from md5 order, so they are the
+same in every engine; ranks are made in parallel by buckets (functions/stats.py). Fits run one after another from the driver;
+each is a Spark job over the whole table. Extra-trees have no Spark counterpart; random forests stand in for them.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraline.functions.stats import roc_auc
+from spectraline.functions.stats import accuracy, ranked, roc_auc
+from spectraline.operators import binning
+from spectraline.sources import sinks
 
 SEED = 11
 
@@ -27,8 +30,27 @@ def wide(dense: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").alias("id"), F.col("f.value").alias("features"), "target", F.col("label").alias("grp"), "region").withColumn("v", array_to_vector("features"))
 
 
+def dealt_rank(rows: DataFrame, key: str = "id", seed: int = SEED, by: tuple = (), name: str = "k") -> DataFrame:
+    """rows with their rank from 1 in the order of md5(key|seed) within `by`; the first three digits of md5 are the buckets."""
+    h = order_key(key, seed)
+    return ranked(rows, F.substring(h, 1, 3), [h, key], by, name)
+
+
+def id_rank(rows: DataFrame, key: str = "id", name: str = "k", buckets: int = 1024) -> DataFrame:
+    """rows with their rank from 1 by a number; ranges of equal width are the buckets."""
+    lo, hi = rows.agg(F.min(key), F.max(key)).first()
+    width = 1 if lo is None else (hi - lo) // buckets + 1
+    return ranked(rows, F.floor((F.col(key) - (lo or 0)) / width), [key], (), name)
+
+
 def stratified_folds(rows: DataFrame, k: int) -> DataFrame:
-    return rows.withColumn("fold", (F.row_number().over(Window.partitionBy("target").orderBy(order_key("id"), "id")) - 1) % k)
+    return dealt_rank(rows, by=("target",), name="_rank").withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+
+
+def with_partners(rows: DataFrame, seed: int) -> DataFrame:
+    """rows with the features and target of another row, each row being dealt to one (a permutation in md5 order)."""
+    other = dealt_rank(rows, seed=seed).select("k", F.col("features").alias("other"), F.col("target").alias("other_target"))
+    return id_rank(rows).join(other, "k").drop("k")
 
 
 def group_folds(rows: DataFrame, k: int) -> DataFrame:
@@ -68,40 +90,106 @@ def cv_scores(rows: DataFrame, kind: str = "tree", **options) -> DataFrame:
     return out
 
 
+def tree_importances(rows: DataFrame, trees: int = 10) -> list:
+    """Impurity importances of each tree of a forest: a number for each tree and feature."""
+    return [t.featureImportances.toArray() for t in estimator("forest", trees=trees).fit(rows).trees]
+
+
 def importances(rows: DataFrame, trees: int = 10) -> DataFrame:
     """channel, mean and std over trees of the impurity importances: one number a feature."""
-    model = estimator("forest", trees=trees).fit(rows)
-    each = [t.featureImportances.toArray() for t in model.trees]
-    values = [(i, float(sum(e[i] for e in each) / len(each)), float((sum(e[i] ** 2 for e in each) / len(each) - (sum(e[i] for e in each) / len(each)) ** 2)) ** 0.5 if len(each) > 1 else 0.0) for i in range(len(each[0]))]
-    values = [(i, m, s.real if isinstance(s, complex) else s) for i, m, s in values]
+    each = np.array(tree_importances(rows, trees))
+    values = [(i, float(m), float(d)) for i, (m, d) in enumerate(zip(each.mean(axis=0), each.std(axis=0), strict=True))]
     return rows.sparkSession.createDataFrame(values, "channel int, importance double, std double")
 
 
-def permuted(rows: DataFrame, channel: int, seed: int) -> DataFrame:
-    """rows with one feature's values dealt out anew, in md5 order."""
-    w = Window.orderBy(order_key("id", seed), "id")
-    shifted = rows.select(F.row_number().over(w).alias("k"), F.element_at("features", channel + 1).alias("new"))
-    own = rows.withColumn("k", F.row_number().over(Window.orderBy("id")))
-    changed = F.transform("features", lambda x, i: F.when(i == channel, F.col("new")).otherwise(x))
-    return own.join(shifted, "k").withColumn("features", changed).withColumn("v", array_to_vector("features")).drop("k", "new")
+def importance_list(rows: DataFrame, trees: int = 10) -> np.ndarray:
+    return np.mean(tree_importances(rows, trees), axis=0)
+
+
+def changed(own: Column, other: Column, pick) -> Column:
+    """An array with the places of another for which pick(place) is true."""
+    return F.zip_with(F.zip_with(own, other, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), F.sequence(F.lit(0), F.size(own) - 1), lambda p, i: F.when(pick(i), p["y"]).otherwise(p["x"]))
 
 
-def mda(rows: DataFrame, channels: list[int]) -> DataFrame:
-    """channel, drop: loss of accuracy when a feature is permuted."""
+def mda(rows: DataFrame, repeats: int = 5) -> DataFrame:
+    """channel, drop, std: mean and deviation over repeats of the loss of accuracy when a feature is permuted.
+
+    One fit; a repeat deals all rows once, and every feature takes its turn to come from the row dealt. Scoring is one job over rows x features x repeats.
+    """
     model = estimator("forest").fit(rows)
-    base = scored(model, rows).agg(F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("base"))
+    n = model.numFeatures
+    base = scored(model, rows).agg(accuracy(F.col("prediction") == F.col("target"))).first()[0]
     out = None
-    for c in channels:
-        one = scored(model, permuted(rows, c, c)).agg(F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("a")).withColumn("channel", F.lit(c))
+    for seed in range(repeats):
+        each = with_partners(rows, seed).withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        each = each.withColumn("features", changed(F.col("features"), F.col("other"), lambda i: i == F.col("channel"))).withColumn("v", array_to_vector("features"))
+        one = model.transform(each).groupBy("channel").agg(accuracy(F.col("prediction") == F.col("target")).alias("a"))
         out = one if out is None else out.unionByName(one)
-    return out.join(F.broadcast(base)).select("channel", (F.col("base") - F.col("a")).alias("drop"))
+    return out.groupBy("channel").agg((base - F.avg("a")).alias("drop"), F.stddev_pop("a").alias("std"))
+
+
+def mprobes(rows: DataFrame, runs: int = 5) -> DataFrame:
+    """channel, fwer: share of runs in which a feature is no more important than the best permuted contrast."""
+    lost = 0
+    for run in range(runs):
+        both = with_partners(rows, run).withColumn("features", F.concat("features", "other")).withColumn("v", array_to_vector("features"))
+        imp = importance_list(both)
+        n = len(imp) // 2
+        lost = lost + (imp[:n] <= imp[n:].max())
+    values = [(i, float(x) / runs) for i, x in enumerate(lost)]
+    return rows.sparkSession.createDataFrame(values, "channel int, fwer double")
+
+
+def conditional_errors(rows: DataFrame, permutations: int = 5, most: int | None = None, stop: float = 0.5, importance=importance_list) -> DataFrame:
+    """rank, channel, importance, fdr, cer, efdr of features from the most important on.
+
+    fdr: features that reach the importance under permuted targets, over the rank. For cer and efdr of the feature of rank r + 1 the target is
+    permuted together with the r features above it, which keeps what they explain; cer is the share of permutations in which another feature
+    reaches its importance, efdr the mean share of false ones among those that would be selected. Features beyond `most`, or after both rates
+    went above `stop`, have neither. All three rise along the ranks. Importances are one number a feature, so the counts are made on the driver.
+    """
+    own = importance(rows)
+    order = np.argsort(-own, kind="stable")
+    real, n = own[order], len(own)
+
+    def beaten(found: np.ndarray, rank: int) -> int:
+        """How many of the sorted permuted importances stay at or above the real ones, place by place, from the first on."""
+        below = np.flatnonzero(np.sort(found)[::-1] < real[rank:])
+        return int(below[0]) if len(below) else n - rank
+
+    cer, efdr, hits = [], [], np.zeros(n)
+    for rank in range(min(most or n, n)):
+        if rank and cer[-1] > stop and efdr[-1] > stop:
+            break
+        if rank and not hits[rank]:
+            cer.append(0.0)
+            efdr.append(0.0)
+            continue
+        above = order[:rank].tolist()
+        c = e = 0.0
+        for seed in range(permutations):
+            dealt = with_partners(rows, 1000 * rank + seed).withColumn("target", F.col("other_target"))
+            if above:
+                mixed = changed(F.col("features"), F.col("other"), lambda i, above=above: i.isin(above))
+                dealt = dealt.withColumn("features", mixed).withColumn("v", array_to_vector("features"))
+            found = np.delete(importance(dealt), above)
+            if not rank:
+                hits += [(found >= x).sum() for x in real]
+            c += found.max() >= real[rank]
+            r = beaten(found, rank)
+            e += r / (r + rank) if rank else float(r > 0)
+        cer.append(c / permutations)
+        efdr.append(e / permutations)
+    fdr = np.maximum.accumulate(np.minimum(1.0, hits / permutations / np.arange(1, n + 1)))
+    cer, efdr = ([*np.maximum.accumulate(x).tolist(), *[None] * (n - len(x))] for x in (cer, efdr))
+    values = [(i + 1, int(order[i]), float(real[i]), float(fdr[i]), cer[i], efdr[i]) for i in range(n)]
+    return rows.sparkSession.createDataFrame(values, "rank int, channel int, importance double, fdr double, cer double, efdr double")
 
 
 def shuffled_labels(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """rows with targets dealt out anew."""
-    own = rows.withColumn("k", F.row_number().over(Window.orderBy("id")))
-    new = rows.select(F.row_number().over(Window.orderBy(order_key("id", seed), "id")).alias("k"), F.col("target").alias("new"))
-    return own.join(new, "k").withColumn("target", F.col("new")).drop("k", "new")
+    new = dealt_rank(rows.select("id", "target"), seed=seed).select("k", F.col("target").alias("new"))
+    return id_rank(rows).join(new, "k").withColumn("target", F.col("new")).drop("k", "new")
 
 
 def kept_features(rows: DataFrame, channels: list[int]) -> DataFrame:
@@ -109,13 +197,54 @@ def kept_features(rows: DataFrame, channels: list[int]) -> DataFrame:
     return rows.withColumn("features", pick).withColumn("v", array_to_vector("features"))
 
 
-def forward_selection(rows: DataFrame, channels: list[int], gain: float = 0.01, most: int = 3) -> list[tuple[int, float]]:
-    """Greedily add the feature with the best mean accuracy over folds until the gain is too small."""
-    chosen: list[tuple[int, float]] = []
-    while len(chosen) < most:
-        have = [c for c, _ in chosen]
-        tries = [(cv_scores(kept_features(rows, [*have, c])).agg(F.avg("accuracy")).first()[0], -c) for c in channels if c not in have]
-        if not tries or max(tries)[0] < (chosen[-1][1] if chosen else 0) + gain:
-            break
-        chosen.append((-max(tries)[1], max(tries)[0]))
-    return chosen
+def forward_selection(rows: DataFrame, gain: float = 0.01) -> DataFrame:
+    """step, channel, score: the feature, of all, that adds most to the mean accuracy over folds (column `fold`), until the gain is too small.
+
+    Candidates are scored with Gaussian naive Bayes, whose fit on all folds but one is a difference of sums and whose log odds are a sum over
+    features. So one pass fits every feature, and a step scores all candidates in one job, whatever their number.
+    """
+    spark = rows.sparkSession
+    long = rows.select("id", "fold", "target", F.posexplode("features").alias("channel", "x"))
+    part = long.groupBy("channel", "fold", "target").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    whole = part.groupBy("channel", "target").agg(*[F.sum(c).alias(f"{c}_all") for c in "nsq"])
+    rest = part.join(whole, ["channel", "target"]).select("channel", "fold", "target", *[(F.col(f"{c}_all") - F.col(c)).alias(c) for c in "nsq"])
+    mean = F.col("s") / F.col("n")
+    fit = rest.select("channel", "fold", "target", F.log("n").alias("prior"), mean.alias("mu"), F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(1e-9)).alias("var"))
+    of = lambda c, y: F.max(F.when(F.col("target") == y, F.col(c))).alias(f"{c}{y}")
+    fit = fit.groupBy("channel", "fold").agg(*[of(c, y) for c in ("prior", "mu", "var") for y in (0, 1)])
+    log = lambda y: -0.5 * (F.log(f"var{y}") + (F.col("x") - F.col(f"mu{y}")) ** 2 / F.col(f"var{y}"))
+    odds = sinks.stage(long.join(fit, ["channel", "fold"]).select("id", "fold", "target", "channel", (log(1) - log(0)).alias("odds"), (F.col("prior1") - F.col("prior0")).alias("prior")))
+    chosen: list[tuple[int, int, float]] = []
+    while True:
+        have = [c for _, c, _ in chosen]
+        total = F.col("odds") + F.col("prior")
+        tries = odds
+        if have:
+            tries = odds.filter(~F.col("channel").isin(have)).join(odds.filter(F.col("channel").isin(have)).groupBy("id").agg(F.sum("odds").alias("base")), "id")
+            total = total + F.col("base")
+        each = tries.groupBy("channel", "fold").agg(accuracy((total > 0) == (F.col("target") == 1)).alias("a")).groupBy("channel").agg(F.avg("a").alias("score"))
+        best = each.orderBy(F.desc("score"), "channel").first()
+        if best is None or best.score < (chosen[-1][2] if chosen else 0.0) + gain:
+            return spark.createDataFrame(chosen, "step int, channel int, score double")
+        chosen.append((len(chosen), best.channel, best.score))
+
+
+def binned(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]]) -> DataFrame:
+    """A feature table of labels (id, target, grp, region), with the sums of peaks (id, mz, intensity) in each bin."""
+    table = peaks.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bins)], "bin_idx long, lo double, hi double")
+    value = binning.pivot_features(binning.bin_sum(peaks, table, ["id"]), ["id"], len(bins))
+    none = F.array_repeat(F.lit(0.0), len(bins))
+    return labels.join(value, "id", "left").withColumn("features", F.coalesce("features", none)).withColumn("v", array_to_vector("features"))
+
+
+def progressive_bins(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]], limit: float) -> list[list[tuple]]:
+    """Steps of refinement, each a list of (lo, hi, importance, kept): the more important half of the bins is cut at its
+    midpoints, until the narrowest bin is no wider than `limit`. Bins are parameters: their number stays as it began."""
+    steps = []
+    while min(hi - lo for lo, hi in bins) > limit:
+        imp = importance_list(binned(peaks, labels, bins))
+        order = sorted(range(len(bins)), key=lambda i: (-imp[i], i))
+        kept = set(order[: len(bins) - len(bins) // 2])
+        steps.append([(*b, float(imp[i]), i in kept) for i, b in enumerate(bins)])
+        bins = [half for i, (lo, hi) in enumerate(bins) if i in kept for half in ((lo, (lo + hi) / 2), ((lo + hi) / 2, hi))]
+    return steps

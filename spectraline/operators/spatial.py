@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spectraline.sources import sinks
+
 Matrix = tuple[tuple[float, float, float], tuple[float, float, float]]
 
 
@@ -81,27 +88,116 @@ def coverage(annotations: DataFrame, keys: list[str], s: int = 16) -> DataFrame:
     return sub.groupBy(*keys, F.floor(F.col("y") / s).alias("y"), F.floor(F.col("x") / s).alias("x")).agg((F.count("*") / (s * s)).alias("share"))
 
 
-def components(pixels: DataFrame, every: int = 4) -> DataFrame:
-    """8-connected blobs: (y, x, blob), blob being the least y * 2^32 + x in it; least labels spread until none changes."""
-    code = F.col("y") * (1 << 32) + F.col("x")
-    spark = pixels.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
+def onehot(rasters: DataFrame, annotations: DataFrame, terms: list) -> DataFrame:
+    """term, its place in `terms`, y, x of all pixels under a term; an error if the annotations' terms are not those asked for."""
+    found = {r.term for r in annotations.select("term").distinct().collect()}  # a vocabulary
+    if found != set(terms):
+        raise ValueError(f"terms differ: {sorted(map(str, found ^ set(terms)))}")
+    place = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("term")) - 1
+    return rasters.select("term", place.cast("int").alias("pos"), "y", "x").distinct()
+
+
+def first_class(annotations: DataFrame, sets: DataFrame) -> DataFrame:
+    """annotations (ann_id, term) with the first class whose set holds the term; sets: (term, class). An unknown term is an error."""
+    best = sets.groupBy("term").agg(F.min("class").alias("class"))
+    out = annotations.join(best, "term", "left")
+    unknown = out.filter("class is null").select("term").first()
+    if unknown:
+        raise ValueError(f"no class for term {unknown.term}")
+    return out
+
+
+def background(region: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """Pixels of the region under no class, as class `name`, which no class may have."""
+    if classes.filter(F.col("class") == name).first():
+        raise ValueError(f"there is a class {name} already")
+    return region.join(classes.select("y", "x").distinct(), ["y", "x"], "left_anti").withColumn("class", F.lit(name))
+
+
+def registered(pixels: DataFrame, start: tuple[float, float], scale: float, shape: tuple[int, int]) -> DataFrame:
+    """pixels at (y - start) / scale; an error if one falls outside the shape."""
+    out = pixels.withColumns({"y": map_index(F.col("y"), start[0], scale), "x": map_index(F.col("x"), start[1], scale)})
+    box = bounding_box(out).first()
+    if box.y0 is not None and (box.y0 < 0 or box.x0 < 0 or box.y1 > shape[0] or box.x1 > shape[1]):
+        raise ValueError(f"pixels fall outside {shape}: {tuple(box)}")
+    return out
+
+
+def _local_blobs(tile: int):
+    """Blobs inside one tile, which holds tile * tile pixels at most."""
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        code = (rows.y.to_numpy() * (1 << 32) + rows.x.to_numpy()).tolist()
+        up = {c: c for c in code}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        for c in code:
+            for step in (1, (1 << 32) - 1, 1 << 32, (1 << 32) + 1):
+                if c + step in up:
+                    a, b = root(c), root(c + step)
+                    up[max(a, b)] = min(a, b)
+        return pd.DataFrame({"y": rows.y, "x": rows.x, "blob": [root(c) for c in code]})
+
+    return label
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spectraline-"))
-    label = pixels.select("y", "x").distinct().withColumn("blob", code).checkpoint()
-    around = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
+def connected(links: DataFrame) -> DataFrame:
+    """(id, least): the least id reachable over links (a, b), by least labels and label jumps: the rounds grow with the logarithm of a component."""
+    edges = sinks.stage(links.select("a", "b").union(links.select("b", "a")).distinct())
+    label = sinks.stage(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("least")))
     while True:
-        step = label.withColumn("old", F.col("blob"))
-        for _ in range(every):
-            near = step.select(F.explode(around).alias("o"), "y", "x", "blob").groupBy((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).agg(F.min("blob").alias("near"))
-            step = step.join(near, ["y", "x"]).withColumn("blob", F.least("blob", "near")).drop("near")
-        step = step.checkpoint()
-        label = step.drop("old")
-        if step.filter("blob <> old").isEmpty():
+        seen = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("least").alias("m"))
+        near = label.join(seen, "id").select("id", F.col("least").alias("old"), F.least("least", "m").alias("c"))
+        step = near.join(label.select(F.col("id").alias("c"), F.col("least").alias("j")), "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("least"), "old")
+        step = sinks.stage(step)
+        label = step.select("id", "least")
+        if step.filter("least <> old").isEmpty():
             return label
 
 
+def components(pixels: DataFrame, tile: int = 256) -> DataFrame:
+    """8-connected blobs: (y, x, blob), blob being the least y * 2^32 + x in it.
+
+    Blobs are found inside tiles; where pixels touch across a border their tiles' blobs are linked, and the links' components name the whole blobs.
+    """
+    spot = pixels.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).distinct()
+    by = [F.floor(F.col(c) / tile) for c in ("y", "x")]
+    local = sinks.stage(spot.groupBy(*by).applyInPandas(_local_blobs(tile), "y long, x long, blob long"))
+    rim = local.filter(" or ".join(f"pmod({c}, {tile}) in (0, {tile - 1})" for c in ("y", "x")))
+    around = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    to = rim.select(F.col("blob").alias("a"), F.explode(around).alias("o"), "y", "x").select("a", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    links = to.join(rim.select("y", "x", F.col("blob").alias("b")), ["y", "x"]).filter("a <> b").select("a", "b")
+    whole = connected(links)
+    return local.join(whole.withColumnRenamed("id", "blob"), "blob", "left").select("y", "x", F.coalesce("least", "blob").alias("blob"))
+
+
+def template_matrix(top_left: tuple[float, float], scale: float, size: tuple[float, float], turns: int, flip_lr: bool = False, flip_ud: bool = False, crop: tuple[float, float] = (0, 0)) -> Matrix:
+    """From overlay to template coordinates: to the match's top left (x, y), down by scale, about the centre of the match of size (width, height)
+    by quarter turns and flips, and to the crop's start (x, y)."""
+    cx, cy = size[0] / scale / 2, size[1] / scale / 2
+    cos, sin = ((1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0))[turns % 4]
+    half = (cx, cy) if turns % 2 == 0 else (cy, cx)
+    return compose(
+        offset(-top_left[0], -top_left[1]), ((1 / scale, 0.0, 0.0), (0.0, 1 / scale, 0.0)), offset(-cx, -cy), ((cos, -sin, 0.0), (sin, cos, 0.0)),
+        ((-1.0 if flip_lr else 1.0, 0.0, 0.0), (0.0, -1.0 if flip_ud else 1.0, 0.0)), offset(crop[0] + half[0], crop[1] + half[1]))
+
+
+def offset(x: float, y: float) -> Matrix:
+    return ((1.0, 0.0, float(x)), (0.0, 1.0, float(y)))
+
+
+def box_registration(src: tuple, dst: tuple) -> tuple[float, float, Matrix]:
+    """Scales in y and x between two boxes (y0, y1, x0, x1), and the matrix that lays src on dst with the scale of dst's longer side."""
+    sy, sx = (dst[1] - dst[0]) / (src[1] - src[0]), (dst[3] - dst[2]) / (src[3] - src[2])
+    f = sx if dst[3] - dst[2] > dst[1] - dst[0] else sy
+    return sy, sx, compose(offset(-src[2], -src[0]), ((f, 0.0, 0.0), (0.0, f, 0.0)), offset(dst[2], dst[0]))
+
+
 def map_index(v: Column, start: float, scale: float) -> Column:
     return F.floor((v - start) / scale)
 
@@ -134,28 +230,65 @@ def merge(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def fticr_factor(lo: float, hi: float, n: int) -> float:
-    """f such that n bins with widths f * mz^2 lead from lo to hi, by bisection over one scalar."""
-    a, b = 0.0, (1 / lo) * 2 / n * 2
-    for _ in range(80):
-        f, at = (a + b) / 2, lo
-        for _ in range(n):
-            at += f * at * at
-            if at > hi:
-                break
-        a, b = (f, b) if at < hi else (a, f)
-    return b
+def merge_regions(labels: list[DataFrame], bins: list[DataFrame]) -> DataFrame:
+    """Label tables (region, ann_idx from 1, ...) as one, annotations numbered after those of the regions before; different bins are an error."""
+    for b in bins[1:]:
+        if b.count() != bins[0].count() or not b.exceptAll(bins[0]).isEmpty():
+            raise ValueError("regions with different bins")
+    out = merge(labels).drop("dataset")
+    w = Window.orderBy("region").rowsBetween(Window.unboundedPreceding, -1)  # over regions
+    first = out.groupBy("region").agg(F.max("ann_idx").alias("m")).select("region", F.coalesce(F.sum("m").over(w), F.lit(0)).alias("first"))
+    return out.join(first, "region").withColumn("ann_idx", F.col("ann_idx") + F.col("first")).drop("first").select(*out.columns)
 
 
-def fticr_index(peaks: DataFrame, lo: float, hi: float, n: int) -> DataFrame:
-    """bin_idx of each peak among n bins whose widths grow with mz^2: a closed-form guess, put right on the n + 1 edges (a parameter-sized table)."""
-    f, edges = fticr_factor(lo, hi, n), [lo]
+def fticr_last(lo: float, n: int, f: float, stop: float) -> float:
+    """The last of n bins' upper edges, or the first edge above `stop`."""
+    at = lo
     for _ in range(n):
-        edges.append(edges[-1] + f * edges[-1] ** 2)
-    bins = peaks.sparkSession.createDataFrame(list(zip(range(n), edges, edges[1:], strict=False)), "bin_idx long, _l double, _h double")
-    guess = F.floor((1 / lo - 1 / F.col("mz")) / f + F.log(F.col("mz") / lo))
-    near = peaks.withColumn("_g", guess).withColumn("bin_idx", F.explode(F.array(F.col("_g") - 1, F.col("_g"), F.col("_g") + 1)))
-    return near.join(bins, "bin_idx").filter("mz >= _l and mz < _h").drop("_l", "_h", "_g")
+        at += f * at * at
+        if at > stop:
+            break
+    return at
+
+
+def fticr_factor(lo: float, hi: float, n: int, tol: float = 1e-9) -> float:
+    """The least f, but for rounding, such that n bins with widths f * mz^2 lead from lo to at least hi.
+
+    A closed-form guess is widened until it brackets f, so few passes over the n edges are needed.
+    """
+    guess, spread = (1 / lo - 1 / hi) / max(n - math.log(hi / lo), 0.5), 1e-6
+    low, high = guess * (1 - spread), guess * (1 + spread)
+    while fticr_last(lo, n, low, hi) >= hi:
+        spread *= 8
+        high, low = low, guess / (1 + spread)
+    while fticr_last(lo, n, high, hi) < hi:
+        spread *= 8
+        low, high = high, guess * (1 + spread)
+    while high - low > tol * 1e-3 * high:
+        f = (low + high) / 2
+        low, high = (low, f) if fticr_last(lo, n, f, hi) >= hi else (f, high)
+    return high
+
+
+@lru_cache(8)
+def fticr_edges(lo: float, f: float, n: int) -> np.ndarray:
+    edges, at = np.empty(n + 1), lo
+    for i in range(n):
+        edges[i] = at
+        at += f * at * at
+    edges[n] = at
+    return edges
+
+
+def fticr_index(peaks: DataFrame, lo: float, hi: float, n: int) -> DataFrame:
+    """bin_idx of each peak among n bins whose widths grow with mz^2. Each worker makes the edges from three numbers and looks peaks up in them."""
+    f = fticr_factor(lo, hi, n)
+
+    @F.pandas_udf("long")
+    def index(mz: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(fticr_edges(lo, f, n), mz.to_numpy(), side="right") - 1)
+
+    return peaks.withColumn("bin_idx", index("mz")).filter(F.col("bin_idx").between(0, n - 1))
 
 
 def pad_image(image: DataFrame, height: int, width: int, fill: float, spark: SparkSession) -> DataFrame:

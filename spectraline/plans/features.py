@@ -32,6 +32,14 @@ def f1(s, d):
     return stats.welch_t(long(s, d)).select("channel", F.round("t", 4).alias("t"), F.round("dof", 3).alias("dof"))
 
 
+@op("F1_welch_p")
+def f1p(s, d):
+    """Two-sided p of Welch's t, as it is and times the number of features (Bonferroni, not clipped)."""
+    x = long(s, d)
+    both = stats.welch_t(x).select("channel", "t", "dof", "p").join(stats.welch_t(x, bonferroni=True).select("channel", C("p").alias("bonferroni")), "channel")
+    return both
+
+
 MW = DL + """, k AS (SELECT channel, target, rank() OVER (PARTITION BY channel ORDER BY value) + (count(*) OVER (PARTITION BY channel, value) - 1) / 2 AS r FROM dl),
 tie AS (SELECT channel, sum(t * t * t - t) AS tie FROM (SELECT channel, value, count(*) AS t FROM dl GROUP BY ALL) GROUP BY 1),
 u AS (SELECT channel, sum(r) FILTER (target = 0) - count(*) FILTER (target = 0) * (count(*) FILTER (target = 0) + 1) / 2 AS u, count(*) FILTER (target = 0) AS n0, count(*) FILTER (target = 1) AS n1 FROM k GROUP BY 1)
@@ -43,9 +51,13 @@ def f2(s, d):
     return stats.mann_whitney(long(s, d)).select("channel", "u", F.round("z", 4).alias("z"))
 
 
-@op("F3_u_test_fdr")
+@op("F3_u_test_fdr", MW + f""", zz AS (SELECT channel, (greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - tie / ((n0 + n1) * (n0 + n1 - 1)))) AS z FROM u JOIN tie USING (channel)),
+pp AS (SELECT channel, least(1.0, {stats.normal_two_sided_sql('z')}) AS p FROM zz), rk AS (SELECT *, row_number() OVER (ORDER BY p, channel) AS r, count(*) OVER () AS m FROM pp),
+ad AS (SELECT channel, r, p, least(1.0, min(p * m / r) OVER (ORDER BY r DESC)) AS a FROM rk) SELECT channel, channel + 0.5::DOUBLE AS centre, round(p, 6) AS p, round(a, 6) AS adjusted, a < 0.05 AS by_fdr, r <= 8 AS by_count FROM ad""")
 def f3(s, d):
-    return stats.bh_adjust(stats.mann_whitney(long(s, d)).select("channel", "p")).select("channel", "p", "adjusted", (C("adjusted") < 0.05).alias("selected"))
+    """Features by U test, picked by false discovery rate or by count."""
+    p = stats.bh_adjust(stats.mann_whitney(long(s, d)).select("channel", "p"))
+    return p.select("channel", (C("channel") + 0.5).alias("centre"), F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"), (C("adjusted") < 0.05).alias("by_fdr"), (C("rank") <= 8).alias("by_count"))
 
 
 @op("F4_mdi_importance")
@@ -55,23 +67,12 @@ def f4(s, d):
 
 @op("F5_mda_importance")
 def f5(s, d):
-    return M.mda(rows(s, d), [0, 1, 2, 3])
+    return M.mda(rows(s, d))
 
 
 @op("F6_mprobes_fwer")
 def f6(s, d):
-    """Share of runs in which a feature is no more important than the best permuted contrast."""
-    r, out = rows(s, d), None
-    for run in range(2):
-        contrast = r.select("id", C("features").alias("c"))
-        w = Window.orderBy(M.order_key("id", run), "id")
-        dealt = contrast.select(F.row_number().over(w).alias("k"), "c")
-        both = r.withColumn("k", F.row_number().over(Window.orderBy("id"))).join(dealt, "k").withColumn("features", F.concat("features", "c"))
-        imp = M.importances(both.withColumn("v", M.array_to_vector("features")).drop("k", "c"))
-        best = imp.filter("channel >= 64").agg(F.max("importance").alias("best"))
-        one = imp.filter("channel < 64").join(F.broadcast(best)).select("channel", (C("importance") <= C("best")).cast("double").alias("lost"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("channel").agg(F.avg("lost").alias("fwer"))
+    return M.mprobes(rows(s, d))
 
 
 SC = ", sc AS (SELECT channel, vec_id % 4 AS run, round(avg(abs(value)), 4) AS v FROM dn GROUP BY ALL)\n"
@@ -81,48 +82,44 @@ def scores(s, d):
     return P.dense(s, d).groupBy("channel", (C("vec_id") % 4).alias("run")).agg(F.round(F.avg(F.abs("value")), 4).alias("v"))
 
 
-@op("F7_perm_fdr", SC + "SELECT a.channel, round(least(1.0, (SELECT count(*) FROM sc b WHERE b.run > 0 AND b.v >= a.v) / 3 / row_number() OVER (ORDER BY a.v DESC, a.channel)), 4) AS fdr FROM sc a WHERE run = 0")
+@op("F7_perm_fdr", SC + ", q AS (SELECT a.channel, row_number() OVER (ORDER BY a.v DESC, a.channel) AS r, (SELECT count(*) FROM sc b WHERE b.run > 0 AND b.v >= a.v) AS above FROM sc a WHERE run = 0) SELECT channel, round(max(least(1.0, above / 3 / r)) OVER (ORDER BY r), 4) AS fdr FROM q")
 def f7(s, d):
-    """Permuted scores at least as high, counted by one ordered pass over distinct scores."""
+    """Permuted scores at least as high, counted by one ordered pass over distinct scores; rates rise along the ranks."""
     x = scores(s, d)
     by = x.groupBy("v").agg(F.count_if(C("run") > 0).alias("perm"))
     above = by.withColumn("above", F.sum("perm").over(Window.orderBy(F.desc("v"))))
     real = x.filter("run = 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), "channel")))
-    return real.join(above, "v").select("channel", F.round(F.least(F.lit(1.0), C("above") / 3 / C("rank")), 4).alias("fdr"))
+    rate = real.join(above, "v").select("channel", "rank", F.least(F.lit(1.0), C("above") / 3 / C("rank")).alias("fdr"))
+    return stats.monotone(rate, [], "rank", "fdr").select("channel", F.round("fdr", 4).alias("fdr"))
 
 
 @op("F8_cer_efdr")
 def f8(s, d):
-    """Share of label permutations whose best importance reaches a feature's own."""
-    r = rows(s, d)
-    real, out = M.importances(r), None
-    for seed in range(2):
-        best = M.importances(M.shuffled_labels(r, seed)).agg(F.max("importance").alias("best"))
-        out = best if out is None else out.unionByName(best)
-    return real.join(out, C("best") >= C("importance"), "left").groupBy("channel", "importance").agg((F.count("best") / 2).alias("cer"))
+    """Conditional error rate and eFDR of the leading features."""
+    return M.conditional_errors(rows(s, d).cache(), permutations=5, most=4)
 
 
 @op("F9_forward_selection")
 def f9(s, d):
-    found = M.forward_selection(M.stratified_folds(rows(s, d), 2).cache(), [0, 1, 2])
-    return s.createDataFrame([(i, c, v) for i, (c, v) in enumerate(found)], "step int, channel int, score double")
+    return M.forward_selection(M.stratified_folds(rows(s, d), 5))
+
+
+def labelled(s, d):
+    """Peaks and labels of spectra of two classes, for feature tables."""
+    t = P.labels(s, d).filter(C("target").isin("F", "O")).select(C("spectrum_id").alias("id"), (C("target") == "F").cast("int").alias("target"), C("region").alias("grp"), "region")
+    return P.peaks(s, d).select(C("spectrum_id").alias("id"), "mz", "intensity"), t
+
+
+START = [(i * 131.25, (i + 1) * 131.25) for i in range(8)]
+LIMIT = 20.0
 
 
 @op("F10_progressive_binning")
 def f10(s, d):
-    """Bins halved around the more important half, until they are narrow: (step, bin_idx, lo, hi, kept)."""
-    bins, out = P.uniform_bins(s, 8, 0.0, 1050.0), None
-    p = P.peaks(s, d).join(P.labels(s, d).select("spectrum_id", (C("target") == "F").cast("int").alias("target")), "spectrum_id").cache()
-    for step in range(2):
-        value = B.bin_sum(p, bins, ["spectrum_id", "target"]).withColumnsRenamed({"bin_idx": "channel"})
-        t = stats.welch_t(value.select("channel", "target", "value")).select(C("channel").alias("bin_idx"), F.abs("t").alias("importance"))
-        order = F.row_number().over(Window.orderBy(F.desc_nulls_last("importance"), "bin_idx"))
-        marked = bins.join(t, "bin_idx", "left").withColumn("kept", order <= F.count("*").over(Window.partitionBy()) / 2).select(F.lit(step).alias("step"), "bin_idx", "lo", "hi", "kept")
-        kept = marked.filter("kept").collect()  # bins are parameters
-        out = marked if out is None else out.unionByName(marked)
-        halves = [x for r in kept for x in ((r.lo, (r.lo + r.hi) / 2), ((r.lo + r.hi) / 2, r.hi))]
-        bins = s.createDataFrame([(i, *x) for i, x in enumerate(sorted(halves))], "bin_idx long, lo double, hi double")
-    return out
+    """Bins halved where the more important half is, until they are narrow: (step, bin_idx, lo, hi, importance, kept)."""
+    p, t = labelled(s, d)
+    steps = M.progressive_bins(p.cache(), t.cache(), START, LIMIT)
+    return s.createDataFrame([(k, i, *b) for k, step in enumerate(steps) for i, b in enumerate(step)], "step int, bin_idx int, lo double, hi double, importance double, kept boolean")
 
 
 @op("F12_add_input_noise")
@@ -131,12 +128,19 @@ def f12(s, d):
     return P.dense(s, d).select("vec_id", "channel", (C("value") + F.randn(5) * 0.1 * mean).alias("value"))
 
 
-@op("F13_add_features", "SELECT vec_id, channel, value FROM dn UNION ALL SELECT vec_id, channel + 64 AS channel, 2 * value AS value FROM dn WHERE channel < 4 UNION ALL SELECT vec_id, 68 AS channel, round(sum(value * channel), 4) AS value FROM dn WHERE channel < 4 GROUP BY 1")
+@op("F13_add_features", """SELECT vec_id, channel, value FROM dn UNION ALL SELECT vec_id, channel + 64 AS channel, 2 * value AS value FROM dn WHERE channel < 4 UNION ALL SELECT vec_id, 68 AS channel, round(sum(value * channel), 4) AS value FROM dn WHERE channel < 4 GROUP BY 1
+UNION ALL SELECT vec_id, 69 AS channel, round(CAST('0x' || substr(md5(vec_id || '|noise'), 1, 8) AS BIGINT) / 4294967296, 6) AS value FROM dn WHERE channel = 0 UNION ALL SELECT vec_id, 70 AS channel, CASE WHEN substr(md5(vec_id || '|drop'), 1, 1) < '4' THEN 0 ELSE value END AS value FROM dn WHERE channel = 0""")
 def f13(s, d):
+    """Redundant copies, a linear combination, seeded noise, and a copy that is dropped to 0 in a quarter of the rows."""
     x = P.dense(s, d).select("vec_id", "channel", "value")
     few = x.filter("channel < 4")
+    seeded = lambda name: F.md5(F.concat(C("vec_id").cast("string"), F.lit(f"|{name}")))
+    first = x.filter("channel = 0")
     mixed = few.groupBy("vec_id").agg(F.round(F.sum(C("value") * C("channel")), 4).alias("value")).select("vec_id", F.lit(68).alias("channel"), "value")
-    return x.unionByName(few.withColumns({"channel": C("channel") + 64, "value": 2 * C("value")})).unionByName(mixed)
+    noise = first.select("vec_id", F.lit(69).alias("channel"), F.round(F.conv(F.substring(seeded("noise"), 1, 8), 16, 10).cast("double") / 4294967296, 6).alias("value"))
+    dropped = first.select("vec_id", F.lit(70).alias("channel"), F.when(F.substring(seeded("drop"), 1, 1) < "4", 0.0).otherwise(C("value")).alias("value"))
+    doubled = few.withColumns({"channel": C("channel") + 64, "value": 2 * C("value")})
+    return x.unionByName(doubled).unionByName(mixed).unionByName(noise).unionByName(dropped)
 
 
 @op("F14_compare_importances")
@@ -161,23 +165,27 @@ def each(s, d):
     return P.table(s, d, "embeddings").select("vec_id", "label", (C("label") % 2).alias("target"), (C("vec_id") % 3).alias("region"))
 
 
-def place(*by):
-    return F.row_number().over(Window.partitionBy(*by).orderBy(M.order_key("vec_id"), "vec_id"))
+def placed(s, d, *by):
+    """Label rows with their rank `k` in md5 order and the number `n` of rows, within `by`."""
+    v = each(s, d)
+    n = v.groupBy(*by).agg(F.count("*").alias("n"))
+    k = M.dealt_rank(v, "vec_id", by=by)
+    return k.join(F.broadcast(n), list(by)) if by else k.join(F.broadcast(n))  # a row for each class, or one
 
 
 @op("M1_train_test_split", V + f"SELECT vec_id, target, {ORD.format('PARTITION BY target')} <= round(0.7 * count(*) OVER (PARTITION BY target)) AS train FROM v")
 def m1(s, d):
-    return each(s, d).select("vec_id", "target", (place("target") <= F.round(0.7 * F.count("*").over(Window.partitionBy("target")))).alias("train"))
+    return placed(s, d, "target").select("vec_id", "target", (C("k") <= F.round(0.7 * C("n"))).alias("train"))
 
 
 @op("M2_random_split", V + f"SELECT vec_id, {ORD.format('')} <= round(0.7 * count(*) OVER ()) AS train FROM v")
 def m2(s, d):
-    return each(s, d).select("vec_id", (place() <= F.round(0.7 * F.count("*").over(Window.partitionBy()))).alias("train"))
+    return placed(s, d).select("vec_id", (C("k") <= F.round(0.7 * C("n"))).alias("train"))
 
 
 @op("M3_stratified_kfold", V + f"SELECT vec_id, target, CAST(({ORD.format('PARTITION BY target')} - 1) % 5 AS INTEGER) AS fold FROM v")
 def m3(s, d):
-    return each(s, d).select("vec_id", "target", ((place("target") - 1) % 5).alias("fold"))
+    return placed(s, d, "target").select("vec_id", "target", ((C("k") - 1) % 5).cast("int").alias("fold"))
 
 
 @op("M4_stratified_group_kfold")
@@ -233,14 +241,18 @@ def m10(s, d):
 
 @op("M11_nested_cv")
 def m11(s, d):
-    """Outer folds score what inner folds select: (outer, depth, accuracy)."""
+    """Outer folds score what inner folds select; row outer = -1 is the model refitted on all rows, with its cross-validated score: (outer, depth, accuracy)."""
     r, out = M.stratified_folds(rows(s, d), 2).withColumnRenamed("fold", "outer").cache(), []
+    mean = lambda x: x.agg(F.avg("accuracy")).first()[0]
     for o in (0, 1):
-        inner = M.stratified_folds(r.filter(C("outer") != o).drop("outer"), 2)
-        best = max((M.cv_scores(inner, "tree", depth=k).agg(F.avg("accuracy")).first()[0], k) for k in (2, 4))[1]
+        inner = M.stratified_folds(r.filter(C("outer") != o).drop("outer"), 2).cache()
+        best = max((mean(M.cv_scores(inner, "tree", depth=k)), k) for k in (2, 4))[1]
         test = M.scored(M.estimator("tree", depth=best).fit(r.filter(C("outer") != o)), r.filter(C("outer") == o))
-        out.append((o, best, test.agg(F.avg((C("prediction") == C("target")).cast("double"))).first()[0]))
-    return s.createDataFrame(out, "outer int, depth int, accuracy double")
+        out.append((o, best, test.agg(stats.accuracy(C("prediction") == C("target"))).first()[0]))
+    whole = r.withColumnRenamed("outer", "fold")
+    score, depth = max((mean(M.cv_scores(whole, "tree", depth=k)), k) for k in (2, 4))
+    final = M.estimator("tree", depth=depth).fit(whole)
+    return s.createDataFrame([*out, (-1, final.getMaxDepth(), score)], "outer int, depth int, accuracy double")
 
 
 @op("M12_cv_score")
@@ -248,16 +260,20 @@ def m12(s, d):
     return M.cv_scores(M.stratified_folds(rows(s, d), 3))
 
 
-@op("M13_accuracy", "SELECT user_id % 5 AS fold, round(avg(CASE WHEN (value > 245) = (event_id % 2 = 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM events GROUP BY 1")
+@op("M13_accuracy", "SELECT user_id % 5 AS fold, round(avg(CASE WHEN (value > 245) = (event_id % 2 = 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(sum(CASE WHEN (value > 245) = (event_id % 2 = 0) THEN 1.0 + event_id % 3 ELSE 0.0 END) / sum(1.0 + event_id % 3), 6) AS weighted FROM events GROUP BY 1")
 def m13(s, d):
-    hit = (C("value") > 245) == (C("event_id") % 2 == 0)
-    return P.table(s, d, "events").groupBy((C("user_id") % 5).alias("fold")).agg(F.round(F.avg(hit.cast("double")), 6).alias("accuracy"))
+    hit, w = (C("value") > 245) == (C("event_id") % 2 == 0), 1.0 + C("event_id") % 3
+    return P.table(s, d, "events").groupBy((C("user_id") % 5).alias("fold")).agg(F.round(stats.accuracy(hit), 6).alias("accuracy"), F.round(stats.accuracy(hit, w), 6).alias("weighted"))
 
 
-@op("M14_roc_auc", ", e AS (SELECT event_type, event_id % 2 AS t, round(value) AS v FROM events), k AS (SELECT event_type, t, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2 AS r FROM e) SELECT event_type, round((sum(r) FILTER (t = 1) - count(*) FILTER (t = 1) * (count(*) FILTER (t = 1) + 1) / 2) / (count(*) FILTER (t = 1) * count(*) FILTER (t = 0)), 6) AS auc FROM k GROUP BY 1")
+@op("M14_roc_auc", """, e AS (SELECT event_type, event_id % 2 AS t, round(value) AS v, 1.0 + event_id % 3 AS w FROM events), k AS (SELECT event_type, t, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2 AS r FROM e),
+un AS (SELECT event_type, round((sum(r) FILTER (t = 1) - count(*) FILTER (t = 1) * (count(*) FILTER (t = 1) + 1) / 2) / (count(*) FILTER (t = 1) * count(*) FILTER (t = 0)), 6) AS auc FROM k GROUP BY 1),
+g AS (SELECT event_type, v, coalesce(sum(w) FILTER (t = 1), 0) AS p, coalesce(sum(w) FILTER (t = 0), 0) AS q FROM e GROUP BY ALL), c AS (SELECT *, p * (coalesce(sum(q) OVER (PARTITION BY event_type ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS won FROM g),
+we AS (SELECT event_type, round(sum(won) / (sum(p) * sum(q)), 6) AS weighted FROM c GROUP BY 1) SELECT event_type, auc, weighted FROM un JOIN we USING (event_type)""")
 def m14(s, d):
-    e = P.table(s, d, "events").select("event_type", (C("event_id") % 2).alias("target"), F.round("value").alias("score"))
-    return stats.roc_auc(e, "event_type").select("event_type", F.round("auc", 6).alias("auc"))
+    e = P.table(s, d, "events").select("event_type", (C("event_id") % 2).alias("target"), F.round("value").alias("score"), (1.0 + C("event_id") % 3).alias("w"))
+    weighted = stats.roc_auc(e, "event_type", weight="w").select("event_type", F.round("auc", 6).alias("weighted"))
+    return stats.roc_auc(e, "event_type").select("event_type", F.round("auc", 6).alias("auc")).join(weighted, "event_type")
 
 
 @op("M15_mean_roc", """, e AS (SELECT user_id % 5 AS fold, event_id % 2 AS t, value FROM events), gr AS (SELECT fold, value, sum(t) AS p, sum(1 - t) AS q FROM e GROUP BY ALL),
@@ -285,13 +301,16 @@ def m16(s, d):
 
 @op("M17_learning_curve")
 def m17(s, d):
-    r, out = M.stratified_folds(rows(s, d), 4).cache(), None
-    w = Window.orderBy(M.order_key("id", 4), "id")
-    train = r.filter("fold > 0").withColumn("k", F.row_number().over(w) / F.count("*").over(Window.partitionBy()))
-    for share in (0.25, 0.5, 1.0):
-        one = M.scored(M.estimator("tree").fit(train.filter(C("k") <= share)), r.filter("fold = 0")).agg(F.avg((C("prediction") == C("target")).cast("double")).alias("accuracy")).withColumn("share", F.lit(share))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """share of training rows, mean and deviation over repeats of the accuracy on a fold left out."""
+    r, out = M.stratified_folds(rows(s, d), 4).cache(), []
+    test, train = r.filter("fold = 0"), r.filter("fold > 0")
+    n = train.count()
+    for seed in range(2):
+        dealt = M.dealt_rank(train, seed=seed).cache()
+        for share in (0.05, 0.25, 0.5, 1.0):
+            found = M.scored(M.estimator("tree").fit(dealt.filter(C("k") <= max(2, share * n))), test)
+            out.append((share, found.agg(stats.accuracy(C("prediction") == C("target"))).first()[0]))
+    return s.createDataFrame(out, "share double, accuracy double").groupBy("share").agg(F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("std"))
 
 
 @op("M18_fold_detail")
@@ -391,7 +410,7 @@ def g4(s, d):
 
 @op("G5_gmm_fit")
 def g5(s, d):
-    return X.fit(headed(s, d).cache(), X.equispaced(s, 0.0, 1050.0, 5), rounds=3)
+    return X.fit(headed(s, d).cache(), X.equispaced(s, 0.0, 1050.0, 5))
 
 
 G6 = f", q AS (SELECT spectrum_id, head AS own, intensity, (SELECT {DENSITY} FROM cp WHERE cp.head = 'n') AS a, (SELECT {DENSITY} FROM cp WHERE cp.head = 'p') AS b FROM pn), " + """
@@ -447,21 +466,22 @@ def g12(s, d):
     return X.mixture_prob(grid(s, lo, hi).filter(C("mz").between(100, 500)), comps(s)).select("k", "head", F.round("p", 8).alias("p"))
 
 
-def fpr(s, d):
-    """Share of label-shuffled refits whose head difference on the grid reaches the observed one."""
-    p = headed(s, d).cache()
+def fpr(s, d, shuffles: int = 5):
+    """Share of label-shuffled fits whose head difference on the grid reaches the observed one. All fits go through the same EM passes, as heads of their own."""
     label = P.labels(s, d).filter(C("target").isin("F", "O")).select(C("spectrum_id").alias("id"), F.when(C("target") == "F", "n").otherwise("p").alias("target"))
-
-    def gap(x):
-        two = X.mixture_prob(grid(s), X.fit(x, X.equispaced(s, 0.0, 1050.0, 4), rounds=1)).withColumn("l", X.nll(C("p"))).groupBy("k", "mz").agg(*[F.max(F.when(C("head") == h, C("l"))).alias(h) for h in ("n", "p")])
-        return two.select("k", "mz", F.abs(C("n") - C("p")).alias("gap"))
-
-    real, out = gap(p), None
-    for seed in range(2):
-        new = M.shuffled_labels(label, seed).select(C("id").alias("spectrum_id"), C("target").alias("head"))
-        one = gap(p.drop("head").join(new, "spectrum_id")).select("k", C("gap").alias("other"))
-        out = one if out is None else out.unionByName(one)
-    return real.join(out, "k").groupBy("k", "mz", "gap").agg(F.avg((C("other") >= C("gap")).cast("double")).alias("fpr"))
+    runs = label.withColumn("run", F.lit(0))
+    for i in range(1, shuffles + 1):
+        runs = runs.unionByName(M.shuffled_labels(label, i).withColumn("run", F.lit(i)))
+    runs = runs.select(C("id").alias("spectrum_id"), F.concat(C("run").cast("string"), "target").alias("head"))
+    lo, hi = mass_range(s, d).first()
+    peaks = P.peaks(s, d).select("spectrum_id", "mz", "intensity").join(runs, "spectrum_id").select("head", "mz", "intensity").cache()
+    heads_ = tuple(f"{i}{h}" for i in range(shuffles + 1) for h in "np")
+    at = X.mixture_prob(grid(s, lo, hi), X.fit(peaks, X.equispaced(s, lo, hi, 4, heads_), tol=1e-3)).withColumn("l", X.nll(C("p")))
+    at = at.withColumns({"run": F.expr("substr(head, 1, length(head) - 1)").cast("int"), "h": F.substring("head", -1, 1)})
+    two = at.groupBy("k", "mz", "run").agg(*[F.max(F.when(C("h") == h, C("l"))).alias(h) for h in ("n", "p")]).withColumn("gap", F.abs(C("n") - C("p")))
+    real = two.filter("run = 0").select("k", "mz", "gap")
+    other = two.filter("run > 0").select("k", C("gap").alias("other"))
+    return real.join(other, "k").groupBy("k", "mz", "gap").agg(F.avg((C("other") >= C("gap")).cast("double")).alias("fpr"))
 
 
 op("G13_permutation_fpr")(fpr)
@@ -503,8 +523,14 @@ def g16(s, d):
 
 @op("F11_eval_progressive")
 def f11(s, d):
-    """Steps of progressive binning, each scored by the share of spectra a threshold on the kept bins' sum puts right."""
-    steps = f10(s, d).filter("kept")
-    p = P.peaks(s, d).join(P.labels(s, d).filter(C("target").isin("F", "O")).select("spectrum_id", (C("target") == "F").cast("int").alias("target")), "spectrum_id")
-    met = B.range_join(p, steps).groupBy("step", "spectrum_id", "target").agg(F.sum("intensity").alias("score"))
-    return stats.roc_auc(met, "step")
+    """Progressive binning inside folds: the bins of each step are found on the other folds and scored on the fold: (fold, step, accuracy, auc)."""
+    p, t = labelled(s, d)
+    p, t, out = p.cache(), M.stratified_folds(t, 2).cache(), []
+    for fold in range(2):
+        train = t.filter(C("fold") != fold)
+        for k, step in enumerate(M.progressive_bins(p, train, START, LIMIT)):
+            r = M.binned(p, t, [(lo, hi) for lo, hi, _, kept in step if kept])
+            test = M.scored(M.estimator("tree").fit(r.filter(C("fold") != fold)), r.filter(C("fold") == fold))
+            hit = test.agg(stats.accuracy(C("prediction") == C("target"))).first()[0]
+            out.append((fold, k, hit, stats.roc_auc(test.withColumn("one", F.lit(1)), "one").first().auc))
+    return s.createDataFrame(out, "fold int, step int, accuracy double, auc double")

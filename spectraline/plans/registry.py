@@ -21,13 +21,13 @@ tic AS (SELECT y, x, sum(intensity) AS v FROM pk GROUP BY y, x)
 """
 
 
-def op(name: str, sql: str | None = None):
+def op(name: str, sql: str | None = None, recursive: bool = False):
     """Register a query; sql continues VIEWS, with further views first if it begins with a comma."""
 
     def keep(f):
         QUERIES[name] = f
         if sql is not None:
-            ORACLE[name] = VIEWS + sql
+            ORACLE[name] = (VIEWS.replace("WITH", "WITH RECURSIVE", 1) if recursive else VIEWS) + sql
         return f
 
     return keep

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -69,17 +70,21 @@ def s4(s, d):
     return P.spectra(s, d).groupBy((C("spectrum_id") % 3).alias("region")).agg(F.when(F.count_distinct("mzs") == 1, "continuous").otherwise("processed").alias("mode"))
 
 
-@op("S5_scan_lipids", "SELECT idx, mz, width, name FROM lip")
+@op("S5_scan_lipids", "SELECT mz, width, name FROM lip")
 def s5(s, d):
-    """Lipid rows through delimited lines: the separator is read off the first line."""
-    lines = P.lipids(s, d).select(F.concat_ws(";", "idx", "mz", "width", "name").alias("value"))
-    return text.parse_lines(lines, "idx long, mz double, width double, name string")
+    """Lipids written as delimited files with a header and scanned again; the separator is read off the first line."""
+    path = sinks.place(P.lipids(s, d))
+    P.lipids(s, d).select("mz", "width", "name").write.option("sep", ";").option("header", True).csv(path)
+    return text.scan_lipids(s, path).select("mz", "width", "name")
 
 
-@op("S6_scan_commented_csv", "SELECT idx, mz, name FROM lip WHERE idx % 5 <> 0")
+@op("S6_scan_commented_csv", "SELECT idx, mz, name || '#' || idx AS name FROM lip WHERE idx % 5 <> 0")
 def s6(s, d):
-    lines = P.lipids(s, d).select(F.concat(F.when(C("idx") % 5 == 0, "# ").otherwise(""), F.concat_ws(";", "idx", "mz", "name")).alias("value"))
-    return text.parse_lines(text.drop_comments(lines), "idx long, mz double, name string", ";")
+    """A file whose comment lines begin with #, while # also stands in its data."""
+    lines = F.concat(F.when(C("idx") % 5 == 0, "# ").otherwise(""), F.concat_ws(";", "idx", "mz", F.concat("name", F.lit("#"), "idx")))
+    path = sinks.place(P.lipids(s, d))
+    P.lipids(s, d).select(lines.alias("value")).write.text(path)
+    return text.scan_commented(s, path, "idx long, mz double, name string", ";")
 
 
 @op("S7_bins_from_csv", "SELECT idx AS bin_idx, mz - 0.5::DOUBLE AS lo, mz + 0.5::DOUBLE AS hi, name FROM lip")
@@ -92,10 +97,28 @@ def s8(s, d):
     return text.lipid_window(P.lipids(s, d), C("idx") == 7)
 
 
-@op("S9_scan_logs", "SELECT event_id, event_type AS problem, round(value, 3) AS score FROM events")
+RUNS = """, ru AS (SELECT event_type AS problem, CASE WHEN user_id % 5 < 3 THEN 'tic' ELSE 'none' END AS normalization, user_id % 2 = 0 AS grouped, round(value / 500, 3) AS v, 0.5 + (user_id % 5) / 50 AS occ, user_id % 10 AS run FROM events),
+lg AS (SELECT problem, normalization, grouped, round(avg(v), 6) AS score, round(max(occ), 2) AS max_occ FROM ru GROUP BY problem, normalization, grouped, run)
+"""
+
+
+def logs(s, d):
+    """Run logs, a folder for each run as its file name: most frequent class, scores, importances."""
+    head = "2022-01-01 [root] [INFO] : "
+    e = P.table(s, d, "events").select("event_type", (C("user_id") % 10).alias("run"), "event_id", F.format_string("%.3f", F.round(C("value") / 500, 3)).alias("v"))
+    norm, cv = F.when(C("run") % 5 < 3, "_norm_tic").otherwise("_no_norm"), F.when(C("run") % 2 == 0, "_gcv.log").otherwise("_cv.log")
+    e = e.withColumn("file", F.concat("event_type", F.lit("@"), C("run").cast("string"), norm, cv))
+    scores = e.groupBy("file", F.floor(C("event_id") / 1000)).agg(F.concat(F.lit(head + "scores: ["), F.concat_ws(" ", F.collect_list("v")), F.lit("]")).alias("value"))
+    occ = e.select("file", F.concat(F.lit(head + "max rel. occurrence = "), F.format_string("%.2f", 0.5 + (C("run") % 5) / 50)).alias("value")).distinct()
+    imp = e.select("file", F.explode(F.array(*[F.lit(f"{head}  {i} ( bin {i} ) : 0.{i}") for i in (1, 2)])).alias("value")).distinct()
+    path = sinks.place(e)
+    scores.select("file", "value").unionByName(occ).unionByName(imp).write.partitionBy("file").text(path)
+    return path
+
+
+@op("S9_scan_logs", RUNS + "SELECT * FROM lg")
 def s9(s, d):
-    lines = P.table(s, d, "events").select("event_id", F.concat(F.lit("2022 [root] [INFO] : "), "event_type", F.lit(" score="), F.format_string("%.3f", F.round("value", 3))).alias("value"))
-    return text.scan_logs(lines)
+    return text.run_scores(text.scan_logs(s, logs(s, d))).select(F.split("problem", "@")[0].alias("problem"), "normalization", "grouped", F.round("score", 6).alias("score"), F.round("max_occ", 2).alias("max_occ"))
 
 
 @op("S10_load_mask", "SELECT y, x, v > (SELECT max(v) FROM tic) / 2 AS on_ FROM tic")
@@ -124,7 +147,8 @@ def s13(s, d):
 @op("S14_write_bins_csv", "SELECT idx % 4 AS step, CAST(row_number() OVER (PARTITION BY idx % 4 ORDER BY mz - width, idx) AS INTEGER) AS pos, round(mz - width, 4) AS lo, round(mz + width, 4) AS hi FROM lip")
 def s14(s, d):
     step = C("idx") % 4
-    return P.lipids(s, d).select(step.alias("step"), F.row_number().over(Window.partitionBy(step).orderBy(C("mz") - C("width"), "idx")).alias("pos"), r4(C("mz") - C("width"), "lo"), r4(C("mz") + C("width"), "hi"))
+    pos = F.row_number().over(Window.partitionBy(step).orderBy(C("mz") - C("width"), "idx"))
+    return sinks.written(P.lipids(s, d).select(step.alias("step"), pos.alias("pos"), r4(C("mz") - C("width"), "lo"), r4(C("mz") + C("width"), "hi")), "csv")
 
 
 @op("S15_write_labels", "SELECT spectrum_id, region, target, round(CASE WHEN region = 1 THEN weight / 2 ELSE weight END, 4) AS weight FROM lab")
@@ -154,14 +178,16 @@ def p3(s, d):
     return P.spectra(s, d).filter("len > 0").select("spectrum_id")
 
 
-@op("P4_roi_filter", "SELECT spectrum_id, idx FROM pk WHERE spectrum_id IN (SELECT spectrum_id FROM lab WHERE region = 1)")
+@op("P4_roi_filter", "SELECT lab.spectrum_id, idx, idx IS NULL AS missing FROM lab LEFT JOIN pk USING (spectrum_id) WHERE region = 1")
 def p4(s, d):
-    return P.peaks(s, d).join(P.labels(s, d).filter("region = 1"), "spectrum_id", "left_semi").select("spectrum_id", "idx")
+    """Peaks of the region of interest; its pixels without a spectrum are told as missing."""
+    roi = P.labels(s, d).filter("region = 1").select("spectrum_id")
+    return roi.join(P.peaks(s, d).select("spectrum_id", "idx"), "spectrum_id", "left").withColumn("missing", C("idx").isNull())
 
 
 @op("P5_mass_filter", "SELECT spectrum_id, idx, mz, intensity FROM pk WHERE mz > 100 AND mz < 500 AND intensity > 20")
 def p5(s, d):
-    return P.peaks(s, d).filter("mz > 100 and mz < 500 and intensity > 20").select("spectrum_id", "idx", "mz", "intensity")
+    return B.mass_filter(P.peaks(s, d), 100, 500, 20, "flag").select("spectrum_id", "idx", "mz", "intensity")
 
 
 @op("P6_mz_window", "SELECT spectrum_id, array_to_string(list(CAST(CAST(intensity AS BIGINT) AS VARCHAR) ORDER BY mz, intensity), ',') AS ints FROM pk WHERE mz BETWEEN 200 AND 400 AND spectrum_id IN (SELECT spectrum_id FROM lab WHERE region = 2) GROUP BY 1")
@@ -192,10 +218,11 @@ def p10(s, d):
     return G.presence(by_tic(s, d), 2).select("y", "x")
 
 
-@op("P11_clip_mask", "SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN v >= 0.3 * m THEN 1.0 ELSE 0.0 END), 6) AS tpr FROM tic, (SELECT max(v) AS m FROM tic)")
+@op("P11_clip_mask", "SELECT *, least(tpr, 1 - tpr) >= 0.4 AS accepted FROM (SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN v >= 0.3 * m THEN 1.0 ELSE 0.0 END), 6) AS tpr FROM tic, (SELECT max(v) AS m FROM tic))")
 def p11(s, d):
     t = by_tic(s, d)
-    return t.join(F.broadcast(t.agg(F.max("v").alias("m")))).agg(count(), F.round(F.avg(F.when(C("v") >= 0.3 * C("m"), 1.0).otherwise(0.0)), 6).alias("tpr"))
+    share = t.join(F.broadcast(t.agg(F.max("v").alias("m")))).agg(count(), F.round(F.avg(F.when(C("v") >= 0.3 * C("m"), 1.0).otherwise(0.0)), 6).alias("tpr"))
+    return share.withColumn("accepted", F.least(C("tpr"), 1 - C("tpr")) >= 0.4)
 
 
 @op("P12_random_mask", "SELECT y, x, substr(md5(y || '_' || x || '|7'), 1, 1) < '8' AS on_ FROM tic")
@@ -238,10 +265,14 @@ def p15(s, d):
     return P.labels(s, d).filter(C("target").isin("F", "O")).select("spectrum_id", F.when(C("target") == "F", 0).otherwise(1).alias("y"))
 
 
-@op("P16_label_mode", "SELECT spectrum_id, flag, CAST(w AS DOUBLE) AS w FROM (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY w DESC, flag) AS r FROM (SELECT spectrum_id, flag, sum(intensity) AS w FROM pk GROUP BY 1, 2)) WHERE r = 1")
+@op("P16_label_mode", """, w AS (SELECT spectrum_id, flag, CAST(sum(intensity) AS DOUBLE) AS w FROM pk GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY w DESC, flag) AS r, count(*) OVER (PARTITION BY spectrum_id) AS n FROM w)
+SELECT 'highest' AS mode, spectrum_id, flag, w FROM k WHERE r = 1 UNION ALL SELECT 'drop' AS mode, spectrum_id, flag, w FROM k WHERE n = 1 UNION ALL SELECT 'soft' AS mode, spectrum_id, flag, w FROM k""")
 def p16(s, d):
+    """Pixels with several labels: the heaviest one, only pixels with one, or a row for each label."""
     w = P.peaks(s, d).groupBy("spectrum_id", "flag").agg(F.sum("intensity").alias("w"))
-    return w.groupBy("spectrum_id").agg(F.min(F.struct((-C("w")).alias("k"), "flag")).alias("m")).select("spectrum_id", C("m.flag").alias("flag"), (-C("m.k")).alias("w"))
+    top = w.groupBy("spectrum_id").agg(F.min(F.struct((-C("w")).alias("k"), "flag")).alias("m"), count()).select("n", "spectrum_id", C("m.flag").alias("flag"), (-C("m.k")).alias("w"))
+    one = top.select(F.explode(F.when(C("n") == 1, F.array(F.lit("highest"), F.lit("drop"))).otherwise(F.array(F.lit("highest")))).alias("mode"), "spectrum_id", "flag", "w")
+    return one.unionByName(w.select(F.lit("soft").alias("mode"), "spectrum_id", "flag", "w"))
 
 
 @op("P17_min_weight_filter", "SELECT spectrum_id FROM lab WHERE weight >= 0.2")
@@ -249,9 +280,10 @@ def p17(s, d):
     return P.labels(s, d).filter("weight >= 0.2").select("spectrum_id")
 
 
-@op("P18_grouping_key", "SELECT spectrum_id, ann AS by_annotation, region AS by_region FROM lab")
+@op("P18_grouping_key", "SELECT spectrum_id, spectrum_id AS by_none, ann AS by_annotation, region AS by_region FROM lab")
 def p18(s, d):
-    return P.labels(s, d).select("spectrum_id", C("ann").alias("by_annotation"), C("region").alias("by_region"))
+    """Groups for cross-validation: each row its own, its annotation, its region."""
+    return P.labels(s, d).select("spectrum_id", C("spectrum_id").alias("by_none"), C("ann").alias("by_annotation"), C("region").alias("by_region"))
 
 
 @op("P19_pairplot_table", "SELECT vec_id, max(value) FILTER (channel = 0) AS f0, max(value) FILTER (channel = 1) AS f1, 'class ' || label AS class FROM dn GROUP BY vec_id, label")
@@ -307,11 +339,11 @@ def j5(s, d):
     return B.bin_sum(P.peaks(s, d).join(P.labels(s, d).filter("region = 1"), "spectrum_id", "left_semi"), bins(s), ["y", "x"]).withColumn("value", F.round("value", 4))
 
 
-@op("J6_flatten_dense", "SELECT vec_id, channel, value, target FROM dn WHERE region = 1")
+@op("J6_flatten_dense", "SELECT vec_id, channel, value, target, region FROM dn")
 def j6(s, d):
-    x = P.dense(s, d)
-    one = x.select("vec_id", "target", "region").distinct().filter("region = 1")
-    return x.select("vec_id", "channel", "value").join(one, "vec_id").select("vec_id", "channel", "value", "target")
+    """Continuous spectra of all regions with their labels."""
+    label = P.table(s, d, "embeddings").select("vec_id", (C("label") % 2).alias("target"), (C("vec_id") % 3).alias("region"))
+    return P.dense(s, d).select("vec_id", "channel", "value").join(label, "vec_id").select("vec_id", "channel", "value", "target", "region")
 
 
 @op("J7_bin_spectrum_map", "SELECT dataset, flag, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL")
@@ -337,15 +369,19 @@ def j10(s, d):
     return G.coverage(geo, ["ann_id"], 4)
 
 
-@op("J11_onehot_annotations", ANN + INSIDE + "SELECT DISTINCT term, y, x FROM cov")
+@op("J11_onehot_annotations", ANN + INSIDE + ", te AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS pos FROM (SELECT DISTINCT term FROM ann)) SELECT DISTINCT term, pos, y, x FROM cov JOIN te USING (term)")
 def j11(s, d):
-    return coverage(s, d).select("term", "y", "x").distinct()
+    """Rasters of each term in a required order of terms (a vocabulary, so it may be collected)."""
+    terms = sorted(r.term for r in annotations(s, d).select("term").distinct().collect())
+    return G.onehot(coverage(s, d), annotations(s, d), terms)
 
 
 @op("J12_map_term_to_class", "SELECT s_suppkey AS ann_id, n_regionkey AS class FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def j12(s, d):
+    """Each term's first class: the regions' nations come before two wide classes that hold them as well."""
     n = P.table(s, d, "nation").select(C("n_nationkey").alias("term"), C("n_regionkey").alias("class"))
-    return annotations(s, d).join(n, "term").select("ann_id", "class")
+    sets = n.unionByName(n.select("term", (C("term") % 2 + 5).alias("class")))
+    return G.first_class(annotations(s, d).select("ann_id", "term"), sets).select("ann_id", "class")
 
 
 @op("J13_assign_annotation", ANN + INSIDE + "SELECT term, y, x, ann_id FROM (SELECT *, row_number() OVER (PARTITION BY term, y, x ORDER BY md5(CAST(ann_id AS VARCHAR) || '|5'), ann_id) AS r FROM cov) WHERE r = 1")
@@ -361,11 +397,11 @@ def j14(s, d):
     return met.join(groups, "ann_id").select("group_id", "ann_id", "y", "x", "v")
 
 
-@op("J15_make_collection", "SELECT vec_id, channel, value, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS group_id FROM dn WHERE region = 0")
+@op("J15_make_collection", "SELECT vec_id, channel, value, CAST(dense_rank() OVER (ORDER BY region, label) AS INTEGER) AS group_id FROM dn")
 def j15(s, d):
     x = P.dense(s, d)
-    groups = x.filter("region = 0").select("label").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("label")))
-    return x.filter("region = 0").join(F.broadcast(groups), "label").select("vec_id", "channel", "value", "group_id")
+    groups = x.select("region", "label").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("region", "label")))
+    return x.join(groups, ["region", "label"]).select("vec_id", "channel", "value", "group_id")
 
 
 @op("J16_resolve_overlap", "SELECT y, x, dataset, w FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY w DESC, dataset) AS r FROM (SELECT y, x, dataset, max(intensity) AS w FROM pk GROUP BY ALL)) WHERE r = 1")
@@ -379,9 +415,10 @@ def j17(s, d):
     return B.nearest_bin(P.lipids(s, d).select("idx", "mz"), bins(s), 20.0).select("idx", "bin_idx")
 
 
-@op("J18_nearest_to_one", "SELECT spectrum_id, min(abs(intensity - 1)) FILTER (mz BETWEEN 300 AND 400) AS gap FROM pk GROUP BY 1")
+@op("J18_nearest_to_one", "SELECT spectrum_id, arg_min(intensity, abs(intensity - 1)) FILTER (mz BETWEEN 300 AND 400) AS nearest FROM pk GROUP BY 1")
 def j18(s, d):
-    return P.peaks(s, d).groupBy("spectrum_id").agg(F.min(F.when(C("mz").between(300, 400), F.abs(C("intensity") - 1))).alias("gap"))
+    """The intensity nearest to 1 within a mass window; null without a peak there."""
+    return P.peaks(s, d).groupBy("spectrum_id").agg(F.min_by("intensity", F.when(C("mz").between(300, 400), F.abs(C("intensity") - 1))).alias("nearest"))
 
 
 @op("J19_ion_image", "SELECT y, x, round(coalesce(sum(intensity) FILTER (mz BETWEEN 450 AND 550), 0), 4) AS value FROM pk GROUP BY y, x")
@@ -389,16 +426,16 @@ def j19(s, d):
     return G.ion_image(P.peaks(s, d), 500.0, 50.0).withColumn("value", F.round("value", 4))
 
 
-@op("J20_lipid_images", ", l AS (SELECT * FROM lip WHERE idx <= 200) SELECT l.idx AS bin_idx, y, x, round(sum(intensity), 4) AS value FROM pk p JOIN l ON p.mz BETWEEN l.mz - width AND l.mz + width GROUP BY ALL")
+@op("J20_lipid_images", "SELECT l.idx AS bin_idx, y, x, round(sum(intensity), 4) AS value FROM pk p JOIN lip l ON p.mz BETWEEN l.mz - width AND l.mz + width GROUP BY ALL")
 def j20(s, d):
-    windows = P.lipids(s, d).filter("idx <= 200").select(C("idx").alias("bin_idx"), (C("mz") - C("width")).alias("lo"), (C("mz") + C("width")).alias("hi"))
+    windows = P.lipids(s, d).select(C("idx").alias("bin_idx"), (C("mz") - C("width")).alias("lo"), (C("mz") + C("width")).alias("hi"))
     return B.bin_sum(P.peaks(s, d), windows, ["y", "x"]).withColumn("value", F.round("value", 4))
 
 
-@op("J21_compare_axes", """, a AS (SELECT y, x, list(DISTINCT mz) AS m FROM pk WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT y, x, list(DISTINCT mz) AS m FROM pk WHERE dataset = 'O' GROUP BY ALL)
-SELECT count(*) FILTER (list_sort(a.m) = list_sort(b.m))::BIGINT AS same, count(*) FILTER (list_sort(a.m) <> list_sort(b.m))::BIGINT AS different FROM a JOIN b USING (y, x)""")
+@op("J21_compare_axes", """, a AS (SELECT y, x, list(mz ORDER BY mz) AS m FROM pk WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT y, x, list(mz ORDER BY mz) AS m FROM pk WHERE dataset = 'O' GROUP BY ALL)
+SELECT count(*) FILTER (a.m = b.m)::BIGINT AS same, count(*) FILTER (a.m <> b.m)::BIGINT AS different FROM a JOIN b USING (y, x)""")
 def j21(s, d):
-    a, b = two(s, d, "F", "O", F.sort_array(F.collect_set("mz")))
+    a, b = two(s, d, "F", "O", F.sort_array(F.collect_list("mz")))
     return a.join(b, ["y", "x"]).agg(F.count_if(C("a") == C("b")).alias("same"), F.count_if(C("a") != C("b")).alias("different"))
 
 
@@ -408,10 +445,13 @@ def j22(s, d):
     return a.join(b, ["y", "x"], "full_outer").select("y", "x", (C("a") - C("b")).alias("diff"))
 
 
-@op("J23_compare_normalization", ", t AS (SELECT y, x, intensity / (intensity / sum(intensity) OVER (PARTITION BY spectrum_id)) AS q FROM pk) SELECT y, x, round(avg(q), 3) AS mean, round(stddev_pop(q), 3) AS std FROM t GROUP BY ALL")
+@op("J23_compare_normalization", ", t AS (SELECT y, x, intensity / nullif(intensity / nullif(sum(intensity) OVER (PARTITION BY spectrum_id), 0), 0) AS q FROM pk) SELECT y, x, round(avg(CASE WHEN q IS NULL THEN 1.0 ELSE 0.0 END), 4) AS undefined, round(avg(q), 3) AS mean, round(stddev_pop(q), 3) AS std FROM t GROUP BY ALL")
 def j23(s, d):
-    q = C("intensity") / (C("intensity") / F.sum("intensity").over(Window.partitionBy("spectrum_id")))
-    return P.peaks(s, d).select("y", "x", q.alias("q")).groupBy("y", "x").agg(F.round(F.avg("q"), 3).alias("mean"), F.round(F.stddev_pop("q"), 3).alias("std"))
+    """Raw over normalised intensity for each pixel: share without a value, mean, deviation."""
+    zero = F.lit(0.0)
+    q = C("intensity") / F.nullif(C("intensity") / F.nullif(F.sum("intensity").over(Window.partitionBy("spectrum_id")), zero), zero)
+    out = P.peaks(s, d).select("y", "x", q.alias("q")).groupBy("y", "x")
+    return out.agg(F.round(F.avg(C("q").isNull().cast("double")), 4).alias("undefined"), F.round(F.avg("q"), 3).alias("mean"), F.round(F.stddev_pop("q"), 3).alias("std"))
 
 
 @op("J24_compare_labels", ", c AS (SELECT target, region, sum(weight) AS w FROM lab GROUP BY ALL) SELECT a.target, round(coalesce(b.w, 0) - coalesce(a.w, 0), 3) AS diff FROM (SELECT * FROM c WHERE region = 0) a FULL JOIN (SELECT * FROM c WHERE region = 1) b ON a.target = b.target")
@@ -427,12 +467,14 @@ def j25(s, d):
 
 @op("J26_background_class", ANN + INSIDE + "SELECT y, x, 'background' AS class FROM tic WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.y = tic.y AND cov.x = tic.x)")
 def j26(s, d):
-    return by_tic(s, d).join(coverage(s, d), ["y", "x"], "left_anti").select("y", "x", F.lit("background").alias("class"))
+    return G.background(by_tic(s, d), coverage(s, d).withColumn("class", C("term").cast("string")), "background").select("y", "x", "class")
 
 
-@op("J27_registration_map", ANN + INSIDE + "SELECT DISTINCT term, CAST(floor((y - 2) / 1.5) AS BIGINT) AS y, CAST(floor((x - 1) / 1.5) AS BIGINT) AS x FROM cov WHERE y >= 2 AND x >= 1")
+@op("J27_registration_map", ANN + INSIDE + ", mp AS (SELECT DISTINCT term, CAST(floor((y + 2) / 1.5) AS BIGINT) AS y, CAST(floor((x + 1) / 1.5) AS BIGINT) AS x FROM cov) SELECT term, y, x, min(y) OVER () AS y0, max(y) OVER () + 1 AS y1, min(x) OVER () AS x0, max(x) OVER () + 1 AS x1 FROM mp")
 def j27(s, d):
-    return coverage(s, d).filter("y >= 2 and x >= 1").select("term", G.map_index(C("y"), 2, 1.5).alias("y"), G.map_index(C("x"), 1, 1.5).alias("x")).distinct()
+    """Annotated pixels in image coordinates and the box around all of them; a pixel outside the image is an error."""
+    met = G.registered(coverage(s, d), (-2, -1), 1.5, (100, 100)).select("term", "y", "x").distinct()
+    return met.join(F.broadcast(G.bounding_box(met)))  # one row
 
 
 NORM = "SELECT spectrum_id, idx, round(intensity / {}, 4) AS value FROM pk"
@@ -504,22 +546,30 @@ def a13(s, d):
     return B.range_join(p, grid).groupBy("bin_idx").agg(F.sum(F.exp(-0.5 * z * z) / (5 * F.sqrt(2 * F.pi())) * C("intensity")).alias("t")).join(F.broadcast(n)).select("bin_idx", F.round(C("t") / C("n"), 5).alias("value"))
 
 
-@op("A14_class_balance", "SELECT target, count(*)::BIGINT AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lab GROUP BY 1")
+@op("A14_class_balance", ", c AS (SELECT target, count(*)::BIGINT AS n, count(*) / sum(count(*)) OVER () AS q FROM lab GROUP BY 1) SELECT target, n, round(q, 6) AS share, round(min(q) OVER (), 6) AS least, round(1 / count(*) OVER (), 6) AS chance, round(max(q) OVER (), 6) AS imbalance FROM c")
 def a14(s, d):
-    return P.labels(s, d).groupBy("target").agg(count()).select("target", "n", F.round(C("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
+    """Rows of each class, their share, the smallest and the largest share (the imbalance), and chance."""
+    all_ = Window.partitionBy()  # over classes
+    q = C("n") / F.sum("n").over(all_)
+    c = P.labels(s, d).groupBy("target").agg(count()).withColumn("q", q)
+    chance = 1 / F.count("*").over(all_)
+    most = F.max("q").over(all_)
+    return c.select("target", "n", F.round("q", 6).alias("share"), F.round(F.min("q").over(all_), 6).alias("least"), F.round(chance, 6).alias("chance"), F.round(most, 6).alias("imbalance"))
+
+
+def vectors(s, d):
+    """Continuous spectra as vectors in `v`."""
+    return P.table(s, d, "embeddings").select("vec_id", array_to_vector(C("embedding").cast("array<double>")).alias("v"))
 
 
 @op("A15_correlation_pairs", "SELECT a.channel AS f, b.channel AS g, round(corr(a.value, b.value), 4) AS r FROM dn a JOIN dn b ON a.vec_id = b.vec_id AND a.channel < b.channel GROUP BY ALL HAVING abs(corr(a.value, b.value)) > 0.1")
 def a15(s, d):
-    x = P.dense(s, d).select("vec_id", "channel", "value")
-    a, b = x.withColumnsRenamed({"channel": "f", "value": "u"}), x.withColumnsRenamed({"channel": "g", "value": "v"})
-    return a.join(b, "vec_id").filter("f < g").groupBy("f", "g").agg(F.corr("u", "v").alias("r")).filter("abs(r) > 0.1").withColumn("r", F.round("r", 4))
+    return stats.correlations(vectors(s, d)).filter("f < g and abs(r) > 0.1").withColumn("r", F.round("r", 4))
 
 
-@op("A16_spearman_matrix", ", q AS (SELECT vec_id, channel, rank() OVER (PARTITION BY channel ORDER BY value) + (count(*) OVER (PARTITION BY channel, value) - 1) / 2 AS k FROM dn WHERE channel < 8) SELECT a.channel AS f, b.channel AS g, round(corr(a.k, b.k), 4) AS r FROM q a JOIN q b USING (vec_id) GROUP BY ALL")
+@op("A16_spearman_matrix", ", q AS (SELECT vec_id, channel, rank() OVER (PARTITION BY channel ORDER BY value) + (count(*) OVER (PARTITION BY channel, value) - 1) / 2 AS k FROM dn) SELECT a.channel AS f, b.channel AS g, round(corr(a.k, b.k), 4) AS r FROM q a JOIN q b USING (vec_id) GROUP BY ALL")
 def a16(s, d):
-    x = P.dense(s, d).filter("channel < 8").select("vec_id", "channel", stats.average_rank("value", "channel").alias("k"))
-    return x.withColumnsRenamed({"channel": "f", "k": "u"}).join(x.withColumnsRenamed({"channel": "g", "k": "v"}), "vec_id").groupBy("f", "g").agg(r4(F.corr("u", "v"), "r"))
+    return stats.correlations(vectors(s, d), "spearman").withColumn("r", F.round("r", 4))
 
 
 @op("A17_masked_size", "SELECT count(*)::BIGINT AS n, CAST(sum(len) * 8 AS BIGINT) AS bytes FROM sp JOIN lab USING (spectrum_id) WHERE region = 1")
@@ -549,20 +599,28 @@ def a21(s, d):
     return P.table(s, d, "events").groupBy(C("event_type").alias("step"), (C("user_id") % 5).alias("fold")).agg(r4(F.avg("value"), "mean"), r4(F.stddev_samp("value"), "std"))
 
 
-@op("A22_count_selected_models", "SELECT event_type AS problem, count(*)::BIGINT AS n FROM events WHERE round(value, 3) > 250 GROUP BY 1")
+@op("A22_count_selected_models", RUNS + "SELECT problem, count(*)::BIGINT AS n FROM lg WHERE score > max_occ GROUP BY 1")
 def a22(s, d):
-    return s9(s, d).filter("score > 250").groupBy("problem").agg(count()).orderBy(F.desc("n"))
+    """Logged models above the share of the most frequent class, by problem."""
+    return s9(s, d).filter("score > max_occ").groupBy("problem").agg(count()).orderBy(F.desc("n"))
 
 
 @op("A23_registration_error", ", e AS (SELECT (l_tax - l_discount) AS e FROM lineitem) SELECT round(quantile_cont(e, 0.0), 6) AS q0, round(quantile_cont(e, 0.25), 6) AS q1, round(quantile_cont(e, 0.5), 6) AS q2, round(quantile_cont(e, 0.75), 6) AS q3, round(quantile_cont(e, 1.0), 6) AS q4 FROM e")
 def a23(s, d):
-    q = P.table(s, d, "lineitem").agg(F.percentile(C("l_tax") - C("l_discount"), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
-    return q.select(*[F.round(C("q")[i], 6).alias(f"q{i}") for i in range(5)])
+    e = P.table(s, d, "lineitem").select((C("l_tax") - C("l_discount")).alias("e"))
+    q = stats.quantiles(e, "e", [0.0, 0.25, 0.5, 0.75, 1.0])
+    return s.createDataFrame([[round(v, 6) for v in q]], ", ".join(f"q{i} double" for i in range(5)))
 
 
-@op("A24_intensity_logstats", "SELECT round(avg(ln(intensity)), 6) AS mu, round(stddev_samp(ln(intensity)), 6) AS sigma FROM pk WHERE mz > 0 AND intensity > 0")
+@op("A24_intensity_logstats", """, m AS (SELECT avg(ln(intensity)) AS mu, stddev_samp(ln(intensity)) AS sigma FROM pk WHERE mz > 0 AND intensity > 0), pr AS (SELECT avg(CASE WHEN target = 'F' THEN 1.0 ELSE 0.0 END) AS prior FROM lab WHERE target IN ('F', 'O'))
+SELECT spectrum_id, idx, round(exp((ln(intensity) - mu) / sigma), 4) AS scaled, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(prior, 6) AS prior FROM pk, m, pr WHERE mz > 0 AND intensity > 0""")
 def a24(s, d):
-    return P.peaks(s, d).filter("mz > 0 and intensity > 0").agg(F.round(F.avg(F.ln("intensity")), 6).alias("mu"), F.round(F.stddev_samp(F.ln("intensity")), 6).alias("sigma"))
+    """Intensities on a common log scale, with the two moments of the scale and the share of the positive class."""
+    p = P.peaks(s, d).filter("mz > 0 and intensity > 0")
+    m = p.agg(F.avg(F.ln("intensity")).alias("mu"), F.stddev_samp(F.ln("intensity")).alias("sigma"))
+    prior = P.labels(s, d).filter(C("target").isin("F", "O")).agg(F.avg((C("target") == "F").cast("double")).alias("prior"))
+    both = p.join(F.broadcast(m)).join(F.broadcast(prior))  # one row each
+    return both.select("spectrum_id", "idx", r4(F.exp((F.ln("intensity") - C("mu")) / C("sigma")), "scaled"), *[F.round(c, 6).alias(c) for c in ("mu", "sigma", "prior")])
 
 
 @op("A25_length_diff_hist", ", a AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'O' GROUP BY ALL) SELECT a.n - b.n AS diff, count(*)::BIGINT AS n FROM a JOIN b USING (y, x) GROUP BY 1")
@@ -605,12 +663,11 @@ def w4(s, d):
     return q.select("vec_id", "channel", r4(C("channel") + 0.5 * (C("l") - C("r")) / (C("l") - 2 * C("value") + C("r")), "apex"))
 
 
-@op("W5_deisotope", "SELECT DISTINCT b.spectrum_id, b.idx FROM pk a JOIN pk b ON a.spectrum_id = b.spectrum_id AND b.mz BETWEEN a.mz + 1.00335 - 0.2 AND a.mz + 1.00335 + 0.2 AND b.intensity <= a.intensity")
+@op("W5_deisotope", """, e AS (SELECT a.spectrum_id, a.idx AS i, b.idx AS j, a.intensity AS ia, b.intensity AS ib FROM pk a JOIN pk b ON a.spectrum_id = b.spectrum_id AND b.mz BETWEEN a.mz + 50 - 40 AND a.mz + 50 + 40),
+t AS (SELECT x.spectrum_id, x.j AS second, y.j AS third FROM e x JOIN e y ON x.spectrum_id = y.spectrum_id AND x.j = y.i WHERE y.ib <= y.ia) SELECT spectrum_id, second AS idx FROM t UNION SELECT spectrum_id, third AS idx FROM t""")
 def w5(s, d):
-    """Followers one isotope spacing above a stronger peak of the same spectrum."""
-    p = P.peaks(s, d).select("spectrum_id", "idx", "mz", "intensity")
-    a = p.select("spectrum_id", (C("mz") + 1.00335 - 0.2).alias("lo"), (C("mz") + 1.00335 + 0.2).alias("hi"), C("intensity").alias("i0"))
-    return p.join(a, "spectrum_id").filter("mz between lo and hi and intensity <= i0").select("spectrum_id", "idx").distinct()
+    """Followers in chains of three or more peaks; the spacing is wide, as the table's masses are."""
+    return B.isotope_followers(P.peaks(s, d), spacing=50, tol=40)
 
 
 IMP = ", imp AS (SELECT channel, round(avg(abs(value)), 4) AS v FROM dn GROUP BY 1)\n"
@@ -620,10 +677,9 @@ def importances(s, d):
     return P.dense(s, d).groupBy("channel").agg(F.round(F.avg(F.abs("value")), 4).alias("v"))
 
 
-@op("W6_cumulative_importance", IMP + "SELECT channel, v FROM (SELECT *, coalesce(sum(v) OVER (ORDER BY v DESC, channel ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(v) OVER () AS total FROM imp) WHERE before <= 0.8 * total")
+@op("W6_cumulative_importance", IMP + "SELECT channel, v FROM (SELECT *, sum(v) OVER (ORDER BY v DESC, channel ROWS UNBOUNDED PRECEDING) AS run, sum(v) OVER () AS total FROM imp) WHERE run <= 0.8 * total")
 def w6(s, d):
-    w = Window.orderBy(F.desc("v"), "channel").rowsBetween(Window.unboundedPreceding, -1)
-    return importances(s, d).select("channel", "v", F.coalesce(F.sum("v").over(w), F.lit(0.0)).alias("before"), F.sum("v").over(Window.partitionBy()).alias("total")).filter("before <= 0.8 * total").select("channel", "v")
+    return stats.leading_share(importances(s, d), 0.8).select("channel", "v")
 
 
 @op("W7_bh_adjust", ", p AS (SELECT channel, v / 2 AS p FROM (SELECT channel, round(avg(abs(value)), 4) AS v FROM dn GROUP BY 1)), k AS (SELECT *, row_number() OVER (ORDER BY p, channel) AS r, count(*) OVER () AS m FROM p) SELECT channel, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC)), 6) AS adjusted FROM k")
@@ -631,9 +687,11 @@ def w7(s, d):
     return stats.bh_adjust(importances(s, d).select("channel", (C("v") / 2).alias("p"))).select("channel", F.round("adjusted", 6).alias("adjusted"))
 
 
-@op("W8_monotone", "SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS value FROM events")
+@op("W8_monotone", ", q AS (SELECT user_id, event_id, value, min(CASE WHEN event_id % 97 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM events) SELECT user_id, event_id, CASE WHEN stop IS NULL OR event_id < stop THEN max(value) OVER (PARTITION BY user_id ORDER BY event_id) ELSE value END AS value FROM q")
 def w8(s, d):
-    return P.table(s, d, "events").select("user_id", "event_id", F.max("value").over(Window.partitionBy("user_id").orderBy("event_id")).alias("value"))
+    """Running maximum of a sequence up to its sentinel (null here), from which on the values stay."""
+    e = P.table(s, d, "events").select("user_id", "event_id", F.when(C("event_id") % 97 != 0, C("value")).alias("v"), "value")
+    return stats.monotone(e, ["user_id"], "event_id", "v").select("user_id", "event_id", F.coalesce("v", "value").alias("value"))
 
 
 @op("W9_peak_overlap", "SELECT round(avg(greatest((mz + 3 * width) - (nm - 3 * nw), 0)), 6) AS overlap FROM (SELECT mz, width, lead(mz) OVER (ORDER BY mz, idx) AS nm, lead(width) OVER (ORDER BY mz, idx) AS nw FROM lip) WHERE nm IS NOT NULL")
@@ -693,23 +751,23 @@ def k5(s, d):
     return by_tic(s, d).orderBy(F.desc("v"), "y", "x").limit(20)
 
 
-@op("K6_keep_upper_half", IMP + "SELECT channel FROM (SELECT *, row_number() OVER (ORDER BY v DESC, channel) AS r, count(*) OVER () AS n FROM imp) WHERE r <= n // 2")
+@op("K6_keep_upper_half", IMP + "SELECT channel FROM (SELECT *, row_number() OVER (ORDER BY v DESC, channel) AS r, count(*) OVER () AS n FROM imp) WHERE r <= (n + 1) // 2")
 def k6(s, d):
-    return importances(s, d).select("channel", F.row_number().over(Window.orderBy(F.desc("v"), "channel")).alias("r"), F.count("*").over(Window.partitionBy()).alias("n")).filter("r <= n div 2").select("channel")
+    return stats.upper_half(importances(s, d)).select("channel")
 
 
 def part(s, d, region):
     return P.labels(s, d).filter(C("region") == region).select("spectrum_id", "target", "ann")
 
 
-@op("U1_merge_datasets", "SELECT spectrum_id, target, CAST(region AS INTEGER) AS dataset FROM lab WHERE region < 2")
+@op("U1_merge_datasets", "SELECT spectrum_id, target, CAST(region AS INTEGER) AS dataset FROM lab")
 def u1(s, d):
-    return G.merge([part(s, d, 0), part(s, d, 1)]).select("spectrum_id", "target", "dataset")
+    return G.merge([part(s, d, i) for i in range(3)]).select("spectrum_id", "target", "dataset")
 
 
-@op("U2_merge_collections", "SELECT spectrum_id, CAST(dense_rank() OVER (ORDER BY region, ann) AS INTEGER) AS group_id FROM lab WHERE region < 2")
+@op("U2_merge_collections", "SELECT spectrum_id, CAST(dense_rank() OVER (ORDER BY region, ann) AS INTEGER) AS group_id FROM lab")
 def u2(s, d):
-    m = G.merge([part(s, d, 0), part(s, d, 1)])
+    m = G.merge([part(s, d, i) for i in range(3)])
     return m.join(m.select("dataset", "ann").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("dataset", "ann"))), ["dataset", "ann"]).select("spectrum_id", "group_id")
 
 
@@ -718,10 +776,12 @@ def u3(s, d):
     return G.merge([part(s, d, i) for i in range(3)]).groupBy("target").agg(count())
 
 
-@op("U4_merge_regions", "SELECT spectrum_id, region, region * 10 + CAST(substr(ann, 1, 1) AS BIGINT) AS ann_idx FROM lab")
+@op("U4_merge_regions", """, l AS (SELECT spectrum_id, region, CAST(substr(ann, 1, 1) AS BIGINT) AS ann_idx FROM lab),
+o AS (SELECT region, coalesce(sum(max(ann_idx)) OVER (ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM l GROUP BY 1) SELECT spectrum_id, region, CAST(ann_idx + first AS BIGINT) AS ann_idx FROM l JOIN o USING (region)""")
 def u4(s, d):
-    x = P.labels(s, d)
-    return x.select("spectrum_id", "region", (C("region") * 10 + F.substring("ann", 1, 1).cast("long")).alias("ann_idx"))
+    """All regions in one table; annotations of a region are numbered after those of the regions before."""
+    x = P.labels(s, d).select("spectrum_id", "region", F.substring("ann", 1, 1).cast("long").alias("ann_idx"))
+    return G.merge_regions([x.filter(C("region") == i) for i in range(3)], [bins(s)] * 3)
 
 
 @op("U5_concat_spectra", "SELECT spectrum_id, len FROM sp")
@@ -775,9 +835,13 @@ def t2(s, d):
     return x.select("bin_idx", F.round(C("a") + C("bin_idx") * C("w"), 8).alias("lo"), F.round(C("a") + (C("bin_idx") + 1) * C("w"), 8).alias("hi"))
 
 
-@op("T3_fticr_bin_index")
+FTICR = (8.0, 1051.0, 1000)
+
+
+@op("T3_fticr_bin_index", f""", ed AS (SELECT 0 AS k, {FTICR[0]}::DOUBLE AS v UNION ALL SELECT k + 1 AS k, v + {G.fticr_factor(*FTICR)!r}::DOUBLE * v * v AS v FROM ed WHERE k < {FTICR[2]}),
+eb AS (SELECT k, v AS lo, lead(v) OVER (ORDER BY k) AS hi FROM ed) SELECT spectrum_id, idx, CAST(k AS BIGINT) AS bin_idx FROM pk JOIN eb ON mz >= lo AND mz < hi""", recursive=True)
 def t3(s, d):
-    return G.fticr_index(P.peaks(s, d), 8.0, 1051.0, 1000).select("spectrum_id", "idx", "bin_idx")
+    return G.fticr_index(P.peaks(s, d), *FTICR).select("spectrum_id", "idx", "bin_idx")
 
 
 @op("T4_val_tol_bins", "SELECT idx, mz - 0.01::DOUBLE AS lo, mz + 0.01::DOUBLE AS hi FROM lip")
@@ -803,16 +867,21 @@ def t7(s, d):
     return g.select("ann_id", r4(C("p.x"), "px"), r4(C("p.y"), "py"))
 
 
-@op("T8_translate_geometry", ANN + "SELECT ann_id, round((x0 - 5) / 2 + 10, 4) AS px, round(20 - ((y0 - 7) / 2), 4) AS py FROM ann")
+@op("T8_translate_geometry", ANN + "SELECT ann_id, round(14 - ((y0 - 7) / 2 - 10), 4) AS px, round(18 - ((x0 - 5) / 2 - 15), 4) AS py FROM ann")
 def t8(s, d):
-    m = G.compose(((1.0, 0.0, -5.0), (0.0, 1.0, -7.0)), ((0.5, 0.0, 0.0), (0.0, 0.5, 0.0)), ((1.0, 0.0, 10.0), (0.0, -1.0, 20.0)))
+    """Overlay to template: translate, scale, centre, rotate, flip, crop as one matrix."""
+    m = G.template_matrix((5, 7), 2.0, (60, 40), 1, flip_ud=True, crop=(4, 3))
     return annotations(s, d).select("ann_id", G.affine(G.wkt_polygon("wkt"), m)[0].alias("p")).select("ann_id", r4(C("p.x"), "px"), r4(C("p.y"), "py"))
 
 
-@op("T9_bbox_registration", ", a AS (SELECT min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM tic WHERE v > 100), b AS (SELECT min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM tic WHERE v > 200) SELECT round((b.y1 - b.y0) / (a.y1 - a.y0), 6) AS sy, round((b.x1 - b.x0) / (a.x1 - a.x0), 6) AS sx FROM a, b")
+@op("T9_bbox_registration", """, a AS (SELECT min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM tic WHERE v > 100), b AS (SELECT min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM tic WHERE v > 200),
+q AS (SELECT (b.y1 - b.y0) / (a.y1 - a.y0) AS sy, (b.x1 - b.x0) / (a.x1 - a.x0) AS sx, b.x1 - b.x0 > b.y1 - b.y0 AS wide, a.y0 AS ya, a.x0 AS xa, b.y0 AS yb, b.x0 AS xb FROM a, b), f AS (SELECT *, CASE WHEN wide THEN sx ELSE sy END AS f FROM q)
+SELECT round(sy, 6) AS sy, round(sx, 6) AS sx, round(f, 6) AS f, round(xb - f * xa, 4) AS tx, round(yb - f * ya, 4) AS ty FROM f""")
 def t9(s, d):
-    a, b = (G.bounding_box(by_tic(s, d).filter(C("v") > t)).toDF(*[f"{c}{n}" for c in ("y0", "y1", "x0", "x1")]) for t, n in ((100, "a"), (200, "b")))
-    return a.join(b).select(F.round((C("y1b") - C("y0b")) / (C("y1a") - C("y0a")), 6).alias("sy"), F.round((C("x1b") - C("x0b")) / (C("x1a") - C("x0a")), 6).alias("sx"))
+    """Scales between the boxes of two masks, and the matrix (f 0 tx; 0 f ty) of offset, scale by the longer side, offset."""
+    a, b = (G.bounding_box(by_tic(s, d).filter(C("v") > t)).first() for t in (100, 200))
+    sy, sx, m = G.box_registration(tuple(a), tuple(b))
+    return s.createDataFrame([(round(sy, 6), round(sx, 6), round(m[0][0], 6), round(m[0][2], 4), round(m[1][2], 4))], "sy double, sx double, f double, tx double, ty double")
 
 
 @op("T10_wkt_polygon", ANN + "SELECT ann_id, 4::BIGINT AS n, CAST(x0 AS DOUBLE) AS px, CAST(y0 AS DOUBLE) AS py FROM ann")
@@ -873,6 +942,6 @@ def x2(s, d):
     return wide.select("spectrum_id", F.posexplode("features").alias("bin_idx", "value")).filter("value > 0").select("spectrum_id", big(C("bin_idx")).alias("bin_idx"), r4(C("value"), "value"))
 
 
-@op("X3_pad_images", "SELECT g.y, g.x, coalesce(v, -1.0) AS v FROM (SELECT a.range AS y, b.range AS x FROM range(100) a, range(50) b) g LEFT JOIN tic USING (y, x)")
+@op("X3_pad_images", "SELECT g.y, g.x, coalesce(v, -1.0) AS v FROM (SELECT a.range AS y, b.range AS x FROM range(100) a, (SELECT unnest(range((SELECT max(x) + 1 FROM tic))) AS range) b) g LEFT JOIN tic USING (y, x)")
 def x3(s, d):
-    return G.pad_image(by_tic(s, d), 100, 50, -1.0, s)
+    return G.pad_image(by_tic(s, d), 100, by_tic(s, d).agg(F.max("x") + 1).first()[0], -1.0, s)

@@ -5,12 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def place(df: DataFrame) -> str:
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spectraline-")
-    return f"{root.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    return f"{shared_root(df.sparkSession)}/sink-{uuid.uuid4().hex}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one if one machine runs all; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spectraline-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, which cuts its plan."""
+    return written(df)
 
 
 def written(df: DataFrame, kind: str = "parquet", path: str | None = None) -> DataFrame:
