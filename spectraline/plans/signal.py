@@ -129,7 +129,7 @@ def s10(s, d):
 @op("S11_write_binned", "SELECT spectrum_id, bin_idx, round((lo + hi) / 2, 4) AS centre, round(sum(intensity), 4) AS value FROM pk JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL")
 def s11(s, d):
     b = bins(s)
-    out = B.bin_sum(P.peaks(s, d), b, ["spectrum_id"]).join(F.broadcast(b), "bin_idx")
+    out = B.bin_sum(P.peaks(s, d), b, ["spectrum_id"]).join(b, "bin_idx")
     return sinks.written(out.select("spectrum_id", "bin_idx", r4((C("lo") + C("hi")) / 2, "centre"), r4(C("value"), "value")))
 
 
