@@ -10,9 +10,10 @@ So exact filters come first, all of them shuffles on hashes that keep every repe
 2. runs: the windows under the anchors left, as maximal runs of words; equal runs collapse to the smallest
    doc_id, so that groups of copies shrink to one before windows are spelled out;
 3. owners: the smallest doc_id of each window of these runs.
-The passages that own repeated windows are the reference. They are dealt to shards of bounded size by owner;
-in each task the shard's suffix automaton is built and the segments routed to it are streamed for matching
-statistics, which alone decide what is removed. A shard that many segments reach is copied to several tasks.
+The passages that own repeated windows are the reference, as are runs that have copies. They are dealt to shards of bounded
+size by owner, copied runs in pieces by their hash; in each task the shard's suffix automaton is built and the segments routed
+to it are streamed for matching statistics, which alone decide what is removed. Of equal runs one is streamed for all, asking
+for documents above the smallest that has it. A shard that many segments reach is copied to several tasks.
 
 A row is known by its doc_id and the hash of its text (`key`), so rows that repeat a doc_id keep their own spans; doc_id
 alone decides which document is smaller, and rows of one doc_id never remove words from each other.
@@ -37,7 +38,7 @@ from spectraline.llm.words import U, Words, mix, runs, signed, slices, words
 
 LENGTH, GRAM = 13, 6
 WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
-SHARD_WORDS, TASK_WORDS = 40_000, 1_000_000
+SHARD_WORDS, TASK_WORDS, PIECE = 40_000, 1_000_000, 20_000
 
 
 def window_anchors(w: Words, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,6 +146,25 @@ def _deal(length: int, shards: int):
     return put
 
 
+def _copied(length: int, shards: int):
+    """Runs that have copies, in pieces of PIECE windows: each as reference of its document and as a segment (kind 2) that asks for the next greater one."""
+
+    def put(batches):
+        for batch in batches:
+            out = []
+            for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k1", "text")), strict=True):
+                tokens = text.split(" ")
+                for lo in range(0, len(tokens) - length + 1, PIECE):
+                    words_ = tokens[lo : lo + PIECE + length - 1]
+                    shard = int(mix(np.array([(h + lo) % (1 << 64)], U))[0] % U(shards))
+                    out += [(shard, kind, doc + kind // 2, h, lo, len(words_), " ".join(words_)) for kind in (0, 2)]
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "kind", "doc_id", "key", "start", "n", "text"])
+
+    return put
+
+
 def _judge(length: int):
     """Rows come sorted by (shard, copy, kind): passages of a shard, then the segments to stream through its automaton."""
 
@@ -163,9 +183,9 @@ def _judge(length: int):
                     ready = True
                 owners = machine.owners_of_windows(text.split(" "), length)
                 ends = np.array([i for i, o in enumerate(owners) if o is not None and o < doc], np.int64)
-                out += [(doc, key, start + a - length + 1, start + b + 1) for a, b in spans_of(ends)]
-            columns = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "key", "lo", "hi"])
+                out += [(kind, doc, key, start + a - length + 1, start + b + 1) for a, b in spans_of(ends)]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["kind", "doc_id", "key", "lo", "hi"])
 
     return put
 
@@ -179,24 +199,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     marks = anchors.join(several, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
     found = docs.join(marks, "doc_id").mapInArrow(_run(length, gram), "doc_id long, key long, start long, n long, text string")
     found = cut(found.withColumns({"k1": F.xxhash64("text"), "k2": F.md5("text")}), "runs")
-    first = cut(found.groupBy("k1", "k2").agg(F.min("doc_id").alias("least")), "first")
+    first = cut(found.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "first")
     placed = found.join(first, ["k1", "k2"])
-    whole = placed.filter("doc_id > least").select("doc_id", "key", F.col("start").alias("lo"), (F.col("start") + F.col("n") + length - 1).alias("hi"))
-    rep = placed.filter("doc_id = least").select("doc_id", "key", "start", "text")
+    rep = placed.filter("doc_id = least").select("doc_id", "key", "start", "text", "k1", (F.col("most") > F.col("least")).alias("copied"))
     rep = cut(rep.withColumn("run", F.xxhash64("key", "start")), "distinct-runs")
-    window = rep.mapInArrow(_windows(length), "h long, doc_id long, run long, offset int")
+    window = rep.select("doc_id", "run", "text").mapInArrow(_windows(length), "h long, doc_id long, run long, offset int")
     # A window that collapsed runs alone share is still owned by the run that stands for them, and need not be looked at.
     owners = window.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).filter("owner < hi").select("h", "owner")
     owned = window.join(owners, "h").groupBy("doc_id", "run").agg(F.collect_set(F.struct("offset", "owner")).alias("owned"))
     total = rep.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, int(total // (6 * SHARD_WORDS)))
     schema = "shard long, kind int, doc_id long, key long, start long, n long, text string"
-    dealt = cut(rep.dropDuplicates(["doc_id", "run"]).join(owned, ["doc_id", "run"]).mapInArrow(_deal(length, shards), schema), "dealt")
-    load = dealt.groupBy("shard").agg(F.ceil(F.sum(F.col("kind") * F.col("n")) / TASK_WORDS).cast("int").alias("copies")).filter("copies > 0")
+    dealt = rep.select("doc_id", "key", "start", "text", "run").dropDuplicates(["doc_id", "run"]).join(owned, ["doc_id", "run"]).mapInArrow(_deal(length, shards), schema)
+    copied = rep.filter("copied").select("doc_id", "k1", "text").dropDuplicates(["doc_id", "k1"]).mapInArrow(_copied(length, shards), schema)
+    dealt = cut(dealt.unionByName(copied), "dealt")
+    load = dealt.filter("kind > 0").groupBy("shard").agg(F.ceil(F.sum("n") / TASK_WORDS).cast("int").alias("copies"))
     each = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int")))
     routed = dealt.join(load, "shard").withColumn("copy", F.explode(each)).select("shard", "copy", "kind", "doc_id", "key", "start", "text")
     sorted_ = routed.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "doc_id", "key", "start")
-    return whole.union(sorted_.mapInArrow(_judge(length), "doc_id long, key long, lo long, hi long"))
+    judged = cut(sorted_.mapInArrow(_judge(length), "kind long, doc_id long, key long, lo long, hi long"), "judged")
+    own = judged.filter("kind = 1").select("doc_id", "key", "lo", "hi")
+    of_run = judged.filter("kind = 2").select((F.col("doc_id") - 1).alias("least"), F.col("key").alias("k1"), "lo", "hi")
+    copies = placed.filter("doc_id > least").select("doc_id", "key", "start", "least", "k1").join(of_run, ["least", "k1"])
+    return own.union(copies.select("doc_id", "key", F.col("start") + F.col("lo"), F.col("start") + F.col("hi")))
 
 
 def text_key() -> Column:
