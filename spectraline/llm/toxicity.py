@@ -1,10 +1,11 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
 Training. Of the labelled rows that may be learnt from, at most SAMPLE toxic and SAMPLE ordinary ones are used,
-in the order of md5(doc_id): a documented bound, as this fits a classifier. Dictionaries by zstd's own trainer, on windows of one
-to eight words, did not separate the classes (held-out AUC 0.49 to 0.75, see README), so both are put together here instead. Of a text over LIMIT code points a span of
-LIMIT is learnt from, at a place drawn by that md5. The ordinary dictionary holds the commonest ordinary words; the toxic
-one holds the stretches of words of toxic texts made of 4-grams that toxic documents have far more often than ordinary ones.
+in the order of md5(doc_id): a documented bound, as this fits a classifier. Of a text over LIMIT code points a span of
+LIMIT is learnt from, at a place drawn by that md5. Both dictionaries are made by zstd's trainer, the ordinary one from the words of
+ordinary texts, the toxic one from the stretches of words of toxic texts made of 4-grams that toxic documents have far more
+often than ordinary ones: trained on toxic texts as they are, it holds what both kinds share (held-out AUC 0.49 to 0.75, see README).
+The commonest words and stretches that the trainer leaves out, as it does with few samples, follow after its dictionary.
 
 Scoring. A window is one word with a space at each end. It is compressed with either dictionary behind a lead
 that both end in, which pays for the first sequence of a frame, so that the difference of the two lengths is
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 SAMPLE, LIMIT, LEAST_WEIGHT, GRAM = 1500, 20_000, 2.5, 4
 LEAD = b"<<>>[[]]{{}}##@@"
 KEPT_WORDS, MOST = 200_000, 8.0
+ORDINARY_BYTES, TOXIC_BYTES = 8192, 4096
 WORD = regex.compile(r"\p{L}+")
 
 
@@ -110,20 +112,33 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> Classifier:
             share[y].update({g for w in word_set(t) for g in grams(w)})
     scale = len(toxic) / max(1, len(ordinary))
     telling = {g for g, n in share[1].items() if n >= max(3, 0.004 * len(toxic)) and n >= 20 * (share[0][g] * scale + 0.3)}
-    common, cores = Counter(), Counter()
-    for t in ordinary:
-        common.update(word_set(t))
+    samples, cores, common = [], Counter(), Counter()
     for t in toxic:
-        found = set()
-        for w in word_set(t):
+        found = []
+        for w in WORD.findall(t.lower()):
+            w = f" {w} "
             hit = [i for i, g in enumerate(grams(w)) if g in telling]
             if hit:
                 lo, hi = hit[0], hit[-1] + GRAM
-                found.add(w[lo - (lo == 1) : hi + (hi == len(w) - 1)])
-        cores.update(found)
-    top = lambda c, n: [x for x, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]]
+                found.append(w[lo - (lo == 1) : hi + (hi == len(w) - 1)])
+        cores.update(set(found))
+        if found:
+            samples.append("".join(found).encode())
+    for t in ordinary:
+        common.update(word_set(t))
+    words = [f" {' '.join(WORD.findall(t.lower()))} ".encode() for t in ordinary]
     least = max(3, 0.002 * len(toxic))
-    return Classifier("".join(reversed(top(common, 1000))).encode(), "|".join(reversed([x for x in top(cores, 400) if cores[x] >= least])).encode(), 0.0).start()
+    return Classifier(dictionary(words, common, 1000, 1, ORDINARY_BYTES), dictionary(samples, cores, 400, least, TOXIC_BYTES), 0.0).start()
+
+
+def dictionary(samples: list[bytes], pieces: Counter, most: int, least: float, size: int) -> bytes:
+    """A dictionary by zstd's trainer, and after it those of the commonest pieces that the trainer left out, as it does where samples are few."""
+    try:
+        base = zstd.train_dictionary(size, samples, k=50, d=8).as_bytes()
+    except (zstd.ZstdError, ValueError):
+        base = b""
+    top = sorted((x for x, n in pieces.items() if n >= least), key=lambda x: (-pieces[x], x))[:most]
+    return base + "|".join(reversed([x for x in top if x.encode() not in base])).encode()[-size:]
 
 
 def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Classifier:
