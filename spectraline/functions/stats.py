@@ -70,9 +70,15 @@ def average_rank(value: str, *by: str) -> Column:
 def welch_t(long: DataFrame, bonferroni: bool = False) -> DataFrame:
     """channel, t, dof, p from rows (channel, target 0/1, value); Bonferroni's p is not clipped."""
     side = lambda y: F.when(F.col("target") == y, F.col("value"))
-    a = long.groupBy("channel").agg(*[f(side(y)).alias(f"{n}{y}") for y in (0, 1) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
+    a = (
+        long.groupBy("channel")
+        .agg(*[f(side(y)).alias(f"{n}{y}") for y in (0, 1) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
+    )
     e0, e1 = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
-    out = a.select("channel", ((F.col("m0") - F.col("m1")) / F.sqrt(e0 + e1)).alias("t"), ((e0 + e1) ** 2 / (e0 * e0 / (F.col("n0") - 1) + e1 * e1 / (F.col("n1") - 1))).alias("dof"))
+    out = a.select(
+        "channel", ((F.col("m0") - F.col("m1")) / F.sqrt(e0 + e1)).alias("t"),
+        ((e0 + e1) ** 2 / (e0 * e0 / (F.col("n0") - 1) + e1 * e1 / (F.col("n1") - 1))).alias("dof"),
+    )
     p = t_two_sided("t", "dof")
     return out.withColumn("p", p * long.select("channel").distinct().count() if bonferroni else p)
 
@@ -82,7 +88,10 @@ def mann_whitney(long: DataFrame) -> DataFrame:
     ties = long.groupBy("channel", "value").agg(F.count("*").alias("t"), F.sum((F.col("target") == 0).cast("long")).alias("t0"))
     w = Window.partitionBy("channel").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ties.withColumn("r", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2)
-    s = ranked.groupBy("channel").agg(F.sum(F.col("r") * F.col("t0")).alias("r0"), F.sum("t0").alias("n0"), F.sum("t").alias("n"), F.sum(F.col("t") ** 3 - F.col("t")).alias("tie"))
+    s = (
+        ranked.groupBy("channel")
+        .agg(F.sum(F.col("r") * F.col("t0")).alias("r0"), F.sum("t0").alias("n0"), F.sum("t").alias("n"), F.sum(F.col("t") ** 3 - F.col("t")).alias("tie"))
+    )
     n0, n = F.col("n0"), F.col("n")
     u = F.col("r0") - n0 * (n0 + 1) / 2
     mean, var = n0 * (n - n0) / 2, n0 * (n - n0) / 12 * ((n + 1) - F.col("tie") / (n * (n - 1)))
@@ -152,7 +161,12 @@ def ranked(rows: DataFrame, bucket: Column, order: list, by: tuple = (), name: s
     sizes = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
     sizes = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    return rows.withColumn("_place", F.row_number().over(inside)).join(F.broadcast(sizes), [*by, "_bucket"]).withColumn(name, F.col("_first") + F.col("_place")).drop("_bucket", "_first", "_place")
+    return (
+        rows.withColumn("_place", F.row_number().over(inside))
+        .join(F.broadcast(sizes), [*by, "_bucket"])
+        .withColumn(name, F.col("_first") + F.col("_place"))
+        .drop("_bucket", "_first", "_place")
+    )
 
 
 def quantiles(rows: DataFrame, value: str, shares: list[float], buckets: int = 64) -> list[float]:

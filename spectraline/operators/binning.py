@@ -51,7 +51,10 @@ def isotope_followers(peaks: DataFrame, spacing: float = 1.00335, tol: float = 0
     """
     p = peaks.select("spectrum_id", "idx", "mz", "intensity")
     width = 2 * tol
-    to = p.select("spectrum_id", F.col("idx").alias("i"), F.col("intensity").alias("ia"), (F.col("mz") + spacing - tol).alias("lo"), (F.col("mz") + spacing + tol).alias("hi"))
+    to = p.select(
+        "spectrum_id", F.col("idx").alias("i"), F.col("intensity").alias("ia"), (F.col("mz") + spacing - tol).alias("lo"),
+        (F.col("mz") + spacing + tol).alias("hi"),
+    )
     to = to.withColumn("_cell", F.explode(cells(F.col("lo"), F.col("hi"), width)))
     steps = p.withColumn("_cell", F.floor(F.col("mz") / width)).join(to, ["spectrum_id", "_cell"]).filter("mz between lo and hi")
     steps = steps.select("spectrum_id", "i", F.col("idx").alias("j"), "ia", F.col("intensity").alias("ib"))
@@ -63,7 +66,10 @@ def isotope_followers(peaks: DataFrame, spacing: float = 1.00335, tol: float = 0
 def segments(peaks: DataFrame, keys: list[str]) -> DataFrame:
     """Neighbouring peaks of a spectrum as (m0, i0, m1, i1)."""
     w = Window.partitionBy(*keys).orderBy("mz", "intensity", "idx")
-    out = peaks.select(*keys, F.col("mz").alias("m0"), F.col("intensity").alias("i0"), F.lead("mz").over(w).alias("m1"), F.lead("intensity").over(w).alias("i1"))
+    out = (
+        peaks
+        .select(*keys, F.col("mz").alias("m0"), F.col("intensity").alias("i0"), F.lead("mz").over(w).alias("m1"), F.lead("intensity").over(w).alias("i1"))
+    )
     return out.filter("m1 > m0")
 
 
@@ -72,7 +78,11 @@ def bin_integrate(peaks: DataFrame, bins: DataFrame, keys: list[str], gap: str =
     if gap == "leak":
         bins = bins.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("bin_idx")), F.col("lo")))
     width = width or cell_width(bins)
-    seg = segments(peaks, keys).withColumn("c0", F.floor(F.col("m0") / width)).withColumn("_cell", F.explode(cells(F.col("m0"), F.col("m1"), width)))
+    seg = (
+        segments(peaks, keys)
+        .withColumn("c0", F.floor(F.col("m0") / width))
+        .withColumn("_cell", F.explode(cells(F.col("m0"), F.col("m1"), width)))
+    )
     b = bins.withColumn("b0", F.floor(F.col("lo") / width)).withColumn("_cell", F.explode(cells(F.col("lo"), F.col("hi"), width)))
     met = seg.join(b, "_cell").filter("_cell = greatest(c0, b0) and least(m1, hi) > greatest(m0, lo)")
     a, z = F.greatest("m0", "lo"), F.least("m1", "hi")
@@ -101,7 +111,10 @@ def soft_bin(peaks: DataFrame, centres: DataFrame, keys: list[str]) -> DataFrame
 def merge_above(flags: DataFrame) -> DataFrame:
     """Bins (bin_idx, lo, hi, ok) whose flag holds, runs of neighbours merged into one (lo, hi)."""
     w = Window.orderBy("bin_idx")
-    out = flags.withColumn("_new", F.when(F.col("ok") & ~F.coalesce(F.lag("ok").over(w), F.lit(False)), 1).otherwise(0)).withColumn("island", F.sum("_new").over(w))
+    out = (
+        flags.withColumn("_new", F.when(F.col("ok") & ~F.coalesce(F.lag("ok").over(w), F.lit(False)), 1).otherwise(0))
+        .withColumn("island", F.sum("_new").over(w))
+    )
     return out.filter("ok").groupBy("island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 

@@ -17,7 +17,13 @@ def density(value: Column, mu: Column, lv: Column) -> Column:
 def equispaced(spark: SparkSession, lo: float, hi: float, k: int, heads: tuple = ("n", "p")) -> DataFrame:
     """head, comp_idx, pi, mu, lv: means spread evenly (the middle if one), widths (hi - lo) / 2k, equal weights."""
     mu = F.lit((lo + hi) / 2) if k == 1 else lo + F.col("id") * ((hi - lo) / (k - 1))
-    rows = spark.range(k).select(F.explode(F.array(*[F.lit(h) for h in heads])).alias("head"), F.col("id").alias("comp_idx"), F.lit(1.0 / k).alias("pi"), mu.cast("double").alias("mu"), F.lit(2 * math.log((hi - lo) / (2 * k))).alias("lv"))
+    rows = (
+        spark.range(k)
+        .select(
+            F.explode(F.array(*[F.lit(h) for h in heads])).alias("head"), F.col("id").alias("comp_idx"),
+            F.lit(1.0 / k).alias("pi"), mu.cast("double").alias("mu"), F.lit(2 * math.log((hi - lo) / (2 * k))).alias("lv"),
+        )
+    )
     return rows
 
 
@@ -57,9 +63,15 @@ def em_sums(peaks: DataFrame, components: DataFrame) -> DataFrame:
     at = peaks.join(packed(components), "head")
     parts = F.transform("comps", lambda c: F.struct(c["comp_idx"].alias("comp_idx"), (c["pi"] * density(F.col("mz"), c["mu"], c["lv"])).alias("w")))
     at = at.withColumn("parts", parts).withColumn("total", F.aggregate("parts", F.lit(1e-300), lambda a, x: a + x["w"]))
-    each = at.select("head", "mz", "intensity", "total", F.explode("parts").alias("c")).withColumn("r", F.col("intensity") * F.col("c.w") / F.col("total"))
+    each = (
+        at.select("head", "mz", "intensity", "total", F.explode("parts").alias("c"))
+        .withColumn("r", F.col("intensity") * F.col("c.w") / F.col("total"))
+    )
     r = F.col("r")
-    return each.groupBy("head", F.col("c.comp_idx").alias("comp_idx")).agg(F.sum("r").alias("r"), F.sum(r * F.col("mz")).alias("m"), F.sum(r * F.col("mz") ** 2).alias("q"), F.sum(r * nll(F.col("total"))).alias("l"))
+    return (
+        each.groupBy("head", F.col("c.comp_idx").alias("comp_idx"))
+        .agg(F.sum("r").alias("r"), F.sum(r * F.col("mz")).alias("m"), F.sum(r * F.col("mz") ** 2).alias("q"), F.sum(r * nll(F.col("total"))).alias("l"))
+    )
 
 
 def fit(peaks: DataFrame, components: DataFrame, rounds: int = 20, tol: float = 1e-4) -> DataFrame:

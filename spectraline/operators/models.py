@@ -27,7 +27,10 @@ def order_key(key: str, seed: int = SEED) -> Column:
 def wide(dense: DataFrame) -> DataFrame:
     """id, features, target, grp, region from channel rows."""
     rows = dense.groupBy("vec_id", "target", "label", "region").agg(F.sort_array(F.collect_list(F.struct("channel", "value"))).alias("f"))
-    return rows.select(F.col("vec_id").alias("id"), F.col("f.value").alias("features"), "target", F.col("label").alias("grp"), "region").withColumn("v", array_to_vector("features"))
+    return (
+        rows.select(F.col("vec_id").alias("id"), F.col("f.value").alias("features"), "target", F.col("label").alias("grp"), "region")
+        .withColumn("v", array_to_vector("features"))
+    )
 
 
 def dealt_rank(rows: DataFrame, key: str = "id", seed: int = SEED, by: tuple = (), name: str = "k") -> DataFrame:
@@ -76,7 +79,10 @@ def estimator(kind: str, **options):
 
 
 def scored(model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).select("id", "target", "grp", "region", F.col("prediction"), vector_to_array("probability")[1].alias("score"))
+    return (
+        model.transform(rows)
+        .select("id", "target", "grp", "region", F.col("prediction"), vector_to_array("probability")[1].alias("score"))
+    )
 
 
 def cv_scores(rows: DataFrame, kind: str = "tree", **options) -> DataFrame:
@@ -85,7 +91,11 @@ def cv_scores(rows: DataFrame, kind: str = "tree", **options) -> DataFrame:
     for (fold,) in sorted(rows.select("fold").distinct().collect()):
         model = estimator(kind, **options).fit(rows.filter(F.col("fold") != fold))
         s = scored(model, rows.filter(F.col("fold") == fold)).withColumn("fold", F.lit(int(fold)))
-        part = s.groupBy("fold").agg(F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("accuracy")).join(roc_auc(s, "fold"), "fold")
+        part = (
+            s.groupBy("fold")
+            .agg(F.avg((F.col("prediction") == F.col("target")).cast("double")).alias("accuracy"))
+            .join(roc_auc(s, "fold"), "fold")
+        )
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -108,7 +118,10 @@ def importance_list(rows: DataFrame, trees: int = 10) -> np.ndarray:
 
 def changed(own: Column, other: Column, pick) -> Column:
     """An array with the places of another for which pick(place) is true."""
-    return F.zip_with(F.zip_with(own, other, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), F.sequence(F.lit(0), F.size(own) - 1), lambda p, i: F.when(pick(i), p["y"]).otherwise(p["x"]))
+    return F.zip_with(
+        F.zip_with(own, other, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), F.sequence(F.lit(0), F.size(own) - 1),
+        lambda p, i: F.when(pick(i), p["y"]).otherwise(p["x"]),
+    )
 
 
 def mda(rows: DataFrame, repeats: int = 5) -> DataFrame:
@@ -122,7 +135,10 @@ def mda(rows: DataFrame, repeats: int = 5) -> DataFrame:
     out = None
     for seed in range(repeats):
         each = with_partners(rows, seed).withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        each = each.withColumn("features", changed(F.col("features"), F.col("other"), lambda i: i == F.col("channel"))).withColumn("v", array_to_vector("features"))
+        each = (
+            each.withColumn("features", changed(F.col("features"), F.col("other"), lambda i: i == F.col("channel")))
+            .withColumn("v", array_to_vector("features"))
+        )
         one = model.transform(each).groupBy("channel").agg(accuracy(F.col("prediction") == F.col("target")).alias("a"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("channel").agg((base - F.avg("a")).alias("drop"), F.stddev_pop("a").alias("std"))
@@ -205,24 +221,47 @@ def forward_selection(rows: DataFrame, gain: float = 0.01) -> DataFrame:
     """
     spark = rows.sparkSession
     long = rows.select("id", "fold", "target", F.posexplode("features").alias("channel", "x"))
-    part = long.groupBy("channel", "fold", "target").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    part = (
+        long.groupBy("channel", "fold", "target")
+        .agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    )
     whole = part.groupBy("channel", "target").agg(*[F.sum(c).alias(f"{c}_all") for c in "nsq"])
-    rest = part.join(whole, ["channel", "target"]).select("channel", "fold", "target", *[(F.col(f"{c}_all") - F.col(c)).alias(c) for c in "nsq"])
+    rest = (
+        part.join(whole, ["channel", "target"])
+        .select("channel", "fold", "target", *[(F.col(f"{c}_all") - F.col(c)).alias(c) for c in "nsq"])
+    )
     mean = F.col("s") / F.col("n")
-    fit = rest.select("channel", "fold", "target", F.log("n").alias("prior"), mean.alias("mu"), F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(1e-9)).alias("var"))
+    fit = (
+        rest
+        .select(
+            "channel", "fold", "target", F.log("n").alias("prior"), mean.alias("mu"),
+            F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(1e-9)).alias("var"),
+        )
+    )
     of = lambda c, y: F.max(F.when(F.col("target") == y, F.col(c))).alias(f"{c}{y}")
     fit = fit.groupBy("channel", "fold").agg(*[of(c, y) for c in ("prior", "mu", "var") for y in (0, 1)])
     log = lambda y: -0.5 * (F.log(f"var{y}") + (F.col("x") - F.col(f"mu{y}")) ** 2 / F.col(f"var{y}"))
-    odds = sinks.stage(long.join(fit, ["channel", "fold"]).select("id", "fold", "target", "channel", (log(1) - log(0)).alias("odds"), (F.col("prior1") - F.col("prior0")).alias("prior")))
+    odds = (
+        sinks
+        .stage(long.join(fit, ["channel", "fold"]).select("id", "fold", "target", "channel", (log(1) - log(0)).alias("odds"), (F.col("prior1") - F.col("prior0")).alias("prior")))
+    )
     chosen: list[tuple[int, int, float]] = []
     while True:
         have = [c for _, c, _ in chosen]
         total = F.col("odds") + F.col("prior")
         tries = odds
         if have:
-            tries = odds.filter(~F.col("channel").isin(have)).join(odds.filter(F.col("channel").isin(have)).groupBy("id").agg(F.sum("odds").alias("base")), "id")
+            tries = (
+                odds.filter(~F.col("channel").isin(have))
+                .join(odds.filter(F.col("channel").isin(have)).groupBy("id").agg(F.sum("odds").alias("base")), "id")
+            )
             total = total + F.col("base")
-        each = tries.groupBy("channel", "fold").agg(accuracy((total > 0) == (F.col("target") == 1)).alias("a")).groupBy("channel").agg(F.avg("a").alias("score"))
+        each = (
+            tries.groupBy("channel", "fold")
+            .agg(accuracy((total > 0) == (F.col("target") == 1)).alias("a"))
+            .groupBy("channel")
+            .agg(F.avg("a").alias("score"))
+        )
         best = each.orderBy(F.desc("score"), "channel").first()
         if best is None or best.score < (chosen[-1][2] if chosen else 0.0) + gain:
             return spark.createDataFrame(chosen, "step int, channel int, score double")
@@ -234,7 +273,11 @@ def binned(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]])
     table = peaks.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bins)], "bin_idx long, lo double, hi double")
     value = binning.pivot_features(binning.bin_sum(peaks, table, ["id"]), ["id"], len(bins))
     none = F.array_repeat(F.lit(0.0), len(bins))
-    return labels.join(value, "id", "left").withColumn("features", F.coalesce("features", none)).withColumn("v", array_to_vector("features"))
+    return (
+        labels.join(value, "id", "left")
+        .withColumn("features", F.coalesce("features", none))
+        .withColumn("v", array_to_vector("features"))
+    )
 
 
 def progressive_bins(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]], limit: float) -> list[list[tuple]]:

@@ -42,13 +42,19 @@ def presence(image: DataFrame, divisor: float = 100) -> DataFrame:
 
 def ion_image(peaks: DataFrame, mz: float, tol: float) -> DataFrame:
     """Sum of intensity in [mz - tol, mz + tol] for every pixel with a spectrum; 0 where no peak is in the window."""
-    return peaks.groupBy("y", "x").agg(F.coalesce(F.sum(F.when(F.col("mz").between(mz - tol, mz + tol), F.col("intensity"))), F.lit(0.0)).alias("value"))
+    return (
+        peaks.groupBy("y", "x")
+        .agg(F.coalesce(F.sum(F.when(F.col("mz").between(mz - tol, mz + tol), F.col("intensity"))), F.lit(0.0)).alias("value"))
+    )
 
 
 def wkt_polygon(column: str) -> Column:
     """Vertices of a POLYGON with a single ring."""
     inner = F.regexp_extract(F.col(column), r"\(\(([^()]*)\)\)", 1)
-    return F.transform(F.split(inner, r"\s*,\s*"), lambda p: F.struct(F.split(p, " ")[0].cast("double").alias("x"), F.split(p, " ")[1].cast("double").alias("y")))
+    return F.transform(
+        F.split(inner, r"\s*,\s*"),
+        lambda p: F.struct(F.split(p, " ")[0].cast("double").alias("x"), F.split(p, " ")[1].cast("double").alias("y")),
+    )
 
 
 def affine(geometry: Column, m: Matrix) -> Column:
@@ -85,7 +91,10 @@ def coverage(annotations: DataFrame, keys: list[str], s: int = 16) -> DataFrame:
     """Share of each pixel's s * s sub-pixels that lie inside the polygon."""
     fine = annotations.withColumn("geometry", affine(F.col("geometry"), ((float(s), 0.0, 0.0), (0.0, float(s), 0.0))))
     sub = rasterize(fine, keys)
-    return sub.groupBy(*keys, F.floor(F.col("y") / s).alias("y"), F.floor(F.col("x") / s).alias("x")).agg((F.count("*") / (s * s)).alias("share"))
+    return (
+        sub.groupBy(*keys, F.floor(F.col("y") / s).alias("y"), F.floor(F.col("x") / s).alias("x"))
+        .agg((F.count("*") / (s * s)).alias("share"))
+    )
 
 
 def onehot(rasters: DataFrame, annotations: DataFrame, terms: list) -> DataFrame:
@@ -153,7 +162,10 @@ def connected(links: DataFrame) -> DataFrame:
     while True:
         seen = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("least").alias("m"))
         near = label.join(seen, "id").select("id", F.col("least").alias("old"), F.least("least", "m").alias("c"))
-        step = near.join(label.select(F.col("id").alias("c"), F.col("least").alias("j")), "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("least"), "old")
+        step = (
+            near.join(label.select(F.col("id").alias("c"), F.col("least").alias("j")), "c", "left")
+            .select("id", F.least("c", F.coalesce("j", "c")).alias("least"), "old")
+        )
         step = sinks.stage(step)
         label = step.select("id", "least")
         if step.filter("least <> old").isEmpty():
@@ -170,7 +182,10 @@ def components(pixels: DataFrame, tile: int = 256) -> DataFrame:
     local = sinks.stage(spot.groupBy(*by).applyInPandas(_local_blobs(tile), "y long, x long, blob long"))
     rim = local.filter(" or ".join(f"pmod({c}, {tile}) in (0, {tile - 1})" for c in ("y", "x")))
     around = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
-    to = rim.select(F.col("blob").alias("a"), F.explode(around).alias("o"), "y", "x").select("a", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    to = (
+        rim.select(F.col("blob").alias("a"), F.explode(around).alias("o"), "y", "x")
+        .select("a", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    )
     links = to.join(rim.select("y", "x", F.col("blob").alias("b")), ["y", "x"]).filter("a <> b").select("a", "b")
     whole = connected(links)
     return local.join(whole.withColumnRenamed("id", "blob"), "blob", "left").select("y", "x", F.coalesce("least", "blob").alias("blob"))
@@ -292,5 +307,8 @@ def fticr_index(peaks: DataFrame, lo: float, hi: float, n: int) -> DataFrame:
 
 
 def pad_image(image: DataFrame, height: int, width: int, fill: float, spark: SparkSession) -> DataFrame:
-    grid = spark.range(height).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("x"))
+    grid = (
+        spark.range(height)
+        .select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("x"))
+    )
     return grid.join(image, ["y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(fill)))

@@ -36,7 +36,11 @@ def f1(s, d):
 def f1p(s, d):
     """Two-sided p of Welch's t, as it is and times the number of features (Bonferroni, not clipped)."""
     x = long(s, d)
-    both = stats.welch_t(x).select("channel", "t", "dof", "p").join(stats.welch_t(x, bonferroni=True).select("channel", C("p").alias("bonferroni")), "channel")
+    both = (
+        stats.welch_t(x)
+        .select("channel", "t", "dof", "p")
+        .join(stats.welch_t(x, bonferroni=True).select("channel", C("p").alias("bonferroni")), "channel")
+    )
     return both
 
 
@@ -46,7 +50,10 @@ u AS (SELECT channel, sum(r) FILTER (target = 0) - count(*) FILTER (target = 0)
 """
 
 
-@op("F2_mann_whitney", MW + "SELECT channel, u, round((greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - tie / ((n0 + n1) * (n0 + n1 - 1)))), 4) AS z FROM u JOIN tie USING (channel)")
+@op(
+    "F2_mann_whitney",
+    MW + "SELECT channel, u, round((greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - tie / ((n0 + n1) * (n0 + n1 - 1)))), 4) AS z FROM u JOIN tie USING (channel)",
+)
 def f2(s, d):
     return stats.mann_whitney(long(s, d)).select("channel", "u", F.round("z", 4).alias("z"))
 
@@ -57,7 +64,10 @@ ad AS (SELECT channel, r, p, least(1.0, min(p * m / r) OVER (ORDER BY r DESC)) A
 def f3(s, d):
     """Features by U test, picked by false discovery rate or by count."""
     p = stats.bh_adjust(stats.mann_whitney(long(s, d)).select("channel", "p"))
-    return p.select("channel", (C("channel") + 0.5).alias("centre"), F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"), (C("adjusted") < 0.05).alias("by_fdr"), (C("rank") <= 8).alias("by_count"))
+    return p.select(
+        "channel", (C("channel") + 0.5).alias("centre"), F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"),
+        (C("adjusted") < 0.05).alias("by_fdr"), (C("rank") <= 8).alias("by_count"),
+    )
 
 
 @op("F4_mdi_importance")
@@ -82,7 +92,10 @@ def scores(s, d):
     return P.dense(s, d).groupBy("channel", (C("vec_id") % 4).alias("run")).agg(F.round(F.avg(F.abs("value")), 4).alias("v"))
 
 
-@op("F7_perm_fdr", SC + ", q AS (SELECT a.channel, row_number() OVER (ORDER BY a.v DESC, a.channel) AS r, (SELECT count(*) FROM sc b WHERE b.run > 0 AND b.v >= a.v) AS above FROM sc a WHERE run = 0) SELECT channel, round(max(least(1.0, above / 3 / r)) OVER (ORDER BY r), 4) AS fdr FROM q")
+@op(
+    "F7_perm_fdr",
+    SC + ", q AS (SELECT a.channel, row_number() OVER (ORDER BY a.v DESC, a.channel) AS r, (SELECT count(*) FROM sc b WHERE b.run > 0 AND b.v >= a.v) AS above FROM sc a WHERE run = 0) SELECT channel, round(max(least(1.0, above / 3 / r)) OVER (ORDER BY r), 4) AS fdr FROM q",
+)
 def f7(s, d):
     """Permuted scores at least as high, counted by one ordered pass over distinct scores; rates rise along the ranks."""
     x = scores(s, d)
@@ -106,7 +119,11 @@ def f9(s, d):
 
 def labelled(s, d):
     """Peaks and labels of spectra of two classes, for feature tables."""
-    t = P.labels(s, d).filter(C("target").isin("F", "O")).select(C("spectrum_id").alias("id"), (C("target") == "F").cast("int").alias("target"), C("region").alias("grp"), "region")
+    t = (
+        P.labels(s, d)
+        .filter(C("target").isin("F", "O"))
+        .select(C("spectrum_id").alias("id"), (C("target") == "F").cast("int").alias("target"), C("region").alias("grp"), "region")
+    )
     return P.peaks(s, d).select(C("spectrum_id").alias("id"), "mz", "intensity"), t
 
 
@@ -119,7 +136,10 @@ def f10(s, d):
     """Bins halved where the more important half is, until they are narrow: (step, bin_idx, lo, hi, importance, kept)."""
     p, t = labelled(s, d)
     steps = M.progressive_bins(p.cache(), t.cache(), START, LIMIT)
-    return s.createDataFrame([(k, i, *b) for k, step in enumerate(steps) for i, b in enumerate(step)], "step int, bin_idx int, lo double, hi double, importance double, kept boolean")
+    return s.createDataFrame(
+        [(k, i, *b) for k, step in enumerate(steps) for i, b in enumerate(step)],
+        "step int, bin_idx int, lo double, hi double, importance double, kept boolean",
+    )
 
 
 @op("F12_add_input_noise")
@@ -136,9 +156,19 @@ def f13(s, d):
     few = x.filter("channel < 4")
     seeded = lambda name: F.md5(F.concat(C("vec_id").cast("string"), F.lit(f"|{name}")))
     first = x.filter("channel = 0")
-    mixed = few.groupBy("vec_id").agg(F.round(F.sum(C("value") * C("channel")), 4).alias("value")).select("vec_id", F.lit(68).alias("channel"), "value")
-    noise = first.select("vec_id", F.lit(69).alias("channel"), F.round(F.conv(F.substring(seeded("noise"), 1, 8), 16, 10).cast("double") / 4294967296, 6).alias("value"))
-    dropped = first.select("vec_id", F.lit(70).alias("channel"), F.when(F.substring(seeded("drop"), 1, 1) < "4", 0.0).otherwise(C("value")).alias("value"))
+    mixed = (
+        few.groupBy("vec_id")
+        .agg(F.round(F.sum(C("value") * C("channel")), 4).alias("value"))
+        .select("vec_id", F.lit(68).alias("channel"), "value")
+    )
+    noise = (
+        first
+        .select("vec_id", F.lit(69).alias("channel"), F.round(F.conv(F.substring(seeded("noise"), 1, 8), 16, 10).cast("double") / 4294967296, 6).alias("value"))
+    )
+    dropped = (
+        first
+        .select("vec_id", F.lit(70).alias("channel"), F.when(F.substring(seeded("drop"), 1, 1) < "4", 0.0).otherwise(C("value")).alias("value"))
+    )
     doubled = few.withColumns({"channel": C("channel") + 64, "value": 2 * C("value")})
     return x.unionByName(doubled).unionByName(mixed).unionByName(noise).unionByName(dropped)
 
@@ -146,7 +176,10 @@ def f13(s, d):
 @op("F14_compare_importances")
 def f14(s, d):
     r = rows(s, d)
-    more = r.withColumn("features", F.concat("features", F.transform(F.slice("features", 1, 4), lambda x: 2 * x))).withColumn("v", M.array_to_vector("features"))
+    more = (
+        r.withColumn("features", F.concat("features", F.transform(F.slice("features", 1, 4), lambda x: 2 * x)))
+        .withColumn("v", M.array_to_vector("features"))
+    )
     a, b = M.importances(r).select("channel", C("importance").alias("before")), M.importances(more).select("channel", C("importance").alias("after"))
     return a.join(b, "channel", "full_outer")
 
@@ -173,7 +206,10 @@ def placed(s, d, *by):
     return k.join(F.broadcast(n), list(by)) if by else k.join(F.broadcast(n))  # a row for each class, or one
 
 
-@op("M1_train_test_split", V + f"SELECT vec_id, target, {ORD.format('PARTITION BY target')} <= round(0.7 * count(*) OVER (PARTITION BY target)) AS train FROM v")
+@op(
+    "M1_train_test_split",
+    V + f"SELECT vec_id, target, {ORD.format('PARTITION BY target')} <= round(0.7 * count(*) OVER (PARTITION BY target)) AS train FROM v",
+)
 def m1(s, d):
     return placed(s, d, "target").select("vec_id", "target", (C("k") <= F.round(0.7 * C("n"))).alias("train"))
 
@@ -204,12 +240,19 @@ def m6(s, d):
     r, out = rows(s, d).cache(), None
     for a in range(3):
         m = M.scored(M.estimator("tree").fit(r.filter(C("region") == a)), r)
-        one = m.groupBy("region").agg(F.avg((C("prediction") == C("target")).cast("double")).alias("accuracy")).withColumn("trained_on", F.lit(a))
+        one = (
+            m.groupBy("region")
+            .agg(F.avg((C("prediction") == C("target")).cast("double")).alias("accuracy"))
+            .withColumn("trained_on", F.lit(a))
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@op("M7_shuffle_labels", V + ", a AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM v), b AS (SELECT target, " + ORD.format("") + " AS k FROM v) SELECT vec_id, target FROM a JOIN b USING (k)")
+@op(
+    "M7_shuffle_labels",
+    V + ", a AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM v), b AS (SELECT target, " + ORD.format("") + " AS k FROM v) SELECT vec_id, target FROM a JOIN b USING (k)",
+)
 def m7(s, d):
     return M.shuffled_labels(each(s, d).withColumnRenamed("vec_id", "id")).select(C("id").alias("vec_id"), "target")
 
@@ -225,7 +268,11 @@ def m9(s, d):
     r, out = rows(s, d).cache(), None
     n = r.count()
     for c in (0.1, 1.0):
-        one = M.scored(M.estimator("l1", reg=1 / (c * n)).fit(r), r).agg(F.avg((C("prediction") == C("target")).cast("double")).alias("accuracy")).withColumn("c", F.lit(c))
+        one = (
+            M.scored(M.estimator("l1", reg=1 / (c * n)).fit(r), r)
+            .agg(F.avg((C("prediction") == C("target")).cast("double")).alias("accuracy"))
+            .withColumn("c", F.lit(c))
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -234,7 +281,11 @@ def m9(s, d):
 def m10(s, d):
     r, out = M.stratified_folds(rows(s, d), 2).cache(), None
     for kind, depth in (("tree", 2), ("tree", 4), ("forest", 2)):
-        one = M.cv_scores(r, kind, depth=depth).agg(F.avg("accuracy").alias("accuracy"), F.avg("auc").alias("auc")).select(F.lit(kind).alias("model"), F.lit(depth).alias("depth"), "accuracy", "auc")
+        one = (
+            M.cv_scores(r, kind, depth=depth)
+            .agg(F.avg("accuracy").alias("accuracy"), F.avg("auc").alias("auc"))
+            .select(F.lit(kind).alias("model"), F.lit(depth).alias("depth"), "accuracy", "auc")
+        )
         out = one if out is None else out.unionByName(one)
     return out.orderBy(F.desc("accuracy"))
 
@@ -260,10 +311,17 @@ def m12(s, d):
     return M.cv_scores(M.stratified_folds(rows(s, d), 3))
 
 
-@op("M13_accuracy", "SELECT user_id % 5 AS fold, round(avg(CASE WHEN (value > 245) = (event_id % 2 = 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(sum(CASE WHEN (value > 245) = (event_id % 2 = 0) THEN 1.0 + event_id % 3 ELSE 0.0 END) / sum(1.0 + event_id % 3), 6) AS weighted FROM events GROUP BY 1")
+@op(
+    "M13_accuracy",
+    "SELECT user_id % 5 AS fold, round(avg(CASE WHEN (value > 245) = (event_id % 2 = 0) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(sum(CASE WHEN (value > 245) = (event_id % 2 = 0) THEN 1.0 + event_id % 3 ELSE 0.0 END) / sum(1.0 + event_id % 3), 6) AS weighted FROM events GROUP BY 1",
+)
 def m13(s, d):
     hit, w = (C("value") > 245) == (C("event_id") % 2 == 0), 1.0 + C("event_id") % 3
-    return P.table(s, d, "events").groupBy((C("user_id") % 5).alias("fold")).agg(F.round(stats.accuracy(hit), 6).alias("accuracy"), F.round(stats.accuracy(hit, w), 6).alias("weighted"))
+    return (
+        P.table(s, d, "events")
+        .groupBy((C("user_id") % 5).alias("fold"))
+        .agg(F.round(stats.accuracy(hit), 6).alias("accuracy"), F.round(stats.accuracy(hit, w), 6).alias("weighted"))
+    )
 
 
 @op("M14_roc_auc", """, e AS (SELECT event_type, event_id % 2 AS t, round(value) AS v, 1.0 + event_id % 3 AS w FROM events), k AS (SELECT event_type, t, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2 AS r FROM e),
@@ -271,7 +329,10 @@ un AS (SELECT event_type, round((sum(r) FILTER (t = 1) - count(*) FILTER (t = 1)
 g AS (SELECT event_type, v, coalesce(sum(w) FILTER (t = 1), 0) AS p, coalesce(sum(w) FILTER (t = 0), 0) AS q FROM e GROUP BY ALL), c AS (SELECT *, p * (coalesce(sum(q) OVER (PARTITION BY event_type ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2) AS won FROM g),
 we AS (SELECT event_type, round(sum(won) / (sum(p) * sum(q)), 6) AS weighted FROM c GROUP BY 1) SELECT event_type, auc, weighted FROM un JOIN we USING (event_type)""")
 def m14(s, d):
-    e = P.table(s, d, "events").select("event_type", (C("event_id") % 2).alias("target"), F.round("value").alias("score"), (1.0 + C("event_id") % 3).alias("w"))
+    e = (
+        P.table(s, d, "events")
+        .select("event_type", (C("event_id") % 2).alias("target"), F.round("value").alias("score"), (1.0 + C("event_id") % 3).alias("w"))
+    )
     weighted = stats.roc_auc(e, "event_type", weight="w").select("event_type", F.round("auc", 6).alias("weighted"))
     return stats.roc_auc(e, "event_type").select("event_type", F.round("auc", 6).alias("auc")).join(weighted, "event_type")
 
@@ -288,15 +349,29 @@ def m15(s, d):
     w, all_ = Window.partitionBy("fold").orderBy(F.desc("value")), Window.partitionBy("fold")
     curve = g.select("fold", "value", (F.sum("q").over(w) / F.sum("q").over(all_)).alias("f1"), (F.sum("p").over(w) / F.sum("p").over(all_)).alias("t1"))
     step = curve.withColumns({"f0": F.coalesce(F.lag("f1").over(w), F.lit(0.0)), "t0": F.coalesce(F.lag("t1").over(w), F.lit(0.0))})
-    grid = step.filter("f1 > f0").withColumn("k", F.explode(F.sequence(F.floor(C("f0") * 99), F.least(F.lit(99).cast("long"), F.ceil(C("f1") * 99))))).withColumn("x", C("k") / 99)
-    at = grid.filter("x <= f1 and (x > f0 or k = 0 and f0 = 0)").select("fold", "k", (C("t0") + (C("t1") - C("t0")) * (C("x") - C("f0")) / (C("f1") - C("f0"))).alias("tpr"))
+    grid = (
+        step.filter("f1 > f0")
+        .withColumn("k", F.explode(F.sequence(F.floor(C("f0") * 99), F.least(F.lit(99).cast("long"), F.ceil(C("f1") * 99)))))
+        .withColumn("x", C("k") / 99)
+    )
+    at = (
+        grid.filter("x <= f1 and (x > f0 or k = 0 and f0 = 0)")
+        .select("fold", "k", (C("t0") + (C("t1") - C("t0")) * (C("x") - C("f0")) / (C("f1") - C("f0"))).alias("tpr"))
+    )
     return at.groupBy("k").agg(F.round(F.avg("tpr"), 6).alias("mean"), F.round(F.stddev_pop("tpr"), 6).alias("std"))
 
 
-@op("M16_score_vs_imbalance", "SELECT event_type, avg(CASE WHEN value > 245 THEN 1.0 ELSE 0.0 END) >= 1.5 * greatest(avg(CAST(event_id % 2 AS DOUBLE)), 1 - avg(CAST(event_id % 2 AS DOUBLE))) AS good FROM events GROUP BY 1")
+@op(
+    "M16_score_vs_imbalance",
+    "SELECT event_type, avg(CASE WHEN value > 245 THEN 1.0 ELSE 0.0 END) >= 1.5 * greatest(avg(CAST(event_id % 2 AS DOUBLE)), 1 - avg(CAST(event_id % 2 AS DOUBLE))) AS good FROM events GROUP BY 1",
+)
 def m16(s, d):
     share = F.avg((C("event_id") % 2).cast("double"))
-    return P.table(s, d, "events").groupBy("event_type").agg((F.avg((C("value") > 245).cast("double")) >= 1.5 * F.greatest(share, 1 - share)).alias("good"))
+    return (
+        P.table(s, d, "events")
+        .groupBy("event_type")
+        .agg((F.avg((C("value") > 245).cast("double")) >= 1.5 * F.greatest(share, 1 - share)).alias("good"))
+    )
 
 
 @op("M17_learning_curve")
@@ -310,19 +385,30 @@ def m17(s, d):
         for share in (0.05, 0.25, 0.5, 1.0):
             found = M.scored(M.estimator("tree").fit(dealt.filter(C("k") <= max(2, share * n))), test)
             out.append((share, found.agg(stats.accuracy(C("prediction") == C("target"))).first()[0]))
-    return s.createDataFrame(out, "share double, accuracy double").groupBy("share").agg(F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("std"))
+    return (
+        s.createDataFrame(out, "share double, accuracy double")
+        .groupBy("share")
+        .agg(F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("std"))
+    )
 
 
 @op("M18_fold_detail")
 def m18(s, d):
     r = M.stratified_folds(rows(s, d), 2).cache()
-    return M.cv_scores(r).join(r.select("id", "grp", "region", "target", "fold"), "fold").select("id", "fold", "grp", "region", F.when(C("target") == 1, 1).otherwise(-1).alias("sign"), "accuracy")
+    return (
+        M.cv_scores(r)
+        .join(r.select("id", "grp", "region", "target", "fold"), "fold")
+        .select("id", "fold", "grp", "region", F.when(C("target") == 1, 1).otherwise(-1).alias("sign"), "accuracy")
+    )
 
 
 @op("M19_predict_image")
 def m19(s, d):
     r = rows(s, d)
-    return M.scored(M.estimator("tree").fit(r.filter("region = 0")), r).select((C("id") % 25).alias("y"), F.floor(C("id") / 25).alias("x"), "prediction", "score")
+    return (
+        M.scored(M.estimator("tree").fit(r.filter("region = 0")), r)
+        .select((C("id") % 25).alias("y"), F.floor(C("id") / 25).alias("x"), "prediction", "score")
+    )
 
 
 @op("M20_weight_usefulness")
@@ -377,7 +463,10 @@ def heads(s, d):
 DENSITY = "sum(cp.pi * exp(-0.5 * (mz - mu) ** 2 / exp(lv)) / sqrt(2 * pi() * exp(lv)))"
 
 
-@op("G1_gmm_prob", CP + f"SELECT spectrum_id, idx, h.head, round((SELECT {DENSITY} FROM cp WHERE cp.head = h.head), 8) AS p FROM pk, (VALUES ('n'), ('p')) h(head)")
+@op(
+    "G1_gmm_prob",
+    CP + f"SELECT spectrum_id, idx, h.head, round((SELECT {DENSITY} FROM cp WHERE cp.head = h.head), 8) AS p FROM pk, (VALUES ('n'), ('p')) h(head)",
+)
 def g1(s, d):
     return X.mixture_prob(P.peaks(s, d), comps(s)).select("spectrum_id", "idx", "head", F.round("p", 8).alias("p"))
 
@@ -391,17 +480,27 @@ PN = ", pn AS (SELECT spectrum_id, mz, intensity, CASE WHEN target = 'F' THEN 'n
 
 
 def headed(s, d):
-    t = P.labels(s, d).filter(C("target").isin("F", "O")).select("spectrum_id", F.when(C("target") == "F", "n").otherwise("p").alias("head"))
+    t = (
+        P.labels(s, d)
+        .filter(C("target").isin("F", "O"))
+        .select("spectrum_id", F.when(C("target") == "F", "n").otherwise("p").alias("head"))
+    )
     return P.peaks(s, d).join(t, "spectrum_id").select("spectrum_id", "mz", "intensity", "head")
 
 
-@op("G3_gmm_weighted_nll", PN + CP + ", q AS (SELECT head, intensity, (SELECT sum(cp.pi * exp(-0.5 * (pn.mz - mu) ** 2 / exp(lv)) / sqrt(2 * pi() * exp(lv))) FROM cp WHERE cp.head = pn.head) AS p FROM pn) SELECT head, round(sum(intensity * -ln(1e-6 + p)) / sum(intensity), 4) AS nll FROM q GROUP BY 1")
+@op(
+    "G3_gmm_weighted_nll",
+    PN + CP + ", q AS (SELECT head, intensity, (SELECT sum(cp.pi * exp(-0.5 * (pn.mz - mu) ** 2 / exp(lv)) / sqrt(2 * pi() * exp(lv))) FROM cp WHERE cp.head = pn.head) AS p FROM pn) SELECT head, round(sum(intensity * -ln(1e-6 + p)) / sum(intensity), 4) AS nll FROM q GROUP BY 1",
+)
 def g3(s, d):
     p = X.mixture_prob(headed(s, d).withColumnRenamed("head", "own"), comps(s)).filter("own = head")
     return p.groupBy("head").agg(F.round(F.sum(C("intensity") * X.nll(C("p"))) / F.sum("intensity"), 4).alias("nll"))
 
 
-@op("G4_gmm_init", CP + "SELECT h.head, range AS comp_idx, round(a + range * ((b - a) / 19), 6) AS mu, round(2 * ln((b - a) / 40), 6) AS lv FROM mr, range(20), (VALUES ('n'), ('p')) h(head)")
+@op(
+    "G4_gmm_init",
+    CP + "SELECT h.head, range AS comp_idx, round(a + range * ((b - a) / 19), 6) AS mu, round(2 * ln((b - a) / 40), 6) AS lv FROM mr, range(20), (VALUES ('n'), ('p')) h(head)",
+)
 def g4(s, d):
     """Starting components on the mass range of the table."""
     lo, hi = mass_range(s, d).first()
@@ -436,7 +535,10 @@ def g7(s, d):
 
 @op("G8_class_ratio", PN + "SELECT round(sum(intensity) FILTER (head = 'n') / sum(intensity) FILTER (head = 'p'), 6) AS ratio FROM pn")
 def g8(s, d):
-    return headed(s, d).agg(F.round(F.sum(F.when(C("head") == "n", C("intensity"))) / F.sum(F.when(C("head") == "p", C("intensity"))), 6).alias("ratio"))
+    return (
+        headed(s, d)
+        .agg(F.round(F.sum(F.when(C("head") == "n", C("intensity"))) / F.sum(F.when(C("head") == "p", C("intensity"))), 6).alias("ratio"))
+    )
 
 
 H2 = CP + ", hd AS (SELECT mz, max(-ln(1e-6 + p)) FILTER (head = 'n') AS n, max(-ln(1e-6 + p)) FILTER (head = 'p') AS p FROM pr GROUP BY ALL)\n"
@@ -459,7 +561,10 @@ def g11(s, d):
     return heads(s, d).select("mz", F.round(F.exp(g), 6).alias("up"), F.round(1 - F.exp(-g), 6).alias("off"))
 
 
-@op("G12_mass_grid", CP + f", g12 AS (SELECT range AS k, a + range * ((b - a) / 199) AS mz FROM mr, range(200)) SELECT k, h.head, round((SELECT {DENSITY} FROM cp WHERE cp.head = h.head), 8) AS p FROM g12, (VALUES ('n'), ('p')) h(head) WHERE mz BETWEEN 100 AND 500")
+@op(
+    "G12_mass_grid",
+    CP + f", g12 AS (SELECT range AS k, a + range * ((b - a) / 199) AS mz FROM mr, range(200)) SELECT k, h.head, round((SELECT {DENSITY} FROM cp WHERE cp.head = h.head), 8) AS p FROM g12, (VALUES ('n'), ('p')) h(head) WHERE mz BETWEEN 100 AND 500",
+)
 def g12(s, d):
     """Densities on a grid over the mass range of the table, of which a window is shown."""
     lo, hi = mass_range(s, d).first()
@@ -468,7 +573,11 @@ def g12(s, d):
 
 def fpr(s, d, shuffles: int = 5):
     """Share of label-shuffled fits whose head difference on the grid reaches the observed one. All fits go through the same EM passes, as heads of their own."""
-    label = P.labels(s, d).filter(C("target").isin("F", "O")).select(C("spectrum_id").alias("id"), F.when(C("target") == "F", "n").otherwise("p").alias("target"))
+    label = (
+        P.labels(s, d)
+        .filter(C("target").isin("F", "O"))
+        .select(C("spectrum_id").alias("id"), F.when(C("target") == "F", "n").otherwise("p").alias("target"))
+    )
     runs = label.withColumn("run", F.lit(0))
     for i in range(1, shuffles + 1):
         runs = runs.unionByName(M.shuffled_labels(label, i).withColumn("run", F.lit(i)))
@@ -478,7 +587,11 @@ def fpr(s, d, shuffles: int = 5):
     heads_ = tuple(f"{i}{h}" for i in range(shuffles + 1) for h in "np")
     at = X.mixture_prob(grid(s, lo, hi), X.fit(peaks, X.equispaced(s, lo, hi, 4, heads_), tol=1e-3)).withColumn("l", X.nll(C("p")))
     at = at.withColumns({"run": F.expr("substr(head, 1, length(head) - 1)").cast("int"), "h": F.substring("head", -1, 1)})
-    two = at.groupBy("k", "mz", "run").agg(*[F.max(F.when(C("h") == h, C("l"))).alias(h) for h in ("n", "p")]).withColumn("gap", F.abs(C("n") - C("p")))
+    two = (
+        at.groupBy("k", "mz", "run")
+        .agg(*[F.max(F.when(C("h") == h, C("l"))).alias(h) for h in ("n", "p")])
+        .withColumn("gap", F.abs(C("n") - C("p")))
+    )
     real = two.filter("run = 0").select("k", "mz", "gap")
     other = two.filter("run > 0").select("k", C("gap").alias("other"))
     return real.join(other, "k").groupBy("k", "mz", "gap").agg(F.avg((C("other") >= C("gap")).cast("double")).alias("fpr"))
@@ -501,23 +614,41 @@ def centres(s):
     return s.range(21).select(C("id").alias("bin_idx"), (C("id") * 50.0 + 25).alias("mu"), F.lit(12.0).alias("sigma"))
 
 
-@op("G14_soft_bin", SB + "SELECT spectrum_id, bin_idx, round(sum(exp(-0.5 * ((mz - mu) / sigma) * ((mz - mu) / sigma)) * intensity), 4) AS value FROM pk JOIN ce ON -0.5 * ((mz - mu) / sigma) * ((mz - mu) / sigma) >= -10 GROUP BY ALL")
+@op(
+    "G14_soft_bin",
+    SB + "SELECT spectrum_id, bin_idx, round(sum(exp(-0.5 * ((mz - mu) / sigma) * ((mz - mu) / sigma)) * intensity), 4) AS value FROM pk JOIN ce ON -0.5 * ((mz - mu) / sigma) * ((mz - mu) / sigma) >= -10 GROUP BY ALL",
+)
 def g14(s, d):
     return B.soft_bin(P.peaks(s, d), centres(s), ["spectrum_id"]).withColumn("value", F.round("value", 4))
 
 
-@op("G15_soft_bin_init", ", mr AS (SELECT min(mz) AS a, max(mz) AS b FROM pk) SELECT range AS bin_idx, round(a + range * ((b - a) / 20), 6) AS mu, round((b - a) / 42, 6) AS sigma FROM mr, range(21)")
+@op(
+    "G15_soft_bin_init",
+    ", mr AS (SELECT min(mz) AS a, max(mz) AS b FROM pk) SELECT range AS bin_idx, round(a + range * ((b - a) / 20), 6) AS mu, round((b - a) / 42, 6) AS sigma FROM mr, range(21)",
+)
 def g15(s, d):
     """21 peaks spread evenly over the mass range of the table."""
-    x = mass_range(s, d).select("lo", (C("hi") - C("lo")).alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))).alias("bin_idx"))
+    x = (
+        mass_range(s, d)
+        .select("lo", (C("hi") - C("lo")).alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))).alias("bin_idx"))
+    )
     return x.select("bin_idx", F.round(C("lo") + C("bin_idx") * (C("w") / 20), 6).alias("mu"), F.round(C("w") / 42, 6).alias("sigma"))
 
 
 @op("G16_soft_bin_classifier")
 def g16(s, d):
     soft = B.soft_bin(P.peaks(s, d), centres(s), ["spectrum_id"]).withColumn("value", F.log1p("value"))
-    t = P.labels(s, d).filter(C("target").isin("F", "O")).select(C("spectrum_id"), (C("target") == "F").cast("int").alias("target"), "region")
-    r = B.pivot_features(soft, ["spectrum_id"], 21).join(t, "spectrum_id").select(C("spectrum_id").alias("id"), "features", "target", C("region").alias("grp"), "region").withColumn("v", M.array_to_vector("features"))
+    t = (
+        P.labels(s, d)
+        .filter(C("target").isin("F", "O"))
+        .select(C("spectrum_id"), (C("target") == "F").cast("int").alias("target"), "region")
+    )
+    r = (
+        B.pivot_features(soft, ["spectrum_id"], 21)
+        .join(t, "spectrum_id")
+        .select(C("spectrum_id").alias("id"), "features", "target", C("region").alias("grp"), "region")
+        .withColumn("v", M.array_to_vector("features"))
+    )
     return M.scored(M.estimator("l1", reg=0.001).fit(r), r).select("id", "target", "score")
 
 

@@ -46,7 +46,10 @@ SELECT target, bin_idx, round(sum(intensity / s), 4) AS value FROM pk JOIN t USI
 def first_slice(s, d):
     p = P.peaks(s, d)
     w = Window.partitionBy("spectrum_id")
-    p = p.withColumn("intensity", C("intensity") / F.sum("intensity").over(w)).join(P.labels(s, d).select("spectrum_id", "target"), "spectrum_id")
+    p = (
+        p.withColumn("intensity", C("intensity") / F.sum("intensity").over(w))
+        .join(P.labels(s, d).select("spectrum_id", "target"), "spectrum_id")
+    )
     return B.bin_sum(p, bins(s), ["target"]).select("target", "bin_idx", r4(C("value"), "value"))
 
 
@@ -55,19 +58,33 @@ def s1(s, d):
     return P.spectra(s, d).select("spectrum_id", "len")
 
 
-@op("S2_validate_spectra", "SELECT count(*)::BIGINT AS n, count(*) FILTER (len(mzs) <> len(ints))::BIGINT AS bad_pairs, count(*) FILTER (len <> len(mzs))::BIGINT AS bad_length FROM sp")
+@op(
+    "S2_validate_spectra",
+    "SELECT count(*)::BIGINT AS n, count(*) FILTER (len(mzs) <> len(ints))::BIGINT AS bad_pairs, count(*) FILTER (len <> len(mzs))::BIGINT AS bad_length FROM sp",
+)
 def s2(s, d):
-    return P.spectra(s, d).agg(count(), F.count_if(F.size("mzs") != F.size("ints")).alias("bad_pairs"), F.count_if(C("len") != F.size("mzs")).alias("bad_length"))
+    return (
+        P.spectra(s, d)
+        .agg(count(), F.count_if(F.size("mzs") != F.size("ints")).alias("bad_pairs"), F.count_if(C("len") != F.size("mzs")).alias("bad_length"))
+    )
 
 
 @op("S3_explode_peaks", "SELECT spectrum_id, CAST(generate_subscripts(mzs, 1) - 1 AS INTEGER) AS pos, unnest(mzs) AS mz, unnest(ints) AS intensity FROM sp")
 def s3(s, d):
-    return P.spectra(s, d).select("spectrum_id", F.posexplode(F.arrays_zip("mzs", "ints")).alias("pos", "p")).select("spectrum_id", "pos", C("p.mzs").alias("mz"), C("p.ints").alias("intensity"))
+    return (
+        P.spectra(s, d)
+        .select("spectrum_id", F.posexplode(F.arrays_zip("mzs", "ints")).alias("pos", "p"))
+        .select("spectrum_id", "pos", C("p.mzs").alias("mz"), C("p.ints").alias("intensity"))
+    )
 
 
 @op("S4_infer_mode", "SELECT spectrum_id % 3 AS region, CASE WHEN count(DISTINCT mzs) = 1 THEN 'continuous' ELSE 'processed' END AS mode FROM sp GROUP BY 1")
 def s4(s, d):
-    return P.spectra(s, d).groupBy((C("spectrum_id") % 3).alias("region")).agg(F.when(F.count_distinct("mzs") == 1, "continuous").otherwise("processed").alias("mode"))
+    return (
+        P.spectra(s, d)
+        .groupBy((C("spectrum_id") % 3).alias("region"))
+        .agg(F.when(F.count_distinct("mzs") == 1, "continuous").otherwise("processed").alias("mode"))
+    )
 
 
 @op("S5_scan_lipids", "SELECT mz, width, name FROM lip")
@@ -105,11 +122,20 @@ lg AS (SELECT problem, normalization, grouped, round(avg(v), 6) AS score, round(
 def logs(s, d):
     """Run logs, a folder for each run as its file name: most frequent class, scores, importances."""
     head = "2022-01-01 [root] [INFO] : "
-    e = P.table(s, d, "events").select("event_type", (C("user_id") % 10).alias("run"), "event_id", F.format_string("%.3f", F.round(C("value") / 500, 3)).alias("v"))
+    e = (
+        P.table(s, d, "events")
+        .select("event_type", (C("user_id") % 10).alias("run"), "event_id", F.format_string("%.3f", F.round(C("value") / 500, 3)).alias("v"))
+    )
     norm, cv = F.when(C("run") % 5 < 3, "_norm_tic").otherwise("_no_norm"), F.when(C("run") % 2 == 0, "_gcv.log").otherwise("_cv.log")
     e = e.withColumn("file", F.concat("event_type", F.lit("@"), C("run").cast("string"), norm, cv))
-    scores = e.groupBy("file", F.floor(C("event_id") / 1000)).agg(F.concat(F.lit(head + "scores: ["), F.concat_ws(" ", F.collect_list("v")), F.lit("]")).alias("value"))
-    occ = e.select("file", F.concat(F.lit(head + "max rel. occurrence = "), F.format_string("%.2f", 0.5 + (C("run") % 5) / 50)).alias("value")).distinct()
+    scores = (
+        e.groupBy("file", F.floor(C("event_id") / 1000))
+        .agg(F.concat(F.lit(head + "scores: ["), F.concat_ws(" ", F.collect_list("v")), F.lit("]")).alias("value"))
+    )
+    occ = (
+        e.select("file", F.concat(F.lit(head + "max rel. occurrence = "), F.format_string("%.2f", 0.5 + (C("run") % 5) / 50)).alias("value"))
+        .distinct()
+    )
     imp = e.select("file", F.explode(F.array(*[F.lit(f"{head}  {i} ( bin {i} ) : 0.{i}") for i in (1, 2)])).alias("value")).distinct()
     path = sinks.place(e)
     scores.select("file", "value").unionByName(occ).unionByName(imp).write.partitionBy("file").text(path)
@@ -118,7 +144,13 @@ def logs(s, d):
 
 @op("S9_scan_logs", RUNS + "SELECT * FROM lg")
 def s9(s, d):
-    return text.run_scores(text.scan_logs(s, logs(s, d))).select(F.split("problem", "@")[0].alias("problem"), "normalization", "grouped", F.round("score", 6).alias("score"), F.round("max_occ", 2).alias("max_occ"))
+    return (
+        text.run_scores(text.scan_logs(s, logs(s, d)))
+        .select(
+            F.split("problem", "@")[0].alias("problem"), "normalization", "grouped", F.round("score", 6).alias("score"),
+            F.round("max_occ", 2).alias("max_occ"),
+        )
+    )
 
 
 @op("S10_load_mask", "SELECT y, x, v > (SELECT max(v) FROM tic) / 2 AS on_ FROM tic")
@@ -126,7 +158,10 @@ def s10(s, d):
     return G.above_share(by_tic(s, d), 0.5).select("y", "x", C("on_"))
 
 
-@op("S11_write_binned", "SELECT spectrum_id, bin_idx, round((lo + hi) / 2, 4) AS centre, round(sum(intensity), 4) AS value FROM pk JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL")
+@op(
+    "S11_write_binned",
+    "SELECT spectrum_id, bin_idx, round((lo + hi) / 2, 4) AS centre, round(sum(intensity), 4) AS value FROM pk JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL",
+)
 def s11(s, d):
     b = bins(s)
     out = B.bin_sum(P.peaks(s, d), b, ["spectrum_id"]).join(b, "bin_idx")
@@ -135,7 +170,10 @@ def s11(s, d):
 
 @op("S12_write_normalized", "SELECT spectrum_id, idx, mz, round(intensity / sum(intensity) OVER (PARTITION BY spectrum_id), 4) AS value FROM pk")
 def s12(s, d):
-    return sinks.written(P.peaks(s, d).select("spectrum_id", "idx", "mz", r4(C("intensity") / F.sum("intensity").over(Window.partitionBy("spectrum_id")), "value")))
+    return (
+        sinks
+        .written(P.peaks(s, d).select("spectrum_id", "idx", "mz", r4(C("intensity") / F.sum("intensity").over(Window.partitionBy("spectrum_id")), "value")))
+    )
 
 
 @op("S13_write_importances", "SELECT channel AS feature, round(avg(value), 4) AS importance, round(stddev_samp(value), 4) AS std FROM dn GROUP BY channel")
@@ -144,11 +182,17 @@ def s13(s, d):
     return sinks.written(out.orderBy(F.desc("importance")), "csv")
 
 
-@op("S14_write_bins_csv", "SELECT idx % 4 AS step, CAST(row_number() OVER (PARTITION BY idx % 4 ORDER BY mz - width, idx) AS INTEGER) AS pos, round(mz - width, 4) AS lo, round(mz + width, 4) AS hi FROM lip")
+@op(
+    "S14_write_bins_csv",
+    "SELECT idx % 4 AS step, CAST(row_number() OVER (PARTITION BY idx % 4 ORDER BY mz - width, idx) AS INTEGER) AS pos, round(mz - width, 4) AS lo, round(mz + width, 4) AS hi FROM lip",
+)
 def s14(s, d):
     step = C("idx") % 4
     pos = F.row_number().over(Window.partitionBy(step).orderBy(C("mz") - C("width"), "idx"))
-    return sinks.written(P.lipids(s, d).select(step.alias("step"), pos.alias("pos"), r4(C("mz") - C("width"), "lo"), r4(C("mz") + C("width"), "hi")), "csv")
+    return (
+        sinks
+        .written(P.lipids(s, d).select(step.alias("step"), pos.alias("pos"), r4(C("mz") - C("width"), "lo"), r4(C("mz") + C("width"), "hi")), "csv")
+    )
 
 
 @op("S15_write_labels", "SELECT spectrum_id, region, target, round(CASE WHEN region = 1 THEN weight / 2 ELSE weight END, 4) AS weight FROM lab")
@@ -190,11 +234,17 @@ def p5(s, d):
     return B.mass_filter(P.peaks(s, d), 100, 500, 20, "flag").select("spectrum_id", "idx", "mz", "intensity")
 
 
-@op("P6_mz_window", "SELECT spectrum_id, array_to_string(list(CAST(CAST(intensity AS BIGINT) AS VARCHAR) ORDER BY mz, intensity), ',') AS ints FROM pk WHERE mz BETWEEN 200 AND 400 AND spectrum_id IN (SELECT spectrum_id FROM lab WHERE region = 2) GROUP BY 1")
+@op(
+    "P6_mz_window",
+    "SELECT spectrum_id, array_to_string(list(CAST(CAST(intensity AS BIGINT) AS VARCHAR) ORDER BY mz, intensity), ',') AS ints FROM pk WHERE mz BETWEEN 200 AND 400 AND spectrum_id IN (SELECT spectrum_id FROM lab WHERE region = 2) GROUP BY 1",
+)
 def p6(s, d):
     p = P.peaks(s, d).filter(C("mz").between(200, 400)).join(P.labels(s, d).filter("region = 2"), "spectrum_id", "left_semi")
     q = F.sort_array(F.collect_list(F.struct("mz", "intensity")))
-    return p.groupBy("spectrum_id").agg(F.array_join(F.transform(q, lambda x: x["intensity"].cast("long").cast("string")), ",").alias("ints"))
+    return (
+        p.groupBy("spectrum_id")
+        .agg(F.array_join(F.transform(q, lambda x: x["intensity"].cast("long").cast("string")), ",").alias("ints"))
+    )
 
 
 @op("P7_select_region", "SELECT spectrum_id, target FROM lab WHERE region = 0")
@@ -210,7 +260,10 @@ def p8(s, d):
 @op("P9_low_variance_filter", "SELECT vec_id, channel, value FROM dn WHERE channel IN (SELECT channel FROM dn GROUP BY channel HAVING var_pop(value) > 0.0156)")
 def p9(s, d):
     x = P.dense(s, d)
-    return x.join(x.groupBy("channel").agg(F.var_pop("value").alias("v")).filter("v > 0.0156"), "channel", "left_semi").select("vec_id", "channel", "value")
+    return (
+        x.join(x.groupBy("channel").agg(F.var_pop("value").alias("v")).filter("v > 0.0156"), "channel", "left_semi")
+        .select("vec_id", "channel", "value")
+    )
 
 
 @op("P10_presence_mask", "SELECT y, x FROM tic WHERE abs(v) > (SELECT avg(abs(v)) / 2 FROM tic)")
@@ -218,16 +271,25 @@ def p10(s, d):
     return G.presence(by_tic(s, d), 2).select("y", "x")
 
 
-@op("P11_clip_mask", "SELECT *, least(tpr, 1 - tpr) >= 0.4 AS accepted FROM (SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN v >= 0.3 * m THEN 1.0 ELSE 0.0 END), 6) AS tpr FROM tic, (SELECT max(v) AS m FROM tic))")
+@op(
+    "P11_clip_mask",
+    "SELECT *, least(tpr, 1 - tpr) >= 0.4 AS accepted FROM (SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN v >= 0.3 * m THEN 1.0 ELSE 0.0 END), 6) AS tpr FROM tic, (SELECT max(v) AS m FROM tic))",
+)
 def p11(s, d):
     t = by_tic(s, d)
-    share = t.join(F.broadcast(t.agg(F.max("v").alias("m")))).agg(count(), F.round(F.avg(F.when(C("v") >= 0.3 * C("m"), 1.0).otherwise(0.0)), 6).alias("tpr"))
+    share = (
+        t.join(F.broadcast(t.agg(F.max("v").alias("m"))))
+        .agg(count(), F.round(F.avg(F.when(C("v") >= 0.3 * C("m"), 1.0).otherwise(0.0)), 6).alias("tpr"))
+    )
     return share.withColumn("accepted", F.least(C("tpr"), 1 - C("tpr")) >= 0.4)
 
 
 @op("P12_random_mask", "SELECT y, x, substr(md5(y || '_' || x || '|7'), 1, 1) < '8' AS on_ FROM tic")
 def p12(s, d):
-    return by_tic(s, d).select("y", "x", (F.substring(F.md5(F.concat(C("y").cast("string"), F.lit("_"), C("x").cast("string"), F.lit("|7"))), 1, 1) < "8").alias("on_"))
+    return (
+        by_tic(s, d)
+        .select("y", "x", (F.substring(F.md5(F.concat(C("y").cast("string"), F.lit("_"), C("x").cast("string"), F.lit("|7"))), 1, 1) < "8").alias("on_"))
+    )
 
 
 ANN = """, ann AS (SELECT s_suppkey AS ann_id, s_nationkey AS term, s_suppkey % 37 AS x0, s_suppkey % 53 AS y0, 3 + s_suppkey % 6 AS side FROM supplier)
@@ -236,7 +298,10 @@ ANN = """, ann AS (SELECT s_suppkey AS ann_id, s_nationkey AS term, s_suppkey %
 
 def annotations(s, d):
     """ann_id, term, wkt: triangles, one a supplier."""
-    return P.table(s, d, "supplier").select(C("s_suppkey").alias("ann_id"), C("s_nationkey").alias("term"), (C("s_suppkey") % 37).alias("x0"), (C("s_suppkey") % 53).alias("y0"), (3 + C("s_suppkey") % 6).alias("side")).withColumn(
+    return P.table(s, d, "supplier").select(
+        C("s_suppkey").alias("ann_id"), C("s_nationkey").alias("term"), (C("s_suppkey") % 37).alias("x0"),
+        (C("s_suppkey") % 53).alias("y0"), (3 + C("s_suppkey") % 6).alias("side"),
+    ).withColumn(
         "wkt", F.format_string("POLYGON ((%d %d, %d %d, %d %d, %d %d))", "x0", "y0", C("x0") + C("side"), "y0", "x0", C("y0") + C("side"), "x0", "y0"))
 
 
@@ -270,8 +335,15 @@ SELECT 'highest' AS mode, spectrum_id, flag, w FROM k WHERE r = 1 UNION ALL SELE
 def p16(s, d):
     """Pixels with several labels: the heaviest one, only pixels with one, or a row for each label."""
     w = P.peaks(s, d).groupBy("spectrum_id", "flag").agg(F.sum("intensity").alias("w"))
-    top = w.groupBy("spectrum_id").agg(F.min(F.struct((-C("w")).alias("k"), "flag")).alias("m"), count()).select("n", "spectrum_id", C("m.flag").alias("flag"), (-C("m.k")).alias("w"))
-    one = top.select(F.explode(F.when(C("n") == 1, F.array(F.lit("highest"), F.lit("drop"))).otherwise(F.array(F.lit("highest")))).alias("mode"), "spectrum_id", "flag", "w")
+    top = (
+        w.groupBy("spectrum_id")
+        .agg(F.min(F.struct((-C("w")).alias("k"), "flag")).alias("m"), count())
+        .select("n", "spectrum_id", C("m.flag").alias("flag"), (-C("m.k")).alias("w"))
+    )
+    one = top.select(
+        F.explode(F.when(C("n") == 1, F.array(F.lit("highest"), F.lit("drop"))).otherwise(F.array(F.lit("highest")))).alias("mode"),
+        "spectrum_id", "flag", "w",
+    )
     return one.unionByName(w.select(F.lit("soft").alias("mode"), "spectrum_id", "flag", "w"))
 
 
@@ -283,16 +355,31 @@ def p17(s, d):
 @op("P18_grouping_key", "SELECT spectrum_id, spectrum_id AS by_none, ann AS by_annotation, region AS by_region FROM lab")
 def p18(s, d):
     """Groups for cross-validation: each row its own, its annotation, its region."""
-    return P.labels(s, d).select("spectrum_id", C("spectrum_id").alias("by_none"), C("ann").alias("by_annotation"), C("region").alias("by_region"))
+    return (
+        P.labels(s, d)
+        .select("spectrum_id", C("spectrum_id").alias("by_none"), C("ann").alias("by_annotation"), C("region").alias("by_region"))
+    )
 
 
-@op("P19_pairplot_table", "SELECT vec_id, max(value) FILTER (channel = 0) AS f0, max(value) FILTER (channel = 1) AS f1, 'class ' || label AS class FROM dn GROUP BY vec_id, label")
+@op(
+    "P19_pairplot_table",
+    "SELECT vec_id, max(value) FILTER (channel = 0) AS f0, max(value) FILTER (channel = 1) AS f1, 'class ' || label AS class FROM dn GROUP BY vec_id, label",
+)
 def p19(s, d):
     pick = lambda i: F.max(F.when(C("channel") == i, C("value"))).alias(f"f{i}")
-    return P.dense(s, d).filter("channel < 2").groupBy("vec_id", "label").agg(pick(0), pick(1)).select("vec_id", "f0", "f1", F.concat(F.lit("class "), C("label").cast("string")).alias("class"))
-
-
-@op("P20_trace_window", "SELECT user_id, count(*)::BIGINT AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value BETWEEN 100 AND 101) GROUP BY 1")
+    return (
+        P.dense(s, d)
+        .filter("channel < 2")
+        .groupBy("vec_id", "label")
+        .agg(pick(0), pick(1))
+        .select("vec_id", "f0", "f1", F.concat(F.lit("class "), C("label").cast("string")).alias("class"))
+    )
+
+
+@op(
+    "P20_trace_window",
+    "SELECT user_id, count(*)::BIGINT AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE value BETWEEN 100 AND 101) GROUP BY 1",
+)
 def p20(s, d):
     e = P.table(s, d, "events")
     return e.groupBy("user_id").agg(count(), F.bool_or(C("value").between(100, 101)).alias("ever")).filter("ever").select("user_id", "n")
@@ -300,12 +387,26 @@ def p20(s, d):
 
 @op("P21_sample_spectra", "SELECT spectrum_id FROM sp ORDER BY md5(CAST(spectrum_id AS VARCHAR) || '|3'), spectrum_id LIMIT 50")
 def p21(s, d):
-    return P.spectra(s, d).select("spectrum_id").orderBy(F.md5(F.concat(C("spectrum_id").cast("string"), F.lit("|3"))), "spectrum_id").limit(50)
-
-
-@op("P22_foreground_tic", ANN + INSIDE + "SELECT t.y, t.x, round(v, 4) AS tic, count(ann_id)::BIGINT AS rasters FROM tic t LEFT JOIN cov USING (y, x) GROUP BY t.y, t.x, v")
+    return (
+        P.spectra(s, d)
+        .select("spectrum_id")
+        .orderBy(F.md5(F.concat(C("spectrum_id").cast("string"), F.lit("|3"))), "spectrum_id")
+        .limit(50)
+    )
+
+
+@op(
+    "P22_foreground_tic",
+    ANN + INSIDE + "SELECT t.y, t.x, round(v, 4) AS tic, count(ann_id)::BIGINT AS rasters FROM tic t LEFT JOIN cov USING (y, x) GROUP BY t.y, t.x, v",
+)
 def p22(s, d):
-    return by_tic(s, d).join(coverage(s, d), ["y", "x"], "left").groupBy("y", "x", "v").agg(F.count("ann_id").alias("rasters")).select("y", "x", r4(C("v"), "tic"), "rasters")
+    return (
+        by_tic(s, d)
+        .join(coverage(s, d), ["y", "x"], "left")
+        .groupBy("y", "x", "v")
+        .agg(F.count("ann_id").alias("rasters"))
+        .select("y", "x", r4(C("v"), "tic"), "rasters")
+    )
 
 
 SUM = "SELECT spectrum_id, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN {} ON mz BETWEEN lo AND hi GROUP BY ALL"
@@ -329,14 +430,26 @@ def j3(s, d):
     return B.bin_sum(P.peaks(s, d), bins(s), ["y", "x"]).withColumn("value", F.round("value", 4))
 
 
-@op("J4_bin_labelled", "SELECT spectrum_id, target, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN lab USING (spectrum_id) JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL")
+@op(
+    "J4_bin_labelled",
+    "SELECT spectrum_id, target, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN lab USING (spectrum_id) JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL",
+)
 def j4(s, d):
-    return B.bin_sum(P.peaks(s, d).join(P.labels(s, d).select("spectrum_id", "target"), "spectrum_id"), bins(s), ["spectrum_id", "target"]).withColumn("value", F.round("value", 4))
+    return (
+        B.bin_sum(P.peaks(s, d).join(P.labels(s, d).select("spectrum_id", "target"), "spectrum_id"), bins(s), ["spectrum_id", "target"])
+        .withColumn("value", F.round("value", 4))
+    )
 
 
-@op("J5_bin_masked", "SELECT y, x, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN ub ON mz BETWEEN lo AND hi WHERE spectrum_id IN (SELECT spectrum_id FROM lab WHERE region = 1) GROUP BY ALL")
+@op(
+    "J5_bin_masked",
+    "SELECT y, x, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN ub ON mz BETWEEN lo AND hi WHERE spectrum_id IN (SELECT spectrum_id FROM lab WHERE region = 1) GROUP BY ALL",
+)
 def j5(s, d):
-    return B.bin_sum(P.peaks(s, d).join(P.labels(s, d).filter("region = 1"), "spectrum_id", "left_semi"), bins(s), ["y", "x"]).withColumn("value", F.round("value", 4))
+    return (
+        B.bin_sum(P.peaks(s, d).join(P.labels(s, d).filter("region = 1"), "spectrum_id", "left_semi"), bins(s), ["y", "x"])
+        .withColumn("value", F.round("value", 4))
+    )
 
 
 @op("J6_flatten_dense", "SELECT vec_id, channel, value, target, region FROM dn")
@@ -369,7 +482,10 @@ def j10(s, d):
     return G.coverage(geo, ["ann_id"], 4)
 
 
-@op("J11_onehot_annotations", ANN + INSIDE + ", te AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS pos FROM (SELECT DISTINCT term FROM ann)) SELECT DISTINCT term, pos, y, x FROM cov JOIN te USING (term)")
+@op(
+    "J11_onehot_annotations",
+    ANN + INSIDE + ", te AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS pos FROM (SELECT DISTINCT term FROM ann)) SELECT DISTINCT term, pos, y, x FROM cov JOIN te USING (term)",
+)
 def j11(s, d):
     """Rasters of each term in a required order of terms (a vocabulary, so it may be collected)."""
     terms = sorted(r.term for r in annotations(s, d).select("term").distinct().collect())
@@ -384,13 +500,19 @@ def j12(s, d):
     return G.first_class(annotations(s, d).select("ann_id", "term"), sets).select("ann_id", "class")
 
 
-@op("J13_assign_annotation", ANN + INSIDE + "SELECT term, y, x, ann_id FROM (SELECT *, row_number() OVER (PARTITION BY term, y, x ORDER BY md5(CAST(ann_id AS VARCHAR) || '|5'), ann_id) AS r FROM cov) WHERE r = 1")
+@op(
+    "J13_assign_annotation",
+    ANN + INSIDE + "SELECT term, y, x, ann_id FROM (SELECT *, row_number() OVER (PARTITION BY term, y, x ORDER BY md5(CAST(ann_id AS VARCHAR) || '|5'), ann_id) AS r FROM cov) WHERE r = 1",
+)
 def j13(s, d):
     best = F.min(F.struct(F.md5(F.concat(C("ann_id").cast("string"), F.lit("|5"))).alias("k"), "ann_id")).alias("m")
     return coverage(s, d).groupBy("term", "y", "x").agg(best).select("term", "y", "x", C("m.ann_id").alias("ann_id"))
 
 
-@op("J14_collect_spectra", ANN + INSIDE + "SELECT CAST(dense_rank() OVER (ORDER BY ann_id) AS INTEGER) AS group_id, ann_id, y, x, v FROM cov JOIN tic USING (y, x)")
+@op(
+    "J14_collect_spectra",
+    ANN + INSIDE + "SELECT CAST(dense_rank() OVER (ORDER BY ann_id) AS INTEGER) AS group_id, ann_id, y, x, v FROM cov JOIN tic USING (y, x)",
+)
 def j14(s, d):
     met = coverage(s, d).join(by_tic(s, d), ["y", "x"])
     groups = met.select("ann_id").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("ann_id")))
@@ -404,13 +526,23 @@ def j15(s, d):
     return x.join(groups, ["region", "label"]).select("vec_id", "channel", "value", "group_id")
 
 
-@op("J16_resolve_overlap", "SELECT y, x, dataset, w FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY w DESC, dataset) AS r FROM (SELECT y, x, dataset, max(intensity) AS w FROM pk GROUP BY ALL)) WHERE r = 1")
+@op(
+    "J16_resolve_overlap",
+    "SELECT y, x, dataset, w FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY w DESC, dataset) AS r FROM (SELECT y, x, dataset, max(intensity) AS w FROM pk GROUP BY ALL)) WHERE r = 1",
+)
 def j16(s, d):
     w = P.peaks(s, d).groupBy("y", "x", "dataset").agg(F.max("intensity").alias("w"))
-    return w.groupBy("y", "x").agg(F.min(F.struct((-C("w")).alias("k"), "dataset")).alias("m")).select("y", "x", C("m.dataset").alias("dataset"), (-C("m.k")).alias("w"))
+    return (
+        w.groupBy("y", "x")
+        .agg(F.min(F.struct((-C("w")).alias("k"), "dataset")).alias("m"))
+        .select("y", "x", C("m.dataset").alias("dataset"), (-C("m.k")).alias("w"))
+    )
 
 
-@op("J17_nearest_bin", "SELECT idx, bin_idx FROM (SELECT idx, bin_idx, row_number() OVER (PARTITION BY idx ORDER BY abs((lo + hi) / 2 - mz), bin_idx) AS r FROM lip JOIN ub ON mz BETWEEN (lo + hi) / 2 - 20 AND (lo + hi) / 2 + 20) WHERE r = 1")
+@op(
+    "J17_nearest_bin",
+    "SELECT idx, bin_idx FROM (SELECT idx, bin_idx, row_number() OVER (PARTITION BY idx ORDER BY abs((lo + hi) / 2 - mz), bin_idx) AS r FROM lip JOIN ub ON mz BETWEEN (lo + hi) / 2 - 20 AND (lo + hi) / 2 + 20) WHERE r = 1",
+)
 def j17(s, d):
     return B.nearest_bin(P.lipids(s, d).select("idx", "mz"), bins(s), 20.0).select("idx", "bin_idx")
 
@@ -418,7 +550,11 @@ def j17(s, d):
 @op("J18_nearest_to_one", "SELECT spectrum_id, arg_min(intensity, abs(intensity - 1)) FILTER (mz BETWEEN 300 AND 400) AS nearest FROM pk GROUP BY 1")
 def j18(s, d):
     """The intensity nearest to 1 within a mass window; null without a peak there."""
-    return P.peaks(s, d).groupBy("spectrum_id").agg(F.min_by("intensity", F.when(C("mz").between(300, 400), F.abs(C("intensity") - 1))).alias("nearest"))
+    return (
+        P.peaks(s, d)
+        .groupBy("spectrum_id")
+        .agg(F.min_by("intensity", F.when(C("mz").between(300, 400), F.abs(C("intensity") - 1))).alias("nearest"))
+    )
 
 
 @op("J19_ion_image", "SELECT y, x, round(coalesce(sum(intensity) FILTER (mz BETWEEN 450 AND 550), 0), 4) AS value FROM pk GROUP BY y, x")
@@ -426,7 +562,10 @@ def j19(s, d):
     return G.ion_image(P.peaks(s, d), 500.0, 50.0).withColumn("value", F.round("value", 4))
 
 
-@op("J20_lipid_images", "SELECT l.idx AS bin_idx, y, x, round(sum(intensity), 4) AS value FROM pk p JOIN lip l ON p.mz BETWEEN l.mz - width AND l.mz + width GROUP BY ALL")
+@op(
+    "J20_lipid_images",
+    "SELECT l.idx AS bin_idx, y, x, round(sum(intensity), 4) AS value FROM pk p JOIN lip l ON p.mz BETWEEN l.mz - width AND l.mz + width GROUP BY ALL",
+)
 def j20(s, d):
     windows = P.lipids(s, d).select(C("idx").alias("bin_idx"), (C("mz") - C("width")).alias("lo"), (C("mz") + C("width")).alias("hi"))
     return B.bin_sum(P.peaks(s, d), windows, ["y", "x"]).withColumn("value", F.round("value", 4))
@@ -439,25 +578,40 @@ def j21(s, d):
     return a.join(b, ["y", "x"]).agg(F.count_if(C("a") == C("b")).alias("same"), F.count_if(C("a") != C("b")).alias("different"))
 
 
-@op("J22_compare_lengths", ", a AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'O' GROUP BY ALL) SELECT y, x, a.n - b.n AS diff FROM a FULL JOIN b USING (y, x)")
+@op(
+    "J22_compare_lengths",
+    ", a AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'O' GROUP BY ALL) SELECT y, x, a.n - b.n AS diff FROM a FULL JOIN b USING (y, x)",
+)
 def j22(s, d):
     a, b = two(s, d, "F", "O", F.count("*"))
     return a.join(b, ["y", "x"], "full_outer").select("y", "x", (C("a") - C("b")).alias("diff"))
 
 
-@op("J23_compare_normalization", ", t AS (SELECT y, x, intensity / nullif(intensity / nullif(sum(intensity) OVER (PARTITION BY spectrum_id), 0), 0) AS q FROM pk) SELECT y, x, round(avg(CASE WHEN q IS NULL THEN 1.0 ELSE 0.0 END), 4) AS undefined, round(avg(q), 3) AS mean, round(stddev_pop(q), 3) AS std FROM t GROUP BY ALL")
+@op(
+    "J23_compare_normalization",
+    ", t AS (SELECT y, x, intensity / nullif(intensity / nullif(sum(intensity) OVER (PARTITION BY spectrum_id), 0), 0) AS q FROM pk) SELECT y, x, round(avg(CASE WHEN q IS NULL THEN 1.0 ELSE 0.0 END), 4) AS undefined, round(avg(q), 3) AS mean, round(stddev_pop(q), 3) AS std FROM t GROUP BY ALL",
+)
 def j23(s, d):
     """Raw over normalised intensity for each pixel: share without a value, mean, deviation."""
     zero = F.lit(0.0)
     q = C("intensity") / F.nullif(C("intensity") / F.nullif(F.sum("intensity").over(Window.partitionBy("spectrum_id")), zero), zero)
     out = P.peaks(s, d).select("y", "x", q.alias("q")).groupBy("y", "x")
-    return out.agg(F.round(F.avg(C("q").isNull().cast("double")), 4).alias("undefined"), F.round(F.avg("q"), 3).alias("mean"), F.round(F.stddev_pop("q"), 3).alias("std"))
+    return out.agg(
+        F.round(F.avg(C("q").isNull().cast("double")), 4).alias("undefined"), F.round(F.avg("q"), 3).alias("mean"),
+        F.round(F.stddev_pop("q"), 3).alias("std"),
+    )
 
 
-@op("J24_compare_labels", ", c AS (SELECT target, region, sum(weight) AS w FROM lab GROUP BY ALL) SELECT a.target, round(coalesce(b.w, 0) - coalesce(a.w, 0), 3) AS diff FROM (SELECT * FROM c WHERE region = 0) a FULL JOIN (SELECT * FROM c WHERE region = 1) b ON a.target = b.target")
+@op(
+    "J24_compare_labels",
+    ", c AS (SELECT target, region, sum(weight) AS w FROM lab GROUP BY ALL) SELECT a.target, round(coalesce(b.w, 0) - coalesce(a.w, 0), 3) AS diff FROM (SELECT * FROM c WHERE region = 0) a FULL JOIN (SELECT * FROM c WHERE region = 1) b ON a.target = b.target",
+)
 def j24(s, d):
     a, b = (P.labels(s, d).filter(C("region") == r).groupBy("target").agg(F.sum("weight").alias(n)) for r, n in ((0, "a"), (1, "b")))
-    return a.join(b, "target", "full_outer").select("target", F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 3).alias("diff"))
+    return (
+        a.join(b, "target", "full_outer")
+        .select("target", F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 3).alias("diff"))
+    )
 
 
 @op("J25_labels_without_data", "SELECT spectrum_id FROM lab WHERE spectrum_id NOT IN (SELECT spectrum_id FROM pk)")
@@ -465,12 +619,18 @@ def j25(s, d):
     return P.labels(s, d).join(P.peaks(s, d), "spectrum_id", "left_anti").select("spectrum_id")
 
 
-@op("J26_background_class", ANN + INSIDE + "SELECT y, x, 'background' AS class FROM tic WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.y = tic.y AND cov.x = tic.x)")
+@op(
+    "J26_background_class",
+    ANN + INSIDE + "SELECT y, x, 'background' AS class FROM tic WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.y = tic.y AND cov.x = tic.x)",
+)
 def j26(s, d):
     return G.background(by_tic(s, d), coverage(s, d).withColumn("class", C("term").cast("string")), "background").select("y", "x", "class")
 
 
-@op("J27_registration_map", ANN + INSIDE + ", mp AS (SELECT DISTINCT term, CAST(floor((y + 2) / 1.5) AS BIGINT) AS y, CAST(floor((x + 1) / 1.5) AS BIGINT) AS x FROM cov) SELECT term, y, x, min(y) OVER () AS y0, max(y) OVER () + 1 AS y1, min(x) OVER () AS x0, max(x) OVER () + 1 AS x1 FROM mp")
+@op(
+    "J27_registration_map",
+    ANN + INSIDE + ", mp AS (SELECT DISTINCT term, CAST(floor((y + 2) / 1.5) AS BIGINT) AS y, CAST(floor((x + 1) / 1.5) AS BIGINT) AS x FROM cov) SELECT term, y, x, min(y) OVER () AS y0, max(y) OVER () + 1 AS y1, min(x) OVER () AS x0, max(x) OVER () + 1 AS x1 FROM mp",
+)
 def j27(s, d):
     """Annotated pixels in image coordinates and the box around all of them; a pixel outside the image is an error."""
     met = G.registered(coverage(s, d), (-2, -1), 1.5, (100, 100)).select("term", "y", "x").distinct()
@@ -498,17 +658,30 @@ def a6(s, d):
     return P.peaks(s, d).select("mz").distinct()
 
 
-@op("A7_length_stats", "SELECT round(avg(len), 6) AS mean, round(stddev_pop(len), 6) AS std, min(len) AS lo, max(len) AS hi, (SELECT count(DISTINCT mz) FROM pk)::BIGINT AS masses FROM sp")
+@op(
+    "A7_length_stats",
+    "SELECT round(avg(len), 6) AS mean, round(stddev_pop(len), 6) AS std, min(len) AS lo, max(len) AS hi, (SELECT count(DISTINCT mz) FROM pk)::BIGINT AS masses FROM sp",
+)
 def a7(s, d):
     p = P.peaks(s, d)
     n = p.groupBy("spectrum_id").agg(F.count("*").cast("int").alias("len"))
-    return n.agg(F.round(F.avg("len"), 6).alias("mean"), F.round(F.stddev_pop("len"), 6).alias("std"), F.min("len").alias("lo"), F.max("len").alias("hi")).join(p.agg(F.count_distinct("mz").alias("masses")))
+    return (
+        n.agg(F.round(F.avg("len"), 6).alias("mean"), F.round(F.stddev_pop("len"), 6).alias("std"), F.min("len").alias("lo"), F.max("len").alias("hi"))
+        .join(p.agg(F.count_distinct("mz").alias("masses")))
+    )
 
 
-@op("A8_spectrum_stats", "SELECT y, x, count(*)::BIGINT AS n, min(intensity) AS lo, max(intensity) AS hi, quantile_cont(intensity, 0.5) AS median, round(avg(intensity), 4) AS mean, sum(intensity) AS total FROM pk GROUP BY ALL")
+@op(
+    "A8_spectrum_stats",
+    "SELECT y, x, count(*)::BIGINT AS n, min(intensity) AS lo, max(intensity) AS hi, quantile_cont(intensity, 0.5) AS median, round(avg(intensity), 4) AS mean, sum(intensity) AS total FROM pk GROUP BY ALL",
+)
 def a8(s, d):
     i = C("intensity")
-    return P.peaks(s, d).groupBy("y", "x").agg(count(), F.min(i).alias("lo"), F.max(i).alias("hi"), F.percentile(i, 0.5).alias("median"), r4(F.avg(i), "mean"), F.sum(i).alias("total"))
+    return (
+        P.peaks(s, d)
+        .groupBy("y", "x")
+        .agg(count(), F.min(i).alias("lo"), F.max(i).alias("hi"), F.percentile(i, 0.5).alias("median"), r4(F.avg(i), "mean"), F.sum(i).alias("total"))
+    )
 
 
 @op("A9_tic_image", "SELECT y, x, v FROM tic")
@@ -516,15 +689,25 @@ def a9(s, d):
     return by_tic(s, d)
 
 
-@op("A10_spectrum_sum", "SELECT region, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN lab USING (spectrum_id) JOIN ub ON mz >= lo AND mz < hi GROUP BY ALL")
+@op(
+    "A10_spectrum_sum",
+    "SELECT region, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN lab USING (spectrum_id) JOIN ub ON mz >= lo AND mz < hi GROUP BY ALL",
+)
 def a10(s, d):
     p = P.peaks(s, d).join(P.labels(s, d).select("spectrum_id", "region"), "spectrum_id")
     return B.range_join(p, bins(s)).filter("mz < hi").groupBy("region", "bin_idx").agg(r4(F.sum("intensity"), "value"))
 
 
-@op("A11_avg_spectrum_hist", "SELECT CAST(floor(mz / 10.5) AS BIGINT) AS bin_idx, round(sum(intensity) / count(DISTINCT spectrum_id), 4) AS value FROM pk GROUP BY 1")
+@op(
+    "A11_avg_spectrum_hist",
+    "SELECT CAST(floor(mz / 10.5) AS BIGINT) AS bin_idx, round(sum(intensity) / count(DISTINCT spectrum_id), 4) AS value FROM pk GROUP BY 1",
+)
 def a11(s, d):
-    return P.peaks(s, d).groupBy(F.floor(C("mz") / 10.5).alias("bin_idx")).agg(r4(F.sum("intensity") / F.count_distinct("spectrum_id"), "value"))
+    return (
+        P.peaks(s, d)
+        .groupBy(F.floor(C("mz") / 10.5).alias("bin_idx"))
+        .agg(r4(F.sum("intensity") / F.count_distinct("spectrum_id"), "value"))
+    )
 
 
 @op("A12_avg_spectrum_interp", """, g AS (SELECT range AS bin_idx, range * 10.0::DOUBLE AS m FROM range(106)),
@@ -534,19 +717,37 @@ def a12(s, d):
     grid = s.range(106).select(C("id").alias("bin_idx"), (C("id") * 10.0).alias("mz"))
     spans = B.segments(P.peaks(s, d), ["spectrum_id"]).withColumnsRenamed({"m0": "lo", "m1": "hi"})
     met = B.range_join(grid, spans, width=10.0).filter("mz < hi")
-    return met.groupBy("bin_idx").agg(F.round(F.avg(C("i0") + (C("i1") - C("i0")) * (C("mz") - C("lo")) / (C("hi") - C("lo"))), 3).alias("value"))
+    return (
+        met.groupBy("bin_idx")
+        .agg(F.round(F.avg(C("i0") + (C("i1") - C("i0")) * (C("mz") - C("lo")) / (C("hi") - C("lo"))), 3).alias("value"))
+    )
 
 
-@op("A13_avg_spectrum_gauss", ", g AS (SELECT range AS bin_idx, range * 10.0::DOUBLE AS mu FROM range(106)) SELECT bin_idx, round(sum(exp(-0.5 * ((mz - mu) / 5) * ((mz - mu) / 5)) / (5 * sqrt(2 * pi())) * intensity) / (SELECT count(*) FROM sp), 5) AS value FROM pk JOIN g ON mz BETWEEN mu - 20 AND mu + 20 GROUP BY 1")
+@op(
+    "A13_avg_spectrum_gauss",
+    ", g AS (SELECT range AS bin_idx, range * 10.0::DOUBLE AS mu FROM range(106)) SELECT bin_idx, round(sum(exp(-0.5 * ((mz - mu) / 5) * ((mz - mu) / 5)) / (5 * sqrt(2 * pi())) * intensity) / (SELECT count(*) FROM sp), 5) AS value FROM pk JOIN g ON mz BETWEEN mu - 20 AND mu + 20 GROUP BY 1",
+)
 def a13(s, d):
     p = P.peaks(s, d)
     n = p.select("spectrum_id").distinct().agg(F.count("*").alias("n"))
-    grid = s.range(106).select(C("id").alias("bin_idx"), (C("id") * 10.0).alias("mu"), (C("id") * 10.0 - 20).alias("lo"), (C("id") * 10.0 + 20).alias("hi"))
+    grid = (
+        s.range(106)
+        .select(C("id").alias("bin_idx"), (C("id") * 10.0).alias("mu"), (C("id") * 10.0 - 20).alias("lo"), (C("id") * 10.0 + 20).alias("hi"))
+    )
     z = (C("mz") - C("mu")) / 5
-    return B.range_join(p, grid).groupBy("bin_idx").agg(F.sum(F.exp(-0.5 * z * z) / (5 * F.sqrt(2 * F.pi())) * C("intensity")).alias("t")).join(F.broadcast(n)).select("bin_idx", F.round(C("t") / C("n"), 5).alias("value"))
-
-
-@op("A14_class_balance", ", c AS (SELECT target, count(*)::BIGINT AS n, count(*) / sum(count(*)) OVER () AS q FROM lab GROUP BY 1) SELECT target, n, round(q, 6) AS share, round(min(q) OVER (), 6) AS least, round(1 / count(*) OVER (), 6) AS chance, round(max(q) OVER (), 6) AS imbalance FROM c")
+    return (
+        B.range_join(p, grid)
+        .groupBy("bin_idx")
+        .agg(F.sum(F.exp(-0.5 * z * z) / (5 * F.sqrt(2 * F.pi())) * C("intensity")).alias("t"))
+        .join(F.broadcast(n))
+        .select("bin_idx", F.round(C("t") / C("n"), 5).alias("value"))
+    )
+
+
+@op(
+    "A14_class_balance",
+    ", c AS (SELECT target, count(*)::BIGINT AS n, count(*) / sum(count(*)) OVER () AS q FROM lab GROUP BY 1) SELECT target, n, round(q, 6) AS share, round(min(q) OVER (), 6) AS least, round(1 / count(*) OVER (), 6) AS chance, round(max(q) OVER (), 6) AS imbalance FROM c",
+)
 def a14(s, d):
     """Rows of each class, their share, the smallest and the largest share (the imbalance), and chance."""
     all_ = Window.partitionBy()  # over classes
@@ -554,7 +755,10 @@ def a14(s, d):
     c = P.labels(s, d).groupBy("target").agg(count()).withColumn("q", q)
     chance = 1 / F.count("*").over(all_)
     most = F.max("q").over(all_)
-    return c.select("target", "n", F.round("q", 6).alias("share"), F.round(F.min("q").over(all_), 6).alias("least"), F.round(chance, 6).alias("chance"), F.round(most, 6).alias("imbalance"))
+    return c.select(
+        "target", "n", F.round("q", 6).alias("share"), F.round(F.min("q").over(all_), 6).alias("least"),
+        F.round(chance, 6).alias("chance"), F.round(most, 6).alias("imbalance"),
+    )
 
 
 def vectors(s, d):
@@ -562,12 +766,18 @@ def vectors(s, d):
     return P.table(s, d, "embeddings").select("vec_id", array_to_vector(C("embedding").cast("array<double>")).alias("v"))
 
 
-@op("A15_correlation_pairs", "SELECT a.channel AS f, b.channel AS g, round(corr(a.value, b.value), 4) AS r FROM dn a JOIN dn b ON a.vec_id = b.vec_id AND a.channel < b.channel GROUP BY ALL HAVING abs(corr(a.value, b.value)) > 0.1")
+@op(
+    "A15_correlation_pairs",
+    "SELECT a.channel AS f, b.channel AS g, round(corr(a.value, b.value), 4) AS r FROM dn a JOIN dn b ON a.vec_id = b.vec_id AND a.channel < b.channel GROUP BY ALL HAVING abs(corr(a.value, b.value)) > 0.1",
+)
 def a15(s, d):
     return stats.correlations(vectors(s, d)).filter("f < g and abs(r) > 0.1").withColumn("r", F.round("r", 4))
 
 
-@op("A16_spearman_matrix", ", q AS (SELECT vec_id, channel, rank() OVER (PARTITION BY channel ORDER BY value) + (count(*) OVER (PARTITION BY channel, value) - 1) / 2 AS k FROM dn) SELECT a.channel AS f, b.channel AS g, round(corr(a.k, b.k), 4) AS r FROM q a JOIN q b USING (vec_id) GROUP BY ALL")
+@op(
+    "A16_spearman_matrix",
+    ", q AS (SELECT vec_id, channel, rank() OVER (PARTITION BY channel ORDER BY value) + (count(*) OVER (PARTITION BY channel, value) - 1) / 2 AS k FROM dn) SELECT a.channel AS f, b.channel AS g, round(corr(a.k, b.k), 4) AS r FROM q a JOIN q b USING (vec_id) GROUP BY ALL",
+)
 def a16(s, d):
     return stats.correlations(vectors(s, d), "spearman").withColumn("r", F.round("r", 4))
 
@@ -577,12 +787,23 @@ def a17(s, d):
     return P.spectra(s, d).join(P.labels(s, d).filter("region = 1"), "spectrum_id").agg(count(), (F.sum("len") * 8).alias("bytes"))
 
 
-@op("A18_overlap_counts", ", q AS (SELECT y, x, count(DISTINCT dataset) AS k FROM pk GROUP BY ALL) SELECT count(*) FILTER (k > 1)::BIGINT AS several, count(*)::BIGINT AS any_ FROM q")
+@op(
+    "A18_overlap_counts",
+    ", q AS (SELECT y, x, count(DISTINCT dataset) AS k FROM pk GROUP BY ALL) SELECT count(*) FILTER (k > 1)::BIGINT AS several, count(*)::BIGINT AS any_ FROM q",
+)
 def a18(s, d):
-    return P.peaks(s, d).groupBy("y", "x").agg(F.count_distinct("dataset").alias("k")).agg(F.count_if(C("k") > 1).alias("several"), count("any_"))
-
-
-@op("A19_mz_common_to_all", "SELECT channel, count(DISTINCT vec_id)::BIGINT AS n FROM dn GROUP BY 1 HAVING count(DISTINCT vec_id) = (SELECT count(DISTINCT vec_id) FROM dn)")
+    return (
+        P.peaks(s, d)
+        .groupBy("y", "x")
+        .agg(F.count_distinct("dataset").alias("k"))
+        .agg(F.count_if(C("k") > 1).alias("several"), count("any_"))
+    )
+
+
+@op(
+    "A19_mz_common_to_all",
+    "SELECT channel, count(DISTINCT vec_id)::BIGINT AS n FROM dn GROUP BY 1 HAVING count(DISTINCT vec_id) = (SELECT count(DISTINCT vec_id) FROM dn)",
+)
 def a19(s, d):
     x = P.dense(s, d)
     n = x.agg(F.count_distinct("vec_id").alias("n"))
@@ -594,9 +815,16 @@ def a20(s, d):
     return P.peaks(s, d).groupBy("dataset").agg(F.round(F.count_distinct("mz") / F.count("*"), 6).alias("ratio"))
 
 
-@op("A21_step_scores", "SELECT event_type AS step, user_id % 5 AS fold, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std FROM events GROUP BY ALL")
+@op(
+    "A21_step_scores",
+    "SELECT event_type AS step, user_id % 5 AS fold, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std FROM events GROUP BY ALL",
+)
 def a21(s, d):
-    return P.table(s, d, "events").groupBy(C("event_type").alias("step"), (C("user_id") % 5).alias("fold")).agg(r4(F.avg("value"), "mean"), r4(F.stddev_samp("value"), "std"))
+    return (
+        P.table(s, d, "events")
+        .groupBy(C("event_type").alias("step"), (C("user_id") % 5).alias("fold"))
+        .agg(r4(F.avg("value"), "mean"), r4(F.stddev_samp("value"), "std"))
+    )
 
 
 @op("A22_count_selected_models", RUNS + "SELECT problem, count(*)::BIGINT AS n FROM lg WHERE score > max_occ GROUP BY 1")
@@ -605,7 +833,10 @@ def a22(s, d):
     return s9(s, d).filter("score > max_occ").groupBy("problem").agg(count()).orderBy(F.desc("n"))
 
 
-@op("A23_registration_error", ", e AS (SELECT (l_tax - l_discount) AS e FROM lineitem) SELECT round(quantile_cont(e, 0.0), 6) AS q0, round(quantile_cont(e, 0.25), 6) AS q1, round(quantile_cont(e, 0.5), 6) AS q2, round(quantile_cont(e, 0.75), 6) AS q3, round(quantile_cont(e, 1.0), 6) AS q4 FROM e")
+@op(
+    "A23_registration_error",
+    ", e AS (SELECT (l_tax - l_discount) AS e FROM lineitem) SELECT round(quantile_cont(e, 0.0), 6) AS q0, round(quantile_cont(e, 0.25), 6) AS q1, round(quantile_cont(e, 0.5), 6) AS q2, round(quantile_cont(e, 0.75), 6) AS q3, round(quantile_cont(e, 1.0), 6) AS q4 FROM e",
+)
 def a23(s, d):
     e = P.table(s, d, "lineitem").select((C("l_tax") - C("l_discount")).alias("e"))
     q = stats.quantiles(e, "e", [0.0, 0.25, 0.5, 0.75, 1.0])
@@ -620,24 +851,47 @@ def a24(s, d):
     m = p.agg(F.avg(F.ln("intensity")).alias("mu"), F.stddev_samp(F.ln("intensity")).alias("sigma"))
     prior = P.labels(s, d).filter(C("target").isin("F", "O")).agg(F.avg((C("target") == "F").cast("double")).alias("prior"))
     both = p.join(F.broadcast(m)).join(F.broadcast(prior))  # one row each
-    return both.select("spectrum_id", "idx", r4(F.exp((F.ln("intensity") - C("mu")) / C("sigma")), "scaled"), *[F.round(c, 6).alias(c) for c in ("mu", "sigma", "prior")])
-
-
-@op("A25_length_diff_hist", ", a AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'O' GROUP BY ALL) SELECT a.n - b.n AS diff, count(*)::BIGINT AS n FROM a JOIN b USING (y, x) GROUP BY 1")
+    return (
+        both
+        .select(
+            "spectrum_id", "idx", r4(F.exp((F.ln("intensity") - C("mu")) / C("sigma")), "scaled"),
+            *[F.round(c, 6).alias(c) for c in ("mu", "sigma", "prior")],
+        )
+    )
+
+
+@op(
+    "A25_length_diff_hist",
+    ", a AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'O' GROUP BY ALL) SELECT a.n - b.n AS diff, count(*)::BIGINT AS n FROM a JOIN b USING (y, x) GROUP BY 1",
+)
 def a25(s, d):
     return j22(s, d).filter("diff is not null").groupBy("diff").agg(count())
 
 
-@op("A26_length_zscore", ", l AS (SELECT spectrum_id, region, len FROM sp JOIN lab USING (spectrum_id)), m AS (SELECT region, avg(len) AS mu, stddev_pop(len) AS sd FROM l GROUP BY 1) SELECT spectrum_id, round(CASE WHEN sd > 1e-7 THEN (len - mu) / sd ELSE len - mu END, 4) AS z FROM l JOIN m USING (region)")
+@op(
+    "A26_length_zscore",
+    ", l AS (SELECT spectrum_id, region, len FROM sp JOIN lab USING (spectrum_id)), m AS (SELECT region, avg(len) AS mu, stddev_pop(len) AS sd FROM l GROUP BY 1) SELECT spectrum_id, round(CASE WHEN sd > 1e-7 THEN (len - mu) / sd ELSE len - mu END, 4) AS z FROM l JOIN m USING (region)",
+)
 def a26(s, d):
     x = P.spectra(s, d).join(P.labels(s, d).select("spectrum_id", "region"), "spectrum_id")
     m = x.groupBy("region").agg(F.avg("len").alias("mu"), F.stddev_pop("len").alias("sd"))
-    return x.join(m, "region").select("spectrum_id", r4(F.when(C("sd") > 1e-7, (C("len") - C("mu")) / C("sd")).otherwise(C("len") - C("mu")), "z"))
+    return (
+        x.join(m, "region")
+        .select("spectrum_id", r4(F.when(C("sd") > 1e-7, (C("len") - C("mu")) / C("sd")).otherwise(C("len") - C("mu")), "z"))
+    )
 
 
-@op("W1_mz_spacing", "SELECT spectrum_id, mz, round(lead(mz) OVER (PARTITION BY spectrum_id ORDER BY mz) - mz, 4) AS gap FROM (SELECT DISTINCT spectrum_id, mz FROM pk)")
+@op(
+    "W1_mz_spacing",
+    "SELECT spectrum_id, mz, round(lead(mz) OVER (PARTITION BY spectrum_id ORDER BY mz) - mz, 4) AS gap FROM (SELECT DISTINCT spectrum_id, mz FROM pk)",
+)
 def w1(s, d):
-    return P.peaks(s, d).select("spectrum_id", "mz").distinct().select("spectrum_id", "mz", r4(F.lead("mz").over(Window.partitionBy("spectrum_id").orderBy("mz")) - C("mz"), "gap"))
+    return (
+        P.peaks(s, d)
+        .select("spectrum_id", "mz")
+        .distinct()
+        .select("spectrum_id", "mz", r4(F.lead("mz").over(Window.partitionBy("spectrum_id").orderBy("mz")) - C("mz"), "gap"))
+    )
 
 
 @op("W2_merge_above_threshold", """, q AS (SELECT ub.bin_idx, lo, hi, coalesce(sum(intensity), 0) > 25 * (SELECT count(*) FROM pk) / 100 AS ok FROM ub LEFT JOIN pk ON mz >= lo AND mz < hi GROUP BY ALL),
@@ -650,16 +904,35 @@ def w2(s, d):
     return B.merge_above(bins(s).join(total, "bin_idx", "left").join(F.broadcast(n)).withColumn("ok", F.coalesce("t", F.lit(0.0)) > 25 * C("n") / 100))
 
 
-@op("W3_max_pool", "SELECT vec_id, channel, greatest(max(value) OVER (PARTITION BY vec_id ORDER BY channel ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), CASE WHEN channel IN (0, 63) THEN 0 ELSE -1e308 END) AS value FROM dn")
+@op(
+    "W3_max_pool",
+    "SELECT vec_id, channel, greatest(max(value) OVER (PARTITION BY vec_id ORDER BY channel ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), CASE WHEN channel IN (0, 63) THEN 0 ELSE -1e308 END) AS value FROM dn",
+)
 def w3(s, d):
     w = Window.partitionBy("vec_id").orderBy("channel")
-    return P.dense(s, d).select("vec_id", "channel", F.greatest(F.max("value").over(w.rowsBetween(-1, 1)), F.when(F.lag("channel").over(w).isNull() | F.lead("channel").over(w).isNull(), F.lit(0.0)).otherwise(F.lit(-1e308))).alias("value"))
-
-
-@op("W4_peak_pick", ", q AS (SELECT vec_id, channel, value, lag(value) OVER w AS l, lead(value) OVER w AS r FROM dn WINDOW w AS (PARTITION BY vec_id ORDER BY channel)) SELECT vec_id, channel, round(channel + 0.5 * (l - r) / (l - 2 * value + r), 4) AS apex FROM q WHERE value > l AND value > r")
+    return (
+        P.dense(s, d)
+        .select(
+            "vec_id", "channel",
+            F.greatest(
+                F.max("value").over(w.rowsBetween(-1, 1)),
+                F.when(F.lag("channel").over(w).isNull() | F.lead("channel").over(w).isNull(), F.lit(0.0)).otherwise(F.lit(-1e308)),
+            ).alias("value"),
+        )
+    )
+
+
+@op(
+    "W4_peak_pick",
+    ", q AS (SELECT vec_id, channel, value, lag(value) OVER w AS l, lead(value) OVER w AS r FROM dn WINDOW w AS (PARTITION BY vec_id ORDER BY channel)) SELECT vec_id, channel, round(channel + 0.5 * (l - r) / (l - 2 * value + r), 4) AS apex FROM q WHERE value > l AND value > r",
+)
 def w4(s, d):
     w = Window.partitionBy("vec_id").orderBy("channel")
-    q = P.dense(s, d).select("vec_id", "channel", "value", F.lag("value").over(w).alias("l"), F.lead("value").over(w).alias("r")).filter("value > l and value > r")
+    q = (
+        P.dense(s, d)
+        .select("vec_id", "channel", "value", F.lag("value").over(w).alias("l"), F.lead("value").over(w).alias("r"))
+        .filter("value > l and value > r")
+    )
     return q.select("vec_id", "channel", r4(C("channel") + 0.5 * (C("l") - C("r")) / (C("l") - 2 * C("value") + C("r")), "apex"))
 
 
@@ -677,24 +950,39 @@ def importances(s, d):
     return P.dense(s, d).groupBy("channel").agg(F.round(F.avg(F.abs("value")), 4).alias("v"))
 
 
-@op("W6_cumulative_importance", IMP + "SELECT channel, v FROM (SELECT *, sum(v) OVER (ORDER BY v DESC, channel ROWS UNBOUNDED PRECEDING) AS run, sum(v) OVER () AS total FROM imp) WHERE run <= 0.8 * total")
+@op(
+    "W6_cumulative_importance",
+    IMP + "SELECT channel, v FROM (SELECT *, sum(v) OVER (ORDER BY v DESC, channel ROWS UNBOUNDED PRECEDING) AS run, sum(v) OVER () AS total FROM imp) WHERE run <= 0.8 * total",
+)
 def w6(s, d):
     return stats.leading_share(importances(s, d), 0.8).select("channel", "v")
 
 
-@op("W7_bh_adjust", ", p AS (SELECT channel, v / 2 AS p FROM (SELECT channel, round(avg(abs(value)), 4) AS v FROM dn GROUP BY 1)), k AS (SELECT *, row_number() OVER (ORDER BY p, channel) AS r, count(*) OVER () AS m FROM p) SELECT channel, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC)), 6) AS adjusted FROM k")
+@op(
+    "W7_bh_adjust",
+    ", p AS (SELECT channel, v / 2 AS p FROM (SELECT channel, round(avg(abs(value)), 4) AS v FROM dn GROUP BY 1)), k AS (SELECT *, row_number() OVER (ORDER BY p, channel) AS r, count(*) OVER () AS m FROM p) SELECT channel, round(least(1.0, min(p * m / r) OVER (ORDER BY r DESC)), 6) AS adjusted FROM k",
+)
 def w7(s, d):
-    return stats.bh_adjust(importances(s, d).select("channel", (C("v") / 2).alias("p"))).select("channel", F.round("adjusted", 6).alias("adjusted"))
+    return (
+        stats.bh_adjust(importances(s, d).select("channel", (C("v") / 2).alias("p")))
+        .select("channel", F.round("adjusted", 6).alias("adjusted"))
+    )
 
 
-@op("W8_monotone", ", q AS (SELECT user_id, event_id, value, min(CASE WHEN event_id % 97 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM events) SELECT user_id, event_id, CASE WHEN stop IS NULL OR event_id < stop THEN max(value) OVER (PARTITION BY user_id ORDER BY event_id) ELSE value END AS value FROM q")
+@op(
+    "W8_monotone",
+    ", q AS (SELECT user_id, event_id, value, min(CASE WHEN event_id % 97 = 0 THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM events) SELECT user_id, event_id, CASE WHEN stop IS NULL OR event_id < stop THEN max(value) OVER (PARTITION BY user_id ORDER BY event_id) ELSE value END AS value FROM q",
+)
 def w8(s, d):
     """Running maximum of a sequence up to its sentinel (null here), from which on the values stay."""
     e = P.table(s, d, "events").select("user_id", "event_id", F.when(C("event_id") % 97 != 0, C("value")).alias("v"), "value")
     return stats.monotone(e, ["user_id"], "event_id", "v").select("user_id", "event_id", F.coalesce("v", "value").alias("value"))
 
 
-@op("W9_peak_overlap", "SELECT round(avg(greatest((mz + 3 * width) - (nm - 3 * nw), 0)), 6) AS overlap FROM (SELECT mz, width, lead(mz) OVER (ORDER BY mz, idx) AS nm, lead(width) OVER (ORDER BY mz, idx) AS nw FROM lip) WHERE nm IS NOT NULL")
+@op(
+    "W9_peak_overlap",
+    "SELECT round(avg(greatest((mz + 3 * width) - (nm - 3 * nw), 0)), 6) AS overlap FROM (SELECT mz, width, lead(mz) OVER (ORDER BY mz, idx) AS nm, lead(width) OVER (ORDER BY mz, idx) AS nw FROM lip) WHERE nm IS NOT NULL",
+)
 def w9(s, d):
     w = Window.orderBy("mz", "idx")
     return P.lipids(s, d).select("mz", "width", F.lead("mz").over(w).alias("nm"), F.lead("width").over(w).alias("nw")).filter("nm is not null").agg(
@@ -706,7 +994,10 @@ def w10(s, d):
     return importances(s, d).select("channel", F.row_number().over(Window.orderBy(F.desc("v"), "channel")).alias("rank"))
 
 
-@op("W11_average_ranks", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY round(value)) + (count(*) OVER (PARTITION BY event_type, round(value)) - 1) / 2 AS r FROM events")
+@op(
+    "W11_average_ranks",
+    "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY round(value)) + (count(*) OVER (PARTITION BY event_type, round(value)) - 1) / 2 AS r FROM events",
+)
 def w11(s, d):
     return P.table(s, d, "events").withColumn("v", F.round("value")).select("event_id", stats.average_rank("v", "event_type").alias("r"))
 
@@ -736,9 +1027,16 @@ def k2(s, d):
     return ranked(s, d).filter("r <= 30").groupBy("channel").agg(count()).filter("n = 3").select("channel")
 
 
-@op("K3_rank_tables", JOINT + "SELECT region, channel, CAST(r AS INTEGER) AS r, channel IN (SELECT channel FROM k WHERE r <= 30 GROUP BY 1 HAVING count(*) = 3) AS joint FROM k")
+@op(
+    "K3_rank_tables",
+    JOINT + "SELECT region, channel, CAST(r AS INTEGER) AS r, channel IN (SELECT channel FROM k WHERE r <= 30 GROUP BY 1 HAVING count(*) = 3) AS joint FROM k",
+)
 def k3(s, d):
-    return ranked(s, d).join(k2(s, d).withColumn("joint", F.lit(True)), "channel", "left").select("region", "channel", "r", F.coalesce("joint", F.lit(False)).alias("joint"))
+    return (
+        ranked(s, d)
+        .join(k2(s, d).withColumn("joint", F.lit(True)), "channel", "left")
+        .select("region", "channel", "r", F.coalesce("joint", F.lit(False)).alias("joint"))
+    )
 
 
 @op("K4_p_value_table", IMP + "SELECT channel, v / 20 AS p, v / 20 < 0.05 AS significant FROM imp")
@@ -751,7 +1049,10 @@ def k5(s, d):
     return by_tic(s, d).orderBy(F.desc("v"), "y", "x").limit(20)
 
 
-@op("K6_keep_upper_half", IMP + "SELECT channel FROM (SELECT *, row_number() OVER (ORDER BY v DESC, channel) AS r, count(*) OVER () AS n FROM imp) WHERE r <= (n + 1) // 2")
+@op(
+    "K6_keep_upper_half",
+    IMP + "SELECT channel FROM (SELECT *, row_number() OVER (ORDER BY v DESC, channel) AS r, count(*) OVER () AS n FROM imp) WHERE r <= (n + 1) // 2",
+)
 def k6(s, d):
     return stats.upper_half(importances(s, d)).select("channel")
 
@@ -768,7 +1069,10 @@ def u1(s, d):
 @op("U2_merge_collections", "SELECT spectrum_id, CAST(dense_rank() OVER (ORDER BY region, ann) AS INTEGER) AS group_id FROM lab")
 def u2(s, d):
     m = G.merge([part(s, d, i) for i in range(3)])
-    return m.join(m.select("dataset", "ann").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("dataset", "ann"))), ["dataset", "ann"]).select("spectrum_id", "group_id")
+    return (
+        m.join(m.select("dataset", "ann").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("dataset", "ann"))), ["dataset", "ann"])
+        .select("spectrum_id", "group_id")
+    )
 
 
 @op("U3_merged_view", "SELECT target, count(*)::BIGINT AS n FROM lab GROUP BY 1")
@@ -796,7 +1100,10 @@ def u6(s, d):
     return m.filter("dataset = 'F'").select("mz").intersect(m.filter("dataset = 'O'").select("mz"))
 
 
-@op("U7_mz_difference", "SELECT 'F-O' AS pair, mz FROM (SELECT mz FROM pk WHERE dataset = 'F' EXCEPT SELECT mz FROM pk WHERE dataset = 'O') UNION ALL SELECT 'O-F' AS pair, mz FROM (SELECT mz FROM pk WHERE dataset = 'O' EXCEPT SELECT mz FROM pk WHERE dataset = 'F')")
+@op(
+    "U7_mz_difference",
+    "SELECT 'F-O' AS pair, mz FROM (SELECT mz FROM pk WHERE dataset = 'F' EXCEPT SELECT mz FROM pk WHERE dataset = 'O') UNION ALL SELECT 'O-F' AS pair, mz FROM (SELECT mz FROM pk WHERE dataset = 'O' EXCEPT SELECT mz FROM pk WHERE dataset = 'F')",
+)
 def u7(s, d):
     one = masses(s, d).groupBy("mz").agg(F.min("dataset").alias("lo"), F.max("dataset").alias("hi")).filter("lo = hi")
     return one.select(F.when(C("lo") == "F", "F-O").otherwise("O-F").alias("pair"), "mz")
@@ -815,7 +1122,11 @@ def u9(s, d):
 @op("U10_removed_peaks", "SELECT spectrum_id, idx FROM pk EXCEPT SELECT spectrum_id, idx FROM pk WHERE intensity > 10")
 def u10(s, d):
     p = P.peaks(s, d)
-    return p.select("spectrum_id", "idx").join(p.filter("intensity > 10").select("spectrum_id", "idx"), ["spectrum_id", "idx"], "left_anti").distinct()
+    return (
+        p.select("spectrum_id", "idx")
+        .join(p.filter("intensity > 10").select("spectrum_id", "idx"), ["spectrum_id", "idx"], "left_anti")
+        .distinct()
+    )
 
 
 @op("U11_common_footprint", "SELECT y, x FROM pk GROUP BY ALL HAVING count(DISTINCT dataset) = 2")
@@ -828,10 +1139,19 @@ def t1(s, d):
     return P.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", G.lerp(C("l_discount"), C("l_tax"), F.lit(0.25)).alias("v"))
 
 
-@op("T2_uniform_bins", ", mr AS (SELECT min(mz) AS a, max(mz) AS b FROM pk) SELECT range AS bin_idx, round(a + range * ((b - a) / 100), 8) AS lo, round(a + (range + 1) * ((b - a) / 100), 8) AS hi FROM mr, range(100)")
+@op(
+    "T2_uniform_bins",
+    ", mr AS (SELECT min(mz) AS a, max(mz) AS b FROM pk) SELECT range AS bin_idx, round(a + range * ((b - a) / 100), 8) AS lo, round(a + (range + 1) * ((b - a) / 100), 8) AS hi FROM mr, range(100)",
+)
 def t2(s, d):
     """100 equal bins on the mass range of the table."""
-    x = a4(s, d).select(C("lo").alias("a"), ((C("hi") - C("lo")) / 100).alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("bin_idx"))
+    x = (
+        a4(s, d)
+        .select(
+            C("lo").alias("a"), ((C("hi") - C("lo")) / 100).alias("w"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))).alias("bin_idx"),
+        )
+    )
     return x.select("bin_idx", F.round(C("a") + C("bin_idx") * C("w"), 8).alias("lo"), F.round(C("a") + (C("bin_idx") + 1) * C("w"), 8).alias("hi"))
 
 
@@ -849,10 +1169,16 @@ def t4(s, d):
     return P.lipids(s, d).select("idx", (C("mz") - 0.01).alias("lo"), (C("mz") + 0.01).alias("hi"))
 
 
-@op("T5_orient_coordinate", "SELECT y, x, CASE s_ % 4 WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 99 - y ELSE 99 - x END AS oy, CASE s_ % 4 WHEN 0 THEN x WHEN 1 THEN 9999 - y WHEN 2 THEN 9999 - x ELSE y END AS ox FROM (SELECT y, x, (y + x) % 4 AS s_ FROM tic)")
+@op(
+    "T5_orient_coordinate",
+    "SELECT y, x, CASE s_ % 4 WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 99 - y ELSE 99 - x END AS oy, CASE s_ % 4 WHEN 0 THEN x WHEN 1 THEN 9999 - y WHEN 2 THEN 9999 - x ELSE y END AS ox FROM (SELECT y, x, (y + x) % 4 AS s_ FROM tic)",
+)
 def t5(s, d):
     k = (C("y") + C("x")) % 4
-    oy, ox = G.orient(C("y"), C("x"), k, F.lit(False), F.lit(False), F.when(k % 2 == 0, F.lit(100)).otherwise(F.lit(10000)), F.when(k % 2 == 0, F.lit(10000)).otherwise(F.lit(100)))
+    oy, ox = G.orient(
+        C("y"), C("x"), k, F.lit(False), F.lit(False), F.when(k % 2 == 0, F.lit(100)).otherwise(F.lit(10000)),
+        F.when(k % 2 == 0, F.lit(10000)).otherwise(F.lit(100)),
+    )
     return by_tic(s, d).select("y", "x", oy.cast("long").alias("oy"), ox.cast("long").alias("ox"))
 
 
@@ -871,7 +1197,11 @@ def t7(s, d):
 def t8(s, d):
     """Overlay to template: translate, scale, centre, rotate, flip, crop as one matrix."""
     m = G.template_matrix((5, 7), 2.0, (60, 40), 1, flip_ud=True, crop=(4, 3))
-    return annotations(s, d).select("ann_id", G.affine(G.wkt_polygon("wkt"), m)[0].alias("p")).select("ann_id", r4(C("p.x"), "px"), r4(C("p.y"), "py"))
+    return (
+        annotations(s, d)
+        .select("ann_id", G.affine(G.wkt_polygon("wkt"), m)[0].alias("p"))
+        .select("ann_id", r4(C("p.x"), "px"), r4(C("p.y"), "py"))
+    )
 
 
 @op("T9_bbox_registration", """, a AS (SELECT min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM tic WHERE v > 100), b AS (SELECT min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM tic WHERE v > 200),
@@ -881,7 +1211,10 @@ def t9(s, d):
     """Scales between the boxes of two masks, and the matrix (f 0 tx; 0 f ty) of offset, scale by the longer side, offset."""
     a, b = (G.bounding_box(by_tic(s, d).filter(C("v") > t)).first() for t in (100, 200))
     sy, sx, m = G.box_registration(tuple(a), tuple(b))
-    return s.createDataFrame([(round(sy, 6), round(sx, 6), round(m[0][0], 6), round(m[0][2], 4), round(m[1][2], 4))], "sy double, sx double, f double, tx double, ty double")
+    return s.createDataFrame(
+        [(round(sy, 6), round(sx, 6), round(m[0][0], 6), round(m[0][2], 4), round(m[1][2], 4))],
+        "sy double, sx double, f double, tx double, ty double",
+    )
 
 
 @op("T10_wkt_polygon", ANN + "SELECT ann_id, 4::BIGINT AS n, CAST(x0 AS DOUBLE) AS px, CAST(y0 AS DOUBLE) AS py FROM ann")
@@ -897,7 +1230,10 @@ def t11(s, d):
 
 @op("T12_hsv_filter", "SELECT y, x, CASE WHEN y BETWEEN 20 AND 80 AND x % 256 >= 10 AND v <= 400 THEN v ELSE 0 END AS v FROM tic")
 def t12(s, d):
-    return by_tic(s, d).select("y", "x", F.when(C("y").between(20, 80) & (C("x") % 256 >= 10) & (C("v") <= 400), C("v")).otherwise(0.0).alias("v"))
+    return (
+        by_tic(s, d)
+        .select("y", "x", F.when(C("y").between(20, 80) & (C("x") % 256 >= 10) & (C("v") <= 400), C("v")).otherwise(0.0).alias("v"))
+    )
 
 
 @op("T13_scale_to_max", "SELECT y, x, round(v / max(v) OVER (PARTITION BY y), 6) AS v FROM tic")
@@ -912,7 +1248,10 @@ def t14(s, d):
 
 @op("T15_truncate_label", "SELECT idx, CASE WHEN length(name) > 20 THEN substr(name, 1, 17) || '...' ELSE name END AS name FROM lip")
 def t15(s, d):
-    return P.lipids(s, d).select("idx", F.when(F.length("name") > 20, F.concat(F.substring("name", 1, 17), F.lit("..."))).otherwise(C("name")).alias("name"))
+    return (
+        P.lipids(s, d)
+        .select("idx", F.when(F.length("name") > 20, F.concat(F.substring("name", 1, 17), F.lit("..."))).otherwise(C("name")).alias("name"))
+    )
 
 
 @op("T19_log1p_intensity", "SELECT spectrum_id, idx, round(ln(1 + intensity), 6) AS v FROM pk")
@@ -933,15 +1272,26 @@ def t21(s, d):
 @op("X1_pad_spectra", "SELECT spectrum_id, len, 13::BIGINT AS padded, list_sum(ints) AS total FROM sp")
 def x1(s, d):
     pad = F.concat("ints", F.array_repeat(F.lit(0.0), F.lit(13) - F.size("ints")))
-    return P.spectra(s, d).select("spectrum_id", "len", pad.alias("p")).select("spectrum_id", "len", big(F.size("p")).alias("padded"), F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return (
+        P.spectra(s, d)
+        .select("spectrum_id", "len", pad.alias("p"))
+        .select("spectrum_id", "len", big(F.size("p")).alias("padded"), F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    )
 
 
 @op("X2_pivot_features", SUM.format("ub"))
 def x2(s, d):
     wide = B.pivot_features(B.bin_sum(P.peaks(s, d), bins(s), ["spectrum_id"]), ["spectrum_id"], 100)
-    return wide.select("spectrum_id", F.posexplode("features").alias("bin_idx", "value")).filter("value > 0").select("spectrum_id", big(C("bin_idx")).alias("bin_idx"), r4(C("value"), "value"))
+    return (
+        wide.select("spectrum_id", F.posexplode("features").alias("bin_idx", "value"))
+        .filter("value > 0")
+        .select("spectrum_id", big(C("bin_idx")).alias("bin_idx"), r4(C("value"), "value"))
+    )
 
 
-@op("X3_pad_images", "SELECT g.y, g.x, coalesce(v, -1.0) AS v FROM (SELECT a.range AS y, b.range AS x FROM range(100) a, (SELECT unnest(range((SELECT max(x) + 1 FROM tic))) AS range) b) g LEFT JOIN tic USING (y, x)")
+@op(
+    "X3_pad_images",
+    "SELECT g.y, g.x, coalesce(v, -1.0) AS v FROM (SELECT a.range AS y, b.range AS x FROM range(100) a, (SELECT unnest(range((SELECT max(x) + 1 FROM tic))) AS range) b) g LEFT JOIN tic USING (y, x)",
+)
 def x3(s, d):
     return G.pad_image(by_tic(s, d), 100, by_tic(s, d).agg(F.max("x") + 1).first()[0], -1.0, s)

@@ -28,18 +28,34 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """spectrum_id, target, region, ann, weight (share of the largest total price)."""
     o = table(spark, sf_dir, "orders")
     top = o.agg(F.max("o_totalprice").alias("top"))
-    return o.join(F.broadcast(top)).select(F.col("o_orderkey").alias("spectrum_id"), F.col("o_orderstatus").alias("target"), (F.col("o_custkey") % 3).alias("region"), F.col("o_orderpriority").alias("ann"), (F.col("o_totalprice") / F.col("top")).alias("weight"))
+    return (
+        o.join(F.broadcast(top))
+        .select(
+            F.col("o_orderkey").alias("spectrum_id"), F.col("o_orderstatus").alias("target"),
+            (F.col("o_custkey") % 3).alias("region"), F.col("o_orderpriority").alias("ann"),
+            (F.col("o_totalprice") / F.col("top")).alias("weight"),
+        )
+    )
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous spectra: vec_id, channel, value, label, target (label % 2), region (vec_id % 3)."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", (F.col("label") % 2).alias("target"), (F.col("vec_id") % 3).alias("region"), F.posexplode("embedding").alias("channel", "value")).withColumn("value", F.col("value").cast("double"))
+    return (
+        e.select(
+            "vec_id", "label", (F.col("label") % 2).alias("target"), (F.col("vec_id") % 3).alias("region"),
+            F.posexplode("embedding").alias("channel", "value"),
+        )
+        .withColumn("value", F.col("value").cast("double"))
+    )
 
 
 def uniform_bins(spark: SparkSession, n: int, lo: float, hi: float) -> DataFrame:
     width = (hi - lo) / n
-    return spark.range(n).select(F.col("id").alias("bin_idx"), (lo + F.col("id") * width).alias("lo"), (lo + (F.col("id") + 1) * width).alias("hi"))
+    return (
+        spark.range(n)
+        .select(F.col("id").alias("bin_idx"), (lo + F.col("id") * width).alias("lo"), (lo + (F.col("id") + 1) * width).alias("hi"))
+    )
 
 
 def gap_bins(spark: SparkSession) -> DataFrame:
@@ -48,4 +64,10 @@ def gap_bins(spark: SparkSession) -> DataFrame:
 
 
 def lipids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), (F.col("p_retailprice") / 2).alias("mz"), (F.col("p_size") / 100).alias("width"), F.col("p_name").alias("name"))
+    return (
+        table(spark, sf_dir, "part")
+        .select(
+            F.col("p_partkey").alias("idx"), (F.col("p_retailprice") / 2).alias("mz"), (F.col("p_size") / 100).alias("width"),
+            F.col("p_name").alias("name"),
+        )
+    )

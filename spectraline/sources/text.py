@@ -60,7 +60,13 @@ def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     name = r"^(.*?)(?:_no_norm|_norm_(.+?))_(g?)cv\.log$"
     part = lambda i: F.regexp_extract("file", name, i)
     known = lines.filter(F.col("file").rlike(name))
-    return known.select(part(1).alias("problem"), F.when(part(2) == "", "none").otherwise(part(2)).alias("normalization"), (part(3) == "g").alias("grouped"), F.col("value").alias("line"))
+    return (
+        known
+        .select(
+            part(1).alias("problem"), F.when(part(2) == "", "none").otherwise(part(2)).alias("normalization"),
+            (part(3) == "g").alias("grouped"), F.col("value").alias("line"),
+        )
+    )
 
 
 def run_scores(logs: DataFrame) -> DataFrame:
@@ -70,20 +76,32 @@ def run_scores(logs: DataFrame) -> DataFrame:
     total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
     occ = F.nullif(F.regexp_extract("line", r"\[root\] \[INFO\] : max rel\. occurrence = (0\.\d+)", 1), F.lit("")).cast("double")
     rows = logs.select("problem", "normalization", "grouped", total.alias("total"), F.size(scores).alias("n"), occ.alias("occ"))
-    return rows.groupBy("problem", "normalization", "grouped").agg((F.sum("total") / F.sum("n")).alias("score"), F.max("occ").alias("max_occ"))
+    return (
+        rows.groupBy("problem", "normalization", "grouped")
+        .agg((F.sum("total") / F.sum("n")).alias("score"), F.max("occ").alias("max_occ"))
+    )
 
 
 def run_importances(logs: DataFrame) -> DataFrame:
     """problem, normalization, grouped, id, name, importance from the lines `<id> ( <name> ) : <number>` of runs."""
     pattern = r"\[root\] \[INFO\] :\s+(\d+) \(\s*(.*?)\s*\) :\s+(\d+\.\d+)"
     part = lambda i: F.regexp_extract("line", pattern, i)
-    return logs.filter(F.col("line").rlike(pattern)).select("problem", "normalization", "grouped", part(1).cast("int").alias("id"), part(2).alias("name"), part(3).cast("double").alias("importance"))
+    return (
+        logs.filter(F.col("line").rlike(pattern))
+        .select("problem", "normalization", "grouped", part(1).cast("int").alias("id"), part(2).alias("name"), part(3).cast("double").alias("importance"))
+    )
 
 
 def load_mask(spark: SparkSession, path: str) -> DataFrame:
     """name, y, x, on_ of greyscale images: whether a pixel is above half of its image's brightest one."""
     image = spark.read.format("image").load(path).select("image.*")
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("data"), F.col("nChannels")), lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("int")))
+    at = F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.length("data"), F.col("nChannels")),
+        lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("int"),
+    ))
     pixel = image.select(F.element_at(F.split("origin", "/"), -1).alias("name"), "width", at.alias("i", "v"))
     top = pixel.groupBy("name").agg(F.max("v").alias("top"))
-    return pixel.join(F.broadcast(top), "name").select("name", F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).alias("x"), (F.col("v") > F.col("top") / 2).alias("on_"))
+    return (
+        pixel.join(F.broadcast(top), "name")
+        .select("name", F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).alias("x"), (F.col("v") > F.col("top") / 2).alias("on_"))
+    )
