@@ -25,7 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 
 # The pattern of byte-level pre-splitting.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+PATTERN = (
+    regex
+    .compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+)
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 KEPT_WORDS = 250_000
 
@@ -211,6 +214,12 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
                     out.append((ids.astype(np.int64), decoded) if texts else (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                 columns = zip(*out, strict=True)
                 kinds = [pa.list_(pa.int64()), pa.string()] if texts else [pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "ids", "decoded"] if texts else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(put, "doc_id long, ids array<long>, decoded string" if texts else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                    names=["doc_id", "ids", "decoded"] if texts else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+
+    return (
+        docs.select("doc_id", "text")
+        .mapInArrow(put, "doc_id long, ids array<long>, decoded string" if texts else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    )

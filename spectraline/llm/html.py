@@ -56,7 +56,13 @@ EDGES = {"page": (0.5, 0.001), "part": (0.7, 0.001), "text": (0.95, 0.001), "in"
 MAIN_ODDS, ROOT_ODDS = 4.0, 6.0  # log odds of an <article> or <main>, and that a page has content
 
 ATTRIBUTES = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)"
-TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(script|style)(?=[\s/>])" + ATTRIBUTES + r"(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)" + ATTRIBUTES + r">|</?[a-zA-Z][^<>]*+\Z", regex.S | regex.I)
+TOKEN = (
+    regex
+    .compile(
+        r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(script|style)(?=[\s/>])" + ATTRIBUTES + r"(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)" + ATTRIBUTES + r">|</?[a-zA-Z][^<>]*+\Z",
+        regex.S | regex.I,
+    )
+)
 WALL = r"body|form|main|html"  # a hidden element that reaches one of these was not closed
 MARKS = regex.compile(r"(?:^|[\s/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", regex.I)
 GONE = regex.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", regex.I)
@@ -146,7 +152,11 @@ class Tree:
             text = " ".join(raw.split())
             if text:
                 share, size = self.linked / len(raw), len(text)
-                self.node(self.stack[-1][1], (f"text:{0 if share < 0.2 else 1 if share < 0.6 else 2}{0 if size < 25 else 1 if size < 80 else 2 if size < 250 else 3}",), text=text)
+                self.node(
+                    self.stack[-1][1],
+                    (f"text:{0 if share < 0.2 else 1 if share < 0.6 else 2}{0 if size < 25 else 1 if size < 80 else 2 if size < 250 else 3}",),
+                    text=text,
+                )
             self.pieces, self.linked = [], 0
 
     def node(self, parent: int, seen: tuple, off: int = 0, main: bool = False, top: bool = False, text: str | None = None) -> int:
@@ -295,7 +305,10 @@ def trained(pages: DataFrame) -> Model:
                 if page.is_valid:
                     total.update(counts(page.as_py()))
         keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())], names=["f", "y", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f for f, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.int32()), pa.array([total[k] for k in keys], pa.int64())],
+            names=["f", "y", "n"],
+        )
 
     rows = pages.select("html").mapInArrow(put, "f string, y int, n long").groupBy("f", "y").agg(F.sum("n").alias("n")).collect()
     return Model({(r.f, r.y): r.n for r in rows})
@@ -310,6 +323,9 @@ def main_text(pages: DataFrame, model: Model) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = [held.value.text(p.as_py() or "") for p in part.column("html")]
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"],
+                )
 
     return pages.select("page_id", "url", "html").mapInArrow(put, "page_id long, url string, text string, n_chars long")

@@ -32,7 +32,10 @@ def training_rows(docs: DataFrame, kept: Column, sample: int = SAMPLE, limit: in
     """Bounded training text of each language; `kept` is a Column that is true on rows that may be learnt from."""
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     at = F.conv(F.substring(order, 1, 8), 16, 10).cast("long") % F.greatest(F.lit(1), F.length("text") - limit + 1) + 1
-    rows = docs.filter(kept & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", order.alias("o"), F.substring("text", at.cast("int"), F.lit(limit)).alias("text"))
+    rows = (
+        docs.filter(kept & F.col("lang").isNotNull() & (F.length("text") > 0))
+        .select("lang", order.alias("o"), F.substring("text", at.cast("int"), F.lit(limit)).alias("text"))
+    )
     # of each language no more than `sample` rows leave a task: the ranks are cut before the shuffle
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
     found: dict[str, list] = {}
@@ -92,6 +95,9 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
         for batch in batches:
             found = [parser.predict(t.as_py()) for t in batch.column("text")]
             names, scores = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                names=["doc_id", "lang_pred", "score"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(put, "doc_id long, lang_pred string, score double")

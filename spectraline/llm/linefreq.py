@@ -44,10 +44,22 @@ def base_measures(docs: DataFrame, *columns: str | Column) -> DataFrame:
     out = out.withColumns({"n_words": F.size("words").cast("long"), "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
                            "windows": F.when(F.size("words") >= 5, F.transform(F.sequence(F.lit(0), F.size("words") - 5), window))}).drop("lines", "words")
     rest = [c for c in out.columns if c != "windows"]
-    out = out.select(*rest, F.when(F.size("windows") > F.size(F.array_distinct("windows")), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("ordered"))
+    out = out.select(
+        *rest,
+        F.when(
+            F.size("windows") > F.size(F.array_distinct("windows")),
+            F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        ).alias("ordered"),
+    )
     same = lambda x, j: F.coalesce(F.get("ordered", j)["h"] == x["h"], F.lit(False))
     out = out.select(*rest, F.array_sort(F.transform(F.filter("ordered", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"])).alias("starts"))
-    return out.select(*rest, F.coalesce(F.aggregate(F.transform("starts", lambda p, i: F.least(F.lit(5), F.coalesce(F.get("starts", i + 1), p + 5) - p)), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"))
+    return out.select(
+        *rest,
+        F.coalesce(
+            F.aggregate(F.transform("starts", lambda p, i: F.least(F.lit(5), F.coalesce(F.get("starts", i + 1), p + 5) - p)), F.lit(0), lambda a, x: a + x),
+            F.lit(0),
+        ).cast("long").alias("n_repeat_words"),
+    )
 
 
 def frequent_lines(lines: DataFrame, least: int = LEAST) -> DataFrame:
@@ -82,7 +94,12 @@ def quality(docs: DataFrame, least: int = LEAST, left: float = LEFT) -> DataFram
     rows = cut(base_measures(docs, host(), line_words(F.col("text")).alias("hashed"), F.monotonically_increasing_id().alias("row")), "measured")
     lines = exploded(rows)
     lost = lines.join(frequent_lines(lines, least), ["host", "line"], "left_semi").groupBy("row").agg(F.sum("n").alias("n_frequent_words"))
-    out = rows.drop("hashed").join(lost, "row", "left").drop("row", "host").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
+    out = (
+        rows.drop("hashed")
+        .join(lost, "row", "left")
+        .drop("row", "host")
+        .withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
+    )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_frequent_words") >= left * F.col("n_words")))
@@ -91,9 +108,20 @@ def quality(docs: DataFrame, least: int = LEAST, left: float = LEFT) -> DataFram
 def clean_texts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the lines that are too frequent on their host taken out of the text."""
     names = ["doc_id", "text", "host"]
-    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("text"), host(), line_words(F.col("text")).alias("hashed"), F.monotonically_increasing_id().alias("row")), "lines")
+    rows = cut(
+        docs.select(
+            "doc_id", F.xxhash64("text").alias("text"), host(), line_words(F.col("text")).alias("hashed"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "lines",
+    )
     bad = exploded(rows).join(frequent_lines(exploded(rows), least), ["host", "line"], "left_semi").select("row", "line")
-    bad = rows.select("row", *names).join(bad, "row").groupBy(*names).agg(F.collect_set("line").alias("bad"))  # no more than a text has lines
+    bad = (
+        rows.select("row", *names)
+        .join(bad, "row")
+        .groupBy(*names)
+        .agg(F.collect_set("line").alias("bad"))
+    )  # no more than a text has lines
     mine = [F.col("d.doc_id"), F.xxhash64("d.text"), F.coalesce(F.concat(F.lit("="), F.col("d.source")), F.lit(""))]
     on = [a.eqNullSafe(F.col(f"b.{n}")) for a, n in zip(mine, names, strict=True)]
     stays = lambda x: ~F.coalesce(F.array_contains("b.bad", F.xxhash64(normal(x))), F.lit(False))

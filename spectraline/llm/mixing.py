@@ -37,16 +37,44 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, keep: tuple = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, whole (times the document is taken whole), part (words taken once more), taken."""
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))), F.lit(f"|{seed}")))
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.substring(key, 1, 3).alias("bucket"), *keep)
-    goal = targets(sized, weights, share, epochs).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    goal = goal.withColumn("whole", F.floor("rate")).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    sized = (
+        docs
+        .select(
+            "doc_id", "source",
+            F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), key.alias("key"),
+            F.substring(key, 1, 3).alias("bucket"), *keep,
+        )
+    )
+    goal = (
+        targets(sized, weights, share, epochs)
+        .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    )
+    goal = (
+        goal.withColumn("whole", F.floor("rate"))
+        .withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+    )
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    sums = sums.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "s.bucket", "s.offset", "g.source_size", "g.target", "g.whole", "g.rest")
+    sums = (
+        sized.groupBy("source", "bucket")
+        .agg(F.sum("size").alias("n"))
+        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    )
+    sums = (
+        sums.alias("s")
+        .join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
+        .select("s.source", "s.bucket", "s.offset", "g.source_size", "g.target", "g.whole", "g.rest")
+    )
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = placed.alias("d").join(sums.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.bucket") == F.col("t.bucket")))
-    out = out.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.whole", F.greatest(F.lit(0).cast("long"), F.least("d.size", F.col("t.rest") - F.col("t.offset") - F.col("d.start"))).alias("part"), *[f"d.{c}" for c in keep])
+    out = (
+        placed.alias("d")
+        .join(sums.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.bucket") == F.col("t.bucket")))
+    )
+    out = out.select(
+        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.whole",
+        F.greatest(F.lit(0).cast("long"), F.least("d.size", F.col("t.rest") - F.col("t.offset") - F.col("d.start"))).alias("part"),
+        *[f"d.{c}" for c in keep],
+    )
     return out.withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
 
 

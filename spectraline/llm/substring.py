@@ -118,7 +118,10 @@ def _windows(length: int):
                 at, h = runs(w.hash, w.row, length)
                 row = w.row[at]
                 take = lambda c: part.column(c).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([signed(h), take("doc_id"), take("run"), pa.array((at - w.first()[row]).astype(np.int32))], names=["h", "doc_id", "run", "offset"])
+                yield pa.RecordBatch.from_arrays(
+                    [signed(h), take("doc_id"), take("run"), pa.array((at - w.first()[row]).astype(np.int32))],
+                    names=["h", "doc_id", "run", "offset"],
+                )
 
     return put
 
@@ -160,7 +163,10 @@ def _copied(length: int, shards: int):
                     out += [(shard, kind, doc + kind // 2, h, lo, len(words_), " ".join(words_)) for kind in (0, 2)]
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "kind", "doc_id", "key", "start", "n", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=["shard", "kind", "doc_id", "key", "start", "n", "text"],
+            )
 
     return put
 
@@ -210,11 +216,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     total = rep.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, int(total // (6 * SHARD_WORDS)))
     schema = "shard long, kind int, doc_id long, key long, start long, n long, text string"
-    dealt = rep.select("doc_id", "key", "start", "text", "run").dropDuplicates(["doc_id", "run"]).join(owned, ["doc_id", "run"]).mapInArrow(_deal(length, shards), schema)
-    copied = rep.filter("copied").select("doc_id", "k1", "text").dropDuplicates(["doc_id", "k1"]).mapInArrow(_copied(length, shards), schema)
+    dealt = (
+        rep.select("doc_id", "key", "start", "text", "run")
+        .dropDuplicates(["doc_id", "run"])
+        .join(owned, ["doc_id", "run"])
+        .mapInArrow(_deal(length, shards), schema)
+    )
+    copied = (
+        rep.filter("copied")
+        .select("doc_id", "k1", "text")
+        .dropDuplicates(["doc_id", "k1"])
+        .mapInArrow(_copied(length, shards), schema)
+    )
     dealt = cut(dealt.unionByName(copied), "dealt")
     load = dealt.filter("kind > 0").groupBy("shard").agg(F.ceil(F.sum("n") / TASK_WORDS).cast("int").alias("copies"))
-    each = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int")))
+    each = (
+        F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("copies") - 1))
+        .otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int")))
+    )
     routed = dealt.join(load, "shard").withColumn("copy", F.explode(each)).select("shard", "copy", "kind", "doc_id", "key", "start", "text")
     sorted_ = routed.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind", "doc_id", "key", "start")
     judged = cut(sorted_.mapInArrow(_judge(length), "kind long, doc_id long, key long, lo long, hi long"), "judged")
@@ -253,10 +272,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
                     line = b" ".join(left)
                     out.append((len(tokens), len(tokens) - len(left), line.decode() if texts else hashlib.sha256(line).hexdigest()))
                 n, gone, last = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(last, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(last, pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "kept"],
+                )
 
     keyed = docs.select("doc_id", "text", text_key().alias("key"))
-    return keyed.join(_spans(docs, length, gram), ["doc_id", "key"], "left").mapInArrow(put, "doc_id long, n_words long, n_removed long, kept string")
+    return (
+        keyed.join(_spans(docs, length, gram), ["doc_id", "key"], "left")
+        .mapInArrow(put, "doc_id long, n_words long, n_removed long, kept string")
+    )
 
 
 def _spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -291,6 +316,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     columns = docs.columns
     key_at, spans_at = free_name(columns, "key"), free_name(columns, "spans")
     found = _spans(docs, length, gram).withColumnsRenamed({"key": key_at, "spans": spans_at})
-    out = docs.withColumn(key_at, text_key()).join(found, ["doc_id", key_at], "left").select(*columns, spans_at).mapInArrow(put, docs.schema)
+    out = (
+        docs.withColumn(key_at, text_key())
+        .join(found, ["doc_id", key_at], "left")
+        .select(*columns, spans_at)
+        .mapInArrow(put, docs.schema)
+    )
     out = out.filter(F.col("text").isNull() | (F.col("text") != ""))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

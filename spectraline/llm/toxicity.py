@@ -68,7 +68,10 @@ class Classifier:
     def compressor(content: bytes) -> zstd.ZstdCompressor:
         options = zstd.ZstdCompressionParameters(strategy=zstd.STRATEGY_LAZY2, min_match=3, window_log=14, hash_log=12, chain_log=12, search_log=6, target_length=16,
                                                  write_checksum=False, write_content_size=False, write_dict_id=False)
-        return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=options)
+        return (
+            zstd
+            .ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=options)
+        )
 
     def distance(self, word: str) -> int:
         """Bytes that the toxic dictionary saves over the ordinary one, 0 to 9; -1 if it can't match the word at all."""
@@ -206,6 +209,9 @@ def scores(docs: DataFrame, classifier: Classifier, *columns: str, name: str = "
     def put(batches):
         judge = held.value.start()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([judge.score(t.as_py()) for t in batch.column("text")], pa.float64())], names=[*names, name])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array([judge.score(t.as_py()) for t in batch.column("text")], pa.float64())],
+                names=[*names, name],
+            )
 
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(put, schema)
