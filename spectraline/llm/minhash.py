@@ -113,45 +113,26 @@ def _signer(k: int, bands: int, rows: int):
     return sign
 
 
+def parities(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each set, by 64 * PARITY hashed slots, whether the slot holds an odd number of members; packed in PARITY integers."""
+    n, width = len(first) - 1, 64 * PARITY
+    slot = (mix(values ^ U(991)) % U(width)).astype(np.int64)
+    odd = np.stack([np.bincount(slot[a:b], minlength=width) & 1 for a, b in zip(first, first[1:], strict=False)]) if n else np.zeros((0, width), np.int64)
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).reshape(n, PARITY)
+
+
 def _setter(k: int):
     def put(batches):
         for batch in batches:
             for part in slices(batch):
                 values, first = shingle_sets(words(part.column("text"), lower=True), k)
-                raw = [values[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 ids = pa.StructArray.from_arrays([part.column("doc_id"), signed(set_hash(values, first, 77))], names=["doc_id", "s"])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(raw, pa.binary())], names=["id", "members"])
+                odd = (pa.array(x) for x in parities(values, first).T.copy())
+                yield pa.RecordBatch.from_arrays([ids, lists(signed(values), first), *odd], names=["id", "members", *(f"p{i}" for i in range(PARITY))])
 
     return put
 
 
-def _parity(batches):
-    """Of each set, by 64 * PARITY hashed slots, whether the slot holds an odd number of members."""
-    for batch in batches:
-        out = np.zeros((batch.num_rows, PARITY), np.int64)
-        for i, raw in enumerate(batch.column("members")):
-            slot = (mix(np.frombuffer(raw.as_buffer(), U) ^ U(991)) % U(64 * PARITY)).astype(np.int64)
-            out[i] = np.packbits((np.bincount(slot, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x) for x in out.T.copy())], names=["id", *(f"p{i}" for i in range(PARITY))])
-
-
-def _verifier(percent: int):
-    def verify(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return verify
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b); by least labels and label jumps, O(log) rounds."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -169,14 +150,18 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, key: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); and the hash of its text as `key` if asked for."""
     docs = docs.select("doc_id", "text")
-    signed_docs = cut(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_signer(k, bands, rows), "doc_id long, key long, n_shingles long, set1 long, set2 long, bands array<long>"), "sketches")
+    signed_docs = cut(
+        docs.withColumn("key", F.xxhash64("text")).mapInArrow(_signer(k, bands, rows), "doc_id long, key long, n_shingles long, set1 long, set2 long, bands array<long>"),
+        "sketches",
+    )
     same = ["n_shingles", "set1", "set2"]
     rep = cut(signed_docs.filter("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "bands")).alias("r"))
               .select(*same, F.struct("r.doc_id", F.col("set1").alias("s")).alias("id"), "r.bands"), "representatives")
     member = rep.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     many = member.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
     member = cut(member.join(many, "bucket"), "buckets")
-    sets = cut(docs.join(member.select("id.doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_setter(k), f"id {ID}, members binary")
+    parity = ", ".join(f"p{i} long" for i in range(PARITY))
+    sets = cut(docs.join(member.select("id.doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_setter(k), f"id {ID}, members array<long>, {parity}")
                .dropDuplicates(["id"]), "sets")
 
     close = F.col("na") * 100 >= F.col("nb") * percent
@@ -185,10 +170,20 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bands:
     def verified(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("id").alias("a"), F.col("members").alias("set_a"))
         two = sets.select(F.col("id").alias("b"), F.col("members").alias("set_b"))
-        return pairs.join(one, "a").join(two, "b").mapInArrow(_verifier(percent), f"a {ID}, b {ID}")
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        return (
+            pairs.join(one, "a")
+            .join(two, "b")
+            .filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both))
+            .select("a", "b")
+        )
 
     def led(members: DataFrame, order) -> DataFrame:
-        leader = members.groupBy("bucket").agg(F.min(F.struct(*order, "id", "n")).alias("l")).select("bucket", F.col("l.id").alias("a"), F.col("l.n").alias("na"))
+        leader = (
+            members.groupBy("bucket")
+            .agg(F.min(F.struct(*order, "id", "n")).alias("l"))
+            .select("bucket", F.col("l.id").alias("a"), F.col("l.n").alias("na"))
+        )
         return (members.join(leader, "bucket").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"), *[c for c in ("component",) if c in members.columns])
                 .filter("a <> b").filter(close))
 
@@ -212,15 +207,20 @@ def near_duplicates(docs: DataFrame, k: int = K, percent: int = PERCENT, bands:
         label = components(links)
         at = cut(placed(label), "open")
         # Slots of unequal parity each hold a shingle of the symmetric difference: their number is at most its size.
-        odd = sets.join(at.select("id").distinct(), "id", "left_semi").mapInArrow(_parity, f"id {ID}, " + ", ".join(f"p{i} long" for i in range(PARITY)))
-        at = cut(at.join(odd, "id"), "bounded")
+        at = cut(at.join(sets.drop("members"), "id"), "bounded")
         size = at.groupBy("bucket", "component").agg(F.count("*").alias("c"))
         largest = size.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("total"))
         # a bucket's minor members are dealt to parts, each of which meets the whole bucket
-        largest = largest.select("bucket", F.col("m.component").alias("main"), F.ceil((F.col("total") - F.col("m.c")) / MINOR).cast("int").alias("parts"))
+        largest = (
+            largest
+            .select("bucket", F.col("m.component").alias("main"), F.ceil((F.col("total") - F.col("m.c")) / MINOR).cast("int").alias("parts"))
+        )
         side = lambda x: [F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *(F.col(f"p{i}").alias(f"p{i}{x}") for i in range(PARITY))]
         both_sides = at.join(largest, "bucket")
-        minor = both_sides.filter("component <> main").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), *side("a"))
+        minor = (
+            both_sides.filter("component <> main")
+            .select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), *side("a"))
+        )
         every = both_sides.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *side("b"))
         apart = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(1, PARITY)), F.bit_count(F.col("p0a").bitwiseXOR(F.col("p0b"))))
         both = F.col("na") + F.col("nb")  # |A & B| is at most (both - apart) / 2, |A | B| at least (both + apart) / 2
