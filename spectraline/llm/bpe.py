@@ -30,7 +30,7 @@ PATTERN = (
     .compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 )
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-KEPT_WORDS = 250_000
+KEPT_WORDS = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -118,7 +118,7 @@ class Automaton:
                 if state >= 0:
                     gone = after.get((state, t))
                     if gone is None:
-                        if len(after) > 2_000_000:
+                        if len(after) > 500_000:
                             after.clear()
                         gone = after[state, t] = self.removed(state, t)
                     if gone:
@@ -189,9 +189,9 @@ class Splitter:
 
 
 @lru_cache(1)
-def machine_of(definition: str) -> tuple[Automaton, Splitter]:
-    machine = Automaton(definition)
-    return machine, Splitter(machine)
+def machine_of(definition: str) -> Automaton:
+    """One automaton for all tasks of a worker; what it has split is kept within a task only, so that idle workers stay small."""
+    return Automaton(definition)
 
 
 def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
@@ -203,7 +203,8 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = True) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def put(batches):
-        machine, kept = machine_of(held.value)
+        machine = machine_of(held.value)
+        kept = Splitter(machine)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, out = batch.slice(at, 500), []
