@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from spectraline.llm.words import U, mix, powers
 
-K, WINDOW, BLOCKS, BLOCK_ROWS = 16, 32, 20_000, 20_000
+K, WINDOW, BLOCKS, BLOCK_ROWS = 16, 32, 20_000, 1000
 
 
 def winnow(text: str, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,10 @@ def _deal(bounds: list, heads: dict):
             if again:
                 to = pa.array([heads[ids[i].as_py()] for i in again], pa.int64())
                 at = pa.array(again)
-                yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(again), np.int32)), ids.take(at), batch.column("text").take(at)], names=["block", "tail", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [to, pa.array(np.ones(len(again), np.int32)), ids.take(at), batch.column("text").take(at)],
+                    names=["block", "tail", "doc_id", "text"],
+                )
 
     return put
 
@@ -157,4 +160,8 @@ def edited_likeness(docs: DataFrame, k: int = K, w: int = WINDOW, blocks: int =
                 "near_edited": likeness(own, other), "near_next": likeness(own, follow)}
 
     dealt = docs.mapInArrow(_deal(bounds, heads), "block long, tail int, doc_id long, text string")
-    return dealt.repartition("block").sortWithinPartitions("block", "tail", F.col("doc_id").desc_nulls_last(), "text").mapInArrow(_pairs(judge), DDL)
+    return (
+        dealt.repartition("block")
+        .sortWithinPartitions("block", "tail", F.col("doc_id").desc_nulls_last(), "text")
+        .mapInArrow(_pairs(judge), DDL)
+    )
