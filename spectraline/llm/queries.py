@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraline.llm import bpe, fingerprint, hmm, html, langid, linefreq, minhash, mixing, substring, toxicity
+from spectraline.llm import bpe, fingerprint, hmm, html, langid, linefreq, minhash, mixing, pieces, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +74,16 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), path, texts=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_hmm, op4_minhash, op5_langid, op6_line_frequency, op7_toxicity, op8_mixing, op9_html, op10_winnowing)
+    f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_hmm, op4_minhash, op5_langid, op6_line_frequency, op7_toxicity, op8_mixing, op9_html, op10_winnowing, op13_sentencepiece)
 }
 ORACLE_SQL = {"op8_mixing": mixing.ORACLE}
 
