@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraline.llm import bpe, fingerprint, hmm, html, langid, linefreq, merkle, minhash, mixing, pieces, substring, toxicity
+from spectraline.llm import bpe, fingerprint, hmm, html, langid, linefreq, merkle, minhash, mixing, pieces, search, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), *merkle.lower_cased())
 
@@ -87,9 +91,9 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_hmm, op4_minhash, op5_langid, op6_line_frequency, op7_toxicity, op8_mixing, op9_html, op10_winnowing, op12_merkle, op13_sentencepiece)
+    f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_hmm, op4_minhash, op5_langid, op6_line_frequency, op7_toxicity, op8_mixing, op9_html, op10_winnowing, op11_search, op12_merkle, op13_sentencepiece)
 }
-ORACLE_SQL = {"op8_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE}
+ORACLE_SQL = {"op8_mixing": mixing.ORACLE, "op11_search": search.ORACLE, "op12_merkle": merkle.ORACLE}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
