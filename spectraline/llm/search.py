@@ -198,8 +198,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     n_items = bundles.count()
     kind = items.schema["item_id"].dataType
     many = max(1, -(-n_items // BUNDLE))
-    state = (
-        bundles.withColumns({"bundle": F.pmod(F.xxhash64("item_id"), F.lit(many)).cast("int"), "pid": F.explode(F.sequence(F.lit(0), F.lit(last_pid or 0)))})
+    state = (  # a merge join, as Spark underrates what the sequence makes and would broadcast it
+        bundles.withColumns({"bundle": F.pmod(F.xxhash64("item_id"), F.lit(many)).cast("int"), "pid": F.explode(F.sequence(F.lit(0), F.lit(last_pid or 0)))}).hint("merge")
         .join(lanes.select(F.col("pid").alias("pid"), F.col("lane").alias("lane")), "pid")
         .select("pid", "lane", "bundle", F.col("item_id").alias("item_id"), "terms", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("score"))
     )
