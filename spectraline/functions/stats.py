@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,10 +62,61 @@ def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([incomplete_beta(n / 2, 0.5, n / (n + x * x)) if x == x and n == n else float("nan") for x, n in zip(t, dof, strict=True)])
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank of value within `by`, ties sharing their mean rank."""
-    ties = Window.partitionBy(*by, value)
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(ties) - 1) / 2
+def value_buckets(rows: DataFrame, value: str, buckets: int = 256) -> Column:
+    """The number of approximate quantiles (fewer than `buckets`, found in one pass over rows) that are below the value: every 16th first, then those between."""
+    found = rows.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0]
+    cuts = sorted({c for c in found or [] if c == c})
+    above = lambda few: sum(((F.col(value) > F.lit(c)).cast("int") for c in few), F.lit(0))
+    coarse = above(cuts[15::16])
+    fine = F.lit(0)
+    for k in range(len(cuts) // 16 + 1):
+        fine = F.when(coarse == k, above(cuts[16 * k : 16 * k + 15])).otherwise(fine)
+    return coarse * 16 + fine
+
+
+def prefix_sums(counts: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
+    """counts with `<c>_before` for each of `sums`: the sum of c over smaller values of the group. Groups and values must be distinct.
+
+    Values are cut into buckets by their quantiles; sums run inside a bucket and are lifted by those of the buckets before, of which a group has
+    some hundreds. So a table of one group is worked on by as many tasks, and none sorts a group. Nulls and NaN stand as Spark orders them.
+    """
+    rows = counts.withColumn("_bucket", F.when(F.col(value).isNull(), -1).otherwise(value_buckets(counts, value)))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    sizes = rows.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(c) for c in sums])
+    sizes = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"), *[F.coalesce(F.sum(c).over(before), none).alias(f"_lift{i}") for i, c in enumerate(sums)])
+    placed = rows.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(inside), none) for c in sums})
+    same = F.col("_bucket") == F.col("_b")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    out = placed.join(sizes, same).withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"_lift{i}") for i, c in enumerate(sums)})
+    return out.select(*counts.columns, *[f"{c}_before" for c in sums])
+
+
+def average_ranks(rows: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
+    """rows with the rank of value within `by`, ties sharing their mean rank. Ranks are made for distinct values, which rows look up."""
+    counts = prefix_sums(rows.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, ["_n"])
+    keys = [*by, value]
+    ranks = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(ranks, same).select(*rows.columns, name)
+
+
+def next_in_order(rows: DataFrame, order: list[str], take: list[str]) -> DataFrame:
+    """rows with `next_<c>` of the row that follows in the order of some columns, the first of which is a number; null for the last row.
+
+    Inside buckets of the first column by a window, across them from the first row of the next bucket that has one.
+    """
+    rows = rows.withColumn("_bucket", F.when(F.col(order[0]).isNull(), -1).otherwise(value_buckets(rows, order[0])))
+    inside, across = Window.partitionBy("_bucket").orderBy(*order), Window.orderBy("_bucket")
+    head = F.struct(*order, *[F.col(c).alias(f"_take{i}") for i, c in enumerate(take)])
+    firsts = rows.groupBy("_bucket").agg(F.min(head).alias("_head")).select("_bucket", F.lead("_head").over(across).alias("_head"))
+    own = rows.withColumns({f"next_{c}": F.lead(c).over(inside) for c in take} | {"_last": F.row_number().over(inside) == F.count("*").over(Window.partitionBy("_bucket"))})
+    out = own.join(firsts, "_bucket").withColumns({f"next_{c}": F.when(F.col("_last"), F.col("_head")[f"_take{i}"]).otherwise(F.col(f"next_{c}")) for i, c in enumerate(take)})
+    return out.drop("_bucket", "_last", "_head")
 
 
 def welch_t(long: DataFrame, bonferroni: bool = False) -> DataFrame:
@@ -83,19 +135,31 @@ def welch_t(long: DataFrame, bonferroni: bool = False) -> DataFrame:
     return out.withColumn("p", p * long.select("channel").distinct().count() if bonferroni else p)
 
 
-def mann_whitney(long: DataFrame) -> DataFrame:
-    """channel, u, z, p: U of target 0, normal approximation with tie correction and continuity."""
-    ties = long.groupBy("channel", "value").agg(F.count("*").alias("t"), F.sum((F.col("target") == 0).cast("long")).alias("t0"))
-    w = Window.partitionBy("channel").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+def mann_whitney(long: DataFrame, *by: str, totals: DataFrame | None = None) -> DataFrame:
+    """by, channel, u, z, p: U of target 0, normal approximation with tie correction and continuity.
+
+    With totals (by, target, n: rows of a class, also those left out) long may lack its zeros: they are one block of ties, whose size is what is
+    missing, so only other values are grouped and shuffled. Channels without any other value then have no row.
+    """
+    keys = [*by, "channel"]
+    ties = long.groupBy(*keys, "value").agg(F.count("*").alias("t"), F.sum((F.col("target") == 0).cast("long")).alias("t0"))
+    if totals is not None:
+        of = F.sum(F.when(F.col("target") == 0, F.col("n")).otherwise(0))
+        whole = totals.groupBy(*by).agg(F.sum("n").alias("_n"), of.alias("_n0"))
+        seen = ties.groupBy(*keys).agg(F.sum("t").alias("_t"), F.sum("t0").alias("_t0"))
+        seen = seen.join(whole, list(by)) if by else seen.join(F.broadcast(whole))  # one row
+        zeros = seen.select(*keys, F.lit(0).cast(long.schema["value"].dataType).alias("value"), (F.col("_n") - F.col("_t")).alias("t"), (F.col("_n0") - F.col("_t0")).alias("t0"))
+        ties = ties.unionByName(zeros.filter("t > 0")).groupBy(*keys, "value").agg(F.sum("t").alias("t"), F.sum("t0").alias("t0"))
+    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ties.withColumn("r", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2)
     s = (
-        ranked.groupBy("channel")
+        ranked.groupBy(*keys)
         .agg(F.sum(F.col("r") * F.col("t0")).alias("r0"), F.sum("t0").alias("n0"), F.sum("t").alias("n"), F.sum(F.col("t") ** 3 - F.col("t")).alias("tie"))
     )
     n0, n = F.col("n0"), F.col("n")
     u = F.col("r0") - n0 * (n0 + 1) / 2
     mean, var = n0 * (n - n0) / 2, n0 * (n - n0) / 12 * ((n + 1) - F.col("tie") / (n * (n - 1)))
-    out = s.select("channel", u.alias("u"), ((F.greatest(u, n0 * (n - n0) - u) - mean - 0.5) / F.sqrt(var)).alias("z"))
+    out = s.select(*keys, u.alias("u"), ((F.greatest(u, n0 * (n - n0) - u) - mean - 0.5) / F.sqrt(var)).alias("z"))
     return out.withColumn("p", F.least(F.lit(1.0), normal_two_sided(F.col("z"))))
 
 
@@ -108,26 +172,102 @@ def bh_adjust(p: DataFrame) -> DataFrame:
 
 
 def roc_auc(scored: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
-    """Area under the ROC curve of (target 0/1, score), ties counted half; by value counts, so no group is ever sorted row by row."""
+    """Area under the ROC curve of (target 0/1, score), ties counted half; sums run over distinct scores, in buckets (prefix_sums)."""
     w = F.col(weight) if weight else F.lit(1)
     t = scored.groupBy(*by, "score").agg(F.sum(F.col("target") * w).alias("pos"), F.sum((1 - F.col("target")) * w).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = t.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    s = prefix_sums(t, list(by), "score", ["neg"]).withColumn("won", F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     return s.groupBy(*by).agg((F.sum("won") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
+def mean_roc(scored: DataFrame, fold: str, score: str, steps: int = 99) -> DataFrame:
+    """k, mean, std over folds of the true-positive rate of (target 0/1, score), interpolated at the false-positive rates k / steps."""
+    g = scored.groupBy(fold, score).agg(F.sum("target").alias("p"), F.sum(1 - F.col("target")).alias("q"))
+    all_ = g.groupBy(F.col(fold).alias("_fold")).agg(F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
+    # from the highest score down: what is left after the scores below and the own one, and with the own one
+    up = lambda c, own: (F.col(f"{c}_all") - F.col(f"{c}_before") - own) / F.col(f"{c}_all")
+    step = prefix_sums(g, [fold], score, ["p", "q"]).join(all_, F.col(fold).eqNullSafe(F.col("_fold"))).select(
+        fold, up("q", F.lit(0)).alias("f1"), up("p", F.lit(0)).alias("t1"), up("q", F.col("q")).alias("f0"), up("p", F.col("p")).alias("t0"),
+    )
+    places = F.sequence(F.floor(F.col("f0") * steps), F.least(F.lit(steps).cast("long"), F.ceil(F.col("f1") * steps)))
+    grid = step.filter("f1 > f0").withColumn("k", F.explode(places)).withColumn("x", F.col("k") / steps)
+    rise = (F.col("t1") - F.col("t0")) * (F.col("x") - F.col("f0")) / (F.col("f1") - F.col("f0"))
+    at = grid.filter("x <= f1 and (x > f0 or k = 0 and f0 = 0)").select(fold, "k", (F.col("t0") + rise).alias("tpr"))
+    return at.groupBy("k").agg(F.avg("tpr").alias("mean"), F.stddev_pop("tpr").alias("std"))
+
+
 def accuracy(hit: Column, weight: Column | None = None) -> Column:
     """Share, or share of weight, of the rows for which `hit` is true."""
     right = hit.cast("double")
     return F.avg(right) if weight is None else F.sum(right * weight) / F.sum(weight)
 
 
-def correlations(rows: DataFrame, method: str = "pearson", vector: str = "v") -> DataFrame:
-    """f, g, r of all pairs of features. Moments are summed inside the tasks; one matrix of features by features reaches the driver."""
-    matrix = Correlation.corr(rows.select(vector), vector, method).first()[0].toArray()
-    n = len(matrix)
-    values = [(i, j, float(matrix[i, j])) for i in range(n) for j in range(n)]
-    return rows.sparkSession.createDataFrame(values, "f int, g int, r double")
+def moments(rows: DataFrame, features: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, means and deviations of an array column: three numbers a feature on the driver, from sums and then squares about the means."""
+
+    def summed(about: np.ndarray | None) -> tuple[int, np.ndarray]:
+        def sums(batches):
+            total, n = 0.0, 0
+            for batch in batches:
+                x = grid(batch, 0)
+                total, n = total + (x.sum(0) if about is None else ((x - about) ** 2).sum(0)), n + len(x)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), n))], names=["f", "s", "n"])
+
+        found = rows.select(features).mapInArrow(sums, "f long, s double, n long").groupBy("f").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("f").collect()
+        return (found[0].n if found else 0), np.array([r.s for r in found])
+
+    n, total = summed(None)
+    mean = total / max(n, 1)
+    return n, mean, np.sqrt(summed(mean)[1] / max(n, 1)) if n else mean
+
+
+def grid(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    """An array column, all of whose arrays have one length, as rows x features."""
+    flat = batch.column(column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, len(flat) // max(1, batch.num_rows))
+
+
+def correlations(rows: DataFrame, method: str = "pearson", features: str = "features", key: str = "id", width: int = 256, at_once: int = 128) -> DataFrame:
+    """f, g, r of all pairs of features, as a distributed table; r of a constant feature is null.
+
+    Features are cut into blocks of `width`; tasks sum the products of standardised blocks, the sums of a pair of blocks meet in one group, which
+    answers with its rows. A task holds the sums of `at_once` pairs of blocks (64 MB), further pairs take another job. Spearman's are those of average ranks.
+    """
+    if method == "spearman":
+        long = rows.select(key, F.posexplode(features).alias("channel", "x"))
+        rows = average_ranks(long, "x", ["channel"], "r").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("channel", "r"))).alias("c")).select(F.col("c.r").alias(features))
+    n, mean, deviation = moments(rows, features)
+    blocks = range(-(-len(mean) // width))
+    pairs = [(i, j) for i in blocks for j in blocks if i <= j]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        scale = np.where(deviation > 0, 1 / (deviation * math.sqrt(max(n, 1))), np.nan)
+    held = rows.sparkSession.sparkContext.broadcast((mean, scale))
+
+    def products(some: list):
+        def sums(batches):
+            centre, by = held.value
+            found = {}
+            for batch in batches:
+                x = (grid(batch, 0) - centre) * by
+                for i, j in some if len(x) else ():
+                    found[i, j] = found.get((i, j), 0.0) + x[:, i * width : (i + 1) * width].T @ x[:, j * width : (j + 1) * width]
+            for (i, j), product in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([j]), pa.array([product.tobytes()], pa.binary())], names=["i", "j", "data"])
+
+        return sums
+
+    def pairs_of(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        f, g = np.arange(i * width, min(len(mean), (i + 1) * width)), np.arange(j * width, min(len(mean), (j + 1) * width))
+        r = np.sum([np.frombuffer(x) for x in group["data"]], axis=0)
+        out = pd.DataFrame({"f": np.repeat(f, len(g)), "g": np.tile(g, len(f)), "r": r})
+        return out if i == j else pd.concat([out, out.rename(columns={"f": "g", "g": "f"})])
+
+    out = rows.sparkSession.createDataFrame([], "f int, g int, r double")
+    for k in range(0, len(pairs), at_once):
+        parts = rows.select(features).mapInArrow(products(pairs[k : k + at_once]), "i long, j long, data binary")
+        out = out.unionByName(parts.groupBy("i", "j").applyInPandas(pairs_of, "f int, g int, r double"))
+    return out
 
 
 def monotone(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A row has id, features (array), targets (array of 0/1; a model learns one of them), weight, and folds (array; a model leaves out the
 rows of some). Whatever is to be fitted, all trees of all forests, folds, settings and permuted targets, takes its next level in the
 same two jobs: tasks lay the rows of a block along all trees and sum, for each tree and open node, what decides its cut; the sums of
-a tree meet in one group, which answers with a cut a node. Jobs are as many as levels, not as fits.
+some trees meet in one group, which answers with a cut a node. Jobs are as many as levels, not as fits.
 
 Extra-trees draw, for each of some features of a node, a cut uniformly between its least and greatest value there (first job), and
 keep the best (second job). Forests and single trees take the best of at most `BINS` cuts a feature, its quantiles over all rows (one
@@ -32,8 +32,8 @@ BINS = 16
 MOST_NODES = 1 << 23
 #: Numbers that the sums of one job may have in a task.
 MOST_SUMS = 1 << 25
-#: Partial sums of one tree that meet in one group.
-MERGED = 128
+#: Numbers of one task, and tasks, that meet in one group: its trees' sums.
+MOST_MERGED, MERGED = 1 << 17, 128
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,7 @@ def best_cuts(left: np.ndarray, total: np.ndarray, tries: np.ndarray, cuts: np.n
     return np.column_stack([tries[node, k], cuts[node, k, c], gain[node, best], left[node, k, c], right[node, k, c]]).astype(float)
 
 
-def partial(growths: list[Growth], owners: list[tuple[int, int]], held, bins: np.ndarray | None, drawn: bool, level: int):
+def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarray, held, bins: np.ndarray | None, drawn: bool, level: int):
     """Sums of one task: for extra-trees ranges, or, once cuts are drawn, weights left of them; for others histograms of weights."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,64 +234,68 @@ def partial(growths: list[Growth], owners: list[tuple[int, int]], held, bins: np
                     for c in (0, 1):
                         new[..., c] += np.bincount(cell, np.repeat(classes[:, c], shape[1]), minlength=new[..., c].size).reshape(*shape, BINS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(found), pa.int32()), pa.array([pid] * len(found), pa.int32()), pa.array([a.tobytes() for a in found.values()], pa.binary())],
-            names=["tree", "pid", "data"],
+            [*(pa.array(x, pa.int32()) for x in ([int(part[t]) for t in found], list(found), [pid] * len(found))), pa.array([a.tobytes() for a in found.values()], pa.binary())],
+            names=["part", "tree", "pid", "data"],
         )
 
     return sums
 
 
 def merged(growths: list[Growth], owners: list[tuple[int, int]], held, bins: np.ndarray | None, drawn: bool, final: bool):
-    """The partial sums of one tree as one; in the last step the cuts drawn, or the best ones."""
+    """The partial sums of each tree of a group as one; in the last step the cuts drawn, or the best ones."""
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pid")
-        t = int(group["tree"].iloc[0])
-        own, (g, number) = growths[owners[t][0]], owners[t]
-        parts = [np.frombuffer(x) for x in group["data"]]
+    def met(t: int, parts: list[np.ndarray]) -> np.ndarray:
+        (g, number), own = owners[t], growths[owners[t][0]]
         ranges = own.kind == "extra" and not drawn
         if ranges:
             parts = [x.reshape(2, -1) for x in parts]
             out = np.stack([np.min([x[0] for x in parts], axis=0), np.max([x[1] for x in parts], axis=0)])
         else:
             out = np.sum(parts, axis=0)
-        if final:
-            p = held.value
-            tries = p.tries[t]
-            if ranges:
-                lo, hi = out.reshape(2, *tries.shape)
-                u = np.stack([np.random.default_rng((own.seed, number, int(node), 1)).random(tries.shape[1]) for node in np.flatnonzero(p.place[p.first[t] : p.first[t + 1]] >= 0)])
-                some = hi > lo
-                out = np.where(some, lo + u * np.where(some, hi - lo, 0.0), lo)
-                out = np.where(some & (out >= hi), lo, out)
-            elif own.kind == "extra":
-                out = out.reshape(tries.shape[0], tries.shape[1] + 1, 2)
-                out = best_cuts(out[:, :-1, None, :], out[:, -1], tries, p.cuts[t][:, :, None])
-            else:
-                out = out.reshape(*tries.shape, BINS, 2)
-                out = best_cuts(out.cumsum(2)[:, :, :-1], out[:, 0].sum(1), tries, bins[tries])
-        return pd.DataFrame({"tree": [t], "pid": [int(group["pid"].iloc[0])], "data": [np.ascontiguousarray(out).tobytes()]})
+        if not final:
+            return out
+        p = held.value
+        tries = p.tries[t]
+        if ranges:
+            lo, hi = out.reshape(2, *tries.shape)
+            nodes = np.flatnonzero(p.place[p.first[t] : p.first[t + 1]] >= 0)
+            u = np.stack([np.random.default_rng((own.seed, number, int(node), 1)).random(tries.shape[1]) for node in nodes])
+            some = hi > lo
+            out = np.where(some, lo + u * np.where(some, hi - lo, 0.0), lo)
+            return np.where(some & (out >= hi), lo, out)
+        if own.kind == "extra":
+            out = out.reshape(tries.shape[0], tries.shape[1] + 1, 2)
+            return best_cuts(out[:, :-1, None, :], out[:, -1], tries, p.cuts[t][:, :, None])
+        out = out.reshape(*tries.shape, BINS, 2)
+        return best_cuts(out.cumsum(2)[:, :, :-1], out[:, 0].sum(1), tries, bins[tries])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        parts: dict[int, list] = {}
+        for t, data in group.sort_values("pid")[["tree", "data"]].itertuples(index=False):
+            parts.setdefault(int(t), []).append(np.frombuffer(data))
+        values = [np.ascontiguousarray(met(t, x)).tobytes() for t, x in parts.items()]
+        return pd.DataFrame({"part": group["part"].iloc[0], "tree": list(parts), "pid": group["pid"].min(), "data": values})
 
     return meet
 
 
 def summed(rows: DataFrame, growths: list[Growth], trees: list[Tree], p: Packed, bins: np.ndarray | None, drawn: bool, level: int) -> dict[int, np.ndarray]:
-    """One job (or some, if the sums of all trees would not fit a task): for each tree what its group answers."""
+    """One job (or some, if the sums of all trees would not fit a task): for each tree what its group answers, some numbers a node."""
     owners = [(t.growth, t.number) for t in trees]
-    size = [len(x) * (x.shape[1] + 1) * (2 if growths[t.growth].kind == "extra" else 2 * BINS) for t, x in zip(trees, p.tries, strict=True)]
-    turn = np.cumsum(size) // MOST_SUMS
-    out, kind = {}, "tree int, pid int, data binary"
+    ends = np.cumsum([len(x) * (x.shape[1] + 1) * (2 if growths[t.growth].kind == "extra" else 2 * BINS) for t, x in zip(trees, p.tries, strict=True)])
+    turn, part = ends // MOST_SUMS, ends // MOST_MERGED
+    out, kind = {}, "part int, tree int, pid int, data binary"
     many = rows.rdd.getNumPartitions() > MERGED
     for k in np.unique(turn):
         some = [x if turn[t] == k else x[:0] for t, x in enumerate(p.tries)]
         if not any(len(x) and (not drawn or growths[o[0]].kind == "extra") for x, o in zip(some, owners, strict=True)):
             continue
         held = rows.sparkSession.sparkContext.broadcast(Packed(p.first, p.feature, p.cut, p.left, p.place, some, p.cuts))
-        parts = rows.mapInArrow(partial(growths, owners, held, bins, drawn, level), kind)
+        parts = rows.mapInArrow(partial(growths, owners, part, held, bins, drawn, level), kind)
         if many:
-            parts = parts.groupBy("tree", F.floor(F.col("pid") / MERGED).alias("salt")).applyInPandas(merged(growths, owners, held, bins, drawn, False), kind)
-        found = parts.groupBy("tree").applyInPandas(merged(growths, owners, held, bins, drawn, True), kind).select("tree", "data")
-        out.update({r.tree: np.frombuffer(r.data) for r in found.toLocalIterator()})
+            parts = parts.groupBy("part", F.floor(F.col("pid") / MERGED).alias("salt")).applyInPandas(merged(growths, owners, held, bins, drawn, False), kind)
+        found = parts.groupBy("part").applyInPandas(merged(growths, owners, held, bins, drawn, True), kind).select("tree", "data")
+        out.update({r.tree: np.frombuffer(r.data) for r in found.collect()})
         held.unpersist()
     return out
 

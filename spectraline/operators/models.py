@@ -1,8 +1,8 @@
-"""Model selection and importances on feature tables, with Spark ML.
+"""Feature tables, folds and single fits of Spark ML's models.
 
 A feature table has id, features (array), target (0/1) and group. Folds and permutations come from md5 order, so they are the
-same in every engine; ranks are made in parallel by buckets (functions/stats.py). Fits run one after another from the driver;
-each is a Spark job over the whole table. Extra-trees have no Spark counterpart; random forests stand in for them.
+same in every engine; ranks are made in parallel by buckets (functions/stats.py). Many trees at once, and extra-trees, are grown by
+operators/forests.py.
 """
 
 from __future__ import annotations
@@ -50,12 +50,6 @@ def stratified_folds(rows: DataFrame, k: int) -> DataFrame:
     return dealt_rank(rows, by=("target",), name="_rank").withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
-def with_partners(rows: DataFrame, seed: int) -> DataFrame:
-    """rows with the features and target of another row, each row being dealt to one (a permutation in md5 order)."""
-    other = dealt_rank(rows, seed=seed).select("k", F.col("features").alias("other"), F.col("target").alias("other_target"))
-    return id_rank(rows).join(other, "k").drop("k")
-
-
 def group_folds(rows: DataFrame, k: int) -> DataFrame:
     """Groups unsplit, largest first to the fold with fewest rows of the group's classes; the table of groups is small and placed on the driver."""
     size = rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("target").alias("pos")).orderBy(F.desc("n"), "grp").collect()
@@ -100,108 +94,6 @@ def cv_scores(rows: DataFrame, kind: str = "tree", **options) -> DataFrame:
     return out
 
 
-def tree_importances(rows: DataFrame, trees: int = 10) -> list:
-    """Impurity importances of each tree of a forest: a number for each tree and feature."""
-    return [t.featureImportances.toArray() for t in estimator("forest", trees=trees).fit(rows).trees]
-
-
-def importances(rows: DataFrame, trees: int = 10) -> DataFrame:
-    """channel, mean and std over trees of the impurity importances: one number a feature."""
-    each = np.array(tree_importances(rows, trees))
-    values = [(i, float(m), float(d)) for i, (m, d) in enumerate(zip(each.mean(axis=0), each.std(axis=0), strict=True))]
-    return rows.sparkSession.createDataFrame(values, "channel int, importance double, std double")
-
-
-def importance_list(rows: DataFrame, trees: int = 10) -> np.ndarray:
-    return np.mean(tree_importances(rows, trees), axis=0)
-
-
-def changed(own: Column, other: Column, pick) -> Column:
-    """An array with the places of another for which pick(place) is true."""
-    return F.zip_with(
-        F.zip_with(own, other, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), F.sequence(F.lit(0), F.size(own) - 1),
-        lambda p, i: F.when(pick(i), p["y"]).otherwise(p["x"]),
-    )
-
-
-def mda(rows: DataFrame, repeats: int = 5) -> DataFrame:
-    """channel, drop, std: mean and deviation over repeats of the loss of accuracy when a feature is permuted.
-
-    One fit; a repeat deals all rows once, and every feature takes its turn to come from the row dealt. Scoring is one job over rows x features x repeats.
-    """
-    model = estimator("forest").fit(rows)
-    n = model.numFeatures
-    base = scored(model, rows).agg(accuracy(F.col("prediction") == F.col("target"))).first()[0]
-    out = None
-    for seed in range(repeats):
-        each = with_partners(rows, seed).withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-        each = (
-            each.withColumn("features", changed(F.col("features"), F.col("other"), lambda i: i == F.col("channel")))
-            .withColumn("v", array_to_vector("features"))
-        )
-        one = model.transform(each).groupBy("channel").agg(accuracy(F.col("prediction") == F.col("target")).alias("a"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("channel").agg((base - F.avg("a")).alias("drop"), F.stddev_pop("a").alias("std"))
-
-
-def mprobes(rows: DataFrame, runs: int = 5) -> DataFrame:
-    """channel, fwer: share of runs in which a feature is no more important than the best permuted contrast."""
-    lost = 0
-    for run in range(runs):
-        both = with_partners(rows, run).withColumn("features", F.concat("features", "other")).withColumn("v", array_to_vector("features"))
-        imp = importance_list(both)
-        n = len(imp) // 2
-        lost = lost + (imp[:n] <= imp[n:].max())
-    values = [(i, float(x) / runs) for i, x in enumerate(lost)]
-    return rows.sparkSession.createDataFrame(values, "channel int, fwer double")
-
-
-def conditional_errors(rows: DataFrame, permutations: int = 5, most: int | None = None, stop: float = 0.5, importance=importance_list) -> DataFrame:
-    """rank, channel, importance, fdr, cer, efdr of features from the most important on.
-
-    fdr: features that reach the importance under permuted targets, over the rank. For cer and efdr of the feature of rank r + 1 the target is
-    permuted together with the r features above it, which keeps what they explain; cer is the share of permutations in which another feature
-    reaches its importance, efdr the mean share of false ones among those that would be selected. Features beyond `most`, or after both rates
-    went above `stop`, have neither. All three rise along the ranks. Importances are one number a feature, so the counts are made on the driver.
-    """
-    own = importance(rows)
-    order = np.argsort(-own, kind="stable")
-    real, n = own[order], len(own)
-
-    def beaten(found: np.ndarray, rank: int) -> int:
-        """How many of the sorted permuted importances stay at or above the real ones, place by place, from the first on."""
-        below = np.flatnonzero(np.sort(found)[::-1] < real[rank:])
-        return int(below[0]) if len(below) else n - rank
-
-    cer, efdr, hits = [], [], np.zeros(n)
-    for rank in range(min(most or n, n)):
-        if rank and cer[-1] > stop and efdr[-1] > stop:
-            break
-        if rank and not hits[rank]:
-            cer.append(0.0)
-            efdr.append(0.0)
-            continue
-        above = order[:rank].tolist()
-        c = e = 0.0
-        for seed in range(permutations):
-            dealt = with_partners(rows, 1000 * rank + seed).withColumn("target", F.col("other_target"))
-            if above:
-                mixed = changed(F.col("features"), F.col("other"), lambda i, above=above: i.isin(above))
-                dealt = dealt.withColumn("features", mixed).withColumn("v", array_to_vector("features"))
-            found = np.delete(importance(dealt), above)
-            if not rank:
-                hits += [(found >= x).sum() for x in real]
-            c += found.max() >= real[rank]
-            r = beaten(found, rank)
-            e += r / (r + rank) if rank else float(r > 0)
-        cer.append(c / permutations)
-        efdr.append(e / permutations)
-    fdr = np.maximum.accumulate(np.minimum(1.0, hits / permutations / np.arange(1, n + 1)))
-    cer, efdr = ([*np.maximum.accumulate(x).tolist(), *[None] * (n - len(x))] for x in (cer, efdr))
-    values = [(i + 1, int(order[i]), float(real[i]), float(fdr[i]), cer[i], efdr[i]) for i in range(n)]
-    return rows.sparkSession.createDataFrame(values, "rank int, channel int, importance double, fdr double, cer double, efdr double")
-
-
 def shuffled_labels(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """rows with targets dealt out anew."""
     new = dealt_rank(rows.select("id", "target"), seed=seed).select("k", F.col("target").alias("new"))
@@ -268,26 +160,10 @@ def forward_selection(rows: DataFrame, gain: float = 0.01) -> DataFrame:
         chosen.append((len(chosen), best.channel, best.score))
 
 
-def binned(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]]) -> DataFrame:
+def binned(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]], vector: bool = True) -> DataFrame:
     """A feature table of labels (id, target, grp, region), with the sums of peaks (id, mz, intensity) in each bin."""
     table = peaks.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bins)], "bin_idx long, lo double, hi double")
     value = binning.pivot_features(binning.bin_sum(peaks, table, ["id"]), ["id"], len(bins))
     none = F.array_repeat(F.lit(0.0), len(bins))
-    return (
-        labels.join(value, "id", "left")
-        .withColumn("features", F.coalesce("features", none))
-        .withColumn("v", array_to_vector("features"))
-    )
-
-
-def progressive_bins(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]], limit: float) -> list[list[tuple]]:
-    """Steps of refinement, each a list of (lo, hi, importance, kept): the more important half of the bins is cut at its
-    midpoints, until the narrowest bin is no wider than `limit`. Bins are parameters: their number stays as it began."""
-    steps = []
-    while min(hi - lo for lo, hi in bins) > limit:
-        imp = importance_list(binned(peaks, labels, bins))
-        order = sorted(range(len(bins)), key=lambda i: (-imp[i], i))
-        kept = set(order[: len(bins) - len(bins) // 2])
-        steps.append([(*b, float(imp[i]), i in kept) for i, b in enumerate(bins)])
-        bins = [half for i, (lo, hi) in enumerate(bins) if i in kept for half in ((lo, (lo + hi) / 2), ((lo + hi) / 2, hi))]
-    return steps
+    out = labels.join(value, "id", "left").withColumn("features", F.coalesce("features", none))
+    return out.withColumn("v", array_to_vector("features")) if vector else out

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectraline.functions import stats
 from spectraline.operators import binning as B
 from spectraline.operators import mixture as X
+from spectraline.operators import forests as T
 from spectraline.operators import models as M
+from spectraline.operators import selection as S
 from spectraline.plans.registry import op
 from spectraline.sources import proxies as P
 
@@ -55,7 +59,9 @@ u AS (SELECT channel, sum(r) FILTER (target = 0) - count(*) FILTER (target = 0)
     MW + "SELECT channel, u, round((greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - tie / ((n0 + n1) * (n0 + n1 - 1)))), 4) AS z FROM u JOIN tie USING (channel)",
 )
 def f2(s, d):
-    return stats.mann_whitney(long(s, d)).select("channel", "u", F.round("z", 4).alias("z"))
+    """Values other than 0 are ranked; zeros count as the rest of the rows of a class."""
+    rows = P.table(s, d, "embeddings").groupBy((C("label") % 2).alias("target")).agg(F.count("*").alias("n"))
+    return stats.mann_whitney(long(s, d).filter("value <> 0"), totals=rows).select("channel", "u", F.round("z", 4).alias("z"))
 
 
 @op("F3_u_test_fdr", MW + f""", zz AS (SELECT channel, (greatest(u, n0 * n1 - u) - n0 * n1 / 2 - 0.5) / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - tie / ((n0 + n1) * (n0 + n1 - 1)))) AS z FROM u JOIN tie USING (channel)),
@@ -72,44 +78,42 @@ def f3(s, d):
 
 @op("F4_mdi_importance")
 def f4(s, d):
-    return M.importances(rows(s, d))
+    """Impurity importances of extra-trees."""
+    return S.importances(rows(s, d))
 
 
 @op("F5_mda_importance")
 def f5(s, d):
-    return M.mda(rows(s, d))
+    return S.permutation_importance(rows(s, d))
 
 
 @op("F6_mprobes_fwer")
 def f6(s, d):
-    return M.mprobes(rows(s, d))
-
-
-SC = ", sc AS (SELECT channel, vec_id % 4 AS run, round(avg(abs(value)), 4) AS v FROM dn GROUP BY ALL)\n"
+    return S.mprobes(rows(s, d))
 
 
-def scores(s, d):
-    return P.dense(s, d).groupBy("channel", (C("vec_id") % 4).alias("run")).agg(F.round(F.avg(F.abs("value")), 4).alias("v"))
+PERMUTED = """, v0 AS (SELECT DISTINCT vec_id, target FROM dn), v1 AS (SELECT vec_id, target, CAST('0x' || substr(md5(vec_id || '|block'), 1, 8) AS BIGINT) % greatest(1, (count(*) OVER () + 4095) // 4096) AS block FROM v0),
+ow AS (SELECT vec_id, target, block, row_number() OVER (PARTITION BY block ORDER BY vec_id) AS k FROM v1),
+ot AS (SELECT b, block, target, row_number() OVER (PARTITION BY b, block ORDER BY md5(vec_id || '|' || b), vec_id) AS k FROM v1, range(1, 101) t(b)),
+lb AS (SELECT vec_id, 0 AS b, target FROM ow UNION ALL SELECT ow.vec_id, ot.b, ot.target FROM ow JOIN ot USING (block, k)),
+sc AS (SELECT channel, b, round(abs(avg(value) FILTER (lb.target = 1) - avg(value) FILTER (lb.target = 0)), 9) AS v FROM dn JOIN lb USING (vec_id) GROUP BY ALL)
+"""
 
 
 @op(
     "F7_perm_fdr",
-    SC + ", q AS (SELECT a.channel, row_number() OVER (ORDER BY a.v DESC, a.channel) AS r, (SELECT count(*) FROM sc b WHERE b.run > 0 AND b.v >= a.v) AS above FROM sc a WHERE run = 0) SELECT channel, round(max(least(1.0, above / 3 / r)) OVER (ORDER BY r), 4) AS fdr FROM q",
+    PERMUTED + ", q AS (SELECT a.channel, a.v, row_number() OVER (ORDER BY a.v DESC, a.channel) AS r, (SELECT count(*) FROM sc b WHERE b.b > 0 AND b.v >= a.v) AS above FROM sc a WHERE b = 0) SELECT channel, round(v, 6) AS score, round(max(least(1.0, above / 100 / r)) OVER (ORDER BY r), 4) AS fdr FROM q",
 )
 def f7(s, d):
-    """Permuted scores at least as high, counted by one ordered pass over distinct scores; rates rise along the ranks."""
-    x = scores(s, d)
-    by = x.groupBy("v").agg(F.count_if(C("run") > 0).alias("perm"))
-    above = by.withColumn("above", F.sum("perm").over(Window.orderBy(F.desc("v"))))
-    real = x.filter("run = 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), "channel")))
-    rate = real.join(above, "v").select("channel", "rank", F.least(F.lit(1.0), C("above") / 3 / C("rank")).alias("fdr"))
-    return stats.monotone(rate, [], "rank", "fdr").select("channel", F.round("fdr", 4).alias("fdr"))
+    """100 permutations of the targets, all features and permutations scored in one pass."""
+    out = S.permutation_fdr(S.permuted_scores(rows(s, d), 100), 100)
+    return out.select("channel", F.round("score", 6).alias("score"), F.round("fdr", 4).alias("fdr"))
 
 
 @op("F8_cer_efdr")
 def f8(s, d):
-    """Conditional error rate and eFDR of the leading features."""
-    return M.conditional_errors(rows(s, d).cache(), permutations=5, most=4)
+    """Conditional error rate and eFDR of all features, up to where both rates went beyond one half."""
+    return S.conditional_errors(rows(s, d), permutations=5)
 
 
 @op("F9_forward_selection")
@@ -134,18 +138,27 @@ LIMIT = 20.0
 @op("F10_progressive_binning")
 def f10(s, d):
     """Bins halved where the more important half is, until they are narrow: (step, bin_idx, lo, hi, importance, kept)."""
-    p, t = labelled(s, d)
-    steps = M.progressive_bins(p.cache(), t.cache(), START, LIMIT)
+    steps, _ = S.progressive_binning(*labelled(s, d), START, LIMIT)
     return s.createDataFrame(
-        [(k, i, *b) for k, step in enumerate(steps) for i, b in enumerate(step)],
+        [(k, i, *b) for k, step in enumerate(steps[0]) for i, b in enumerate(step)],
         "step int, bin_idx int, lo double, hi double, importance double, kept boolean",
     )
 
 
-@op("F12_add_input_noise")
+NOISE = "CAST('0x' || substr(md5(vec_id || '|' || channel || '|{}'), 1, 8) AS BIGINT)"
+
+
+@op(
+    "F12_add_input_noise",
+    f"SELECT vec_id, channel, round(value + 0.1 * avg(abs(value)) OVER (PARTITION BY vec_id) * sqrt(-2 * ln(({NOISE.format('r')} + 1) / 4294967296.0::DOUBLE)) * cos(2 * pi() * {NOISE.format('a')} / 4294967296.0::DOUBLE), 6) AS value FROM dn",
+)
 def f12(s, d):
+    """Normal noise by Box and Muller from md5 numbers of the cell, a tenth of the row's mean as its deviation; the same under any partitioning."""
+    x, key = P.dense(s, d), F.concat_ws("|", C("vec_id").cast("string"), C("channel").cast("string"))
+    number = lambda name: F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{name}"))), 1, 8), 16, 10).cast("double")
+    normal = F.sqrt(-2 * F.log((number("r") + 1) / 4294967296)) * F.cos(2 * math.pi * number("a") / 4294967296)
     mean = F.avg(F.abs("value")).over(Window.partitionBy("vec_id"))
-    return P.dense(s, d).select("vec_id", "channel", (C("value") + F.randn(5) * 0.1 * mean).alias("value"))
+    return x.select("vec_id", "channel", F.round(C("value") + 0.1 * mean * normal, 6).alias("value"))
 
 
 @op("F13_add_features", """SELECT vec_id, channel, value FROM dn UNION ALL SELECT vec_id, channel + 64 AS channel, 2 * value AS value FROM dn WHERE channel < 4 UNION ALL SELECT vec_id, 68 AS channel, round(sum(value * channel), 4) AS value FROM dn WHERE channel < 4 GROUP BY 1
@@ -175,13 +188,12 @@ def f13(s, d):
 
 @op("F14_compare_importances")
 def f14(s, d):
+    """Importances with and without redundant copies of four features, both forests grown together."""
     r = rows(s, d)
-    more = (
-        r.withColumn("features", F.concat("features", F.transform(F.slice("features", 1, 4), lambda x: 2 * x)))
-        .withColumn("v", M.array_to_vector("features"))
-    )
-    a, b = M.importances(r).select("channel", C("importance").alias("before")), M.importances(more).select("channel", C("importance").alias("after"))
-    return a.join(b, "channel", "full_outer")
+    n = len(r.first().features)
+    t = T.table(r.withColumn("features", F.concat("features", F.transform(F.slice("features", 1, 4), lambda x: 2 * x))))
+    before, after = (T.importances(f, n + 4)[0] for f in T.grow(t, [T.Growth(use=tuple(range(n))), T.Growth()]))
+    return s.createDataFrame([(i, float(before[i]) if i < n else None, float(a)) for i, a in enumerate(after)], "channel int, before double, after double")
 
 
 @op("F15_importance_from_weights")
@@ -259,8 +271,12 @@ def m7(s, d):
 
 @op("M8_fit_forest")
 def m8(s, d):
-    r = rows(s, d)
-    return M.scored(M.estimator("forest").fit(r), r).select("id", "target", "prediction", "score")
+    """Extra-trees, a random forest and a decision tree, grown together: (model, id, target, score, prediction)."""
+    t = T.table(rows(s, d))
+    kinds = ("extra", "forest", "tree")
+    out = T.predicted(t, T.grow(t, [T.Growth(k, depth=1 if k == "tree" else 4) for k in kinds]))
+    model = F.element_at(F.array(*map(F.lit, kinds)), C("growth") + 1).alias("model")
+    return out.join(t.select("id", C("targets")[0].alias("target")), "id").select(model, "id", "target", "score", (C("score") > 0.5).cast("int").alias("prediction"))
 
 
 @op("M9_fit_l1_logistic")
@@ -279,31 +295,17 @@ def m9(s, d):
 
 @op("M10_grid_search")
 def m10(s, d):
-    r, out = M.stratified_folds(rows(s, d), 2).cache(), None
-    for kind, depth in (("tree", 2), ("tree", 4), ("forest", 2)):
-        one = (
-            M.cv_scores(r, kind, depth=depth)
-            .agg(F.avg("accuracy").alias("accuracy"), F.avg("auc").alias("auc"))
-            .select(F.lit(kind).alias("model"), F.lit(depth).alias("depth"), "accuracy", "auc")
-        )
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("accuracy"))
+    """Kinds of trees, features a node tries, numbers of trees and depths over five folds, and coefficients of an L1 logistic model."""
+    r = rows(s, d)
+    trees = S.grid_search(r, 5, (5, 10, 20), (2, 4))
+    l1 = [M.cv_scores(M.stratified_folds(r, 5), "l1", reg=reg).agg(F.avg("accuracy").alias("accuracy"), F.stddev_pop("accuracy").alias("std")).withColumn("coefficient", F.lit(reg)) for reg in (0.1, 0.01)]
+    return trees.unionByName(l1[0].unionByName(l1[1]).withColumn("kind", F.lit("l1")), allowMissingColumns=True).orderBy(F.desc("accuracy"))
 
 
 @op("M11_nested_cv")
 def m11(s, d):
-    """Outer folds score what inner folds select; row outer = -1 is the model refitted on all rows, with its cross-validated score: (outer, depth, accuracy)."""
-    r, out = M.stratified_folds(rows(s, d), 2).withColumnRenamed("fold", "outer").cache(), []
-    mean = lambda x: x.agg(F.avg("accuracy")).first()[0]
-    for o in (0, 1):
-        inner = M.stratified_folds(r.filter(C("outer") != o).drop("outer"), 2).cache()
-        best = max((mean(M.cv_scores(inner, "tree", depth=k)), k) for k in (2, 4))[1]
-        test = M.scored(M.estimator("tree", depth=best).fit(r.filter(C("outer") != o)), r.filter(C("outer") == o))
-        out.append((o, best, test.agg(stats.accuracy(C("prediction") == C("target"))).first()[0]))
-    whole = r.withColumnRenamed("outer", "fold")
-    score, depth = max((mean(M.cv_scores(whole, "tree", depth=k)), k) for k in (2, 4))
-    final = M.estimator("tree", depth=depth).fit(whole)
-    return s.createDataFrame([*out, (-1, final.getMaxDepth(), score)], "outer int, depth int, accuracy double")
+    """Five outer folds score what five inner folds select of extra-trees, forests and trees; outer = -1 is the choice for all rows."""
+    return S.nested_cv(rows(s, d), 5, (5, 10), (2, 4))
 
 
 @op("M12_cv_score")
@@ -344,21 +346,8 @@ ap AS (SELECT fold, k, t0 + (t1 - t0) * (k / 99 - f0) / (f1 - f0) AS tpr FROM st
 SELECT k, round(avg(tpr), 6) AS mean, round(stddev_pop(tpr), 6) AS std FROM ap GROUP BY 1""")
 def m15(s, d):
     """Mean and deviation over folds of the true-positive rate, interpolated on 100 false-positive rates."""
-    e = P.table(s, d, "events").select((C("user_id") % 5).alias("fold"), (C("event_id") % 2).alias("t"), "value")
-    g = e.groupBy("fold", "value").agg(F.sum("t").alias("p"), F.sum(1 - C("t")).alias("q"))
-    w, all_ = Window.partitionBy("fold").orderBy(F.desc("value")), Window.partitionBy("fold")
-    curve = g.select("fold", "value", (F.sum("q").over(w) / F.sum("q").over(all_)).alias("f1"), (F.sum("p").over(w) / F.sum("p").over(all_)).alias("t1"))
-    step = curve.withColumns({"f0": F.coalesce(F.lag("f1").over(w), F.lit(0.0)), "t0": F.coalesce(F.lag("t1").over(w), F.lit(0.0))})
-    grid = (
-        step.filter("f1 > f0")
-        .withColumn("k", F.explode(F.sequence(F.floor(C("f0") * 99), F.least(F.lit(99).cast("long"), F.ceil(C("f1") * 99)))))
-        .withColumn("x", C("k") / 99)
-    )
-    at = (
-        grid.filter("x <= f1 and (x > f0 or k = 0 and f0 = 0)")
-        .select("fold", "k", (C("t0") + (C("t1") - C("t0")) * (C("x") - C("f0")) / (C("f1") - C("f0"))).alias("tpr"))
-    )
-    return at.groupBy("k").agg(F.round(F.avg("tpr"), 6).alias("mean"), F.round(F.stddev_pop("tpr"), 6).alias("std"))
+    e = P.table(s, d, "events").select((C("user_id") % 5).alias("fold"), (C("event_id") % 2).alias("target"), "value")
+    return stats.mean_roc(e, "fold", "value").select("k", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @op(
@@ -376,20 +365,8 @@ def m16(s, d):
 
 @op("M17_learning_curve")
 def m17(s, d):
-    """share of training rows, mean and deviation over repeats of the accuracy on a fold left out."""
-    r, out = M.stratified_folds(rows(s, d), 4).cache(), []
-    test, train = r.filter("fold = 0"), r.filter("fold > 0")
-    n = train.count()
-    for seed in range(2):
-        dealt = M.dealt_rank(train, seed=seed).cache()
-        for share in (0.05, 0.25, 0.5, 1.0):
-            found = M.scored(M.estimator("tree").fit(dealt.filter(C("k") <= max(2, share * n))), test)
-            out.append((share, found.agg(stats.accuracy(C("prediction") == C("target"))).first()[0]))
-    return (
-        s.createDataFrame(out, "share double, accuracy double")
-        .groupBy("share")
-        .agg(F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("std"))
-    )
+    """Accuracy on a fold left out after learning from 5 %, 10 %, ... of the other rows, in five orders."""
+    return S.learning_curve(rows(s, d))
 
 
 @op("M18_fold_detail")
@@ -413,21 +390,21 @@ def m19(s, d):
 
 @op("M20_weight_usefulness")
 def m20(s, d):
+    """Learn from rows of weight 0.5 to 1, with their weights, what a grid over five folds selects; AUC on rows of weight 1."""
     r = rows(s, d).withColumn("w", (C("id") % 10) / 9)
-    m = M.estimator("tree").fit(r.filter("w >= 0.5 and w < 1"))
-    return stats.roc_auc(M.scored(m, r.filter("w = 1")).withColumn("all_", F.lit("all")), "all_").select("auc")
+    part = r.filter("w >= 0.5 and w < 1")
+    best = S.grid_search(part, 5, (5, 10), (2, 4)).first()
+    t = T.table(part, weight="w")
+    forest = T.grow(t, [T.Growth(best.kind, best.trees, best.depth, best.features)])
+    test = r.filter("w = 1")
+    own = T.predicted(T.table(test), forest).join(test.select("id", "target"), "id")
+    return stats.roc_auc(own, "growth").select("auc")
 
 
 @op("M22_selection_assessment")
 def m22(s, d):
     """Per outer fold: select features by U test on the rest, refit, score."""
-    r, x, out = M.stratified_folds(rows(s, d), 2).cache(), long(s, d), []
-    for o in (0, 1):
-        ids = r.filter(C("fold") != o).select(C("id").alias("vec_id"))
-        top = [t.channel for t in stats.mann_whitney(x.join(ids, "vec_id", "left_semi")).orderBy("p", "channel").limit(8).collect()]
-        k = M.kept_features(r, top)
-        out.append((o, len(top), M.scored(M.estimator("tree").fit(k.filter(C("fold") != o)), k.filter(C("fold") == o)).agg(F.avg((C("prediction") == C("target")).cast("double"))).first()[0]))
-    return s.createDataFrame(out, "fold int, n_features int, accuracy double")
+    return S.selection_assessment(rows(s, d))
 
 
 CP = """, cp AS (SELECT h AS head, range AS comp_idx, 1.0 / 20 AS pi, range * (1050.0::DOUBLE / 19) + CASE WHEN h = 'p' THEN 5 ELSE 0 END AS mu, 2 * ln(1050.0::DOUBLE / 40) AS lv FROM range(20), (VALUES ('n'), ('p')) t(h)),
@@ -654,14 +631,7 @@ def g16(s, d):
 
 @op("F11_eval_progressive")
 def f11(s, d):
-    """Progressive binning inside folds: the bins of each step are found on the other folds and scored on the fold: (fold, step, accuracy, auc)."""
+    """Progressive binning inside five folds: the bins of each step are found on the other folds and scored on the fold: (fold, step, accuracy, auc)."""
     p, t = labelled(s, d)
-    p, t, out = p.cache(), M.stratified_folds(t, 2).cache(), []
-    for fold in range(2):
-        train = t.filter(C("fold") != fold)
-        for k, step in enumerate(M.progressive_bins(p, train, START, LIMIT)):
-            r = M.binned(p, t, [(lo, hi) for lo, hi, _, kept in step if kept])
-            test = M.scored(M.estimator("tree").fit(r.filter(C("fold") != fold)), r.filter(C("fold") == fold))
-            hit = test.agg(stats.accuracy(C("prediction") == C("target"))).first()[0]
-            out.append((fold, k, hit, stats.roc_auc(test.withColumn("one", F.lit(1)), "one").first().auc))
-    return s.createDataFrame(out, "fold int, step int, accuracy double, auc double")
+    _, scores = S.progressive_binning(p, M.stratified_folds(t, 5), START, LIMIT, 5)
+    return s.createDataFrame(scores, "fold int, step int, accuracy double, auc double")
\ No newline at end of file

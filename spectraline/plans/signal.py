@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -762,8 +761,8 @@ def a14(s, d):
 
 
 def vectors(s, d):
-    """Continuous spectra as vectors in `v`."""
-    return P.table(s, d, "embeddings").select("vec_id", array_to_vector(C("embedding").cast("array<double>")).alias("v"))
+    """Continuous spectra as arrays."""
+    return P.table(s, d, "embeddings").select(C("vec_id").alias("id"), C("embedding").cast("array<double>").alias("features"))
 
 
 @op(
@@ -984,9 +983,8 @@ def w8(s, d):
     "SELECT round(avg(greatest((mz + 3 * width) - (nm - 3 * nw), 0)), 6) AS overlap FROM (SELECT mz, width, lead(mz) OVER (ORDER BY mz, idx) AS nm, lead(width) OVER (ORDER BY mz, idx) AS nw FROM lip) WHERE nm IS NOT NULL",
 )
 def w9(s, d):
-    w = Window.orderBy("mz", "idx")
-    return P.lipids(s, d).select("mz", "width", F.lead("mz").over(w).alias("nm"), F.lead("width").over(w).alias("nw")).filter("nm is not null").agg(
-        F.round(F.avg(F.greatest((C("mz") + 3 * C("width")) - (C("nm") - 3 * C("nw")), F.lit(0.0))), 6).alias("overlap"))
+    both = stats.next_in_order(P.lipids(s, d).select("mz", "idx", "width"), ["mz", "idx"], ["mz", "width"]).filter("next_mz is not null")
+    return both.agg(F.round(F.avg(F.greatest((C("mz") + 3 * C("width")) - (C("next_mz") - 3 * C("next_width")), F.lit(0.0))), 6).alias("overlap"))
 
 
 @op("W10_rank_features", IMP + "SELECT channel, CAST(row_number() OVER (ORDER BY v DESC, channel) AS INTEGER) AS rank FROM imp")
@@ -999,7 +997,7 @@ def w10(s, d):
     "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY round(value)) + (count(*) OVER (PARTITION BY event_type, round(value)) - 1) / 2 AS r FROM events",
 )
 def w11(s, d):
-    return P.table(s, d, "events").withColumn("v", F.round("value")).select("event_id", stats.average_rank("v", "event_type").alias("r"))
+    return stats.average_ranks(P.table(s, d, "events").select("event_id", "event_type", F.round("value").alias("v")), "v", ["event_type"], "r").select("event_id", "r")
 
 
 @op("W12_group_offset", "SELECT spectrum_id, region, ann, CAST(dense_rank() OVER (ORDER BY region, ann) - 1 AS INTEGER) AS group_id FROM lab")
@@ -1238,7 +1236,8 @@ def t12(s, d):
 
 @op("T13_scale_to_max", "SELECT y, x, round(v / max(v) OVER (PARTITION BY y), 6) AS v FROM tic")
 def t13(s, d):
-    return by_tic(s, d).select("y", "x", F.round(C("v") / F.max("v").over(Window.partitionBy("y")), 6).alias("v"))
+    image = by_tic(s, d)
+    return image.join(image.groupBy("y").agg(F.max("v").alias("most")), "y").select("y", "x", F.round(C("v") / C("most"), 6).alias("v"))
 
 
 @op("T14_bin_names", "SELECT idx, printf('%.4f-%.4f', mz - width / 2, mz + width / 2) AS name FROM lip")

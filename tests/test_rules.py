@@ -102,15 +102,6 @@ def test_max_pool_by_loop(spark):
         assert [got[r.vec_id, i] for i in range(64)] == [max(x[i : i + 3]) for i in range(64)]
 
 
-def test_permutation_rates_by_loop(spark):
-    x = [(r.channel, r.run, r.v) for r in plans.features.scores(spark, SF).collect()]
-    real, want, top = sorted(((-v, c) for c, run, v in x if run == 0)), {}, 0.0
-    for rank, (v, c) in enumerate(real, 1):
-        top = max(top, min(1.0, sum(run > 0 and u >= -v for _, run, u in x) / 3 / rank))
-        want[c] = round(top, 4)
-    assert {r.channel: r.fdr for r in plans.QUERIES["F7_perm_fdr"](spark, SF).collect()} == pytest.approx(want, abs=1e-4)
-
-
 def test_monotone_stops(spark):
     rows = spark.createDataFrame([(0, i, v) for i, v in enumerate([0.1, 0.3, 0.2, None, 0.9])] + [(1, 0, 0.5), (1, 1, 0.4)], "g int, k int, v double")
     assert [r.v for r in stats.monotone(rows, ["g"], "k", "v").orderBy("g", "k").collect()] == [0.1, 0.3, 0.3, None, None, 0.5, 0.5]
@@ -308,8 +299,6 @@ def test_em_finds_two_groups(spark):
 
 
 def test_learnt_invariants(spark, table):
-    imp = models.importances(table).collect()
-    assert sum(r.importance for r in imp) == pytest.approx(1) and max(imp, key=lambda r: r.importance).channel == 2
     groups = defaultdict(set)
     for r in models.group_folds(table, 3).collect():
         groups[r.grp].add(r.fold)
@@ -320,13 +309,6 @@ def test_learnt_invariants(spark, table):
     assert auc(table) > 0.8 and abs(auc(models.shuffled_labels(table, 1)) - 0.5) < 0.15
 
 
-def test_permutation_importance_of_all_features(spark, table):
-    out = {r.channel: r.drop for r in models.mda(table, 2).collect()}
-    assert set(out) == set(range(8)) and max(out, key=out.get) == 2 and out[2] > 0.1
-    fwer = {r.channel: r.fwer for r in models.mprobes(table, 2).collect()}
-    assert fwer[2] == 0.0 and set(fwer) == set(range(8))
-
-
 def test_forward_selection_by_loop(spark, table):
     folds = models.stratified_folds(table, 3).cache()
     got = [(r.channel, r.score) for r in models.forward_selection(folds).orderBy("step").collect()]
@@ -351,31 +333,6 @@ def test_forward_selection_by_loop(spark, table):
     assert [c for c, _ in got] == [c for c, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
 
 
-def test_conditional_errors(spark, table):
-    """With correlations as importances the telling feature has no error, and rates beyond the stop are left open."""
-
-    def importance(rows):
-        r = rows.agg(*[F.abs(F.corr(F.col("features")[i], "target")) for i in range(8)]).first()
-        return np.array(r, float)
-
-    out = models.conditional_errors(table, 4, stop=0.3, importance=importance).orderBy("rank").collect()
-    assert out[0].channel == 2 and (out[0].fdr, out[0].cer, out[0].efdr) == (0.0, 0.0, 0.0) and out[1].channel == 5 and out[1].cer == 0.0
-    for name in ("fdr", "cer", "efdr"):
-        x = [r[name] for r in out if r[name] is not None]
-        assert x == sorted(x) and all(0 <= v <= 1 for v in x)
-    assert any(r.cer is None for r in out) and [r.importance for r in out] == sorted((r.importance for r in out), reverse=True)
-
-
-def test_progressive_bins(spark):
-    rng = random.Random(1)
-    rows = [(i, rng.uniform(0, 100), 1.0) for i in range(120) for _ in range(6)] + [(i, rng.uniform(60, 62), 30.0) for i in range(0, 120, 2) for _ in range(3)]
-    p = spark.createDataFrame(rows, "id long, mz double, intensity double").cache()
-    t = spark.createDataFrame([(i, 1 - i % 2, i % 4, 0) for i in range(120)], "id long, target int, grp int, region int").cache()
-    steps = models.progressive_bins(p, t, [(i * 20.0, i * 20.0 + 20) for i in range(5)], 6.0)
-    assert [len(x) for x in steps] == [5, 6] and [sum(k for *_, k in x) for x in steps] == [3, 3]
-    assert all(any(lo <= 61 <= hi and kept for lo, hi, _, kept in x) for x in steps)
-
-
 def test_bonferroni_is_not_clipped(spark):
     out = plans.QUERIES["F1_welch_p"](spark, SF).collect()
     assert all(r.bonferroni == pytest.approx(64 * r.p) for r in out) and any(r.bonferroni > 1 for r in out)
