@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spectraline.llm.shared import cut
 
-LEAST, LEFT = 30, 0.3
+LEAST, LEFT = 5, 0.3
 GAPS = r"[\x20\x09-\x0D]+"
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 
@@ -105,6 +105,22 @@ def quality(docs: DataFrame, least: int = LEAST, left: float = LEFT) -> DataFram
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_frequent_words") >= left * F.col("n_words")))
 
 
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+l AS (SELECT row, doc_id, host, unnest(lines) AS raw FROM w),
+n AS (SELECT row, doc_id, host, trim(regexp_replace(lower(raw), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n FROM l),
+f AS (SELECT host, line FROM n GROUP BY host, line HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), 'row ' || row)) > 5),
+lost AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_frequent_words FROM n JOIN f USING (host, line) GROUP BY row),
+p AS (SELECT row, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+r AS (SELECT row, i, count(*) OVER (PARTITION BY row, array_to_string(list_slice(words, i, i + 4), ' ')) AS times FROM p),
+c AS (SELECT row, count(DISTINCT i + j) AS n_repeat_words FROM r, range(5) t(j) WHERE times > 1 GROUP BY row),
+b AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_frequent_words, 0) AS n_frequent_words FROM w LEFT JOIN c USING (row) LEFT JOIN lost USING (row))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_frequent_words >= 0.3::DOUBLE * n_words AS kept FROM b
+"""
+
+
 def clean_texts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """docs with the lines that are too frequent on their host taken out of the text."""
     names = ["doc_id", "text", "host"]

@@ -48,7 +48,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         linefreq.quality(table(spark, sf_dir, "documents"))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_words", "base_failed", "kept")
     )
 
 
@@ -93,7 +93,7 @@ def op13_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_hmm, op4_minhash, op5_langid, op6_line_frequency, op7_toxicity, op8_mixing, op9_html, op10_winnowing, op11_search, op12_merkle, op13_sentencepiece)
 }
-ORACLE_SQL = {"op8_mixing": mixing.ORACLE, "op11_search": search.ORACLE, "op12_merkle": merkle.ORACLE}
+ORACLE_SQL = {"op6_line_frequency": linefreq.ORACLE, "op8_mixing": mixing.ORACLE, "op11_search": search.ORACLE, "op12_merkle": merkle.ORACLE}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
