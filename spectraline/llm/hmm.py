@@ -5,8 +5,8 @@ tokens one each, all others the class of their last byte and length. Latent stat
 probability (c + 1) / (N + V + 1) of that class's counts, one share being left for words never seen, so each
 text has an exact likelihood. It is the scaled forward recursion's sum of log scales plus the words' own terms.
 
-Training. Word counts cover all training rows. Baum-Welch starts from state-dependent seeds and makes ROUNDS
-passes over all training rows; each task adds up expected counts, which meet in one sum per state and symbol.
+Training. Word counts cover all training rows. Baum-Welch starts from state-dependent seeds and makes EARLY passes over one
+in SHARE of the training rows, whole texts chosen by their hash, then LATE over all of them; each task adds up expected counts, which meet in one sum per state and symbol.
 Training and scoring run over whole texts, all rows of a slice in step from their starts. For the backward pass of training,
 forward rows are kept at every BLOCK-th token and made again block by block, which bounds memory for very long texts. Words outside the HEAD commonest are joined to their counts by
 shuffle: what is broadcast is bounded by SYMBOLS, HEAD and STATES, whatever the data. Words are known by 64-bit hashes.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from spectraline.llm.shared import cut
 from spectraline.llm.words import U, mix, slices, words
 
-STATES, SYMBOLS, HEAD, ROUNDS, BLOCK, SLICE = 8, 4000, 100_000, 2, 256, 6_000_000
+STATES, SYMBOLS, HEAD, BLOCK, SLICE = 8, 4000, 100_000, 256, 6_000_000
+#: Passes over a share (one row in SHARE) of the training rows, whole texts by their hash, then over all of them.
+EARLY, SHARE, LATE = 8, 8, 2
 END = int(mix(np.array([0xE0D], U)).view(np.int64)[0])
 CLASSES = 1024
 SEED = 3
@@ -235,7 +237,7 @@ def baum_welch(docs: DataFrame, model: Model, prior: np.ndarray) -> Model:
     return Model(model.keys, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
-def language_model_scores(docs: DataFrame, held_out: Column, states: int = STATES, symbols: int = SYMBOLS, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def language_model_scores(docs: DataFrame, held_out: Column, states: int = STATES, symbols: int = SYMBOLS, head: int = HEAD, rounds: tuple[int, int] = (EARLY, LATE), share: int = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; learns from rows that are not held out."""
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     train = docs.filter(~F.col("held_out"))
@@ -253,8 +255,9 @@ def language_model_scores(docs: DataFrame, held_out: Column, states: int = STATE
     rates = np.concatenate([own, of_class[0]]).astype(float)
     prior = 0.5 * (rates + 0.5) / (rates + 0.5).sum() * len(rates)
     model = seeded(keys, rates, states)
-    for _ in range(rounds):
-        model = baum_welch(train, model, prior)
+    some = train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
+    for rows in [some] * rounds[0] + [train] * rounds[1]:
+        model = baum_welch(rows, model, prior)
     log_class = np.log10(of_class.sum(axis=0) + 1)  # a class's tokens, its distinct ones, and one share for unseen words
     order = np.argsort(h)
     known, c_known = h[order], c[order]

@@ -137,3 +137,11 @@ def test_digests_of_bpe_rows(spark):
         ids = theirs.encode(docs[r.doc_id], add_special_tokens=False).ids
         digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest, hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_states_learn_more_than_word_classes(spark):
+    """Held out, eight states gain over one, which has the words and classes but nothing latent; so training went far enough."""
+    docs = table(spark, MORE, "documents")
+    rate = lambda n: hmm.language_model_scores(docs, Q.fold(7) == 2, states=n).filter("held_out").agg(Q.F.sum("score") / Q.F.sum("n_tokens")).first()[0]
+    eight = rate(8)
+    assert eight > -3.75 and eight > rate(1) + 0.25
