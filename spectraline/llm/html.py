@@ -6,8 +6,10 @@ from parent and child. Sum-product messages go up and then down the tree and giv
 blocks more likely content than not are the text, in page order.
 
 Marks. <article> and <main> stand for content, <nav>, <footer>, <aside>, <form> and the like, `hidden`, and role words
-such as `comments` or `advert` (PARTS) stand for what is not; a <header> inside an article is that article's own. Marks
-off are evidence: their node is held at not content. If every <article> and <main> is below some mark off, those marks go.
+such as `comments` or `advert` (PARTS) stand for what is not, if class and id say nothing else; a <header> inside an article is that
+article's own, a <form> with half of the page's text goes around the page. Marks off are evidence: their node is held at not content. If every <article>
+and <main> is below some mark off, those marks go; so do all names where they would leave a page empty. Such a word among others (`post about-login`,
+`two-column-sidebar`) is a feature, `hint`, with a learnt rate.
 
 Training. A page with an <article> or <main> labels its nodes: what is under it is content, what holds it is on its
 path, all else is not; below marks off inside it nothing is said. The marks are therefore no features of the fit: learnt
@@ -49,7 +51,7 @@ STATES = frozenset("has no with without open closed is not hide show".split())
 PRIOR_SHARE, HELD = 0.25, -30.0
 # Prior rates among what is not content and what is, within each group of features.
 TAGS = {"p": (0.1, 0.4), "blockquote": (0.02, 0.06), "pre": (0.02, 0.06), "figure": (0.02, 0.03), "figcaption": (0.02, 0.04), "h1": (0.02, 0.06), "h2": (0.04, 0.08), "h3": (0.05, 0.06), "other": (0.1, 0.1)}
-ROLES = {"on": (0.02, 0.3), "none": (0.7, 0.68), "vague": (0.28, 0.02)}
+ROLES = {"on": (0.02, 0.3), "none": (0.65, 0.65), "vague": (0.25, 0.02), "hint": (0.08, 0.03)}
 LINKS, SIZES = ((0.3, 0.72), (0.2, 0.2), (0.5, 0.08)), ((0.35, 0.25), (0.25, 0.25), (0.2, 0.25), (0.2, 0.25))
 PRIOR = {f"tag:{k}": v for k, v in TAGS.items()} | {f"role:{k}": v for k, v in ROLES.items()} | {f"text:{i}{j}": (a * c, b * d) for i, (a, b) in enumerate(LINKS) for j, (c, d) in enumerate(SIZES)}
 EDGES = {"page": (0.5, 0.001), "part": (0.7, 0.001), "text": (0.95, 0.001), "in": (0.97, 0.001), "words": (0.98, 0.001), "beside": (0.1, 0.001)}  # prior rates of content below content, and below other parts
@@ -59,7 +61,7 @@ ATTRIBUTES = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)"
 TOKEN = (
     regex
     .compile(
-        r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(script|style)(?=[\s/>])" + ATTRIBUTES + r"(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)" + ATTRIBUTES + r">|</?[a-zA-Z][^<>]*+\Z",
+        r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(script|style)(?=[\s/>])" + ATTRIBUTES + r"(?:>|\Z).*?(?:</\1(?=[\s/>])[^>]*+>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)" + ATTRIBUTES + r">|</?[a-zA-Z][^<>]*+\Z",
         regex.S | regex.I,
     )
 )
@@ -87,20 +89,24 @@ def hidden_end(page: str, tag: str, at: int) -> int:
 
 
 def role_of(rest: str) -> str:
-    """off, vague, on or none, from the class names and ids of a start tag."""
-    role = "none"
+    """off, hint, vague, on or none, from the class names and ids of a start tag: off only if they say nothing but a part, hint if a part's word is one of others."""
+    found = set()
     for m in MARKS.finditer(rest):
         for name in (m[1] or m[2] or m[3] or "").split():
             words = {w.lower() for w in LETTERS.findall(name)}
-            if words & STATES:
+            if not words or words & STATES:
                 continue
             if words & PARTS:
-                return "off"
-            if words & VAGUE and words <= VAGUE | SHAPES:
-                role = "vague"
-            elif role == "none" and words & ON_WORDS:
-                role = "on"
-    return role
+                found.add("off" if words <= PARTS | VAGUE | SHAPES else "hint")
+            elif words & VAGUE and words <= VAGUE | SHAPES:
+                found.add("vague")
+            elif words & ON_WORDS:
+                found.add("on")
+            elif not words <= SHAPES:
+                found.add("other")
+    if "off" in found:
+        return "on" if "on" in found else "hint" if "other" in found or "hint" in found else "off"
+    return next((r for r in ("vague", "on", "hint") if r in found), "none")
 
 
 class Tree:
@@ -108,6 +114,7 @@ class Tree:
 
     def __init__(self, page: str) -> None:
         self.parent, self.seen, self.off, self.main, self.top, self.text = [-1], [()], [0], [False], [True], [None]
+        self.named, self.form = [False], [False]
         self.stack: list[tuple[str, int]] = [("", 0)]
         self.pieces: list[str] = []
         self.linked, self.link_depth, self.mains = 0, 0, 0
@@ -135,10 +142,22 @@ class Tree:
         for i in range(n - 1, 0, -1):
             self.holds[self.parent[i]] |= self.holds[i] or self.main[i] and not self.off[i] and level[i] == best
         self.off = [bool(o) and not h for o, h in zip(self.off, self.holds, strict=True)]
+        self.free_forms()
         self.inside = [m and not o for m, o in zip(self.main, self.off, strict=True)]
         for i in range(1, n):
             self.inside[i] |= self.inside[self.parent[i]] and not self.off[i]
 
+    def free_forms(self) -> None:
+        """A form that holds at least half of the page's text, marks off inside and outside left out, is no part of the page but around it."""
+        n = len(self.parent)
+        size, shut = [len(t or "") for t in self.text], self.off[:]
+        for i in range(1, n):
+            shut[i] = self.off[i] and not self.form[i] or shut[self.parent[i]]
+        size = [0 if s else x for s, x in zip(shut, size, strict=True)]
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        self.off = [o and not (f and 2 * x >= size[0]) for o, f, x in zip(self.off, self.form, size, strict=True)]
+
     def words(self, raw: str) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
         self.pieces.append(text)
@@ -159,13 +178,15 @@ class Tree:
                 )
             self.pieces, self.linked = [], 0
 
-    def node(self, parent: int, seen: tuple, off: int = 0, main: bool = False, top: bool = False, text: str | None = None) -> int:
+    def node(self, parent: int, seen: tuple, off: int = 0, main: bool = False, top: bool = False, text: str | None = None, form: bool = False) -> int:
         self.parent.append(parent)
         self.seen.append(seen)
         self.off.append(off)
         self.main.append(main)
         self.top.append(top)
         self.text.append(text)
+        self.named.append(off == 1)
+        self.form.append(form)
         return len(self.parent) - 1
 
     def leave(self, depth: int) -> None:
@@ -197,14 +218,15 @@ class Tree:
             self.leave(len(self.stack) - 1)
         role = role_of(rest) if rest else "none"
         off = int(role == "off")  # 1: by its name, 2: by its nature
-        if tag in FURNITURE and not (tag == "header" and self.mains) or rest and GONE.search(rest):
+        gone = bool(rest and GONE.search(rest))
+        if tag in FURNITURE and not (tag == "header" and self.mains) or gone:
             off = 2
         if tag in ("body", "html"):
             off = 0
         seen = (f"role:{role}",) if role != "off" else ()
         if tag not in GENERIC and tag not in MAIN and tag not in FURNITURE:
             seen = (*seen, f"tag:{tag if tag in TAGS else 'other'}")
-        at = self.node(self.stack[-1][1], seen, off, tag in MAIN, tag in ("html", "body"))
+        at = self.node(self.stack[-1][1], seen, off, tag in MAIN, tag in ("html", "body"), form=tag == "form" and role != "off" and not gone)
         self.mains += tag in MAIN
         self.stack.append((tag, at))
 
@@ -291,8 +313,15 @@ class Model:
 
     def text(self, page: str) -> str:
         tree = Tree(page)
-        odds = self.marginals(tree)
-        return " ".join(t for t, o in zip(tree.text, odds, strict=True) if t is not None and o > 0)
+        out = self.blocks(tree)
+        if not out and any(tree.named):  # names alone leave no page empty
+            tree.off = [o and not n for o, n in zip(tree.off, tree.named, strict=True)]
+            out = self.blocks(tree)
+        return " ".join(out)
+
+    def blocks(self, tree: Tree) -> list[str]:
+        """The text blocks more likely content than not."""
+        return [t for t, o in zip(tree.text, self.marginals(tree), strict=True) if t is not None and o > 0]
 
 
 def trained(pages: DataFrame) -> Model:

@@ -33,6 +33,16 @@ PAGES = {
     "<article><h1>x</h1><ul><li>first item</li><li>second</li></ul><p>Short.</p></article>": "x first item second Short.",
     "<body><nav><a href=x>Home</a></nav><article><h1>Head &amp; all</h1><p>Some  text<br>of it.</article><div class='comments'><p>I disagree.</div><footer>x</footer>": "Head & all Some text of it.",
     "plain": "plain",
+    f"<body><div class='post about-login'><p>{L}</p><p>{L}</p></div>": f"{L} {L}",
+    f"<body><div class='recipe cookies'><h2>Cookies</h2><p>{L}</p><p>{L}</p></div><div class='cookies'><p>{L} no</p></div>": f"Cookies {L} {L}",
+    f"<body><div id='related-research'><p>{L}</p><p>{L}</p></div><div id=related><a href=x>Other things</a></div>": f"{L} {L}",
+    f"<body><div class='layout sidebar-right'><div class=content><p>{L}</p><p>{L}</p></div><div class=sidebar><p>{L} no</p></div></div>": f"{L} {L}",
+    f"<body class=x><div class='page two-column-sidebar'><p>{L}</p><p>{L}</p></div><footer>{L} no</footer>": f"{L} {L}",
+    f"<body><form id=aspnetForm><nav>no</nav><div><p>{L}</p><p>{L}</p></div><fieldset><label>no</label></fieldset></form>": f"{L} {L}",
+    f"<body><div class=modal><p>{L}</p><p>{L}</p></div>": f"{L} {L}",
+    f"<!--><article><p>{L}</p><!---><p>Then more of it.</p><!-- no --!><p>And the end.</p></article>": f"{L} Then more of it. And the end.",
+    f"<body><div class=post><p>{L}</p></div><div class='comments-area'>{('<div class=comment><p>' + L + ' no</p></div>') * 30}</div>": L,
+    f"<body><div class=story><p>{L}</p><p>{L}</p></div><form class=search-form><p>{L} no</p></form><div class='newsletter-signup'><p>{L} no</p></div>": f"{L} {L}",
 }
 
 
