@@ -1,8 +1,9 @@
 """Range joins of peaks and bins: sums, trapezoid areas, kernels and nearest bins.
 
-All go through cells: bins are spread over the cells they touch, a peak has one cell, and an equi-join on the
-cell with the exact predicate on top replaces the nested loop. Spark broadcasts the spread bins if they are
-small and splits skewed cells otherwise (adaptive execution).
+All go through cells: an equi-join on the cell with the exact predicate on top replaces the nested loop. A bin is stored at the dyadic
+level of its own width, whose cells are at least as wide, so it has two cells at most; a peak probes one cell a level that any bin has.
+Bins of one width are one level, so peaks stay one row each; a bin over the whole range beside narrow ones adds a level, not cells.
+Spark broadcasts the stored bins if they are small; else a hot cell is dealt to several tasks by `salt` or by adaptive execution.
 """
 
 from __future__ import annotations
@@ -17,22 +18,57 @@ def cell_width(bins: DataFrame) -> float:
     return w if w and w > 0 else 1.0
 
 
-def cells(lo: Column, hi: Column, width: float) -> Column:
+def cells(lo: Column, hi: Column, width: float | Column) -> Column:
     return F.sequence(F.floor(lo / width), F.floor(hi / width))
 
 
-def range_join(peaks: DataFrame, bins: DataFrame, value: str = "mz", width: float | None = None, how: str = "inner") -> DataFrame:
-    """Pairs with lo <= value <= hi, both ends closed; a peak on a shared edge meets both bins."""
-    width = width or cell_width(bins)
-    spread = bins.withColumn("_cell", F.explode(cells(F.col("lo"), F.col("hi"), width)))
-    p = peaks.withColumn("_cell", F.floor(F.col(value) / width))
-    on = (p["_cell"] == spread["_cell"]) & p[value].between(spread["lo"], spread["hi"])
-    return p.join(spread, on, how).drop("_cell")
+def level(lo: Column, hi: Column) -> Column:
+    """The exponent of the least power of two that is no less than the width, a millionth at least."""
+    return F.ceil(F.log2(F.greatest(hi - lo, F.lit(1e-6)) * (1 - 1e-12))).cast("int")
+
 
+def range_join(peaks: DataFrame, bins: DataFrame, value: str = "mz", how: str = "inner", salt: int = 1) -> DataFrame:
+    """Pairs with lo <= value <= hi, both ends closed; a peak on a shared edge meets both bins.
 
-def bin_sum(peaks: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+    The levels that occur are collected, some tens at most. With salt, bins are stored that many times, and the peaks of each cell dealt to these.
+    """
+    stored = bins.withColumn("_level", level(F.col("lo"), F.col("hi")))
+    levels = sorted(r[0] for r in stored.filter("_level is not null").select("_level").distinct().collect()) or [0]
+    stored = stored.withColumn("_cell", F.explode(cells(F.col("lo"), F.col("hi"), F.pow(F.lit(2.0), F.col("_level")))))
+    p = peaks if len(levels) == 1 else peaks.withColumn("_level", F.explode(F.array(*map(F.lit, levels))))
+    p = p.withColumn("_cell", F.floor(F.col(value) / (F.lit(2.0 ** levels[0]) if len(levels) == 1 else F.pow(F.lit(2.0), F.col("_level")))))
+    on = (p["_cell"] == stored["_cell"]) & p[value].between(stored["lo"], stored["hi"])
+    if len(levels) > 1:
+        on = on & (p["_level"] == stored["_level"])
+    if salt > 1:
+        p = p.withColumn("_salt", F.pmod(F.xxhash64(*peaks.columns), F.lit(salt)).cast("int"))
+        stored = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        on = on & (p["_salt"] == stored["_salt"])
+    return p.join(stored, on, how).drop("_cell", "_level", "_salt")
+
+
+def bin_sum(peaks: DataFrame, bins: DataFrame, keys: list[str], salt: int = 1) -> DataFrame:
     """Sum of intensity for each key and bin that has a peak."""
-    return range_join(peaks, bins).groupBy(*keys, "bin_idx").agg(F.sum("intensity").alias("value"))
+    return range_join(peaks, bins, salt=salt).groupBy(*keys, "bin_idx").agg(F.sum("intensity").alias("value"))
+
+
+def zero_filled(sums: DataFrame, rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+    """sums (keys, bin_idx, value) with a row for every row of keys and bin, 0.0 where there is no peak.
+
+    The sums of a key are gathered, as many as bins at most, and spread over the list of bins, which is one row; keys must be distinct and not null.
+    """
+    every = bins.agg(F.sort_array(F.collect_list("bin_idx")).alias("_bins"))
+    own = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin_idx", "value"))).alias("_own"))
+    out = rows.select(*keys).join(own, keys, "left").join(F.broadcast(every))  # one row
+    return out.select(*keys, F.explode("_bins").alias("bin_idx"), "_own").select(*keys, "bin_idx", F.coalesce(F.element_at("_own", F.col("bin_idx")), F.lit(0.0)).alias("value"))
+
+
+def counted(filled: DataFrame, rows: DataFrame, bins: DataFrame) -> DataFrame:
+    """filled as it is; an error if its rows are not as many as rows x bins."""
+    n, want = filled.count(), rows.count() * bins.count()
+    if n != want:
+        raise ValueError(f"{n} values for {want} places")
+    return filled
 
 
 def mass_filter(peaks: DataFrame, lo: float, hi: float, least: float, label: str) -> DataFrame:
@@ -94,7 +130,7 @@ def nearest_bin(targets: DataFrame, bins: DataFrame, reach: float) -> DataFrame:
     """For each target (mz) the bin whose centre is nearest, within reach; ties to the smaller bin."""
     centre = bins.select("bin_idx", ((F.col("lo") + F.col("hi")) / 2).alias("centre"))
     near = centre.select("bin_idx", "centre", (F.col("centre") - reach).alias("lo"), (F.col("centre") + reach).alias("hi"))
-    met = range_join(targets, near, width=2 * reach)
+    met = range_join(targets, near)
     best = F.min(F.struct(F.abs(F.col("centre") - F.col("mz")).alias("d"), "bin_idx")).alias("m")
     return met.groupBy("idx", "mz").agg(best).select("idx", F.col("m.bin_idx").alias("bin_idx"), F.col("m.d").alias("distance"))
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spectraline.functions import stats
 from spectraline.sources import sinks
 
 Matrix = tuple[tuple[float, float, float], tuple[float, float, float]]
@@ -48,15 +49,23 @@ def ion_image(peaks: DataFrame, mz: float, tol: float) -> DataFrame:
     )
 
 
-def wkt_polygon(column: str) -> Column:
-    """Vertices of a POLYGON with a single ring."""
-    inner = F.regexp_extract(F.col(column), r"\(\(([^()]*)\)\)", 1)
+def points(ring: Column) -> Column:
     return F.transform(
-        F.split(inner, r"\s*,\s*"),
-        lambda p: F.struct(F.split(p, " ")[0].cast("double").alias("x"), F.split(p, " ")[1].cast("double").alias("y")),
+        F.split(ring, r"\s*,\s*"),
+        lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("y")),
     )
 
 
+def wkt_polygon(column: str) -> Column:
+    """Vertices of a POLYGON with a single ring."""
+    return points(F.regexp_extract(F.col(column), r"\(\(([^()]*)\)\)", 1))
+
+
+def wkt_rings(column: str) -> Column:
+    """All rings of a POLYGON or MULTIPOLYGON, holes among them, each as its vertices; none of an empty geometry."""
+    return F.transform(F.regexp_extract_all(F.col(column), F.lit(r"\(([^()]+)\)"), F.lit(1)), points)
+
+
 def affine(geometry: Column, m: Matrix) -> Column:
     (a, b, c), (d, e, f) = m
     return F.transform(geometry, lambda p: F.struct((a * p["x"] + b * p["y"] + c).alias("x"), (d * p["x"] + e * p["y"] + f).alias("y")))
@@ -71,30 +80,38 @@ def compose(*steps: Matrix) -> Matrix:
     return total
 
 
-def rasterize(annotations: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, y, x) of the pixels whose centre is inside the polygon, by the even-odd rule over its edges."""
-    xs, ys = F.transform("geometry", lambda p: p["x"]), F.transform("geometry", lambda p: p["y"])
-    span = lambda v: F.sequence(F.floor(F.array_min(v)), F.greatest(F.floor(F.array_min(v)), F.ceil(F.array_max(v)) - 1))
-    cells = annotations.withColumn("y", F.explode(span(ys))).withColumn("x", F.explode(span(xs)))
-    px, py = F.col("x") + 0.5, F.col("y") + 0.5
+def raster_runs(annotations: DataFrame, keys: list[str], scale: int = 1) -> DataFrame:
+    """(keys, y, x0, x1): the pixels x0 <= x < x1 of row y whose centre is inside, by the even-odd rule over all edges.
+
+    Column rings (so holes and several parts are right), or geometry for one ring. Edges are rows; an edge meets the scan lines it spans, the
+    crossings of a line are sorted, and the pixels between the first and the second, the third and the fourth, and so on are a run. So the cost
+    is edges x lines, no pixel is tested, and the lines of a large polygon are work for many tasks. With scale, pixels are that many times finer.
+    """
+    rings = F.col("rings") if "rings" in annotations.columns else F.array("geometry")
+    ring = annotations.select(*keys, F.explode(rings).alias("ring"))
+    edge = ring.select(*keys, F.explode(F.zip_with("ring", F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("e"))
+    to = lambda p, c: (F.col(f"e.{p}.{c}") * scale).alias(p + c)
+    edge = edge.select(*keys, *[to(p, c) for p in "ab" for c in "xy"]).filter("ay <> by")
+    first = lambda v: F.ceil(v - 0.5).cast("long")
+    lines = edge.withColumns({"y": first(F.least("ay", "by")), "_end": first(F.greatest("ay", "by"))}).filter("y < _end")
+    lines = lines.withColumn("y", F.explode(F.sequence("y", F.col("_end") - 1)))
+    crossing = (F.col("bx") - F.col("ax")) * (F.col("y") + 0.5 - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
+    row = lines.select(*keys, "y", crossing.alias("c")).groupBy(*keys, "y").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    pair = F.transform(F.sequence(F.lit(0), F.size("c") - 2, F.lit(2)), lambda i: F.struct(first(F.get("c", i)).alias("x0"), first(F.get("c", i + 1)).alias("x1")))
+    return row.filter(F.size("c") > 1).select(*keys, "y", F.explode(pair).alias("r")).select(*keys, "y", "r.x0", "r.x1").filter("x0 < x1")
 
-    def crossings(acc: Column, i: Column) -> Column:
-        a, b = F.get("geometry", i), F.get("geometry", (i + 1) % F.size("geometry"))
-        hit = ((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
-        return acc + F.when(F.coalesce(hit, F.lit(False)), 1).otherwise(0)
 
-    odd = F.aggregate(F.sequence(F.lit(0), F.size("geometry") - 1), F.lit(0), crossings) % 2 == 1
-    return cells.filter(odd).select(*keys, "y", "x")
+def rasterize(annotations: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, y, x) of the pixels whose centre is inside the polygon (raster_runs)."""
+    return raster_runs(annotations, keys).select(*keys, "y", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"))
 
 
 def coverage(annotations: DataFrame, keys: list[str], s: int = 16) -> DataFrame:
-    """Share of each pixel's s * s sub-pixels that lie inside the polygon."""
-    fine = annotations.withColumn("geometry", affine(F.col("geometry"), ((float(s), 0.0, 0.0), (0.0, float(s), 0.0))))
-    sub = rasterize(fine, keys)
-    return (
-        sub.groupBy(*keys, F.floor(F.col("y") / s).alias("y"), F.floor(F.col("x") / s).alias("x"))
-        .agg((F.count("*") / (s * s)).alias("share"))
-    )
+    """Share of each pixel's s * s sub-pixels that lie inside the polygon; runs of sub-pixels are cut at pixels, not spread."""
+    pixel = lambda c: F.floor(c / s)
+    part = raster_runs(annotations, keys, s).withColumn("x", F.explode(F.sequence(pixel(F.col("x0")), pixel(F.col("x1") - 1))))
+    inside = F.least("x1", (F.col("x") + 1) * s) - F.greatest("x0", F.col("x") * s)
+    return part.groupBy(*keys, pixel(F.col("y")).alias("y"), "x").agg((F.sum(inside) / (s * s)).alias("share"))
 
 
 def onehot(rasters: DataFrame, annotations: DataFrame, terms: list) -> DataFrame:
@@ -191,6 +208,27 @@ def components(pixels: DataFrame, tile: int = 256) -> DataFrame:
     return local.join(whole.withColumnRenamed("id", "blob"), "blob", "left").select("y", "x", F.coalesce("least", "blob").alias("blob"))
 
 
+def class_components(pixels: DataFrame, classes: list[str], tile: int = 256) -> DataFrame:
+    """8-connected blobs of each class of pixels (class, y, x): (class, y, x, in_class, number), blobs numbered from 1 in a class and over all classes in turn.
+
+    A pixel may be of several classes. Classes are laid side by side, far apart, so one search serves all. Blobs follow their least pixel, by
+    y, then x, and are numbered by running sums over value buckets (functions/stats.py), so no task has all of them.
+    """
+    far = 1 << 24
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
+    laid = pixels.select((F.col("y") + (place - 1) * far).alias("y"), "x")
+    blobs = components(laid, tile)
+    place = F.floor(F.col("y") / far)
+    blobs = sinks.stage(blobs.select(place.cast("int").alias("place"), (F.col("y") - place * far).alias("y"), "x", "blob"))
+    each = blobs.groupBy("place", "blob").agg(F.lit(1).alias("n"))
+    own = stats.prefix_sums(each, ["place"], "blob", ["n"])
+    before = each.groupBy("place").agg(F.count("*").alias("m"))
+    before = before.select("place", F.coalesce(F.sum("m").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lift"))  # over classes
+    names = own.join(before, "place").select("blob", (F.col("n_before") + 1).alias("in_class"), (F.col("n_before") + 1 + F.col("lift")).alias("number"))
+    name = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("place") + 1)
+    return blobs.join(names, "blob").select(name.alias("class"), "y", "x", F.col("in_class").cast("long").alias("in_class"), F.col("number").cast("long").alias("number"))
+
+
 def template_matrix(top_left: tuple[float, float], scale: float, size: tuple[float, float], turns: int, flip_lr: bool = False, flip_ud: bool = False, crop: tuple[float, float] = (0, 0)) -> Matrix:
     """From overlay to template coordinates: to the match's top left (x, y), down by scale, about the centre of the match of size (width, height)
     by quarter turns and flips, and to the crop's start (x, y)."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spectraline.functions import stats
 from spectraline.operators import binning as B
+from spectraline.operators import peaks as K
 from spectraline.operators import spatial as G
 from spectraline.plans.registry import op
 from spectraline.sources import proxies as P
@@ -113,7 +114,7 @@ def s8(s, d):
     return text.lipid_window(P.lipids(s, d), C("idx") == 7)
 
 
-RUNS = """, ru AS (SELECT event_type AS problem, CASE WHEN user_id % 5 < 3 THEN 'tic' ELSE 'none' END AS normalization, user_id % 2 = 0 AS grouped, round(value / 500, 3) AS v, 0.5 + (user_id % 5) / 50 AS occ, user_id % 10 AS run FROM events),
+RUNS = """, ru AS (SELECT event_type || CASE WHEN user_id % 10 < 5 THEN '+' ELSE '-' END AS problem, CASE WHEN user_id % 5 < 3 THEN 'tic' ELSE 'none' END AS normalization, user_id % 2 = 0 AS grouped, round(value / 500, 3) AS v, 0.5 + (user_id % 5) / 50 AS occ, user_id % 10 AS run FROM events),
 lg AS (SELECT problem, normalization, grouped, round(avg(v), 6) AS score, round(max(occ), 2) AS max_occ FROM ru GROUP BY problem, normalization, grouped, run)
 """
 
@@ -126,7 +127,7 @@ def logs(s, d):
         .select("event_type", (C("user_id") % 10).alias("run"), "event_id", F.format_string("%.3f", F.round(C("value") / 500, 3)).alias("v"))
     )
     norm, cv = F.when(C("run") % 5 < 3, "_norm_tic").otherwise("_no_norm"), F.when(C("run") % 2 == 0, "_gcv.log").otherwise("_cv.log")
-    e = e.withColumn("file", F.concat("event_type", F.lit("@"), C("run").cast("string"), norm, cv))
+    e = e.withColumn("file", F.concat("event_type", F.when(C("run") < 5, "_p").otherwise("_n"), F.lit("@"), C("run").cast("string"), norm, cv))
     scores = (
         e.groupBy("file", F.floor(C("event_id") / 1000))
         .agg(F.concat(F.lit(head + "scores: ["), F.concat_ws(" ", F.collect_list("v")), F.lit("]")).alias("value"))
@@ -211,9 +212,11 @@ def p1(s, d):
     return G.region_slice(P.peaks(s, d), (10, 20), (5, 25), (100, 1 << 40)).select("spectrum_id", "idx", "y", "x")
 
 
-@op("P2_autocrop", "SELECT min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM tic WHERE v > 300")
+@op("P2_autocrop", "SELECT min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM tic WHERE v > (SELECT quantile_cont(v, 0.999) FROM tic)")
 def p2(s, d):
-    return G.bounding_box(by_tic(s, d).filter("v > 300"))
+    """The box of the pixels above a percentile of all."""
+    image = by_tic(s, d)
+    return G.bounding_box(image.filter(C("v") > stats.quantiles(image, "v", [0.999])[0]))
 
 
 @op("P3_valid_pixels", "SELECT spectrum_id FROM sp WHERE len > 0")
@@ -442,13 +445,14 @@ def j4(s, d):
 
 @op(
     "J5_bin_masked",
-    "SELECT y, x, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN ub ON mz BETWEEN lo AND hi WHERE spectrum_id IN (SELECT spectrum_id FROM lab WHERE region = 1) GROUP BY ALL",
+    """, me AS (SELECT * FROM pk WHERE spectrum_id IN (SELECT spectrum_id FROM lab WHERE region = 1)), sm AS (SELECT y, x, bin_idx, sum(intensity) AS v FROM me JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL)
+SELECT y, x, bin_idx, round(coalesce(v, 0), 4) AS value FROM (SELECT DISTINCT y, x FROM me) CROSS JOIN ub LEFT JOIN sm USING (y, x, bin_idx)""",
 )
 def j5(s, d):
-    return (
-        B.bin_sum(P.peaks(s, d).join(P.labels(s, d).filter("region = 1"), "spectrum_id", "left_semi"), bins(s), ["y", "x"])
-        .withColumn("value", F.round("value", 4))
-    )
+    """Rows of the pixels under a mask, every bin among them; an error if their number is not pixels x bins."""
+    inside = P.peaks(s, d).join(P.labels(s, d).filter("region = 1"), "spectrum_id", "left_semi")
+    rows = inside.select("y", "x").distinct()
+    return B.counted(B.zero_filled(B.bin_sum(inside, bins(s), ["y", "x"]), rows, bins(s), ["y", "x"]), rows, bins(s)).withColumn("value", F.round("value", 4))
 
 
 @op("J6_flatten_dense", "SELECT vec_id, channel, value, target, region FROM dn")
@@ -458,9 +462,25 @@ def j6(s, d):
     return P.dense(s, d).select("vec_id", "channel", "value").join(label, "vec_id").select("vec_id", "channel", "value", "target", "region")
 
 
-@op("J7_bin_spectrum_map", "SELECT dataset, flag, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL")
+@op(
+    "J7_bin_spectrum_map",
+    """, sm AS (SELECT dataset, flag, bin_idx, sum(intensity) AS v FROM pk JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL)
+SELECT dataset, flag, bin_idx, round(coalesce(v, 0), 4) AS value FROM (SELECT DISTINCT dataset, flag FROM pk) CROSS JOIN ub LEFT JOIN sm USING (dataset, flag, bin_idx)""",
+)
 def j7(s, d):
-    return B.bin_sum(P.peaks(s, d), bins(s), ["dataset", "flag"]).withColumn("value", F.round("value", 4))
+    p = P.peaks(s, d)
+    out = B.zero_filled(B.bin_sum(p, bins(s), ["dataset", "flag"]), p.select("dataset", "flag").distinct(), bins(s), ["dataset", "flag"])
+    return out.withColumn("value", F.round("value", 4))
+
+
+MIXED = ", mb AS (SELECT bin_idx, lo, hi FROM ub UNION ALL SELECT 1000 AS bin_idx, 0.0::DOUBLE AS lo, 1050.0::DOUBLE AS hi UNION ALL SELECT 1001 + range AS bin_idx, 100.0::DOUBLE * range AS lo, 100.0::DOUBLE * range + 200 AS hi FROM range(9))\n"
+
+
+@op("J1_mixed_widths", MIXED + "SELECT spectrum_id, bin_idx, round(sum(intensity), 4) AS value FROM pk JOIN mb ON mz BETWEEN lo AND hi GROUP BY ALL")
+def j1_mixed(s, d):
+    """Sums over narrow bins, bins of a fifth of the range and one of the whole range: three levels of the interval index."""
+    whole = s.createDataFrame([(1000, 0.0, 1050.0), *((1001 + i, 100.0 * i, 100.0 * i + 200) for i in range(9))], "bin_idx long, lo double, hi double")
+    return B.bin_sum(P.peaks(s, d), bins(s).unionByName(whole), ["spectrum_id"], salt=4).withColumn("value", F.round("value", 4))
 
 
 @op("J8_rasterize", ANN + INSIDE + "SELECT ann_id, y, x FROM cov")
@@ -468,10 +488,18 @@ def j8(s, d):
     return coverage(s, d).select("ann_id", "y", "x")
 
 
-@op("J9_label_components")
+@op(
+    "J9_label_components",
+    """, px AS (SELECT CASE WHEN v > 200 THEN 'high' ELSE 'mid' END AS class, y, x FROM tic WHERE v > 150), st AS (SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(3) a, range(3) b),
+rc AS (SELECT class, y, x, y AS ry, x AS rx FROM px UNION SELECT r.class, r.y, r.x, p.y, p.x FROM rc r, st JOIN px p ON p.class = r.class AND p.y = r.ry + dy AND p.x = r.rx + dx),
+bl AS (SELECT class, y, x, min(ry * 4294967296 + rx) AS blob FROM rc GROUP BY ALL)
+SELECT class, y, x, CAST(dense_rank() OVER (PARTITION BY class ORDER BY blob) AS BIGINT) AS in_class, CAST(dense_rank() OVER (ORDER BY class, blob) AS BIGINT) AS number FROM bl""",
+    recursive=True,
+)
 def j9(s, d):
-    """8-connected blobs of bright pixels: (y, x, blob)."""
-    return G.components(by_tic(s, d).filter("v > 150").select("y", "x"))
+    """8-connected blobs of bright and of very bright pixels, numbered in their class and over both: (class, y, x, in_class, number)."""
+    bright = by_tic(s, d).filter("v > 150").select(F.when(C("v") > 200, "high").otherwise("mid").alias("class"), "y", "x")
+    return G.class_components(bright, ["high", "mid"])
 
 
 @op("J10_raster_coverage", ANN + """, sub AS (SELECT ann_id, y, x FROM (SELECT *, unnest(range(y0 * 4, (y0 + side) * 4)) AS y FROM ann) a, LATERAL (SELECT unnest(range(a.x0 * 4, (a.x0 + a.side) * 4)) AS x) b WHERE (x + 0.5 - x0 * 4) + (y + 0.5 - y0 * 4) < side * 4)
@@ -563,11 +591,13 @@ def j19(s, d):
 
 @op(
     "J20_lipid_images",
-    "SELECT l.idx AS bin_idx, y, x, round(sum(intensity), 4) AS value FROM pk p JOIN lip l ON p.mz BETWEEN l.mz - width AND l.mz + width GROUP BY ALL",
+    ", im AS (SELECT l.idx AS bin_idx, y, x, sum(intensity) AS v FROM pk p JOIN lip l ON p.mz BETWEEN l.mz - width AND l.mz + width GROUP BY ALL) SELECT bin_idx, y, x, round(v / max(v) OVER (), 6) AS value FROM im",
 )
 def j20(s, d):
     windows = P.lipids(s, d).select(C("idx").alias("bin_idx"), (C("mz") - C("width")).alias("lo"), (C("mz") + C("width")).alias("hi"))
-    return B.bin_sum(P.peaks(s, d), windows, ["y", "x"]).withColumn("value", F.round("value", 4))
+    image = B.bin_sum(P.peaks(s, d), windows, ["y", "x"])
+    most = image.agg(F.max("value").alias("most"))  # one row
+    return image.join(F.broadcast(most)).select("bin_idx", "y", "x", F.round(C("value") / C("most"), 6).alias("value"))
 
 
 @op("J21_compare_axes", """, a AS (SELECT y, x, list(mz ORDER BY mz) AS m FROM pk WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT y, x, list(mz ORDER BY mz) AS m FROM pk WHERE dataset = 'O' GROUP BY ALL)
@@ -603,14 +633,14 @@ def j23(s, d):
 
 @op(
     "J24_compare_labels",
-    ", c AS (SELECT target, region, sum(weight) AS w FROM lab GROUP BY ALL) SELECT a.target, round(coalesce(b.w, 0) - coalesce(a.w, 0), 3) AS diff FROM (SELECT * FROM c WHERE region = 0) a FULL JOIN (SELECT * FROM c WHERE region = 1) b ON a.target = b.target",
+    ", c AS (SELECT target, spectrum_id // 3 AS pixel, sum(weight) FILTER (region = 0) AS a, sum(weight) FILTER (region = 1) AS b FROM lab GROUP BY ALL), e AS (SELECT target, coalesce(b, 0) - coalesce(a, 0) AS diff FROM c WHERE a IS NOT NULL OR b IS NOT NULL) SELECT target, round(min(diff), 6) AS least, round(max(diff), 6) AS most, round(sum(diff), 3) AS diff FROM e GROUP BY 1",
 )
 def j24(s, d):
-    a, b = (P.labels(s, d).filter(C("region") == r).groupBy("target").agg(F.sum("weight").alias(n)) for r, n in ((0, "a"), (1, "b")))
-    return (
-        a.join(b, "target", "full_outer")
-        .select("target", F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 3).alias("diff"))
-    )
+    """Per class the least and largest difference of two label images over pixels with a label in either, and its sum."""
+    of = lambda r: F.sum(F.when(C("region") == r, C("weight")))
+    both = P.labels(s, d).groupBy("target", F.floor(C("spectrum_id") / 3).alias("pixel")).agg(of(0).alias("a"), of(1).alias("b")).filter("a is not null or b is not null")
+    diff = both.select("target", (F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0))).alias("diff"))
+    return diff.groupBy("target").agg(F.round(F.min("diff"), 6).alias("least"), F.round(F.max("diff"), 6).alias("most"), F.round(F.sum("diff"), 3).alias("diff"))
 
 
 @op("J25_labels_without_data", "SELECT spectrum_id FROM lab WHERE spectrum_id NOT IN (SELECT spectrum_id FROM pk)")
@@ -657,6 +687,12 @@ def a6(s, d):
     return P.peaks(s, d).select("mz").distinct()
 
 
+@op("A7_length_histogram", "SELECT len, count(*)::BIGINT AS n FROM sp GROUP BY 1")
+def a7_histogram(s, d):
+    """How many spectra have each length."""
+    return P.peaks(s, d).groupBy("spectrum_id").agg(F.count("*").cast("int").alias("len")).groupBy("len").agg(count())
+
+
 @op(
     "A7_length_stats",
     "SELECT round(avg(len), 6) AS mean, round(stddev_pop(len), 6) AS std, min(len) AS lo, max(len) AS hi, (SELECT count(DISTINCT mz) FROM pk)::BIGINT AS masses FROM sp",
@@ -935,6 +971,32 @@ def w4(s, d):
     return q.select("vec_id", "channel", r4(C("channel") + 0.5 * (C("l") - C("r")) / (C("l") - 2 * C("value") + C("r")), "apex"))
 
 
+NOISE = """, po AS (SELECT vec_id, channel * 10.0::DOUBLE AS mz, abs(value) AS i FROM dn), tp AS (SELECT vec_id, max(i) AS top FROM po GROUP BY 1),
+hi AS (SELECT vec_id, CAST(floor(mz / 50) AS BIGINT) AS win, least(31, CAST(floor(i * 32 / top) AS INTEGER)) AS step, top, count(*) AS n FROM po JOIN tp USING (vec_id) WHERE top > 0 GROUP BY ALL),
+ow AS (SELECT DISTINCT vec_id, win FROM hi), mg AS (SELECT ow.vec_id, ow.win, top, step, sum(n) AS n FROM ow JOIN hi ON hi.vec_id = ow.vec_id AND hi.win BETWEEN ow.win - 1 AND ow.win + 1 GROUP BY ALL),
+up AS (SELECT *, sum(n) OVER (PARTITION BY vec_id, win ORDER BY step) AS upto, sum(n) OVER (PARTITION BY vec_id, win) AS al FROM mg),
+nz AS (SELECT vec_id, win, min((step + 1) * top) / 32 AS noise FROM up WHERE 2 * upto >= al GROUP BY ALL)
+"""
+
+
+def noisy(s, d):
+    """Continuous spectra as profiles: a point each 10 units, intensities without sign."""
+    return P.dense(s, d).select("vec_id", (C("channel") * 10.0).alias("mz"), F.abs("value").alias("intensity"))
+
+
+@op("W4_local_noise", NOISE + "SELECT vec_id, win, round(noise, 6) AS noise FROM nz")
+def w4_noise(s, d):
+    """The median intensity around each m/z window, from histograms."""
+    return K.local_noise(noisy(s, d), "vec_id").select("vec_id", C("window").alias("win"), F.round("noise", 6).alias("noise"))
+
+
+@op("W4_pick_over_noise", NOISE + """, q AS (SELECT vec_id, mz, i, coalesce(lag(i) OVER w, 0) AS l, coalesce(lead(i) OVER w, 0) AS r FROM po WINDOW w AS (PARTITION BY vec_id ORDER BY mz, i))
+SELECT vec_id, mz, round(i, 6) AS intensity, round(noise, 6) AS noise FROM q JOIN nz ON nz.vec_id = q.vec_id AND nz.win = CAST(floor(mz / 50) AS BIGINT) WHERE i > l AND i >= r AND i >= 1.5::DOUBLE * noise""".replace("SELECT vec_id, mz, round", "SELECT q.vec_id, mz, round"))
+def w4_over_noise(s, d):
+    """Local maxima of at least one and a half times the noise around them."""
+    return K.pick_peaks(noisy(s, d), "vec_id", 1.5).select("vec_id", "mz", F.round("intensity", 6).alias("intensity"), F.round("noise", 6).alias("noise"))
+
+
 @op("W5_deisotope", """, e AS (SELECT a.spectrum_id, a.idx AS i, b.idx AS j, a.intensity AS ia, b.intensity AS ib FROM pk a JOIN pk b ON a.spectrum_id = b.spectrum_id AND b.mz BETWEEN a.mz + 50 - 40 AND a.mz + 50 + 40),
 t AS (SELECT x.spectrum_id, x.j AS second, y.j AS third FROM e x JOIN e y ON x.spectrum_id = y.spectrum_id AND x.j = y.i WHERE y.ib <= y.ia) SELECT spectrum_id, second AS idx FROM t UNION SELECT spectrum_id, third AS idx FROM t""")
 def w5(s, d):
@@ -942,6 +1004,12 @@ def w5(s, d):
     return B.isotope_followers(P.peaks(s, d), spacing=50, tol=40)
 
 
+@op("W5_isotope_chains")
+def w5_chains(s, d):
+    """Chains of charges 1 to 3, each peak in one of them; masses are scaled down, as the table's lie far apart: (spectrum_id, idx, charge, first, place)."""
+    return K.deisotoped(P.peaks(s, d).withColumn("mz", C("mz") / 100), tol=0.4)
+
+
 IMP = ", imp AS (SELECT channel, round(avg(abs(value)), 4) AS v FROM dn GROUP BY 1)\n"
 
 
@@ -1007,9 +1075,11 @@ def w12(s, d):
     return x.join(g, ["region", "ann"]).select("spectrum_id", "region", "ann", "group_id")
 
 
-@op("K1_top_features", IMP + "SELECT channel, v FROM imp ORDER BY v DESC, channel LIMIT 10")
+@op("K1_top_features", ", im AS (SELECT channel, round(avg(abs(value)), 4) AS v, round(stddev_pop(abs(value)), 4) AS std FROM dn GROUP BY 1) SELECT channel, v, std FROM im ORDER BY v DESC, channel LIMIT 10")
 def k1(s, d):
-    return importances(s, d).orderBy(F.desc("v"), "channel").limit(10)
+    """The ten highest means with their deviation."""
+    size = F.abs("value")
+    return P.dense(s, d).groupBy("channel").agg(F.round(F.avg(size), 4).alias("v"), F.round(F.stddev_pop(size), 4).alias("std")).orderBy(F.desc("v"), "channel").limit(10)
 
 
 JOINT = ", r AS (SELECT region, channel, avg(value) AS v FROM dn GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY v DESC, channel) AS r FROM r)\n"
@@ -1037,9 +1107,12 @@ def k3(s, d):
     )
 
 
-@op("K4_p_value_table", IMP + "SELECT channel, v / 20 AS p, v / 20 < 0.05 AS significant FROM imp")
+@op("K4_p_value_table", IMP + "SELECT channel, v / 20 AS p, v / 20 < 0.05 AS significant, CASE WHEN abs(v / 20) < 0.041 THEN printf('%.0E', v / 20) ELSE printf('%.3f', v / 20) END AS shown FROM imp")
 def k4(s, d):
-    return importances(s, d).select("channel", (C("v") / 20).alias("p"), (C("v") / 20 < 0.05).alias("significant")).orderBy("p")
+    """p values, those below a limit shown by their order of magnitude."""
+    p = C("v") / 20
+    shown = F.when(F.abs(p) < 0.041, F.format_string("%.0E", p)).otherwise(F.format_string("%.3f", p))
+    return importances(s, d).select("channel", p.alias("p"), (p < 0.05).alias("significant"), shown.alias("shown")).orderBy("p")
 
 
 @op("K5_brightest_pixels", "SELECT y, x, v FROM tic ORDER BY v DESC, y, x LIMIT 20")
@@ -1185,21 +1258,27 @@ def t6(s, d):
     return by_tic(s, d).select("y", "x", G.map_index(C("y"), 3, 2.5).alias("ty"), G.map_index(C("x"), 4, 2.5).alias("tx"))
 
 
-@op("T7_affine", ANN + "SELECT ann_id, round(2 * x0 + 0.5::DOUBLE * y0 + 1, 4) AS px, round(-0.5::DOUBLE * x0 + 2 * y0 + 3, 4) AS py FROM ann")
+CORNERS = ANN + """, co AS (SELECT ann_id, 0 AS vertex, x0 AS vx, y0 AS vy FROM ann UNION ALL SELECT ann_id, 1 AS vertex, x0 + side AS vx, y0 AS vy FROM ann
+UNION ALL SELECT ann_id, 2 AS vertex, x0 AS vx, y0 + side AS vy FROM ann UNION ALL SELECT ann_id, 3 AS vertex, x0 AS vx, y0 AS vy FROM ann)
+"""
+
+
+def vertices(geometry, *keys):
+    """Rows (keys, vertex, px, py) of an array of points."""
+    return geometry.select(*keys, F.posexplode("g").alias("vertex", "p")).select(*keys, "vertex", r4(C("p.x"), "px"), r4(C("p.y"), "py"))
+
+
+@op("T7_affine", CORNERS + "SELECT ann_id, vertex, round(2 * vx + 0.5::DOUBLE * vy + 1, 4) AS px, round(-0.5::DOUBLE * vx + 2 * vy + 3, 4) AS py FROM co")
 def t7(s, d):
-    g = annotations(s, d).select("ann_id", G.affine(G.wkt_polygon("wkt"), ((2.0, 0.5, 1.0), (-0.5, 2.0, 3.0)))[0].alias("p"))
-    return g.select("ann_id", r4(C("p.x"), "px"), r4(C("p.y"), "py"))
+    """All vertices under a matrix."""
+    return vertices(annotations(s, d).select("ann_id", G.affine(G.wkt_polygon("wkt"), ((2.0, 0.5, 1.0), (-0.5, 2.0, 3.0))).alias("g")), "ann_id")
 
 
-@op("T8_translate_geometry", ANN + "SELECT ann_id, round(14 - ((y0 - 7) / 2 - 10), 4) AS px, round(18 - ((x0 - 5) / 2 - 15), 4) AS py FROM ann")
+@op("T8_translate_geometry", CORNERS + "SELECT ann_id, vertex, round(14 - ((vy - 7) / 2 - 10), 4) AS px, round(18 - ((vx - 5) / 2 - 15), 4) AS py FROM co")
 def t8(s, d):
-    """Overlay to template: translate, scale, centre, rotate, flip, crop as one matrix."""
+    """Overlay to template: translate, scale, centre, rotate, flip, crop as one matrix, for all vertices."""
     m = G.template_matrix((5, 7), 2.0, (60, 40), 1, flip_ud=True, crop=(4, 3))
-    return (
-        annotations(s, d)
-        .select("ann_id", G.affine(G.wkt_polygon("wkt"), m)[0].alias("p"))
-        .select("ann_id", r4(C("p.x"), "px"), r4(C("p.y"), "py"))
-    )
+    return vertices(annotations(s, d).select("ann_id", G.affine(G.wkt_polygon("wkt"), m).alias("g")), "ann_id")
 
 
 @op("T9_bbox_registration", """, a AS (SELECT min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM tic WHERE v > 100), b AS (SELECT min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM tic WHERE v > 200),
@@ -1215,10 +1294,34 @@ def t9(s, d):
     )
 
 
-@op("T10_wkt_polygon", ANN + "SELECT ann_id, 4::BIGINT AS n, CAST(x0 AS DOUBLE) AS px, CAST(y0 AS DOUBLE) AS py FROM ann")
+HOLED = CORNERS + """, ri AS (SELECT ann_id, 0 AS ring, vertex, CAST(vx AS DOUBLE) AS px, CAST(vy AS DOUBLE) AS py FROM co
+UNION ALL SELECT ann_id, 1 AS ring, vertex, x0 + 0.5::DOUBLE + (vx - x0) / side AS px, y0 + 0.5::DOUBLE + (vy - y0) / side AS py FROM co JOIN ann USING (ann_id))
+"""
+
+
+def holed(s, d):
+    """ann_id, wkt: the triangles of annotations() with a hole of side 1 near their corner."""
+    hole = [(C("x0") + a, C("y0") + b) for a, b in ((0.5, 0.5), (1.5, 0.5), (0.5, 1.5), (0.5, 0.5))]
+    inner = F.format_string("(%.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f)", *[x for p in hole for x in p])
+    return annotations(s, d).withColumn("wkt", F.concat(F.regexp_replace("wkt", r"\)\)$", "), "), inner, F.lit(")")))
+
+
+@op("T10_wkt_polygon", HOLED + "SELECT * FROM ri")
 def t10(s, d):
-    g = annotations(s, d).select("ann_id", G.wkt_polygon("wkt").alias("g"))
-    return g.select("ann_id", big(F.size("g")).alias("n"), C("g")[0]["x"].alias("px"), C("g")[0]["y"].alias("py"))
+    """All vertices of all rings, holes among them."""
+    g = holed(s, d).select("ann_id", F.posexplode(G.wkt_rings("wkt")).alias("ring", "g"))
+    return vertices(g, "ann_id", "ring")
+
+
+@op(
+    "J8_rasterize_holes",
+    HOLED + """, sg AS (SELECT ann_id, px AS ax, py AS ay, lead(px) OVER w AS cx, lead(py) OVER w AS cy FROM ri WINDOW w AS (PARTITION BY ann_id, ring ORDER BY vertex)),
+li AS (SELECT ann_id, y0, x0, side, unnest(range(y0, y0 + side)) AS y FROM ann), pi AS (SELECT *, unnest(range(x0, x0 + side)) AS x FROM li)
+SELECT ann_id, y, x FROM pi JOIN sg USING (ann_id) WHERE (ay > y + 0.5) <> (cy > y + 0.5) AND x + 0.5 < (cx - ax) * (y + 0.5 - ay) / (cy - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1""",
+)
+def j8_holes(s, d):
+    """Pixels inside polygons with holes, from sorted crossings of scan lines."""
+    return G.rasterize(holed(s, d).withColumn("rings", G.wkt_rings("wkt")), ["ann_id"])
 
 
 @op("T11_pixel_luma", "SELECT y, x, round(0.299 * (y * 2) + 0.587 * (x % 256) + 0.114 * least(v, 255), 4) AS luma FROM tic")

@@ -51,7 +51,7 @@ def scan_commented(spark: SparkSession, path: str, schema: str, sep: str) -> Dat
 def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     """Lines of run logs with what their file's name says: problem, normalization, grouped, line.
 
-    A name is <problem>_no_norm or <problem>_norm_<kind>, then _gcv.log (grouped folds) or _cv.log. The logs may
+    A name is <problem>_no_norm or <problem>_norm_<kind>, then _gcv.log (grouped folds) or _cv.log; _p and _n in a problem stand for + and -. The logs may
     also be folders of that name (a partition column `file`), as Spark writes them.
     """
     lines = spark.read.text(path)
@@ -63,7 +63,7 @@ def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     return (
         known
         .select(
-            part(1).alias("problem"), F.when(part(2) == "", "none").otherwise(part(2)).alias("normalization"),
+            F.replace(F.replace(part(1), F.lit("_p"), F.lit("+")), F.lit("_n"), F.lit("-")).alias("problem"), F.when(part(2) == "", "none").otherwise(part(2)).alias("normalization"),
             (part(3) == "g").alias("grouped"), F.col("value").alias("line"),
         )
     )
