@@ -27,10 +27,11 @@ def level(lo: Column, hi: Column) -> Column:
     return F.ceil(F.log2(F.greatest(hi - lo, F.lit(1e-6)) * (1 - 1e-12))).cast("int")
 
 
-def range_join(peaks: DataFrame, bins: DataFrame, value: str = "mz", how: str = "inner", salt: int = 1) -> DataFrame:
+def range_join(peaks: DataFrame, bins: DataFrame, value: str = "mz", how: str = "inner", salt: int = 1, small: bool = False) -> DataFrame:
     """Pairs with lo <= value <= hi, both ends closed; a peak on a shared edge meets both bins.
 
-    The levels that occur are collected, some tens at most. With salt, bins are stored that many times, and the peaks of each cell dealt to these.
+    The levels that occur are collected, some tens at most. With salt, bins are stored that many times, and the peaks of each cell dealt to these;
+    `small` says that bins are few enough to be sent to every task.
     """
     stored = bins.withColumn("_level", level(F.col("lo"), F.col("hi")))
     levels = sorted(r[0] for r in stored.filter("_level is not null").select("_level").distinct().collect()) or [0]
@@ -44,7 +45,7 @@ def range_join(peaks: DataFrame, bins: DataFrame, value: str = "mz", how: str =
         p = p.withColumn("_salt", F.pmod(F.xxhash64(*peaks.columns), F.lit(salt)).cast("int"))
         stored = stored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         on = on & (p["_salt"] == stored["_salt"])
-    return p.join(stored, on, how).drop("_cell", "_level", "_salt")
+    return p.join(F.broadcast(stored) if small else stored, on, how).drop("_cell", "_level", "_salt")
 
 
 def bin_sum(peaks: DataFrame, bins: DataFrame, keys: list[str], salt: int = 1) -> DataFrame:

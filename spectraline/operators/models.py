@@ -7,10 +7,9 @@ operators/forests.py.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraline.functions.stats import accuracy, ranked, roc_auc
@@ -50,12 +49,22 @@ def stratified_folds(rows: DataFrame, k: int) -> DataFrame:
     return dealt_rank(rows, by=("target",), name="_rank").withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
+#: Groups that are placed one by one on the driver, some tens of MB.
+MOST_GROUPS = 200_000
+
+
 def group_folds(rows: DataFrame, k: int) -> DataFrame:
-    """Groups unsplit, largest first to the fold with fewest rows of the group's classes; the table of groups is small and placed on the driver."""
-    size = rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("target").alias("pos")).orderBy(F.desc("n"), "grp").collect()
-    load, place = [[0, 0] for _ in range(min(k, len(size)))], []
-    for g in size:
-        best = min(range(len(load)), key=lambda i: (max(load[i][0] + g.n - g.pos, load[i][1] + g.pos), sum(load[i]), i))
+    """Groups unsplit, largest first to the fold with fewest rows of the group's classes.
+
+    Up to MOST_GROUPS groups are placed one by one. More of them are small against a fold, so groups of equal size and class counts are dealt in
+    turn, in md5 order, each such kind of group beginning where the one before ended; that is done in the cluster.
+    """
+    groups = sinks.stage(rows.groupBy("grp").agg(F.count("*").alias("n"), F.sum("target").alias("pos")))
+    if groups.limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        return rows.join(dealt_groups(groups, k), "grp")
+    load, place = [[0, 0] for _ in range(k)], []
+    for g in groups.orderBy(F.desc("n"), "grp").collect():
+        best = min(range(k), key=lambda i: (max(load[i][0] + g.n - g.pos, load[i][1] + g.pos), sum(load[i]), i))
         load[best][0] += g.n - g.pos
         load[best][1] += g.pos
         place.append((g.grp, best))
@@ -63,6 +72,15 @@ def group_folds(rows: DataFrame, k: int) -> DataFrame:
     return rows.join(F.broadcast(at), "grp")
 
 
+def dealt_groups(groups: DataFrame, k: int) -> DataFrame:
+    """grp, fold of groups (grp, n, pos), dealt in turn inside each kind (n, pos); kinds are far fewer than groups."""
+    kinds = groups.groupBy("n", "pos").agg(F.count("*").alias("m"))
+    before = Window.orderBy(F.desc("n"), "pos").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.select("n", "pos", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("first"))
+    ranks = dealt_rank(groups, "grp", by=("n", "pos"), name="_k")
+    return ranks.join(kinds, ["n", "pos"]).select("grp", ((F.col("first") + F.col("_k") - 1) % k).cast("int").alias("fold"))
+
+
 def estimator(kind: str, **options):
     base = {"featuresCol": "v", "labelCol": "target"}
     if kind == "forest":

@@ -248,17 +248,14 @@ def m5(s, d):
 
 @op("M6_region_folds")
 def m6(s, d):
-    """Region by region: fit on one, score on each."""
-    r, out = rows(s, d).cache(), None
-    for a in range(3):
-        m = M.scored(M.estimator("tree").fit(r.filter(C("region") == a)), r)
-        one = (
-            m.groupBy("region")
-            .agg(F.avg((C("prediction") == C("target")).cast("double")).alias("accuracy"))
-            .withColumn("trained_on", F.lit(a))
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Region by region: learn from one, score on each; the trees of all regions are grown together."""
+    r = rows(s, d)
+    regions = sorted(x.region for x in r.select("region").distinct().collect())
+    t = sinks.stage(T.table(r, folds=("region",)))
+    forests = T.grow(t, [T.Growth("tree", out=tuple((0, b) for b in regions if b != a)) for a in regions])
+    truth = t.select("id", C("folds")[0].alias("region"), C("targets")[0].alias("target"))
+    hit = T.predicted(t, forests).join(truth, "id").withColumn("trained_on", F.element_at(F.array(*map(F.lit, regions)), C("growth") + 1))
+    return hit.groupBy("region", "trained_on").agg(stats.accuracy((C("score") > 0.5) == (C("target") == 1)).alias("accuracy"))
 
 
 @op(
@@ -281,7 +278,7 @@ def m8(s, d):
 
 @op("M9_fit_l1_logistic")
 def m9(s, d):
-    r, out = rows(s, d).cache(), None
+    r, out = sinks.stage(rows(s, d)), None
     n = r.count()
     for c in (0.1, 1.0):
         one = (
@@ -371,7 +368,7 @@ def m17(s, d):
 
 @op("M18_fold_detail")
 def m18(s, d):
-    r = M.stratified_folds(rows(s, d), 2).cache()
+    r = sinks.stage(M.stratified_folds(rows(s, d), 2))
     return (
         M.cv_scores(r)
         .join(r.select("id", "grp", "region", "target", "fold"), "fold")
@@ -486,7 +483,7 @@ def g4(s, d):
 
 @op("G5_gmm_fit")
 def g5(s, d):
-    return X.fit(headed(s, d).cache(), X.equispaced(s, 0.0, 1050.0, 5))
+    return X.fit(sinks.stage(headed(s, d)), X.equispaced(s, 0.0, 1050.0, 5))
 
 
 G6 = f", q AS (SELECT spectrum_id, head AS own, intensity, (SELECT {DENSITY} FROM cp WHERE cp.head = 'n') AS a, (SELECT {DENSITY} FROM cp WHERE cp.head = 'p') AS b FROM pn), " + """
@@ -560,7 +557,7 @@ def fpr(s, d, shuffles: int = 5):
         runs = runs.unionByName(M.shuffled_labels(label, i).withColumn("run", F.lit(i)))
     runs = runs.select(C("id").alias("spectrum_id"), F.concat(C("run").cast("string"), "target").alias("head"))
     lo, hi = mass_range(s, d).first()
-    peaks = P.peaks(s, d).select("spectrum_id", "mz", "intensity").join(runs, "spectrum_id").select("head", "mz", "intensity").cache()
+    peaks = sinks.stage(P.peaks(s, d).select("spectrum_id", "mz", "intensity").join(runs, "spectrum_id").select("head", "mz", "intensity"))
     heads_ = tuple(f"{i}{h}" for i in range(shuffles + 1) for h in "np")
     at = X.mixture_prob(grid(s, lo, hi), X.fit(peaks, X.equispaced(s, lo, hi, 4, heads_), tol=1e-3)).withColumn("l", X.nll(C("p")))
     at = at.withColumns({"run": F.expr("substr(head, 1, length(head) - 1)").cast("int"), "h": F.substring("head", -1, 1)})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from spectraline.operators import peaks as K
 from spectraline.operators import spatial as G
 from spectraline.plans.registry import op
 from spectraline.sources import proxies as P
-from spectraline.sources import sinks, text
+from spectraline.sources import sinks, store, text
 
 C = F.col
 big = lambda c: c.cast("long")
@@ -176,6 +178,43 @@ def s12(s, d):
     )
 
 
+STORE = """, va AS (SELECT region, pk.y, pk.x, bin_idx AS channel, sum(intensity) AS v FROM pk JOIN lab USING (spectrum_id) JOIN ub ON mz BETWEEN lo AND hi GROUP BY ALL),
+lb AS (SELECT region, y, x, min(target) AS class, max(weight) AS weight FROM lab JOIN (SELECT DISTINCT spectrum_id, y, x FROM pk) USING (spectrum_id) GROUP BY ALL)
+"""
+
+
+def stored(s, d, name):
+    """A processed store of the peaks by region, their labels with it."""
+    pixel = P.peaks(s, d).join(P.labels(s, d).select("spectrum_id", "region", C("target").alias("class"), "weight"), "spectrum_id")
+    labels = pixel.groupBy("region", "y", "x").agg(F.min("class").alias("class"), F.max("weight").alias("weight"))
+    axis = s.createDataFrame([], "channel long, lo double, hi double, mz double")
+    return store.write(s, name, pixel.select("region", "y", "x", C("idx").alias("channel"), C("intensity").alias("value"), "mz"), axis, labels, "processed", 8)
+
+
+def binned_store(s, d):
+    """A continuous store of binned rows beside its source: the bins are its axis, labels and regions stay."""
+    name = f"spectra_{uuid.uuid4().hex}"
+    old, b = stored(s, d, name), bins(s)
+    axis = b.select(C("bin_idx").alias("channel"), "lo", "hi", ((C("lo") + C("hi")) / 2).alias("mz"))
+    return store.write(s, name + "_binned", store.binned(old, b), axis, old.labels, "continuous", 8)
+
+
+@op("S11_binned_store", STORE + "SELECT region, y, x, channel, round(v, 4) AS value, lo, hi, class, round(weight, 6) AS weight, 'continuous' AS mode FROM va JOIN lb USING (region, y, x) JOIN ub ON channel = bin_idx")
+def s11_store(s, d):
+    """Binned rows written and read with axis, labels and mode."""
+    t = binned_store(s, d)
+    out = store.labelled(t).join(t.axis, "channel")
+    return out.select("region", "y", "x", "channel", r4(C("value"), "value"), "lo", "hi", "class", F.round("weight", 6).alias("weight"), F.lit(t.mode).alias("mode"))
+
+
+@op("S12_normalized_store", STORE + "SELECT region, y, x, channel, round(v / sum(v) OVER (PARTITION BY region, y, x), 6) AS value, class FROM va JOIN lb USING (region, y, x) WHERE region = 1")
+def s12_store(s, d):
+    """The rows of a region over their pixel's sum, written as a store of its own with the labels of the source."""
+    t = binned_store(s, d)
+    new = store.write(s, f"spectra_{uuid.uuid4().hex}", store.normalised(t), t.axis, t.labels, t.mode, t.buckets)
+    return store.labelled(new).filter("region = 1").select("region", "y", "x", "channel", F.round("value", 6).alias("value"), "class")
+
+
 @op("S13_write_importances", "SELECT channel AS feature, round(avg(value), 4) AS importance, round(stddev_samp(value), 4) AS std FROM dn GROUP BY channel")
 def s13(s, d):
     out = P.dense(s, d).groupBy(C("channel").alias("feature")).agg(r4(F.avg("value"), "importance"), r4(F.stddev_samp("value"), "std"))

@@ -12,6 +12,12 @@ def place(df: DataFrame) -> str:
     return f"{shared_root(df.sparkSession)}/sink-{uuid.uuid4().hex}"
 
 
+def swept(spark: SparkSession, path: str) -> None:
+    """Have the file system of a path that exists delete it when the application ends; until then a frame may read it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one if one machine runs all; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,8 +30,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, which cuts its plan."""
-    return written(df)
+    """df written to the shared folder and read again, which cuts its plan; the table goes when the application ends."""
+    path = place(df)
+    out = written(df, path=path)
+    swept(df.sparkSession, path)
+    return out
 
 
 def written(df: DataFrame, kind: str = "parquet", path: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,17 @@ def drop_comments(lines: DataFrame) -> DataFrame:
 
 
 def scan_lipids(spark: SparkSession, path: str) -> DataFrame:
-    """idx, mz, width, name of a lipid table with a header line and any separator."""
+    """idx, mz, width, name of a lipid table with a header line and any separator; idx is 0, 1, ... in the order of lines.
+
+    Lines are numbered inside their split and lifted by the counts of the splits before, a row for each split.
+    """
     sep = sniff(spark.read.text(path).first().value)
     rows = spark.read.option("sep", sep).option("header", True).schema("mz double, width double, name string").csv(path)
-    return rows.select(F.monotonically_increasing_id().alias("idx"), "mz", "width", "name")
+    number = F.monotonically_increasing_id()
+    rows = rows.withColumns({"_split": F.shiftright(number, 33), "_at": number.bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("_split").agg(F.count("*").alias("_n")).select("_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(first, "_split").select((F.col("_first") + F.col("_at")).alias("idx"), "mz", "width", "name")
 
 
 def lipid_window(lipids: DataFrame, which: Column) -> DataFrame:
@@ -57,6 +64,7 @@ def scan_logs(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     if "file" not in lines.columns:
         lines = lines.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    # Fixed value: the form of the files' names.
     name = r"^(.*?)(?:_no_norm|_norm_(.+?))_(g?)cv\.log$"
     part = lambda i: F.regexp_extract("file", name, i)
     known = lines.filter(F.col("file").rlike(name))
@@ -84,6 +92,7 @@ def run_scores(logs: DataFrame) -> DataFrame:
 
 def run_importances(logs: DataFrame) -> DataFrame:
     """problem, normalization, grouped, id, name, importance from the lines `<id> ( <name> ) : <number>` of runs."""
+    # Fixed value: the form of the lines.
     pattern = r"\[root\] \[INFO\] :\s+(\d+) \(\s*(.*?)\s*\) :\s+(\d+\.\d+)"
     part = lambda i: F.regexp_extract("line", pattern, i)
     return (
@@ -102,6 +111,6 @@ def load_mask(spark: SparkSession, path: str) -> DataFrame:
     pixel = image.select(F.element_at(F.split("origin", "/"), -1).alias("name"), "width", at.alias("i", "v"))
     top = pixel.groupBy("name").agg(F.max("v").alias("top"))
     return (
-        pixel.join(F.broadcast(top), "name")
+        pixel.join(top, "name")
         .select("name", F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).alias("x"), (F.col("v") > F.col("top") / 2).alias("on_"))
     )

@@ -247,7 +247,7 @@ def test_run_logs(spark, tmp_path):
         (tmp_path / name).write_text(f"{line}max rel. occurrence = {occ}\n{line}scores: [{scores}]\n{line}feature importances:\n{line}  3 ( 700.1-700.2 ) :  0.25\n{line}  1 ( a b ) : 0.125\n")
     logs = text.scan_logs(spark, str(tmp_path)).cache()
     got = {(r.problem, r.normalization, r.grouped): (r.score, r.max_occ) for r in text.run_scores(logs).collect()}
-    assert got == {("ls_p_vs_n", "tic", True): (pytest.approx(0.8), 0.6), ("ls_p_vs_n", "none", False): (pytest.approx(0.75), 0.95)}
+    assert got == {("ls+_vs-", "tic", True): (pytest.approx(0.8), 0.6), ("ls+_vs-", "none", False): (pytest.approx(0.75), 0.95)}
     assert {(r.id, r.name, r.importance) for r in text.run_importances(logs).collect()} == {(3, "700.1-700.2", 0.25), (1, "a b", 0.125)}
 
 
@@ -309,6 +309,35 @@ def test_learnt_invariants(spark, table):
     assert auc(table) > 0.8 and abs(auc(models.shuffled_labels(table, 1)) - 0.5) < 0.15
 
 
+@pytest.mark.parametrize("most", [10, 1 << 20])
+def test_groups_stay_whole_and_even(spark, monkeypatch, most):
+    """Placed one by one or dealt in the cluster, groups are in one fold, and folds are even in rows and classes."""
+    monkeypatch.setattr(models, "MOST_GROUPS", most)
+    rng = random.Random(2)
+    rows = [(i, g, int(rng.random() < 0.4)) for i, g in enumerate(g for g in range(300) for _ in range(1 + g % 3))]
+    out = models.group_folds(spark.createDataFrame(rows, "id long, grp long, target int"), 4).collect()
+    folds = defaultdict(set)
+    for r in out:
+        folds[r.grp].add(r.fold)
+    assert len(out) == len(rows) and all(len(f) == 1 for f in folds.values())
+    for y in (0, 1):
+        n = Counter(r.fold for r in out if r.target == y)
+        assert len(n) == 4 and max(n.values()) - min(n.values()) <= 25
+
+
+def test_lipids_are_numbered_by_lines(spark, tmp_path):
+    path = tmp_path / "lipids.csv"
+    path.write_text("m/z;Interval Width (+/- Da);Name\n" + "".join(f"{500 + i}.5;0.{i % 9 + 1};lipid {i}\n" for i in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        lipids = text.scan_lipids(spark, str(path))
+        got = sorted((r.idx, r.name) for r in lipids.collect())
+        assert got == [(i, f"lipid {i}") for i in range(2000)] and spark.read.text(str(path)).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_forward_selection_by_loop(spark, table):
     folds = models.stratified_folds(table, 3).cache()
     got = [(r.channel, r.score) for r in models.forward_selection(folds).orderBy("step").collect()]
