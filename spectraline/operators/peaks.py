@@ -5,8 +5,10 @@ A spectrum's peaks are as many as its instrument has points, so one spectrum fit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,16 +81,23 @@ def isotope_chains(mz: np.ndarray, intensity: np.ndarray, charges: int = 3, spac
 
 
 def deisotoped(peaks: DataFrame, key: str = "spectrum_id", charges: int = 3, tol: float = 0.002) -> DataFrame:
-    """key, idx, charge, first (idx of the chain's first peak), place (0 for the first) of the peaks that are in a chain (isotope_chains)."""
-    def found(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["mz", "idx"], ignore_index=True)
-        idx = group["idx"].to_numpy()
-        rows = [
-            (group[key].iloc[0], idx[i], z, idx[c[0]], place)
-            for z, c in isotope_chains(group["mz"].to_numpy(), group["intensity"].to_numpy(), charges, tol=tol) for place, i in enumerate(c)
-        ]
-        return pd.DataFrame(rows, columns=[key, "idx", "charge", "first", "place"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in peaks.schema}
-    schema = f"{key} {kinds[key]}, idx {kinds['idx']}, charge int, first {kinds['idx']}, place int"
-    return peaks.select(key, "idx", "mz", "intensity").groupBy(key).applyInPandas(found, schema)
+    """key, idx, charge, first (idx of the chain's first peak), place (0 for the first) of the peaks that are in a chain (isotope_chains).
+
+    A spectrum is gathered to one row, of which a task works on many at a time.
+    """
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = batch.column("peaks"), []
+            for i in range(batch.num_rows):
+                own = rows[i].values
+                mz, idx, intensity = (own.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                out += [(i, idx[at], z, idx[c[0]], place) for z, c in isotope_chains(mz, intensity, charges, tol=tol) for place, at in enumerate(c)]
+            at, *columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True))],
+                names=[key, "idx", "charge", "first", "place"],
+            )
+
+    kind = peaks.schema[key].dataType.simpleString()
+    rows = peaks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("mz", F.col("idx").cast("long").alias("idx"), "intensity"))).alias("peaks"))
+    return rows.filter(F.size("peaks") > 2).mapInArrow(found, f"{key} {kind}, idx long, charge int, first long, place int")

@@ -122,6 +122,30 @@ def selection_assessment(rows: DataFrame, k: int = 5, most: int = 8, growth: T.G
     return t.sparkSession.createDataFrame(values, "fold int, features array<int>, accuracy double, all_features double")
 
 
+def forward_selection(rows: DataFrame, gain: float = 0.01, most: int = 16, growth: T.Growth = T.Growth(features="all")) -> DataFrame:
+    """step, channel, score: the feature, of all, with which forests on the features so far have the best mean accuracy over folds (column fold).
+
+    The forests of all candidates and folds take a step together. It ends when the gain is too small, or after `most` features.
+    """
+    t = sinks.stage(T.table(rows, folds=("fold",)))
+    n = (t.select(F.size("features").alias("n")).first() or [0])[0]
+    folds = sorted(r.fold for r in rows.select("fold").distinct().collect())
+    chosen: list[tuple[int, int, float]] = []
+    while len(chosen) < min(most, n):
+        have = [c for _, c, _ in chosen]
+        asked = [(c, f) for c in range(n) if c not in have for f in folds]
+        growths = [T.Growth(growth.kind, growth.trees, growth.depth, growth.features, ((0, f),), ((0, f),), (*have, c), seed=growth.seed) for c, f in asked]
+        each: dict[int, list[float]] = {}
+        for r in sorted(T.settings_scores(t, growths, T.grow(t, growths)).collect(), key=lambda r: r.growth):  # one row a forest
+            each.setdefault(asked[r.growth][0], []).append(r.accuracy)
+        best = max(each, key=lambda c: (round(float(np.mean(each[c])), 12), -c))
+        score = float(np.mean(each[best]))
+        if score < (chosen[-1][2] if chosen else 0.0) + gain:
+            break
+        chosen.append((len(chosen), best, score))
+    return t.sparkSession.createDataFrame(chosen, "step int, channel int, score double")
+
+
 def importances(rows: DataFrame, growth: T.Growth = T.Growth()) -> DataFrame:
     """channel, importance, std: mean and deviation over trees of the shares in the impurity's decrease."""
     t = sinks.stage(T.table(rows))

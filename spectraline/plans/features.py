@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from spectraline.functions import stats
 from spectraline.operators import binning as B
-from spectraline.operators import mixture as X
 from spectraline.operators import forests as T
+from spectraline.operators import mixture as X
 from spectraline.operators import models as M
 from spectraline.operators import selection as S
 from spectraline.plans.registry import op
 from spectraline.sources import proxies as P
+from spectraline.sources import sinks
 
 C = F.col
 
@@ -121,6 +122,12 @@ def f9(s, d):
     return M.forward_selection(M.stratified_folds(rows(s, d), 5))
 
 
+@op("F9_selection_with_trees")
+def f9_trees(s, d):
+    """Forward selection whose candidates are scored by extra-trees on held-out folds."""
+    return S.forward_selection(M.stratified_folds(rows(s, d), 3))
+
+
 def labelled(s, d):
     """Peaks and labels of spectra of two classes, for feature tables."""
     t = (
@@ -576,8 +583,6 @@ op("G13_permutation_fpr")(fpr)
 
 @op("S16_write_fpr")
 def s16(s, d):
-    from spectraline.sources import sinks
-
     return sinks.written(fpr(s, d).select("mz", "gap", "fpr"), "csv")
 
 
@@ -611,19 +616,30 @@ def g15(s, d):
 
 @op("G16_soft_bin_classifier")
 def g16(s, d):
-    soft = B.soft_bin(P.peaks(s, d), centres(s), ["spectrum_id"]).withColumn("value", F.log1p("value"))
+    """Soft bins of log intensities, standardised or counted by a threshold, before a linear head fitted with the labels' weights: (norm, id, target, score)."""
+    peaks = P.peaks(s, d).withColumn("intensity", F.log1p("intensity"))
     t = (
         P.labels(s, d)
         .filter(C("target").isin("F", "O"))
-        .select(C("spectrum_id"), (C("target") == "F").cast("int").alias("target"), "region")
+        .select(C("spectrum_id"), (C("target") == "F").cast("int").alias("target"), "region", "weight")
     )
-    r = (
-        B.pivot_features(soft, ["spectrum_id"], 21)
+    r = sinks.stage(
+        B.pivot_features(B.soft_bin(peaks, centres(s), ["spectrum_id"]), ["spectrum_id"], 21)
         .join(t, "spectrum_id")
-        .select(C("spectrum_id").alias("id"), "features", "target", C("region").alias("grp"), "region")
-        .withColumn("v", M.array_to_vector("features"))
+        .select(C("spectrum_id").alias("id"), "features", "target", C("region").alias("grp"), "region", "weight")
     )
-    return M.scored(M.estimator("l1", reg=0.001).fit(r), r).select("id", "target", "score")
+    _, mean, deviation = stats.moments(r, "features")
+    array = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    apart = F.zip_with("features", array(mean), lambda x, m: x - m)
+    norms = {
+        "standardise": F.zip_with(apart, array([v or 1.0 for v in deviation]), lambda x, v: x / v),
+        "threshold": F.zip_with("features", array(mean), lambda x, m: 1 / (1 + F.exp(m - x))),
+    }
+    out = []
+    for name, of in norms.items():
+        table = r.withColumn("v", M.array_to_vector(of))
+        out.append(M.scored(M.estimator("l1", reg=0.001).setWeightCol("weight").fit(table), table).select(F.lit(name).alias("norm"), "id", "target", "score"))
+    return out[0].unionByName(out[1])
 
 
 @op("F11_eval_progressive")

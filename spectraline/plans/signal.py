@@ -325,12 +325,12 @@ def p11(s, d):
     return share.withColumn("accepted", F.least(C("tpr"), 1 - C("tpr")) >= 0.4)
 
 
-@op("P12_random_mask", "SELECT y, x, substr(md5(y || '_' || x || '|7'), 1, 1) < '8' AS on_ FROM tic")
+@op("P12_random_mask", "SELECT y, x, substr(md5(y || '_' || x || '|7'), 1, 1) < '8' AS on_ FROM tic WHERE y BETWEEN 10 AND 79 AND v > 100")
 def p12(s, d):
-    return (
-        by_tic(s, d)
-        .select("y", "x", (F.substring(F.md5(F.concat(C("y").cast("string"), F.lit("_"), C("x").cast("string"), F.lit("|7"))), 1, 1) < "8").alias("on_"))
-    )
+    """A seeded half of the pixels of a region of interest; pixels outside have no row."""
+    roi = by_tic(s, d).filter("y between 10 and 79 and v > 100")
+    digit = F.substring(F.md5(F.concat(C("y").cast("string"), F.lit("_"), C("x").cast("string"), F.lit("|7"))), 1, 1)
+    return roi.select("y", "x", (digit < "8").alias("on_"))
 
 
 ANN = """, ann AS (SELECT s_suppkey AS ann_id, s_nationkey AS term, s_suppkey % 37 AS x0, s_suppkey % 53 AS y0, 3 + s_suppkey % 6 AS side FROM supplier)
@@ -934,6 +934,18 @@ def a24(s, d):
     )
 
 
+@op(
+    "A25_mz_set_differences",
+    ", ms AS (SELECT DISTINCT supp % 3 AS part, mz FROM pk), pr AS (SELECT a.range AS a, b.range AS b FROM range(3) a, range(3) b WHERE a.range <> b.range) SELECT a, b, count(*)::BIGINT AS n FROM pr JOIN ms x ON x.part = a WHERE NOT EXISTS (SELECT 1 FROM ms y WHERE y.part = b AND y.mz = x.mz) GROUP BY ALL",
+)
+def a25_sets(s, d):
+    """For each two of three datasets, how many masses one has that the other lacks; from one pass over the masses, each with the set of datasets that hold it."""
+    held = P.peaks(s, d).groupBy("mz").agg(F.collect_set(C("supp") % 3).alias("held"))
+    parts = F.array(*[F.lit(i).cast("long") for i in range(3)])
+    each = held.select(F.explode("held").alias("a"), F.array_except(parts, "held").alias("lack")).select("a", F.explode("lack").alias("b"))
+    return each.groupBy("a", "b").agg(count())
+
+
 @op(
     "A25_length_diff_hist",
     ", a AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'F' GROUP BY ALL), b AS (SELECT y, x, count(*) AS n FROM pk WHERE dataset = 'O' GROUP BY ALL) SELECT a.n - b.n AS diff, count(*)::BIGINT AS n FROM a JOIN b USING (y, x) GROUP BY 1",
@@ -1198,10 +1210,15 @@ def u4(s, d):
     return G.merge_regions([x.filter(C("region") == i) for i in range(3)], [bins(s)] * 3)
 
 
-@op("U5_concat_spectra", "SELECT spectrum_id, len FROM sp")
+@op("U5_concat_spectra", """, wd AS (SELECT max(len) AS w FROM sp) SELECT spectrum_id, len, w AS width, list_sum(list_transform(range(w), lambda i: (i + 1) * coalesce(ints[i + 1], 0))) AS checksum FROM sp, wd""")
 def u5(s, d):
+    """Two sets of spectra as one, each padded with zeros to the widest of both; the checksum weighs every place."""
     x = P.spectra(s, d)
-    return x.filter("spectrum_id % 3 = 0").unionByName(x.filter("spectrum_id % 3 <> 0")).select("spectrum_id", "len")
+    both = x.filter("spectrum_id % 3 = 0").unionByName(x.filter("spectrum_id % 3 <> 0"))
+    out = both.join(F.broadcast(both.agg(F.max("len").alias("width"))))  # one row
+    padded = out.select("spectrum_id", "len", "width", F.concat("ints", F.array_repeat(F.lit(0.0), C("width") - C("len"))).alias("p"))
+    weighed = F.transform("p", lambda v, i: v * (i + 1))
+    return padded.select("spectrum_id", "len", "width", F.aggregate(weighed, F.lit(0.0), lambda a, v: a + v).alias("checksum"))
 
 
 @op("U6_mz_intersection", "SELECT mz FROM pk WHERE dataset = 'F' INTERSECT SELECT mz FROM pk WHERE dataset = 'O'")
@@ -1382,9 +1399,12 @@ def t13(s, d):
     return image.join(image.groupBy("y").agg(F.max("v").alias("most")), "y").select("y", "x", F.round(C("v") / C("most"), 6).alias("v"))
 
 
-@op("T14_bin_names", "SELECT idx, printf('%.4f-%.4f', mz - width / 2, mz + width / 2) AS name FROM lip")
+@op("T14_bin_names", "SELECT idx, printf('%.4f-%.4f', mz - width / 2, mz + width / 2) AS name, printf('%.4f ± %.4f', mz, width / 2) AS centred, CAST(round(mz) AS BIGINT) AS centre FROM lip")
 def t14(s, d):
-    return P.lipids(s, d).select("idx", F.format_string("%.4f-%.4f", C("mz") - C("width") / 2, C("mz") + C("width") / 2).alias("name"))
+    """The three names of a bin: its ends, its centre with half its width, its rounded centre."""
+    half = C("width") / 2
+    return P.lipids(s, d).select(
+        "idx", F.format_string("%.4f-%.4f", C("mz") - half, C("mz") + half).alias("name"), F.format_string("%.4f ± %.4f", "mz", half).alias("centred"), F.round("mz").cast("long").alias("centre"))
 
 
 @op("T15_truncate_label", "SELECT idx, CASE WHEN length(name) > 20 THEN substr(name, 1, 17) || '...' ELSE name END AS name FROM lip")

@@ -170,3 +170,21 @@ def test_progressive_bins(spark, folds):
         assert [len(x) for x in steps] == [5, 6] and [sum(k for *_, k in x) for x in steps] == [3, 3]
         assert all(any(lo <= 61 <= hi and kept for lo, hi, _, kept in x) for x in steps)
     assert all(accuracy > 0.9 and auc > 0.9 for _, _, accuracy, auc in scores)
+
+
+def test_forward_selection(table):
+    """Each step's feature is the best of all by forests grown one at a time."""
+    folded = models.stratified_folds(table, 2)
+    out = selection.forward_selection(folded, growth=T.Growth("extra", 5, 3, "all")).orderBy("step").collect()
+    assert out[0].channel == 2 and [r.score for r in out] == sorted(r.score for r in out)
+    t = T.table(folded, folds=("fold",)).cache()
+    have, scores = [], {}
+    for step in out:
+        scores = {}
+        for c in set(range(8)) - set(have):
+            each = [T.Growth("extra", 5, 3, "all", ((0, f),), ((0, f),), (*have, c)) for f in (0, 1)]
+            scores[c] = np.mean([r.accuracy for r in T.settings_scores(t, each, T.grow(t, each)).collect()])
+        assert step.channel == max(scores, key=lambda c: (round(scores[c], 12), -c)) and step.score == pytest.approx(scores[step.channel])
+        have.append(step.channel)
+        if len(have) == 1:
+            break
