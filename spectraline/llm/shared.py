@@ -22,11 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and return a frame that reads it.
 
-    A lost executor then costs only the tasks it ran: nothing before the written table is run again.
+    A lost executor then costs only the tasks it ran: nothing before the written table is run again. The table goes when the application ends, as
+    frames that read it may be used until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spectraline-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
