@@ -2,7 +2,8 @@
 
 Rolling hashes of all k-grams of code points; in each window of w of them the least is chosen, the rightmost
 on ties; chosen hashes are kept with their positions. Two texts that share k + w - 1 code points in a row
-share a chosen hash. A text shorter than that has one window; one shorter than k is one gram of its own.
+share a chosen hash. A written fingerprint has the chosen hashes (32 bits of them) and positions, so likeness and shared
+places follow from two of them. A text shorter than that has one window; one shorter than k is one gram of its own.
 
 Edge cases: null is the empty text, whose fingerprint is empty; two empty fingerprints are alike to 1. Equal
 doc_ids are ordered by text; rows with a null doc_id come last in descending order; very long texts are used whole;
@@ -56,9 +57,25 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def digest(hashes: np.ndarray) -> str:
-    """Hexadecimal digest of the chosen hashes in order: equal texts have equal digests."""
-    return hashlib.sha256(hashes.astype("<u8").tobytes()).hexdigest()
+PAIR = np.dtype([("hash", ">u4"), ("position", ">u4")])
+
+
+def written(hashes: np.ndarray, positions: np.ndarray) -> str:
+    """A fingerprint as text: 16 hexadecimal digits for each chosen gram, the last 8 of its hash and 8 of its position."""
+    pairs = np.empty(len(hashes), PAIR)
+    pairs["hash"], pairs["position"] = hashes & U(0xFFFFFFFF), positions
+    return pairs.tobytes().hex()
+
+
+def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and positions of a written fingerprint."""
+    pairs = np.frombuffer(bytes.fromhex(fingerprint), PAIR)
+    return pairs["hash"].astype(np.int64), pairs["position"].astype(np.int64)
+
+
+def written_likeness(a: str, b: str) -> float:
+    """Likeness of two written fingerprints."""
+    return likeness(read(a)[0], read(b)[0])
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
@@ -144,20 +161,25 @@ def edited_likeness(docs: DataFrame, k: int = K, w: int = WINDOW, blocks: int =
     heads = {}
     for at, (_, first) in enumerate(tops):
         heads[None if first == low else first] = tops[at - 1][0]  # the first block's head ends the last block
-    seen: dict[str, np.ndarray] = {}
+    seen: dict[str, tuple] = {}
+
+    def marked(text: str) -> tuple[str, np.ndarray]:
+        """The written fingerprint and the hashes in it."""
+        h, at = winnow(text, k, w)
+        return written(h, at), h & U(0xFFFFFFFF)
 
     def judge(text: str, after: str) -> dict:
         own = seen.pop(text, None)
         if own is None:
-            own = winnow(text, k, w)[0]
-        follow = winnow(after, k, w)[0]
+            own = marked(text)
+        follow = marked(after)
         seen.clear()
         seen[after] = follow
         half = len(text) // 2
         changed = text[: len(text) - half] + after[:half]
-        other = winnow(changed, k, w)[0]
-        return {"n_chars": len(text), "edited_sha256": hashlib.sha256(changed.encode()).hexdigest(), "fingerprint": digest(own), "edited_fingerprint": digest(other),
-                "near_edited": likeness(own, other), "near_next": likeness(own, follow)}
+        other = marked(changed)
+        return {"n_chars": len(text), "edited_sha256": hashlib.sha256(changed.encode()).hexdigest(), "fingerprint": own[0], "edited_fingerprint": other[0],
+                "near_edited": likeness(own[1], other[1]), "near_next": likeness(own[1], follow[1])}
 
     dealt = docs.mapInArrow(_deal(bounds, heads), "block long, tail int, doc_id long, text string")
     return (

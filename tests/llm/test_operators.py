@@ -225,7 +225,17 @@ def test_winnowing(spark, docs, odd, none):
     for a, b in zip(ids, ids[1:] + ids[:1], strict=True):
         x, y = docs[a].text or "", docs[b].text or ""
         half = len(x) // 2
-        assert out[a].edited_sha256 == hashlib.sha256((x[: len(x) - half] + y[:half]).encode()).hexdigest()
+        edited = x[: len(x) - half] + y[:half]
+        assert out[a].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        # likeness follows from the strings, and so do the places of grams that two texts share
+        assert out[a].near_next == fingerprint.written_likeness(out[a].fingerprint, out[b].fingerprint)
+        assert out[a].near_edited == fingerprint.written_likeness(out[a].fingerprint, out[a].edited_fingerprint)
+        h, at = fingerprint.read(out[a].fingerprint)
+        want = fingerprint.winnow(x)
+        assert at.tolist() == want[1].tolist() and h.tolist() == [int(v) & 0xFFFFFFFF for v in want[0]]
+        g, to = fingerprint.read(out[a].edited_fingerprint)
+        shared = {int(v): int(p) for v, p in zip(g, to, strict=True)}
+        assert all(edited[shared[v] : shared[v] + 16] == x[p : p + 16] for v, p in zip(h.tolist(), at.tolist(), strict=True) if v in shared)
     assert fingerprint.edited_likeness(odd).count() == odd.count() and fingerprint.edited_likeness(none).count() == 0
     assert fingerprint.fingerprints(odd).count() == odd.count()
 

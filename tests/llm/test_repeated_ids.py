@@ -72,12 +72,12 @@ def test_minhash(spark, rows):
 def test_line_frequency(spark):
     line, own = L + " x y z", lambda j: " ".join(f"o{j}x{i}" for i in range(31))
     docs = frame(spark, [(1, line)] * 40 + [(None if j % 2 else j, f"{line}\n{own(j)}") for j in range(2, 34)] + [(2, own(0)), (2, f"{own(1)}\n{line}\n{line.upper()}")])
-    got = sorted((r.n_words, r.n_frequent_words) for r in linefreq.quality(docs).collect())
+    got = sorted((r.n_words, r.n_frequent_words) for r in linefreq.quality(docs, 30).collect())
     # documents 1, 2 to 33, of which 16 have no id and stand for themselves: 33 in all, more than 30
     assert got == sorted([(17, 17)] * 40 + [(48, 17)] * 32 + [(31, 0), (65, 34)])
     few = docs.filter("doc_id is not null")  # 17 documents in 58 rows
-    assert all(r.n_frequent_words == 0 for r in linefreq.quality(few).collect())
-    clean = linefreq.clean_texts(docs)
+    assert all(r.n_frequent_words == 0 for r in linefreq.quality(few, 30).collect())
+    clean = linefreq.clean_texts(docs, 30)
     assert clean.columns == docs.columns and clean.count() == 74 and not any(line in (r.text or "") for r in clean.collect())
     assert linefreq.quality(docs.limit(0)).count() == 0 and linefreq.clean_texts(docs.limit(0)).count() == 0
 
