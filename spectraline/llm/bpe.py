@@ -9,7 +9,10 @@ The latter rows are filled when first asked for and kept, which spares the full
 A pre-split word is run over the tables from left to right; decoding emits the labels of the arcs.
 
 Pre-splitting is that of byte-level BPE; strings of special tokens are cut out first, as the tokenizers
-library does by default. Edge cases: null is the empty text, without ids; repeated rows give equal rows.
+library does by default.
+
+Edge cases: null is the empty text, without ids; repeated rows give equal rows; very long texts are read whole, word by word, in a time that
+grows with their length; an empty table gives an empty result; further columns, of whatever name, are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ md5(doc_id|seed) (of the text's md5 where doc_id is null) until the remaining wo
 rounded target. The order is cut into 4096 buckets per source, summed first, so no source is ever one task's.
 
 Edge cases: null text has size 0; null sources form one source, ordered last; a source without words has
-target 0; an empty table gives an empty result; rows repeating a doc_id are separate documents.
+target 0; an empty table gives an empty result; rows repeating a doc_id are separate documents; very long texts count, and are taken,
+whole; further columns are ignored by mixture() and carried along by mixed_rows(), whatever their names.
 """
 
 from __future__ import annotations
