@@ -2,6 +2,9 @@
 
 Each stage is written as Parquet and read again as the next one's docs. All but the last return the columns
 of documents; the last returns for each row its tokens and digests.
+
+Every stage takes nulls in any column, empty and very long texts, rows that repeat an id or are equal, tables without rows and further
+columns of any name, and carries further columns along; what it makes of them, its operator's module says.
 """
 
 from __future__ import annotations
@@ -35,10 +38,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each whole repetition that a text's source takes, and one with the first words of a part; texts without words are taken by no source."""
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, repeated ones too; a null text is the empty one."""
     import public_tokenizers
 
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), texts=False)
