@@ -80,6 +80,18 @@ def nested_cv(rows: DataFrame, k: int = 5, counts: tuple = (200, 500, 1000), dep
     return t.sparkSession.createDataFrame(values, "outer int, kind string, features string, trees int, depth int, selected double, accuracy double")
 
 
+def cv_scores(folded: DataFrame, growth: T.Growth = T.Growth("tree")) -> DataFrame:
+    """fold, accuracy, auc of forests that learn from the other folds (column fold); all folds are grown together."""
+    t = sinks.stage(T.table(folded, folds=("fold",)))
+    folds = sorted(r[0] for r in t.select(F.col("folds")[0]).distinct().collect())
+    growths = [T.Growth(growth.kind, growth.trees, growth.depth, growth.features, ((0, f),), ((0, f),), growth.use, seed=growth.seed) for f in folds]
+    fold = F.element_at(F.array(*map(F.lit, folds)), F.col("growth") + 1)
+    truth = t.select("id", F.col("folds")[0].alias("fold"), F.col("targets")[0].alias("target"))
+    own = sinks.stage(T.predicted(t, T.grow(t, growths)).withColumn("fold", fold).join(truth, ["id", "fold"]))
+    accuracy = own.groupBy("fold").agg(stats.accuracy((F.col("score") > 0.5) == (F.col("target") == 1)).alias("accuracy"))
+    return accuracy.join(stats.roc_auc(own, "fold"), "fold")
+
+
 def learning_curve(rows: DataFrame, steps: int = 20, repeats: int = 5, growth: T.Growth = T.Growth()) -> DataFrame:
     """share, mean, std: accuracy on a fourth of the rows after learning from the first 1, 2, ... of `steps` parts of the rest, in `repeats` orders.
 

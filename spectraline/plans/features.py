@@ -314,7 +314,7 @@ def m11(s, d):
 
 @op("M12_cv_score")
 def m12(s, d):
-    return M.cv_scores(M.stratified_folds(rows(s, d), 3))
+    return S.cv_scores(M.stratified_folds(rows(s, d), 3))
 
 
 @op(
@@ -377,7 +377,7 @@ def m17(s, d):
 def m18(s, d):
     r = sinks.stage(M.stratified_folds(rows(s, d), 2))
     return (
-        M.cv_scores(r)
+        S.cv_scores(r)
         .join(r.select("id", "grp", "region", "target", "fold"), "fold")
         .select("id", "fold", "grp", "region", F.when(C("target") == 1, 1).otherwise(-1).alias("sign"), "accuracy")
     )
@@ -385,11 +385,11 @@ def m18(s, d):
 
 @op("M19_predict_image")
 def m19(s, d):
-    r = rows(s, d)
-    return (
-        M.scored(M.estimator("tree").fit(r.filter("region = 0")), r)
-        .select((C("id") % 25).alias("y"), F.floor(C("id") / 25).alias("x"), "prediction", "score")
-    )
+    """A tree learnt from one region predicts the pixels of all."""
+    t = T.table(rows(s, d), folds=("region",))
+    tree = T.grow(t, [T.Growth("tree", out=((0, 1), (0, 2)))])
+    score = C("score")
+    return T.predicted(t, tree).select((C("id") % 25).alias("y"), F.floor(C("id") / 25).alias("x"), (score > 0.5).cast("double").alias("prediction"), "score")
 
 
 @op("M20_weight_usefulness")

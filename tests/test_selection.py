@@ -58,6 +58,20 @@ def test_nested_cv_takes_the_best_of_the_inner_folds(table):
     assert min(out[o].accuracy for o in range(3)) > 0.8
 
 
+def test_cv_scores(table):
+    folded = models.stratified_folds(table, 3)
+    out = {r.fold: r for r in selection.cv_scores(folded, T.Growth("forest", 5, 3)).collect()}
+    t = T.table(folded, folds=("fold",)).cache()
+    for f in range(3):
+        growth = [T.Growth("forest", 5, 3, out=((0, f),), test=((0, f),))]
+        forest = T.grow(t, growth)
+        assert out[f].accuracy == pytest.approx(T.settings_scores(t, growth, forest).first().accuracy) and out[f].auc > 0.85
+        score = {r.id: r.score for r in T.predicted(t, forest).collect()}
+        own = [(score[r.id], r.target) for r in folded.filter(f"fold = {f}").collect()]
+        wins = [(a > b) + 0.5 * (a == b) for a, y in own if y for b, z in own if not z]
+        assert out[f].auc == pytest.approx(np.mean(wins))
+
+
 def test_grid_search(table):
     out = selection.grid_search(table, 3, (2, 4), (1, 2), (("forest", "all"), ("tree", "all"))).collect()
     assert Counter(r.kind for r in out) == {"forest": 4, "tree": 2} and out[0].accuracy == max(r.accuracy for r in out)
