@@ -790,7 +790,7 @@ SELECT bin_idx, round(avg(i0 + (i1 - i0) * (m - m0) / (m1 - m0)), 3) AS value FR
 def a12(s, d):
     grid = s.range(106).select(C("id").alias("bin_idx"), (C("id") * 10.0).alias("mz"))
     spans = B.segments(P.peaks(s, d), ["spectrum_id"]).withColumnsRenamed({"m0": "lo", "m1": "hi"})
-    met = B.range_join(grid, spans, width=10.0).filter("mz < hi")
+    met = B.range_join(grid, spans).filter("mz < hi")
     return (
         met.groupBy("bin_idx")
         .agg(F.round(F.avg(C("i0") + (C("i1") - C("i0")) * (C("mz") - C("lo")) / (C("hi") - C("lo"))), 3).alias("value"))
