@@ -66,12 +66,11 @@ def value_buckets(rows: DataFrame, value: str, buckets: int = 256) -> Column:
     """The number of approximate quantiles (fewer than `buckets`, found in one pass over rows) that are below the value: every 16th first, then those between."""
     found = rows.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 1000)).first()[0]
     cuts = sorted({c for c in found or [] if c == c})
-    above = lambda few: sum(((F.col(value) > F.lit(c)).cast("int") for c in few), F.lit(0))
-    coarse = above(cuts[15::16])
-    fine = F.lit(0)
-    for k in range(len(cuts) // 16 + 1):
-        fine = F.when(coarse == k, above(cuts[16 * k : 16 * k + 15])).otherwise(fine)
-    return coarse * 16 + fine
+    lists = [cuts[16 * k : 16 * k + 15] for k in range(len(cuts) // 16 + 1)]
+    array = lambda few: F.array(*map(F.lit, few)).cast("array<double>")
+    above = lambda few: F.size(F.filter(few, lambda c: F.col(value) > c))
+    coarse = above(array(cuts[15::16]))
+    return coarse * 16 + above(F.element_at(F.array(*map(array, lists)), coarse + 1))
 
 
 def prefix_sums(counts: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
