@@ -53,6 +53,39 @@ def bin_sum(peaks: DataFrame, bins: DataFrame, keys: list[str], salt: int = 1) -
     return range_join(peaks, bins, salt=salt).groupBy(*keys, "bin_idx").agg(F.sum("intensity").alias("value"))
 
 
+#: Bins of one window that a row lists at most, about.
+LISTED = 10_000
+
+
+def shared(bins: DataFrame) -> DataFrame:
+    """lo, hi, bins: the bins of each window in arrays of about LISTED at most, so that what holds for a window is found once for all of them."""
+    same = bins.groupBy("lo", "hi").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    part = F.pmod(F.xxhash64("bin_idx"), F.lit(-(-same // LISTED)))
+    return bins.groupBy("lo", "hi", part.alias("_part")).agg(F.collect_list("bin_idx").alias("bins")).drop("_part")
+
+
+def window_sums(peaks: DataFrame, windows: DataFrame, keys: list[str], salt: int = 1) -> DataFrame:
+    """keys, value and the columns of windows (lo, hi, ...): the sum of intensity for each key and window that has a peak, as in `bin_sum`.
+
+    For windows so many and overlapping that pairs of keys and windows are far more than peaks. A peak first learns the peak before it and those
+    up to the largest width after it; then the first peak in a window has the window's sum, so pairs are neither shuffled nor kept.
+    """
+    lo, hi, wide = windows.agg(F.min("lo"), F.max("hi"), F.max(F.col("hi") - F.col("lo"))).first()
+    if wide is None:
+        lo, hi, wide = 0.0, -1.0, 0.0
+    inside = peaks.filter(F.col("mz").between(lo, hi)).select(*keys, F.col("mz").cast("double").alias("mz"), F.col("intensity").cast("double").alias("intensity"))
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY mz"
+    known = inside.selectExpr(
+        *keys, "mz", "intensity", f"lag(mz) {over}) AS _before", f"lead(mz) {over}) AS _after",
+        f"collect_list(struct(mz, intensity)) {over} RANGE BETWEEN CURRENT ROW AND {wide * (1 + 1e-9) + 1e-9!r}D FOLLOWING) AS _near",
+    )
+    met = range_join(known, windows, salt=salt).filter("_before is null or _before < lo")
+    several = F.transform(F.filter("_near", lambda x: (x["mz"] <= F.col("hi")) & x["intensity"].isNotNull()), lambda x: x["intensity"])
+    total = F.when(F.size(several) > 0, F.aggregate(several, F.lit(0.0), lambda a, x: a + x))
+    alone = F.col("_after").isNull() | (F.col("_after") > F.col("hi"))
+    return met.select(*keys, *windows.columns, F.when(alone, F.col("intensity")).otherwise(total).alias("value"))
+
+
 def zero_filled(sums: DataFrame, rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
     """sums (keys, bin_idx, value) with a row for every row of keys and bin, 0.0 where there is no peak.
 
