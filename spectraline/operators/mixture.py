@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectraline.sources import sinks
+
 FLOOR = 1e-6
 
 
@@ -27,11 +32,6 @@ def equispaced(spark: SparkSession, lo: float, hi: float, k: int, heads: tuple =
     return rows
 
 
-def packed(components: DataFrame) -> DataFrame:
-    """One row per head with its components as an array: a parameter table, broadcast as such."""
-    return F.broadcast(components.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("comp_idx", "pi", "mu", "lv"))).alias("comps")))
-
-
 def mixture_prob(values: DataFrame, components: DataFrame, value: str = "mz", block: int = 64) -> DataFrame:
     """values for each head, with p = sum of pi * N(value; mu, exp(lv)).
 
@@ -58,27 +58,61 @@ def nll(p: Column) -> Column:
     return -F.ln(FLOOR + p)
 
 
-def em_sums(peaks: DataFrame, components: DataFrame) -> DataFrame:
-    """Sums of a weighted EM step for each head and component; peaks hold head, mz, intensity. l adds up to the head's weighted NLL."""
-    at = peaks.join(packed(components), "head")
-    parts = F.transform("comps", lambda c: F.struct(c["comp_idx"].alias("comp_idx"), (c["pi"] * density(F.col("mz"), c["mu"], c["lv"])).alias("w")))
-    at = at.withColumn("parts", parts).withColumn("total", F.aggregate("parts", F.lit(1e-300), lambda a, x: a + x["w"]))
-    each = (
-        at.select("head", "mz", "intensity", "total", F.explode("parts").alias("c"))
-        .withColumn("r", F.col("intensity") * F.col("c.w") / F.col("total"))
-    )
-    r = F.col("r")
-    return (
-        each.groupBy("head", F.col("c.comp_idx").alias("comp_idx"))
-        .agg(F.sum("r").alias("r"), F.sum(r * F.col("mz")).alias("m"), F.sum(r * F.col("mz") ** 2).alias("q"), F.sum(r * nll(F.col("total"))).alias("l"))
-    )
+def masses(peaks: DataFrame, heads: list[str]) -> DataFrame:
+    """mz, weights: each mass once, with the summed intensity of every head (null if it has no peak there), from peaks (head, mz, intensity).
+
+    A weighted fit needs no more than this table, which has as many rows as masses that differ.
+    """
+    of = [F.sum(F.when(F.col("head") == h, F.col("intensity"))) for h in heads]
+    return peaks.filter("mz is not null").groupBy("mz").agg(F.array(*of).cast("array<double>").alias("weights"))
+
+
+def em_sums(table: DataFrame, components: dict[str, list[tuple]]) -> DataFrame:
+    """Sums of a weighted EM step for each head and component, of masses with weights, one a head; l adds up to the head's weighted NLL.
+
+    Components are (comp_idx, pi, mu, lv) by head, in the order of the weights. Tasks add up batches, one row a head and component leaves them.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("mz").to_numpy(zero_copy_only=False)
+            weights = batch.column("weights").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for at, (head, comps) in enumerate(components.items()):
+                there = ~np.isnan(weights[:, at])
+                if not there.any():
+                    continue
+                mz, own = x[there], weights[there, at]
+                _, pi, mu, lv = (np.array(c, float)[:, None] for c in zip(*comps, strict=True))
+                w = pi * np.exp(-0.5 * (mz - mu) ** 2 / np.exp(lv)) / np.sqrt(2 * math.pi * np.exp(lv))
+                total = 1e-300 + w.sum(0)
+                r = own * w / total
+                found = np.stack([r.sum(1), r @ mz, r @ mz**2, r @ -np.log(FLOOR + total)], axis=1)
+                for c, v in zip(comps, found, strict=True):
+                    out[head, c[0]] = out.get((head, c[0]), 0.0) + v
+        rows = [(*k, *map(float, v)) for k, v in out.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("head", "comp_idx", *"rmql"), x, strict=True)) for x in rows], kind)
+
+    kind = pa.schema([("head", pa.string()), ("comp_idx", pa.int64()), *[(c, pa.float64()) for c in "rmql"]])
+    each = table.select(F.col("mz").cast("double").alias("mz"), "weights").mapInArrow(sums, "head string, comp_idx long, r double, m double, q double, l double")
+    return each.groupBy("head", "comp_idx").agg(*[F.sum(c).alias(c) for c in "rmql"])
 
 
 def fit(peaks: DataFrame, components: DataFrame, rounds: int = 20, tol: float = 1e-4) -> DataFrame:
-    """Components after at most `rounds` steps, or once no head's mean NLL moves by tol. A step is one job; only sums of components (parameters) are collected."""
-    spark, before = peaks.sparkSession, {}
+    """Components after at most `rounds` steps over peaks (head, mz, intensity), or once no head's mean NLL moves by tol."""
+    heads = sorted(r["head"] for r in components.select("head").distinct().collect())
+    return fit_masses(sinks.stage(masses(peaks, heads)), components, rounds, tol)
+
+
+def fit_masses(table: DataFrame, components: DataFrame, rounds: int = 20, tol: float = 1e-4) -> DataFrame:
+    """`fit` of masses with a weight for each head of components, in ascending order. A step is one job; only sums of components (parameters) are collected."""
+    spark, before, held = table.sparkSession, {}, {}
+    for c in components.orderBy("head", "comp_idx").collect():
+        held.setdefault(c.head, []).append((c.comp_idx, c.pi, c.mu, c.lv))
     for _ in range(rounds):
-        rows = em_sums(peaks, components).collect()
+        rows = sorted(em_sums(table, held).collect())
         weight, loss = {}, {}
         for x in rows:
             weight[x.head] = weight.get(x.head, 0.0) + x.r
@@ -86,9 +120,9 @@ def fit(peaks: DataFrame, components: DataFrame, rounds: int = 20, tol: float =
         now = {h: loss[h] / max(weight[h], 1e-12) for h in weight}
         if before and all(abs(now[h] - before.get(h, math.inf)) < tol for h in now):
             break
-        before, new = now, []
+        before = now
+        held = {h: [] for h in held}  # a head without peaks keeps its place among the weights
         for x in rows:
             r = max(x.r, 1e-12)
-            new.append((x.head, x.comp_idx, x.r / max(weight[x.head], 1e-12), x.m / r, math.log(max(x.q / r - (x.m / r) ** 2, 1e-4))))
-        components = spark.createDataFrame(new, "head string, comp_idx long, pi double, mu double, lv double")
-    return components
+            held[x.head].append((x.comp_idx, x.r / max(weight[x.head], 1e-12), x.m / r, math.log(max(x.q / r - (x.m / r) ** 2, 1e-4))))
+    return spark.createDataFrame([(h, *c) for h, own in held.items() for c in own], "head string, comp_idx long, pi double, mu double, lv double")

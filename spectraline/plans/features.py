@@ -490,7 +490,7 @@ def g4(s, d):
 
 @op("G5_gmm_fit")
 def g5(s, d):
-    return X.fit(sinks.stage(headed(s, d)), X.equispaced(s, 0.0, 1050.0, 5))
+    return X.fit(headed(s, d), X.equispaced(s, 0.0, 1050.0, 5))
 
 
 G6 = f", q AS (SELECT spectrum_id, head AS own, intensity, (SELECT {DENSITY} FROM cp WHERE cp.head = 'n') AS a, (SELECT {DENSITY} FROM cp WHERE cp.head = 'p') AS b FROM pn), " + """
@@ -553,20 +553,23 @@ def g12(s, d):
 
 
 def fpr(s, d, shuffles: int = 5):
-    """Share of label-shuffled fits whose head difference on the grid reaches the observed one. All fits go through the same EM passes, as heads of their own."""
+    """Share of label-shuffled fits whose head difference on the grid reaches the observed one. All fits go through the same EM passes, as heads of their own,
+    over masses whose intensities are summed once for each of them."""
     label = (
         P.labels(s, d)
         .filter(C("target").isin("F", "O"))
         .select(C("spectrum_id").alias("id"), F.when(C("target") == "F", "n").otherwise("p").alias("target"))
     )
-    runs = label.withColumn("run", F.lit(0))
+    dealt = M.id_rank(label)
     for i in range(1, shuffles + 1):
-        runs = runs.unionByName(M.shuffled_labels(label, i).withColumn("run", F.lit(i)))
-    runs = runs.select(C("id").alias("spectrum_id"), F.concat(C("run").cast("string"), "target").alias("head"))
+        dealt = dealt.join(M.dealt_rank(label, seed=i).select("k", C("target").alias(f"target{i}")), "k")
+    runs = dealt.select(C("id").alias("spectrum_id"), *[C(f"target{i}" if i else "target").alias(f"target{i}") for i in range(shuffles + 1)])
     lo, hi = mass_range(s, d).first()
-    peaks = sinks.stage(P.peaks(s, d).select("spectrum_id", "mz", "intensity").join(runs, "spectrum_id").select("head", "mz", "intensity"))
-    heads_ = tuple(f"{i}{h}" for i in range(shuffles + 1) for h in "np")
-    at = X.mixture_prob(grid(s, lo, hi), X.fit(peaks, X.equispaced(s, lo, hi, 4, heads_), tol=1e-3)).withColumn("l", X.nll(C("p")))
+    peaks = P.peaks(s, d).filter("mz is not null").select("spectrum_id", "mz", "intensity").join(runs, "spectrum_id")
+    heads_ = tuple(sorted(f"{i}{h}" for i in range(shuffles + 1) for h in "np"))
+    weight = [F.sum(F.when(C(f"target{h[:-1]}") == h[-1], C("intensity"))) for h in heads_]
+    table = sinks.stage(peaks.groupBy("mz").agg(F.array(*weight).alias("weights")))
+    at = X.mixture_prob(grid(s, lo, hi), X.fit_masses(table, X.equispaced(s, lo, hi, 4, heads_), tol=1e-3)).withColumn("l", X.nll(C("p")))
     at = at.withColumns({"run": F.expr("substr(head, 1, length(head) - 1)").cast("int"), "h": F.substring("head", -1, 1)})
     two = (
         at.groupBy("k", "mz", "run")
