@@ -12,6 +12,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Groups that a task holds at a time, about.
+TASK_GROUPS = 500_000
+
+
+def dealt(peaks: DataFrame, keys: list[str], fan: int = 1) -> DataFrame:
+    """peaks dealt by keys of a spectrum or pixel to so many tasks that none makes more than about TASK_GROUPS groups, of `fan` a peak.
+
+    Sums by these keys and a bin, windows and joins on the keys then need no other exchange, and a task's memory is the same whatever the
+    number of peaks. Not for keys of few values, such as classes.
+    """
+    n = max(-(-peaks.count() * fan // TASK_GROUPS), peaks.sparkSession.sparkContext.defaultParallelism)
+    return peaks.repartition(n, *keys)
+
+
 def cell_width(bins: DataFrame) -> float:
     """Median bin width; 1 if there is none."""
     w = bins.agg(F.percentile_approx(F.col("hi") - F.col("lo"), 0.5)).first()[0]
@@ -190,5 +204,5 @@ def merge_above(flags: DataFrame) -> DataFrame:
 
 def pivot_features(long: DataFrame, keys: list[str], n: int) -> DataFrame:
     """(keys, bin_idx, value) as one array per key, zeros where there is no value."""
-    return long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin_idx", "value"))).alias("_m")).select(
-        *keys, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("_m", i.cast("long")), F.lit(0.0))).alias("features"))
+    wide = long.groupBy(*keys).pivot("bin_idx", list(range(n))).agg(F.first("value"))
+    return wide.select(*keys, F.array(*[F.coalesce(F.col(f"`{i}`"), F.lit(0.0)) for i in range(n)]).alias("features"))

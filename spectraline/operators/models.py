@@ -181,7 +181,8 @@ def forward_selection(rows: DataFrame, gain: float = 0.01) -> DataFrame:
 def binned(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]], vector: bool = True) -> DataFrame:
     """A feature table of labels (id, target, grp, region), with the sums of peaks (id, mz, intensity) in each bin."""
     table = peaks.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bins)], "bin_idx long, lo double, hi double")
-    value = binning.pivot_features(binning.bin_sum(peaks, table, ["id"]), ["id"], len(bins))
+    fan = -int(-sum(hi - lo for lo, hi in bins) // (max(hi for _, hi in bins) - min(lo for lo, _ in bins)))  # bins over a mass, on average
+    value = binning.pivot_features(binning.bin_sum(binning.dealt(peaks, ["id"], fan), table, ["id"]), ["id"], len(bins))
     none = F.array_repeat(F.lit(0.0), len(bins))
     out = labels.join(value, "id", "left").withColumn("features", F.coalesce("features", none))
     return out.withColumn("v", array_to_vector("features")) if vector else out
