@@ -5,6 +5,7 @@ A spectrum's peaks are as many as its instrument has points, so one spectrum fit
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,11 @@ def pick_peaks(points: DataFrame, key: str = "spectrum_id", ratio: float = 3.0,
     return out.filter(F.col("intensity") >= ratio * F.col("noise")).drop("window")
 
 
+def followed(mz: np.ndarray, step: float, tol: float) -> np.ndarray:
+    """Whether a peak stands `step` within `tol` after each one, in m/z ascending."""
+    return np.searchsorted(mz, mz + step - tol) < np.searchsorted(mz, mz + step + tol, side="right")
+
+
 def isotope_chains(mz: np.ndarray, intensity: np.ndarray, charges: int = 3, spacing: float = SPACING, tol: float = 0.002) -> list[tuple[int, list[int]]]:
     """(charge, places) of the chains in one spectrum, its peaks ordered by m/z.
 
@@ -52,34 +58,62 @@ def isotope_chains(mz: np.ndarray, intensity: np.ndarray, charges: int = 3, spac
     that do not rise from the second on. Every peak may begin a chain of every charge; each peak goes to one chain: chains are taken by
     length, then summed intensity, then charge, then place, without the peaks that are taken; what is left of a chain counts if it is three peaks still.
     """
-    def chain(start: int, z: int, free: np.ndarray) -> list[int]:
+    at, height = mz.tolist(), intensity.tolist()
+
+    def chain(start: int, z: int, free: list[bool]) -> list[int]:
         out = [start]
         while True:
-            want = mz[out[-1]] + spacing / z
-            lo, hi = np.searchsorted(mz, want - tol), np.searchsorted(mz, want + tol, side="right")
-            near = [i for i in range(lo, hi) if free[i] and i > out[-1] and (len(out) < 2 or intensity[i] <= intensity[out[-1]])]
+            want = at[out[-1]] + spacing / z
+            lo, hi = bisect_left(at, want - tol), bisect_right(at, want + tol)
+            near = [i for i in range(max(lo, out[-1] + 1), hi) if free[i] and (len(out) < 2 or height[i] <= height[out[-1]])]
             if not near:
                 return out
-            out.append(min(near, key=lambda i: (abs(mz[i] - want), i)))
-
-    free = np.ones(len(mz), bool)
-    tries = {(i, z): chain(i, z, free) for i in range(len(mz)) for z in range(1, charges + 1)}
-    tries = {k: c for k, c in tries.items() if len(c) > 2}
-    rank = lambda k: (-len(tries[k]), -float(intensity[tries[k]].sum()), k[1], k[0])
+            out.append(near[0] if len(near) == 1 else min(near, key=lambda i: (abs(at[i] - want), i)))
+
+    free = [True] * len(at)
+    starts = [(i, z) for z in range(1, charges + 1) for i in np.flatnonzero(followed(mz, spacing / z, tol)).tolist()]
+    rank = lambda c, i, z: (-len(c), -float(intensity[c].sum()), z, i)
+    tries = {}
+    for k in starts:
+        c = chain(*k, free)
+        if len(c) > 2:
+            tries[k] = c, rank(c, *k)
     taken = []
     while tries:
-        best = min(tries, key=rank)
-        taken.append((best[1], tries.pop(best)))
-        free[taken[-1][1]] = False
-        for k in [k for k, c in tries.items() if not free[c].all()]:
+        best = min(tries, key=lambda k: tries[k][1])
+        taken.append((best[1], tries.pop(best)[0]))
+        for i in taken[-1][1]:
+            free[i] = False
+        for k in [k for k, (c, _) in tries.items() if not all(free[i] for i in c)]:
             c = chain(*k, free) if free[k[0]] else []
             if len(c) > 2:
-                tries[k] = c
+                tries[k] = c, rank(c, *k)
             else:
                 del tries[k]
     return taken
 
 
+def hopeful(rows: pa.ListArray, charges: int, tol: float, spacing: float = SPACING) -> list[int]:
+    """The spectra of a batch that can have a chain: for some charge two peaks at least are followed by another.
+
+    Masses of a batch are laid behind one another, each spectrum beyond the reach of the one before, so all are looked up at once. Places
+    so far out are rounded, so the tolerance is a little wider here; what is not a chain is left to `isotope_chains`.
+    """
+    sizes = np.diff(rows.offsets.to_numpy())
+    mz = rows.flatten().field("mz").to_numpy(zero_copy_only=False)
+    if not len(mz) or not np.isfinite(mz).all():
+        return list(range(len(rows)))
+    of = np.repeat(np.arange(len(rows)), sizes)
+    lo = mz.min()
+    apart = mz.max() - lo + 2 * (spacing + tol) + 1.0
+    laid = mz - lo + of * apart
+    slack = tol + 4 * np.spacing(laid[-1] + apart) + 4 * np.spacing(np.abs(mz).max() + spacing)
+    some = np.zeros(len(rows), bool)
+    for z in range(1, charges + 1):
+        some |= np.bincount(of[followed(laid, spacing / z, slack)], minlength=len(rows)) > 1
+    return np.flatnonzero(some).tolist()
+
+
 def deisotoped(peaks: DataFrame, key: str = "spectrum_id", charges: int = 3, tol: float = 0.002) -> DataFrame:
     """key, idx, charge, first (idx of the chain's first peak), place (0 for the first) of the peaks that are in a chain (isotope_chains).
 
@@ -88,7 +122,7 @@ def deisotoped(peaks: DataFrame, key: str = "spectrum_id", charges: int = 3, tol
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, out = batch.column("peaks"), []
-            for i in range(batch.num_rows):
+            for i in hopeful(rows, charges, tol):
                 own = rows[i].values
                 mz, idx, intensity = (own.field(c).to_numpy(zero_copy_only=False) for c in range(3))
                 out += [(i, idx[at], z, idx[c[0]], place) for z, c in isotope_chains(mz, intensity, charges, tol=tol) for place, at in enumerate(c)]
