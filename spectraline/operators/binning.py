@@ -183,13 +183,24 @@ def nearest_bin(targets: DataFrame, bins: DataFrame, reach: float) -> DataFrame:
     return met.groupBy("idx", "mz").agg(best).select("idx", F.col("m.bin_idx").alias("bin_idx"), F.col("m.d").alias("distance"))
 
 
-def soft_bin(peaks: DataFrame, centres: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of exp(-((mz - mu) / sigma)^2 / 2) * intensity; terms with an exponent below -10 are dropped, which bounds the range."""
+def soft_terms(peaks: DataFrame, centres: DataFrame) -> DataFrame:
+    """The columns of peaks, bin_idx and value: exp(-((mz - mu) / sigma)^2 / 2) * intensity; terms with an exponent below -10 are dropped, which bounds the range."""
     reach = (20.0**0.5) * F.col("sigma")
     spans = centres.select("bin_idx", "mu", "sigma", (F.col("mu") - reach).alias("lo"), (F.col("mu") + reach).alias("hi"))
     d = (F.col("mz") - F.col("mu")) / F.col("sigma")
     met = range_join(peaks, spans)
-    return met.filter(-0.5 * d * d >= -10).groupBy(*keys, "bin_idx").agg(F.sum(F.exp(-0.5 * d * d) * F.col("intensity")).alias("value"))
+    return met.filter(-0.5 * d * d >= -10).select(*peaks.columns, "bin_idx", (F.exp(-0.5 * d * d) * F.col("intensity")).alias("value"))
+
+
+def soft_bin(peaks: DataFrame, centres: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of the terms of each key and bin that has one."""
+    return soft_terms(peaks, centres).groupBy(*keys, "bin_idx").agg(F.sum("value").alias("value"))
+
+
+def soft_features(peaks: DataFrame, centres: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The soft bins 0 to n - 1 as one array per key that has a term, zeros where there is none. A key's sums are added up at once, for some tens of bins."""
+    sums = soft_terms(dealt(peaks, keys, 2), centres).groupBy(*keys).agg(*[F.sum(F.when(F.col("bin_idx") == i, F.col("value"))).alias(f"_{i}") for i in range(n)])
+    return sums.select(*keys, F.array(*[F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(n)]).alias("features"))
 
 
 def merge_above(flags: DataFrame) -> DataFrame:

@@ -620,23 +620,22 @@ def g15(s, d):
 @op("G16_soft_bin_classifier")
 def g16(s, d):
     """Soft bins of log intensities, standardised or counted by a threshold, before a linear head fitted with the labels' weights: (norm, id, target, score)."""
-    peaks = P.peaks(s, d).withColumn("intensity", F.log1p("intensity"))
+    peaks = P.peaks(s, d).select("spectrum_id", "mz", F.log1p("intensity").alias("intensity"))
     t = (
         P.labels(s, d)
         .filter(C("target").isin("F", "O"))
         .select(C("spectrum_id"), (C("target") == "F").cast("int").alias("target"), "region", "weight")
     )
     r = sinks.stage(
-        B.pivot_features(B.soft_bin(peaks, centres(s), ["spectrum_id"]), ["spectrum_id"], 21)
-        .join(t, "spectrum_id")
+        B.soft_features(peaks, centres(s), ["spectrum_id"], 21)
+        .join(t.hint("shuffle_hash"), "spectrum_id")  # as many parts as the peaks are dealt to
         .select(C("spectrum_id").alias("id"), "features", "target", C("region").alias("grp"), "region", "weight")
     )
     _, mean, deviation = stats.moments(r, "features")
-    array = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    apart = F.zip_with("features", array(mean), lambda x, m: x - m)
+    each = lambda of: F.array(*[of(C("features")[i], F.lit(float(m)), F.lit(float(v or 1.0))) for i, (m, v) in enumerate(zip(mean, deviation, strict=True))])
     norms = {
-        "standardise": F.zip_with(apart, array([v or 1.0 for v in deviation]), lambda x, v: x / v),
-        "threshold": F.zip_with("features", array(mean), lambda x, m: 1 / (1 + F.exp(m - x))),
+        "standardise": each(lambda x, m, v: (x - m) / v),
+        "threshold": each(lambda x, m, v: 1 / (1 + F.exp(m - x))),
     }
     out = []
     for name, of in norms.items():
