@@ -33,7 +33,9 @@ MOST_NODES = 1 << 23
 #: Numbers that the sums of one job may have in a task.
 MOST_SUMS = 1 << 25
 #: Numbers of one task, and tasks, that meet in one group: its trees' sums.
-MOST_MERGED, MERGED = 1 << 17, 128
+MOST_MERGED, MERGED = 1 << 15, 128
+#: Rows that are laid along the trees at a time.
+ROWS = 2048
 
 
 @dataclass(frozen=True)
@@ -89,7 +91,7 @@ def table(rows: DataFrame, targets: tuple = ("target",), folds: tuple = (), weig
 
 
 class Block:
-    """Rows of one Arrow batch as arrays."""
+    """Rows of an Arrow batch as arrays."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         def grid(name: str, kind: type) -> np.ndarray:
@@ -97,7 +99,7 @@ class Block:
             flat = column.flatten()
             return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, len(flat) // max(1, batch.num_rows))
 
-        self.n = batch.num_rows
+        self.n, self.id = batch.num_rows, batch.column("id")
         self.x = grid("features", float)
         y = batch.column("targets")
         self.y = y.flatten().fill_null(-1).to_numpy(zero_copy_only=False).reshape(self.n, len(y.flatten()) // max(1, self.n))
@@ -116,6 +118,13 @@ class Block:
         return np.where(self.having(g.out, False) | (self.y[:, g.target] < 0), 0.0, self.w)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """The rows of all batches, ROWS at most at a time, so that what a task holds does not grow with its batches."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield Block(batch.slice(first, ROWS))
+
+
 def poisson(mark: np.ndarray, seed: int, tree: int) -> np.ndarray:
     """Poisson numbers of mean 1, one for each row and tree."""
     x = mark ^ np.uint64((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -126,9 +135,10 @@ def poisson(mark: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return np.searchsorted(rates, u, side="right").astype(float)
 
 
-def walked(x: np.ndarray, p: Packed, t: int, levels: int) -> Iterator[np.ndarray]:
-    """The node of each row in tree t at depth 0, 1, ... as far as levels."""
-    at, rows = np.full(len(x), p.first[t]), np.arange(len(x))
+def walked(x: np.ndarray, p: Packed, t: int, levels: int, rows: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The node of each row (or of some) in tree t at depth 0, 1, ... as far as levels."""
+    rows = np.arange(len(x)) if rows is None else rows
+    at = np.full(len(rows), p.first[t])
     yield at
     for _ in range(levels):
         f = p.feature[at]
@@ -192,11 +202,11 @@ def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarr
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, found, pid = held.value, {}, TaskContext.get().partitionId()
-        for batch in batches:
-            b = Block(batch)
-            if not b.n:
-                continue
-            codes = None if bins is None else np.column_stack([np.searchsorted(bins[f], b.x[:, f]) for f in range(b.x.shape[1])])
+        for b in blocks(batches):
+            n = b.x.shape[1]
+            # where the histogram of a row's value of each feature has its cell
+            codes = None if bins is None else np.column_stack([np.searchsorted(bins[f], b.x[:, f]) for f in range(n)])
+            cells = None if bins is None else codes + np.arange(n) * BINS
             learnt: dict[int, np.ndarray] = {}
             for t, (g, number) in enumerate(owners):
                 own, tries = growths[g], p.tries[t]
@@ -205,38 +215,47 @@ def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarr
                 if g not in learnt:
                     learnt[g] = b.learnt(own)
                 w = learnt[g] * poisson(b.mark, own.seed, number) if own.kind == "forest" else learnt[g]
-                *_, at = walked(b.x, p, t, level)
+                rows = np.flatnonzero(w > 0)
+                *_, at = walked(b.x, p, t, level, rows)
                 node = p.place[at]
-                rows = np.flatnonzero((node >= 0) & (w > 0))
+                rows, node = rows[node >= 0], node[node >= 0]
                 if not len(rows):
                     continue
-                rows = rows[np.argsort(node[rows], kind="stable")]
-                node = node[rows]
+                shape, y = tries.shape, b.y[rows, own.target]
+                whole = shape[1] == n and (tries == np.arange(n)).all()
+                if own.kind != "extra":
+                    new = found.setdefault(t, np.zeros((*shape, BINS, 2)))
+                    if whole:
+                        cell = cells[rows] + ((y * shape[0] + node) * (n * BINS))[:, None]
+                    else:
+                        cell = codes[rows[:, None], tries[node]] + (((y * shape[0] + node) * shape[1])[:, None] + np.arange(shape[1])) * BINS
+                    both = np.bincount(cell.ravel(), np.repeat(w[rows], shape[1]), minlength=new.size).reshape(2, *shape, BINS)
+                    new += np.moveaxis(both, 0, -1)
+                    continue
+                order = np.argsort(node, kind="stable")
+                rows, node, y = rows[order], node[order], y[order]
                 starts = np.flatnonzero(np.diff(node, prepend=-1))
-                there, f = node[starts], tries[node]
-                classes = np.zeros((len(rows), 2))
-                classes[np.arange(len(rows)), b.y[rows, own.target]] = w[rows]
-                shape = tries.shape
-                if own.kind == "extra" and not drawn:
-                    x = b.x[rows[:, None], f]
-                    new = found.setdefault(t, np.stack([np.full(shape, np.inf), np.full(shape, -np.inf)]))
-                    new[0][there] = np.minimum(new[0][there], np.minimum.reduceat(x, starts, axis=0))
-                    new[1][there] = np.maximum(new[1][there], np.maximum.reduceat(x, starts, axis=0))
-                elif own.kind == "extra":
-                    below = b.x[rows[:, None], f] <= p.cuts[t][node]
+                if drawn:
                     new = found.setdefault(t, np.zeros((shape[0], shape[1] + 1, 2)))
-                    for c in (0, 1):
-                        new[there, :-1, c] += np.add.reduceat(below * classes[:, c : c + 1], starts, axis=0)
-                        new[there, -1, c] += np.add.reduceat(classes[:, c], starts)
+                    classes = np.zeros((len(rows), 2))
+                    classes[np.arange(len(rows)), y] = w[rows]
                 else:
-                    new = found.setdefault(t, np.zeros((*shape, BINS, 2)))
-                    cell = ((node[:, None] * shape[1] + np.arange(shape[1])) * BINS + codes[rows[:, None], f]).ravel()
-                    for c in (0, 1):
-                        new[..., c] += np.bincount(cell, np.repeat(classes[:, c], shape[1]), minlength=new[..., c].size).reshape(*shape, BINS)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(x, pa.int32()) for x in ([int(part[t]) for t in found], list(found), [pid] * len(found))), pa.array([a.tobytes() for a in found.values()], pa.binary())],
-            names=["part", "tree", "pid", "data"],
-        )
+                    new = found.setdefault(t, np.stack([np.full(shape, np.inf), np.full(shape, -np.inf)]))
+                for a, z in zip(starts, [*starts[1:], len(rows)], strict=True):
+                    k = node[a]
+                    x = b.x[rows[a:z]] if whole else b.x[rows[a:z, None], tries[k]]
+                    if drawn:
+                        new[k, :-1] += (x <= p.cuts[t][k]).astype(float).T @ classes[a:z]
+                        new[k, -1] += classes[a:z].sum(axis=0)
+                    else:
+                        new[0, k] = np.minimum(new[0, k], x.min(axis=0))
+                        new[1, k] = np.maximum(new[1, k], x.max(axis=0))
+        while found:  # given out a few trees at a time, so that no copy of all sums is made
+            some = [(t, found.pop(t).tobytes()) for t in list(found)[:16]]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x, pa.int32()) for x in ([int(part[t]) for t, _ in some], [t for t, _ in some], [pid] * len(some))), pa.array([data for _, data in some], pa.binary())],
+                names=["part", "tree", "pid", "data"],
+            )
 
     return sums
 
@@ -251,7 +270,9 @@ def merged(growths: list[Growth], owners: list[tuple[int, int]], held, bins: np.
             parts = [x.reshape(2, -1) for x in parts]
             out = np.stack([np.min([x[0] for x in parts], axis=0), np.max([x[1] for x in parts], axis=0)])
         else:
-            out = np.sum(parts, axis=0)
+            out = parts[0].copy()
+            for x in parts[1:]:
+                out += x
         if not final:
             return out
         p = held.value
@@ -376,8 +397,7 @@ def settings_scores(rows: DataFrame, growths: list[Growth], forests: list[list[T
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, share = held.value
         out: dict[tuple[int, int, int], list[float]] = {}
-        for batch in batches:
-            b = Block(batch)
+        for b in blocks(batches):
             for g, own in enumerate(growths):
                 y = b.y[:, own.target]
                 rows = np.flatnonzero(b.having(own.test, True) & (b.w > 0) & (y >= 0))
@@ -414,15 +434,14 @@ def predicted(rows: DataFrame, forests: list[list[Tree]], trees: int | None = No
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, share = held.value
-        for batch in batches:
-            b = Block(batch)
+        for b in blocks(batches):
             for g in range(len(kept)):
                 total = np.zeros(b.n)
                 for t in range(first[g], first[g + 1]):
                     *_, at = walked(b.x, p, t, deep[g])
                     total += share[at]
                 score = total / max(1, first[g + 1] - first[g])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.n, g, np.int32)), batch.column("id"), pa.array(score)], names=["growth", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.n, g, np.int32)), b.id, pa.array(score)], names=["growth", "id", "score"])
 
     return rows.mapInArrow(put, f"growth int, id {rows.schema['id'].dataType.simpleString()}, score double")
 

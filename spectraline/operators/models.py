@@ -7,10 +7,12 @@ operators/forests.py.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spectraline.functions.stats import accuracy, ranked, roc_auc
 from spectraline.operators import binning
@@ -19,6 +21,12 @@ from spectraline.sources import sinks
 SEED = 11
 
 
+def few(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
+    """A table of some rows that the driver has, sent as Arrow: lists would be read by Python workers of another kind, kept beside those of the other jobs."""
+    kind = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.table({f.name: pa.array([v[i] for v in values]) for i, f in enumerate(kind)}), kind)
+
+
 def order_key(key: str, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
@@ -174,13 +182,13 @@ def forward_selection(rows: DataFrame, gain: float = 0.01) -> DataFrame:
         )
         best = each.orderBy(F.desc("score"), "channel").first()
         if best is None or best.score < (chosen[-1][2] if chosen else 0.0) + gain:
-            return spark.createDataFrame(chosen, "step int, channel int, score double")
+            return few(spark, chosen, "step int, channel int, score double")
         chosen.append((len(chosen), best.channel, best.score))
 
 
 def binned(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]], vector: bool = True) -> DataFrame:
     """A feature table of labels (id, target, grp, region), with the sums of peaks (id, mz, intensity) in each bin."""
-    table = peaks.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bins)], "bin_idx long, lo double, hi double")
+    table = few(peaks.sparkSession, [(i, *b) for i, b in enumerate(bins)], "bin_idx long, lo double, hi double")
     fan = -int(-sum(hi - lo for lo, hi in bins) // (max(hi for _, hi in bins) - min(lo for lo, _ in bins)))  # bins over a mass, on average
     value = binning.pivot_features(binning.bin_sum(binning.dealt(peaks, ["id"], fan), table, ["id"]), ["id"], len(bins))
     none = F.array_repeat(F.lit(0.0), len(bins))

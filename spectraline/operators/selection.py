@@ -43,7 +43,7 @@ def grid_scores(t: DataFrame, plans: list[tuple], counts: tuple, depths: tuple,
     """plan, kind, features, trees, depth, accuracy: for each plan, a pair of `out` and `test`, every setting. All of them are grown together."""
     growths = [T.Growth(kind, max(counts), max(depths), features, out, test) for out, test in plans for kind, features in kinds]
     found = T.settings_scores(t, growths, T.grow(t, growths), counts, depths)
-    names = t.sparkSession.createDataFrame([(i, i // len(kinds), g.kind, g.features) for i, g in enumerate(growths)], "growth int, plan int, kind string, features string")
+    names = models.few(t.sparkSession, [(i, i // len(kinds), g.kind, g.features) for i, g in enumerate(growths)], "growth int, plan int, kind string, features string")
     return found.join(F.broadcast(names), "growth").select("plan", "kind", "features", "trees", "depth", "accuracy")
 
 
@@ -77,7 +77,7 @@ def nested_cv(rows: DataFrame, k: int = 5, counts: tuple = (200, 500, 1000), dep
     growths = [T.Growth(r.kind, r.trees, r.depth, r.features, ((0, r.outer),), ((0, r.outer),)) for r in chosen if r.outer < k]
     score = {r.growth: r.accuracy for r in T.settings_scores(t, growths, T.grow(t, growths)).collect()}
     values = [(r.outer if r.outer < k else -1, r.kind, r.features, r.trees, r.depth, r.accuracy, score.get(i) if r.outer < k else None) for i, r in enumerate(chosen)]
-    return t.sparkSession.createDataFrame(values, "outer int, kind string, features string, trees int, depth int, selected double, accuracy double")
+    return models.few(t.sparkSession, values, "outer int, kind string, features string, trees int, depth int, selected double, accuracy double")
 
 
 def cv_scores(folded: DataFrame, growth: T.Growth = T.Growth("tree")) -> DataFrame:
@@ -105,7 +105,7 @@ def learning_curve(rows: DataFrame, steps: int = 20, repeats: int = 5, growth: T
         T.Growth(growth.kind, growth.trees, growth.depth, growth.features, ((0, 0), *((1 + r, p) for p in range(s, steps))), ((0, 0),), growth.use, seed=growth.seed + r)
         for r, s in asked
     ]
-    names = t.sparkSession.createDataFrame([(i, s / steps) for i, (_, s) in enumerate(asked)], "growth int, share double")
+    names = models.few(t.sparkSession, [(i, s / steps) for i, (_, s) in enumerate(asked)], "growth int, share double")
     found = T.settings_scores(t, growths, T.grow(t, growths)).join(F.broadcast(names), "growth")
     return found.groupBy("share").agg(F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("std"))
 
@@ -131,7 +131,7 @@ def selection_assessment(rows: DataFrame, k: int = 5, most: int = 8, growth: T.G
     growths = [T.Growth(growth.kind, growth.trees, growth.depth, growth.features, ((0, f),), ((0, f),), use, seed=growth.seed) for f, use in asked]
     score = {r.growth: r.accuracy for r in T.settings_scores(t, growths, T.grow(t, growths)).collect()}
     values = [(f, list(use), score.get(i), score.get(i + 1)) for i, (f, use) in enumerate(asked) if use is not None]
-    return t.sparkSession.createDataFrame(values, "fold int, features array<int>, accuracy double, all_features double")
+    return models.few(t.sparkSession, values, "fold int, features array<int>, accuracy double, all_features double")
 
 
 def forward_selection(rows: DataFrame, gain: float = 0.01, most: int = 16, growth: T.Growth = T.Growth(features="all")) -> DataFrame:
@@ -155,7 +155,7 @@ def forward_selection(rows: DataFrame, gain: float = 0.01, most: int = 16, growt
         if score < (chosen[-1][2] if chosen else 0.0) + gain:
             break
         chosen.append((len(chosen), best, score))
-    return t.sparkSession.createDataFrame(chosen, "step int, channel int, score double")
+    return models.few(t.sparkSession, chosen, "step int, channel int, score double")
 
 
 def importances(rows: DataFrame, growth: T.Growth = T.Growth()) -> DataFrame:
@@ -163,7 +163,7 @@ def importances(rows: DataFrame, growth: T.Growth = T.Growth()) -> DataFrame:
     t = sinks.stage(T.table(rows))
     n = (t.select(F.size("features").alias("n")).first() or [0])[0]
     mean, std = T.importances(T.grow(t, [growth])[0], n)
-    return t.sparkSession.createDataFrame([(i, float(m), float(d)) for i, (m, d) in enumerate(zip(mean, std, strict=True))], "channel int, importance double, std double")
+    return models.few(t.sparkSession, [(i, float(m), float(d)) for i, (m, d) in enumerate(zip(mean, std, strict=True))], "channel int, importance double, std double")
 
 
 def block_of(key: str, n: int) -> Column:
@@ -228,7 +228,7 @@ def mprobes(rows: DataFrame, runs: int = 5, growth: T.Growth = T.Growth()) -> Da
     for r, forest in enumerate(T.grow(t, growths), 1):
         imp, _ = T.importances(forest, n * (runs + 1))
         lost += imp[:n] <= imp[n * r : n * (r + 1)].max()
-    return t.sparkSession.createDataFrame([(i, float(x) / runs) for i, x in enumerate(lost)], "channel int, fwer double")
+    return models.few(t.sparkSession, [(i, float(x) / runs) for i, x in enumerate(lost)], "channel int, fwer double")
 
 
 def grown_importances(growth: T.Growth) -> Callable[[DataFrame, list], list[np.ndarray]]:
@@ -285,7 +285,7 @@ def conditional_errors(rows: DataFrame, permutations: int = 5, stop: float = 0.5
     fdr = np.maximum.accumulate(np.minimum(1.0, hits / permutations / np.arange(1, n + 1)))
     cer, efdr = ([*np.maximum.accumulate(x).tolist(), *[None] * (n - len(x))] for x in (cer, efdr))
     values = [(i + 1, int(order[i]), float(real[i]), float(fdr[i]), cer[i], efdr[i]) for i in range(n)]
-    return t.sparkSession.createDataFrame(values, "rank int, channel int, importance double, fdr double, cer double, efdr double")
+    return models.few(t.sparkSession, values, "rank int, channel int, importance double, fdr double, cer double, efdr double")
 
 
 def permutation_importance(rows: DataFrame, repeats: int = 5, growth: T.Growth = T.Growth("forest")) -> DataFrame:
@@ -303,8 +303,7 @@ def permutation_importance(rows: DataFrame, repeats: int = 5, growth: T.Growth =
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, share = held.value
         hit, count = np.zeros((repeats + 1, n)), 0
-        for batch in batches:
-            b = T.Block(batch)
+        for b in T.blocks(batches):
             y, base = b.y[:, 0] == 1, np.zeros(b.n)
             change = np.zeros((repeats, b.n, n))
             for tree in range(trees):
