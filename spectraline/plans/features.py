@@ -395,7 +395,7 @@ def m19(s, d):
 @op("M20_weight_usefulness")
 def m20(s, d):
     """Learn from rows of weight 0.5 to 1, with their weights, what a grid over five folds selects; AUC on rows of weight 1."""
-    r = rows(s, d).withColumn("w", (C("id") % 10) / 9)
+    r = sinks.stage(rows(s, d).withColumn("w", (C("id") % 10) / 9))
     part = r.filter("w >= 0.5 and w < 1")
     best = S.grid_search(part, 5, (5, 10), (2, 4)).first()
     t = T.table(part, weight="w")
