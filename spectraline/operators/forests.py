@@ -34,8 +34,12 @@ MOST_NODES = 1 << 23
 MOST_SUMS = 1 << 25
 #: Numbers of one task, and tasks, that meet in one group: its trees' sums.
 MOST_MERGED, MERGED = 1 << 15, 128
-#: Rows that are laid along the trees at a time.
-ROWS = 2048
+#: Rows that are laid along the trees at a time: ROWS, or those that have VALUES values, if they are fewer.
+ROWS, VALUES = 10_000, 1 << 20
+#: Rows whose counts of 4 bits fit when added up, where the bytes of such counts are in a word, and the rank that no value has.
+RUN, NIBBLES, BEYOND = 15, np.uint64(0x0F0F0F0F0F0F0F0F), (1 << 16) - 1
+#: Whole weights below this are counted, others are added up as doubles.
+MOST_COUNTED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -121,8 +125,10 @@ class Block:
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     """The rows of all batches, ROWS at most at a time, so that what a task holds does not grow with its batches."""
     for batch in batches:
-        for first in range(0, batch.num_rows, ROWS):
-            yield Block(batch.slice(first, ROWS))
+        wide = len(batch.column("features").flatten()) // max(1, batch.num_rows)
+        size = max(1, min(ROWS, VALUES // max(1, wide)))
+        for first in range(0, batch.num_rows, size):
+            yield Block(batch.slice(first, size))
 
 
 def poisson(mark: np.ndarray, seed: int, tree: int) -> np.ndarray:
@@ -197,59 +203,193 @@ def best_cuts(left: np.ndarray, total: np.ndarray, tries: np.ndarray, cuts: np.n
     return np.column_stack([tries[node, k], cuts[node, k, c], gain[node, best], left[node, k, c], right[node, k, c]]).astype(float)
 
 
+class Ordered:
+    """The values of a block as their ranks in it, which 16 bits hold: a cut asks for no more. A last row is beyond every cut."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        by = np.ascontiguousarray(x.T)
+        order = by.argsort(axis=1)
+        self.values = np.take_along_axis(by, order, 1)
+        places = np.tile(np.arange(len(x)), (len(by), 1))
+        places[:, 1:][self.values[:, 1:] == self.values[:, :-1]] = 0
+        np.put_along_axis(by_rank := np.empty_like(order), order, np.maximum.accumulate(places, axis=1), 1)
+        self.ranks = np.full((len(x) + 1, len(by)), BEYOND, np.uint16)
+        self.ranks[:-1] = by_rank.T
+
+    def below(self, asked: list[tuple], size: int) -> np.ndarray:
+        """For cuts as by_feature() sorts them, the number of values that are not above: ranks less than it are left of the cut."""
+        out = np.full(size, BEYOND, np.uint16)
+        for f, at, cuts in asked:
+            out[at] = np.searchsorted(self.values[f], cuts, side="right")
+        return out
+
+
+def by_feature(features: np.ndarray, cuts: np.ndarray) -> list[tuple]:
+    """Feature, places and values of the cuts of each feature; of -1 there are none."""
+    order = np.argsort(features, kind="stable")
+    ends = np.flatnonzero(np.diff(features[order], append=-2)) + 1
+    each = [order[a:z] for a, z in zip([0, *ends], ends, strict=False)]
+    return [(int(features[at[0]]), at, cuts[at]) for at in each if features[at[0]] >= 0]
+
+
+def dealt(rows: np.ndarray, group: np.ndarray, weight: np.ndarray | None, groups: int, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of whole weights as columns of RUN rows of one group, the columns' groups, and the weight of each group.
+
+    A row is there as often as its weight says, or, if weights are large, in the columns of its group for each binary digit of its weight;
+    those of digit d are numbered d * groups + group. What is left of a column is the row `none`; without weights, each row is there once
+    and a row of the group fills the column.
+    """
+    digits = 1 if weight is None else int(weight.max()).bit_length()
+    if digits > 1 and weight.sum() <= 2 * len(rows):
+        digits, often = 1, weight.astype(int)
+        rows, group = np.repeat(rows, often), np.repeat(group, often)
+    if digits > 1:
+        exact = weight.astype(int)
+        having = [np.flatnonzero(exact >> d & 1) for d in range(digits)]
+        rows, group = np.concatenate([rows[i] for i in having]), np.concatenate([group[i] + d * groups for d, i in enumerate(having)])
+    few = group.astype(np.uint8 if groups * digits <= 1 << 8 else np.uint16 if groups * digits <= 1 << 16 else int)
+    size = np.bincount(few, minlength=groups * digits)
+    columns = -(-size // RUN)
+    first, before = np.cumsum(columns) - columns, np.cumsum(size) - size
+    rows = rows.take(np.argsort(few, kind="stable"))
+    of = np.repeat(np.arange(len(size)), columns)
+    out = np.full(columns.sum() * RUN, none) if weight is not None else np.repeat(rows.take(before, mode="clip"), columns * RUN)
+    out[np.arange(len(rows)) + np.repeat(first * RUN - before, size)] = rows
+    return out.reshape(-1, RUN).T, of, (size.reshape(digits, groups) << np.arange(digits)[:, None]).sum(0)
+
+
+def laid(table: np.ndarray, columns: np.ndarray, tries: np.ndarray, of: np.ndarray, whole: bool) -> np.ndarray:
+    """What a table has for the rows of columns: row, column, feature; if nodes (of: the columns') try different features row, feature, column."""
+    if whole:
+        return table.take(columns, axis=0)
+    return table.ravel().take((columns * table.shape[1])[:, None, :] + tries.T.take(of, axis=1))
+
+
+def met(each: np.ndarray, of: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of columns (column, ...) added up by group, those of digit d times 2^d."""
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    sums, of = np.add.reduceat(each.reshape(len(of), -1).astype(float), starts, axis=0), of[starts]
+    out = np.zeros((groups, sums.shape[1]))
+    for d in range(of[-1] // groups + 1):
+        own = of // groups == d
+        out[of[own] - d * groups] += sums[own] * (1 << d)
+    return out
+
+
+def histograms(sums: np.ndarray, of: np.ndarray, groups: int) -> np.ndarray:
+    """Counts for each group, feature and bin (the even ones, then the odd ones) from sums of columns, words with 4 bits a bin."""
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    nth = np.arange(len(of)) - np.repeat(first, np.diff(first, append=len(of)))
+    starts = np.flatnonzero(nth % (RUN + 2) == 0)  # a byte holds the sums of RUN + 2 columns
+    halves = np.stack([np.add.reduceat(sums & NIBBLES, starts, axis=0), np.add.reduceat((sums >> np.uint64(4)) & NIBBLES, starts, axis=0)], axis=-1)
+    return met(halves.astype("<u8", copy=False).view(np.uint8), of[starts], groups)
+
+
 def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarray, held, bins: np.ndarray | None, drawn: bool, level: int):
     """Sums of one task: for extra-trees ranges, or, once cuts are drawn, weights left of them; for others histograms of weights."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, found, pid = held.value, {}, TaskContext.get().partitionId()
+        asked = [t for t, (g, _) in enumerate(owners) if len(p.tries[t]) and (not drawn or growths[g].kind == "extra")]
+        inner, leaf = by_feature(p.feature, p.cut), p.feature < 0
+        feature, after = np.where(leaf, 0, p.feature), np.where(leaf, np.arange(len(leaf)), p.left)
+        ends = dict(zip(asked, np.cumsum([p.tries[t].size for t in asked]).tolist(), strict=True))
+        join = lambda each, kind: np.concatenate([each[t].ravel() for t in asked]) if asked else np.zeros(0, kind)
+        cuts = by_feature(join(p.tries, int), join(p.cuts, float)) if drawn else []
+        whole: dict[int, bool] = {}
+
+        def put(t: int, own: Growth, shape: tuple, tries: np.ndarray | None, k, value: np.ndarray) -> None:
+            """Add ranges of nodes k, or histograms, to those of tree t; of a root's, which are of all features, those that it tries."""
+            value = value if tries is None else value[:, :, tries[0]] if own.kind == "extra" else value[:, tries[0]]
+            if own.kind == "extra":
+                new = found.setdefault(t, np.stack([np.full(shape, np.inf), np.full(shape, -np.inf)]))
+                new[0, k], new[1, k] = np.minimum(new[0, k], value[0]), np.maximum(new[1, k], value[1])
+            else:
+                new = found.setdefault(t, np.zeros((shape[0] * 2, shape[1], BINS)))
+                new += value
+
         for b in blocks(batches):
             n = b.x.shape[1]
-            # where the histogram of a row's value of each feature has its cell
-            codes = None if bins is None else np.column_stack([np.searchsorted(bins[f], b.x[:, f]) for f in range(n)])
-            cells = None if bins is None else codes + np.arange(n) * BINS
+            ordered = Ordered(b.x)
+            flat, beyond = ordered.ranks.ravel(), ordered.below(inner, len(leaf))
+            left = ordered.below(cuts, max(ends.values(), default=0)) if drawn else None
+            counted = bool((b.w == np.floor(b.w)).all() and (b.w < MOST_COUNTED).all())
+            # the bin of a row's value of each feature, and a word with a one in the bin's 4 bits
+            codes = None if bins is None or drawn else np.column_stack([np.searchsorted(bins[f], b.x[:, f]) for f in range(n)])
+            if codes is not None:
+                words, places = np.zeros((b.n + 1, n), np.uint64), codes % 2 * (BINS // 2) + codes // 2
+                words[:-1] = np.uint64(1) << (codes * 4).astype(np.uint64)
             learnt: dict[int, np.ndarray] = {}
-            for t, (g, number) in enumerate(owners):
-                own, tries = growths[g], p.tries[t]
-                if not len(tries) or drawn and own.kind != "extra":
+            numbers: dict[tuple[int, int], np.ndarray] = {}
+            roots: dict[tuple, list] = {}  # what all features give at the root, for trees with the same rows and weights
+            for t in asked:
+                (g, number), tries = owners[t], p.tries[t]
+                own, shape = growths[g], tries.shape
+                root = (own.kind == "extra", own.target, own.out, (own.seed, number) if own.kind == "forest" else None)
+                if not level and not drawn and counted and root in roots:
+                    put(t, own, shape, tries, *roots[root])
                     continue
                 if g not in learnt:
                     learnt[g] = b.learnt(own)
-                w = learnt[g] * poisson(b.mark, own.seed, number) if own.kind == "forest" else learnt[g]
+                w = learnt[g]
+                if own.kind == "forest":
+                    if (own.seed, number) not in numbers:
+                        numbers[own.seed, number] = poisson(b.mark, own.seed, number)
+                    w = w * numbers[own.seed, number]
                 rows = np.flatnonzero(w > 0)
-                *_, at = walked(b.x, p, t, level, rows)
-                node = p.place[at]
-                rows, node = rows[node >= 0], node[node >= 0]
+                at, base = np.full(len(rows), p.first[t]), rows * n
+                for _ in range(level):
+                    at = after.take(at) + (flat.take(base + feature.take(at)) >= beyond.take(at))
+                node = p.place.take(at)
+                if (node < 0).any():
+                    rows, node = rows[node >= 0], node[node >= 0]
                 if not len(rows):
                     continue
-                shape, y = tries.shape, b.y[rows, own.target]
-                whole = shape[1] == n and (tries == np.arange(n)).all()
-                if own.kind != "extra":
-                    new = found.setdefault(t, np.zeros((*shape, BINS, 2)))
-                    if whole:
-                        cell = cells[rows] + ((y * shape[0] + node) * (n * BINS))[:, None]
-                    else:
-                        cell = codes[rows[:, None], tries[node]] + (((y * shape[0] + node) * shape[1])[:, None] + np.arange(shape[1])) * BINS
-                    both = np.bincount(cell.ravel(), np.repeat(w[rows], shape[1]), minlength=new.size).reshape(2, *shape, BINS)
-                    new += np.moveaxis(both, 0, -1)
-                    continue
-                order = np.argsort(node, kind="stable")
-                rows, node, y = rows[order], node[order], y[order]
-                starts = np.flatnonzero(np.diff(node, prepend=-1))
-                if drawn:
+                if not level and not drawn and counted:
+                    tries = np.arange(n)[None]
+                if t not in whole:
+                    whole[t] = tries.shape[1] == n and bool((tries == np.arange(n)).all())
+                y, w = b.y.take(rows * b.y.shape[1] + own.target), w.take(rows)
+                if own.kind == "extra" and not drawn:
+                    columns, of, _ = dealt(rows, node, None, shape[0], b.n)
+                    x = laid(ordered.ranks, columns, tries, of, whole[t])
+                    starts = np.flatnonzero(np.diff(of, prepend=-1))
+                    k = of[starts]
+                    lo, hi = (op.reduceat(m if whole[t] else m.T, starts, axis=0) for op, m in ((np.minimum, x.min(axis=0)), (np.maximum, x.max(axis=0))))
+                    lo, hi = ordered.values[tries[k], lo], ordered.values[tries[k], hi]
+                    value = k, np.stack([np.where(np.isnan(hi), hi, lo), hi])
+                elif own.kind == "extra":
                     new = found.setdefault(t, np.zeros((shape[0], shape[1] + 1, 2)))
-                    classes = np.zeros((len(rows), 2))
-                    classes[np.arange(len(rows)), y] = w[rows]
+                    under = left[ends[t] - tries.size : ends[t]].reshape(shape)
+                    if counted:
+                        columns, of, weights = dealt(rows, node * 2 + y, w, shape[0] * 2, b.n)
+                        there = of % (shape[0] * 2) // 2
+                        x = laid(ordered.ranks, columns, tries, there, whole[t])
+                        x = x < (under.take(there, axis=0) if whole[t] else under.T.take(there, axis=1))
+                        x = x.view(np.uint8).sum(axis=0, dtype=np.uint8)
+                        new[:, :-1] += met(x if whole[t] else x.T, of, shape[0] * 2).reshape(shape[0], 2, -1).swapaxes(1, 2)
+                        new[:, -1] += weights.reshape(-1, 2)
+                        continue
+                    for k in np.unique(node):
+                        i = np.flatnonzero(node == k)
+                        classes = np.zeros((len(i), 2))
+                        classes[np.arange(len(i)), y[i]] = w[i]
+                        new[k, :-1] += (ordered.ranks[rows[i, None], tries[k]] < under[k]).astype(float).T @ classes
+                        new[k, -1] += classes.sum(axis=0)
                 else:
-                    new = found.setdefault(t, np.stack([np.full(shape, np.inf), np.full(shape, -np.inf)]))
-                for a, z in zip(starts, [*starts[1:], len(rows)], strict=True):
-                    k = node[a]
-                    x = b.x[rows[a:z]] if whole else b.x[rows[a:z, None], tries[k]]
-                    if drawn:
-                        new[k, :-1] += (x <= p.cuts[t][k]).astype(float).T @ classes[a:z]
-                        new[k, -1] += classes[a:z].sum(axis=0)
+                    k = slice(None)
+                    if counted:
+                        columns, of, _ = dealt(rows, node * 2 + y, w, shape[0] * 2, b.n)
+                        x = laid(words, columns, tries, of % (shape[0] * 2) // 2, whole[t]).sum(axis=0, dtype=np.uint64)
+                        value = histograms(x if whole[t] else x.T, of, shape[0] * 2)
                     else:
-                        new[0, k] = np.minimum(new[0, k], x.min(axis=0))
-                        new[1, k] = np.maximum(new[1, k], x.max(axis=0))
+                        cell = places.take(rows[:, None] * n + tries[node]) + (((node * 2 + y) * shape[1])[:, None] + np.arange(shape[1])) * BINS
+                        value = np.bincount(cell.ravel(), np.repeat(w, shape[1]), minlength=shape[0] * 2 * shape[1] * BINS)
+                    value = k, value.reshape(shape[0] * 2, -1, BINS)
+                if not drawn:
+                    if tries is not p.tries[t]:
+                        roots[root] = value
+                    put(t, own, shape, p.tries[t] if tries is not p.tries[t] else None, *value)
         while found:  # given out a few trees at a time, so that no copy of all sums is made
             some = [(t, found.pop(t).tobytes()) for t in list(found)[:16]]
             yield pa.RecordBatch.from_arrays(
@@ -263,7 +403,7 @@ def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarr
 def merged(growths: list[Growth], owners: list[tuple[int, int]], held, bins: np.ndarray | None, drawn: bool, final: bool):
     """The partial sums of each tree of a group as one; in the last step the cuts drawn, or the best ones."""
 
-    def met(t: int, parts: list[np.ndarray]) -> np.ndarray:
+    def joined(t: int, parts: list[np.ndarray]) -> np.ndarray:
         (g, number), own = owners[t], growths[owners[t][0]]
         ranges = own.kind == "extra" and not drawn
         if ranges:
@@ -287,14 +427,15 @@ def merged(growths: list[Growth], owners: list[tuple[int, int]], held, bins: np.
         if own.kind == "extra":
             out = out.reshape(tries.shape[0], tries.shape[1] + 1, 2)
             return best_cuts(out[:, :-1, None, :], out[:, -1], tries, p.cuts[t][:, :, None])
-        out = out.reshape(*tries.shape, BINS, 2)
+        # node, class, feature and even or odd bins, as histograms() has them
+        out = out.reshape(tries.shape[0], 2, tries.shape[1], 2, BINS // 2).transpose(0, 2, 4, 3, 1).reshape(*tries.shape, BINS, 2)
         return best_cuts(out.cumsum(2)[:, :, :-1], out[:, 0].sum(1), tries, bins[tries])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         parts: dict[int, list] = {}
         for t, data in group.sort_values("pid")[["tree", "data"]].itertuples(index=False):
             parts.setdefault(int(t), []).append(np.frombuffer(data))
-        values = [np.ascontiguousarray(met(t, x)).tobytes() for t, x in parts.items()]
+        values = [np.ascontiguousarray(joined(t, x)).tobytes() for t, x in parts.items()]
         return pd.DataFrame({"part": group["part"].iloc[0], "tree": list(parts), "pid": group["pid"].min(), "data": values})
 
     return meet

@@ -309,7 +309,7 @@ def m10(s, d):
 @op("M11_nested_cv")
 def m11(s, d):
     """Five outer folds score what five inner folds select of extra-trees, forests and trees; outer = -1 is the choice for all rows."""
-    return S.nested_cv(rows(s, d), 5, (5, 10), (2, 4))
+    return S.nested_cv(P.vectors(s, d), 5, (5, 10), (2, 4))
 
 
 @op("M12_cv_score")

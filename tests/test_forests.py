@@ -1,5 +1,7 @@
 """Trees grown together against plain recursion on 200 rows; folds, weights, prefixes and edge cases."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +130,51 @@ def test_edges(spark, rows):
     monster = T.Tree(0, 0, feature=[-1] * (T.MOST_NODES + 1))
     with pytest.raises(ValueError, match="nodes"):
         T.packed([monster], 2, [T.Growth()])
+
+
+@pytest.mark.parametrize("kind", ["extra", "tree", "forest"])
+def test_large_and_broken_weights(spark, data, kind):
+    """Weights that are counted by binary digits, and those that are not whole, give the plain sums of a tree's nodes."""
+    x, y, *_ = data
+    rng = np.random.default_rng(2)
+    for w in (rng.integers(1, 900, 200).astype(float), rng.random(200), np.ones(200)):
+        made = [(i, x[i].tolist(), int(y[i]), 0, float(w[i]), 0) for i in range(200)]
+        t = T.table(spark.createDataFrame(made, SCHEMA).repartition(3, "id"), weight="w").cache()
+        cuts = T.quantile_cuts(t, 6)
+        mark = np.array([r.mark for r in t.orderBy("id").select("mark").collect()]).view(np.uint64)
+        for features in ("sqrt", "all"):
+            for tree in T.grow(t, [T.Growth(kind, 2, 4, features)])[0]:
+                own = w * T.poisson(mark, 11, tree.number) if kind == "forest" else w
+                keep = own > 0
+                want = plain(T.Growth(kind, 2, 4, features), tree.number, x[keep], y[keep], own[keep], cuts)
+                want.weight[0] = tree.weight[0] if kind == "forest" and tree.feature[0] < 0 else want.weight[0]
+                assert tree.feature == want.feature and tree.left == want.left and tree.cut == pytest.approx(want.cut) and np.allclose(tree.weight, want.weight)
+
+
+def test_counts_of_columns_are_plain_histograms():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, T.BINS, (700, 5))
+    words = np.zeros((701, 5), np.uint64)
+    words[:-1] = np.uint64(1) << (codes * 4).astype(np.uint64)
+    group, rows, tries = rng.integers(0, 4, 700), np.arange(700), np.array([[0, 3], [4, 1]])
+    for w in (np.ones(700), rng.integers(1, 4, 700).astype(float), rng.integers(1, 5000, 700).astype(float)):
+        columns, of, total = T.dealt(rows, group, w, 4, 700)
+        assert list(total) == [w[group == g].sum() for g in range(4)]
+        for whole in (True, False):
+            x = T.laid(words, columns, tries, of % 4 // 2, whole).sum(axis=0, dtype=np.uint64)
+            got = T.histograms(x if whole else x.T, of, 4).reshape(4, -1, 2, T.BINS // 2).swapaxes(2, 3).reshape(4, -1, T.BINS)
+            for g in range(4):
+                for k, f in enumerate(range(5) if whole else tries[g // 2]):
+                    assert list(got[g, k]) == list(np.bincount(codes[group == g, f], w[group == g], minlength=T.BINS))
+
+
+def test_roots_of_trees_with_the_same_rows_are_laid_once(rows, monkeypatch):
+    batch = rows.coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    growths = [T.Growth("extra", 10, 2, "sqrt"), T.Growth("extra", 10, 2, "all"), T.Growth("forest", 2, 2, "sqrt"), T.Growth("forest", 2, 2, "all")]
+    trees = [T.Tree(i, k) for i, g in enumerate(growths) for k in range(g.trees)]
+    held = SimpleNamespace(value=T.packed(trees, 6, growths))
+    monkeypatch.setattr(T, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    laid, calls = T.laid, []
+    monkeypatch.setattr(T, "laid", lambda *a: calls.append(1) or laid(*a))
+    out = list(T.partial(growths, [(t.growth, t.number) for t in trees], np.zeros(24, int), held, T.quantile_cuts(rows, 6), False, 0)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 24 and len(calls) == 3
