@@ -35,7 +35,7 @@ MOST_SUMS = 1 << 25
 #: Numbers of one task, and tasks, that meet in one group: its trees' sums.
 MOST_MERGED, MERGED = 1 << 15, 128
 #: Rows that are laid along the trees at a time: ROWS, or those that have VALUES values, if they are fewer.
-ROWS, VALUES = 10_000, 1 << 20
+ROWS, VALUES = 10_000, 640_000
 #: Rows whose counts of 4 bits fit when added up, where the bytes of such counts are in a word, and the rank that no value has.
 RUN, NIBBLES, BEYOND = 15, np.uint64(0x0F0F0F0F0F0F0F0F), (1 << 16) - 1
 #: Whole weights below this are counted, others are added up as doubles.
@@ -297,6 +297,11 @@ def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarr
         join = lambda each, kind: np.concatenate([each[t].ravel() for t in asked]) if asked else np.zeros(0, kind)
         cuts = by_feature(join(p.tries, int), join(p.cuts, float)) if drawn else []
         whole: dict[int, bool] = {}
+        # trees with the same rows and weights share their root, if they try as many features as there are
+        root_of = lambda t: ((own := growths[owners[t][0]]).kind == "extra", own.target, own.out, (own.seed, owners[t][1]) if own.kind == "forest" else None)
+        tried_at: dict[tuple, int] = {}
+        for t in asked if not level and not drawn else []:
+            tried_at[root_of(t)] = tried_at.get(root_of(t), 0) + p.tries[t].size
 
         def put(t: int, own: Growth, shape: tuple, tries: np.ndarray | None, k, value: np.ndarray) -> None:
             """Add ranges of nodes k, or histograms, to those of tree t; of a root's, which are of all features, those that it tries."""
@@ -325,8 +330,9 @@ def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarr
             for t in asked:
                 (g, number), tries = owners[t], p.tries[t]
                 own, shape = growths[g], tries.shape
-                root = (own.kind == "extra", own.target, own.out, (own.seed, number) if own.kind == "forest" else None)
-                if not level and not drawn and counted and root in roots:
+                root = root_of(t)
+                shared = counted and tried_at.get(root, 0) >= n
+                if shared and root in roots:
                     put(t, own, shape, tries, *roots[root])
                     continue
                 if g not in learnt:
@@ -345,7 +351,7 @@ def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarr
                     rows, node = rows[node >= 0], node[node >= 0]
                 if not len(rows):
                     continue
-                if not level and not drawn and counted:
+                if shared:
                     tries = np.arange(n)[None]
                 if t not in whole:
                     whole[t] = tries.shape[1] == n and bool((tries == np.arange(n)).all())
