@@ -8,6 +8,7 @@ Spark broadcasts the stored bins if they are small; else a hot cell is dealt to
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,29 +76,57 @@ def shared(bins: DataFrame) -> DataFrame:
     """lo, hi, bins: the bins of each window in arrays of about LISTED at most, so that what holds for a window is found once for all of them."""
     same = bins.groupBy("lo", "hi").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     part = F.pmod(F.xxhash64("bin_idx"), F.lit(-(-same // LISTED)))
-    return bins.groupBy("lo", "hi", part.alias("_part")).agg(F.collect_list("bin_idx").alias("bins")).drop("_part")
+    return bins.groupBy("lo", "hi", part.alias("_part")).agg(F.sort_array(F.collect_list("bin_idx")).alias("bins")).drop("_part")
+
+
+#: Powers of two of width that windows of a tier may differ by, and peaks of a strip that stay together, about.
+TIER, TOGETHER = 6, 20_000
 
 
 def window_sums(peaks: DataFrame, windows: DataFrame, keys: list[str], salt: int = 1) -> DataFrame:
     """keys, value and the columns of windows (lo, hi, ...): the sum of intensity for each key and window that has a peak, as in `bin_sum`.
 
-    For windows so many and overlapping that pairs of keys and windows are far more than peaks. A peak first learns the peak before it and those
-    up to the largest width after it; then the first peak in a window has the window's sum, so pairs are neither shuffled nor kept.
+    For windows so many and overlapping that pairs of keys and windows are far more than peaks. The masses are cut into strips twice as wide as the
+    widest window (much narrower windows are a tier with strips of its own). A window is in the strip of its lo, a peak in the one or two strips
+    whose windows can hold it; the keys of a strip of many peaks are dealt to parts, `salt` at least, which have all its windows. In a part a peak learns
+    the peak before it and those up to the largest width after it; then the first peak in a window has the window's sum, so pairs are neither
+    shuffled nor kept. Rows come window by window, in each by keys: what is written of them repeats itself at short distances and packs well.
     """
-    lo, hi, wide = windows.agg(F.min("lo"), F.max("hi"), F.max(F.col("hi") - F.col("lo"))).first()
+    mz, windows = F.col("mz"), windows.filter("lo <= hi")
+    width = level(F.col("lo"), F.col("hi"))
+    lo, hi, wide, widths = windows.agg(F.min("lo"), F.max("hi"), F.max(F.col("hi") - F.col("lo")), F.collect_set(width)).first()  # some tens of widths
     if wide is None:
-        lo, hi, wide = 0.0, -1.0, 0.0
-    inside = peaks.filter(F.col("mz").between(lo, hi)).select(*keys, F.col("mz").cast("double").alias("mz"), F.col("intensity").cast("double").alias("intensity"))
-    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY mz"
-    known = inside.selectExpr(
-        *keys, "mz", "intensity", f"lag(mz) {over}) AS _before", f"lead(mz) {over}) AS _after",
+        lo, hi, wide, widths = 0.0, -1.0, 0.0, [0]
+    top, tiers = max(widths), sorted({(max(widths) - w) // TIER for w in widths})
+    several = tiers[-1] + 1
+
+    def strips(t: int) -> Column:
+        size = 2.0 ** (top - TIER * t)
+        least = mz - F.abs(mz) * 1e-12 - size * (1 + 1e-9)
+        return F.transform(F.sequence(F.floor(least / (2 * size)), F.floor(mz / (2 * size))), lambda k: k * several + t)
+
+    inside = peaks.filter(mz.between(lo, hi)).select(*keys, mz.cast("double").alias("mz"), F.col("intensity").cast("double").alias("intensity"))
+    spread = inside.withColumn("_strip", F.explode(F.concat(*map(strips, tiers))))
+    tier = F.floor((F.lit(top) - width) / TIER)
+    stored = windows.withColumn("_strip", F.floor(F.col("lo") / F.pow(F.lit(2.0), top + 1 - TIER * tier)) * several + tier)
+    crowded = F.when(F.col("n") > TOGETHER * salt, F.struct("_strip", F.ceil(F.col("n") / TOGETHER).alias("_parts")))
+    total, hot = spread.groupBy("_strip").agg(F.count("*").alias("n")).agg(F.sum("n"), F.collect_list(crowded)).first()  # hot: total / TOGETHER at most
+    most, parts = max([salt, *(r["_parts"] for r in hot)]), F.lit(salt)
+    if hot:
+        table = F.broadcast(peaks.sparkSession.createDataFrame(pa.table({c: pa.array([r[c] for r in hot]) for c in ("_strip", "_parts")})))
+        spread, stored, parts = spread.join(table, "_strip", "left"), stored.join(table, "_strip", "left"), F.coalesce("_parts", F.lit(salt))
+    spread = spread.select(*keys, "mz", "intensity", (F.col("_strip") * most + F.pmod(F.xxhash64(*keys), parts)).alias("_cell"))
+    stored = stored.select(*windows.columns, F.explode(F.sequence(F.col("_strip") * most, F.col("_strip") * most + parts - 1)).alias("_cell"))
+    over = f"OVER (PARTITION BY _cell, {', '.join(keys)} ORDER BY mz"
+    known = spread.repartition(max(2 * (total or 0) // TOGETHER, 4 * peaks.sparkSession.sparkContext.defaultParallelism), "_cell").selectExpr(
+        "_cell", *keys, "mz", "intensity", f"lag(mz) {over}) AS _before", f"lead(mz) {over}) AS _after",
         f"collect_list(struct(mz, intensity)) {over} RANGE BETWEEN CURRENT ROW AND {wide * (1 + 1e-9) + 1e-9!r}D FOLLOWING) AS _near",
     )
-    met = range_join(known, windows, salt=salt).filter("_before is null or _before < lo")
-    several = F.transform(F.filter("_near", lambda x: (x["mz"] <= F.col("hi")) & x["intensity"].isNotNull()), lambda x: x["intensity"])
-    total = F.when(F.size(several) > 0, F.aggregate(several, F.lit(0.0), lambda a, x: a + x))
+    met = stored.hint("merge").join(known, "_cell").filter("mz between lo and hi and (_before is null or _before < lo)")
+    more = F.transform(F.filter("_near", lambda x: (x["mz"] <= F.col("hi")) & x["intensity"].isNotNull()), lambda x: x["intensity"])
+    added = F.when(F.size(more) > 0, F.aggregate(more, F.lit(0.0), lambda a, x: a + x))
     alone = F.col("_after").isNull() | (F.col("_after") > F.col("hi"))
-    return met.select(*keys, *windows.columns, F.when(alone, F.col("intensity")).otherwise(total).alias("value"))
+    return met.select(*keys, *windows.columns, F.when(alone, F.col("intensity")).otherwise(added).alias("value"))
 
 
 def zero_filled(sums: DataFrame, rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
