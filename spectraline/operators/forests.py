@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,9 @@ ROWS, VALUES = 10_000, 640_000
 RUN, NIBBLES, BEYOND = 15, np.uint64(0x0F0F0F0F0F0F0F0F), (1 << 16) - 1
 #: Whole weights below this are counted, others are added up as doubles.
 MOST_COUNTED = 1 << 20
+#: Cuts a feature up to which extra-trees of rows without weights are grown on bits: sorting all features costs more. Rows at either end of a feature, in
+#: which the ends of most nodes are found.
+FEW, EXTREMES = 64, 128
 
 
 @dataclass(frozen=True)
@@ -94,8 +98,29 @@ def table(rows: DataFrame, targets: tuple = ("target",), folds: tuple = (), weig
     )
 
 
+def compact(rows: DataFrame) -> DataFrame:
+    """rows of table(), a block of them a row, for grow() of extra-trees and tested(): each value is its rank among those of its feature in the block, in 16
+    bits. What each pass over the rows reads is small then, and need not be taken apart and sorted again."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            values, ranks = zip(*(np.unique(x, return_inverse=True) for x in b.x.T), strict=True)
+            ranks = np.stack(ranks).astype(np.uint16)
+            order = ranks.argsort(axis=1, kind="stable")
+            arrays = {
+                "ranks": ranks, "extremes": np.stack([order[:, :EXTREMES], order[:, ::-1][:, :EXTREMES]]).astype(np.uint16), "sizes": np.array([len(x) for x in values], np.int32), "values": np.concatenate(values),
+                "targets": b.y.astype(np.int32), "weight": b.w.astype(float), "folds": b.folds.astype(np.int32), "mark": b.mark,
+            }
+            columns = [pa.array([n], pa.int32()) for n in (b.n, b.wide)] + [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in arrays.values()]
+            yield pa.RecordBatch.from_arrays(columns, names=["n", "wide", *arrays])
+
+    return rows.mapInArrow(put, "n int, wide int, " + ", ".join(f"{c} binary" for c in ("ranks", "extremes", "sizes", "values", "targets", "weight", "folds", "mark")))
+
+
 class Block:
-    """Rows of an Arrow batch as arrays."""
+    """Rows of an Arrow batch as arrays, or those that a row of compact() holds, of which x is made when it is asked for."""
+
+    ranks, extremes, values = None, None, None
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         def grid(name: str, kind: type) -> np.ndarray:
@@ -105,6 +130,7 @@ class Block:
 
         self.n, self.id = batch.num_rows, batch.column("id")
         self.x = grid("features", float)
+        self.wide = self.x.shape[1]
         y = batch.column("targets")
         self.y = y.flatten().fill_null(-1).to_numpy(zero_copy_only=False).reshape(self.n, len(y.flatten()) // max(1, self.n))
         self.w = batch.column("weight").fill_null(0.0).to_numpy(zero_copy_only=False)
@@ -112,6 +138,21 @@ class Block:
         self.folds = f.to_numpy(zero_copy_only=False).reshape(self.n, len(f) // max(1, self.n))
         self.mark = batch.column("mark").to_numpy().view(np.uint64)
 
+    @classmethod
+    def compacted(cls, batch: pa.RecordBatch, row: int) -> Block:
+        b = cls.__new__(cls)
+        get = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)
+        b.n, b.wide = batch.column("n")[row].as_py(), batch.column("wide")[row].as_py()
+        b.ranks, b.values = get("ranks", np.uint16).reshape(b.wide, b.n), np.split(get("values", float), np.cumsum(get("sizes", np.int32))[:-1])
+        b.extremes = get("extremes", np.uint16).reshape(2, b.wide, -1)
+        b.y, b.folds = (get(name, np.int32).reshape(b.n, -1) for name in ("targets", "folds"))
+        b.w, b.mark = get("weight", float), get("mark", np.uint64)
+        return b
+
+    @cached_property
+    def x(self) -> np.ndarray:
+        return np.stack([own[at] for own, at in zip(self.values, self.ranks, strict=True)]).T
+
     def having(self, pairs: tuple, every: bool) -> np.ndarray:
         out = np.full(self.n, every)
         for slot, value in pairs:
@@ -125,6 +166,9 @@ class Block:
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     """The rows of all batches, ROWS at most at a time, so that what a task holds does not grow with its batches."""
     for batch in batches:
+        if "ranks" in batch.schema.names:
+            yield from (Block.compacted(batch, row) for row in range(batch.num_rows))
+            continue
         wide = len(batch.column("features").flatten()) // max(1, batch.num_rows)
         size = max(1, min(ROWS, VALUES // max(1, wide)))
         for first in range(0, batch.num_rows, size):
@@ -224,6 +268,78 @@ class Ordered:
         return out
 
 
+class Bits:
+    """Rows of a block that are not above cuts, or that nodes have, as bits, 64 rows a word."""
+
+    def __init__(self, b: Block) -> None:
+        self.n, self.words, self.values, self.extremes = b.n, -(-b.n // 64), b.values, b.extremes
+        self.columns = np.ascontiguousarray(b.x.T) if b.ranks is None else b.ranks
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.words * 64), bool)
+        out[:, : self.n] = rows
+        return np.packbits(out, axis=1).view(np.uint64)
+
+    def below(self, asked: list[tuple], size: int) -> np.ndarray:
+        """For cuts as by_feature() sorts them, the rows that are not above."""
+        out = np.zeros((size, self.words), np.uint64)
+        for f, at, cuts in asked:
+            if self.values is not None:  # the last rank that is not above
+                cuts = np.searchsorted(self.values[f], cuts, side="right").astype(np.int32) - 1
+                cuts, at = cuts.clip(0).astype(np.uint16)[cuts >= 0], at[cuts >= 0]
+            for i in range(0, len(at), 64):
+                out[at[i : i + 64]] = self.of(self.columns[f] <= cuts[i : i + 64, None])
+        return out
+
+    def ends(self, f: int, rows: np.ndarray) -> tuple[float, float]:
+        """The least and the greatest value of a feature in some rows."""
+        some = self.columns[f].take(rows)
+        if not len(some):
+            return np.inf, -np.inf
+        return (some.min(), some.max()) if self.values is None else tuple(self.values[f][[some.min(), some.max()]])
+
+    def ranges(self, nodes: np.ndarray, tries: np.ndarray, known: dict | None) -> np.ndarray:
+        """The least and the greatest value, in the rows of each node, of the features that it tries; known: those of features, if nodes are the same again."""
+        out, there = np.empty((2, *tries.shape)), np.unpackbits(nodes.view(np.uint8), axis=1).view(bool)
+        left = np.ones(tries.shape, bool)
+        if self.extremes is not None and known is None:
+            rows = self.extremes[:, tries]
+            own = there.ravel().take(rows + (np.arange(len(nodes)) * there.shape[1])[:, None, None])
+            at = np.arange(own.size // own.shape[-1]) * own.shape[-1] + own.argmax(axis=-1).ravel()
+            left = ~own.ravel().take(at).reshape(out.shape).all(axis=0)
+            out[:] = self.joined.take(self.lift[tries] + self.columns[tries, rows.ravel().take(at).reshape(out.shape)])
+        of: dict[int, np.ndarray] = {}
+        for k, j in zip(*(x.tolist() for x in left.nonzero()), strict=True):
+            f = int(tries[k, j])
+            if known is None or f not in known:
+                if k not in of:
+                    of[k] = np.flatnonzero(there[k])
+                found = self.ends(f, of[k])
+                if known is not None:
+                    known[f] = found
+            out[:, k, j] = found if known is None else known[f]
+        out[0] = np.where(np.isnan(out[1]), out[1], out[0])
+        return out
+
+    @cached_property
+    def joined(self) -> np.ndarray:
+        return np.concatenate(self.values)
+
+    @cached_property
+    def lift(self) -> np.ndarray:
+        return np.cumsum([0, *map(len, self.values)])[:-1]
+
+
+def open_bits(p: Packed, t: int, below: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The rows of each open node of tree t, from those that the tree learns from, for both classes: node, class, word."""
+    here = {p.first[t]: classes}
+    for node in range(p.first[t], p.first[t + 1]):
+        if p.feature[node] >= 0:
+            own, left = here.pop(node), p.left[node]
+            here[left], here[left + 1] = own & below[node], own & ~below[node]
+    return np.stack([here[node] for node in np.flatnonzero(p.place[p.first[t] : p.first[t + 1]] >= 0) + p.first[t]])
+
+
 def by_feature(features: np.ndarray, cuts: np.ndarray) -> list[tuple]:
     """Feature, places and values of the cuts of each feature; of -1 there are none."""
     order = np.argsort(features, kind="stable")
@@ -297,6 +413,12 @@ def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarr
         join = lambda each, kind: np.concatenate([each[t].ravel() for t in asked]) if asked else np.zeros(0, kind)
         cuts = by_feature(join(p.tries, int), join(p.cuts, float)) if drawn else []
         whole: dict[int, bool] = {}
+        growing = np.zeros(len(leaf), bool)
+        for t in asked:
+            growing[p.first[t] : p.first[t + 1]] = True
+        inside = by_feature(np.where(growing, p.feature, -1), p.cut)
+        many = (growing & ~leaf).sum() + sum(p.tries[t].size for t in asked)
+        bitwise = all(growths[owners[t][0]].kind == "extra" for t in asked)
         # trees with the same rows and weights share their root, if they try as many features as there are
         root_of = lambda t: ((own := growths[owners[t][0]]).kind == "extra", own.target, own.out, (own.seed, owners[t][1]) if own.kind == "forest" else None)
         tried_at: dict[tuple, int] = {}
@@ -313,8 +435,35 @@ def partial(growths: list[Growth], owners: list[tuple[int, int]], part: np.ndarr
                 new = found.setdefault(t, np.zeros((shape[0] * 2, shape[1], BINS)))
                 new += value
 
+        def put_bits(b: Block) -> None:
+            """What the trees ask of a block, from bits of its rows: counts of bits left of cuts, or values of the rows whose bits are set."""
+            bits, learnt, roots = Bits(b), {}, {}
+            below, left = bits.below(inside, len(leaf)), bits.below(cuts, max(ends.values(), default=0))
+            for t in asked:
+                g, tries = owners[t][0], p.tries[t]
+                own = growths[g]
+                if (own.target, own.out) not in learnt:
+                    rows, y = b.learnt(own) > 0, b.y[:, own.target]
+                    learnt[own.target, own.out] = bits.of(np.stack([rows & (y == 0), rows & (y == 1)]))
+                nodes = open_bits(p, t, below, learnt[own.target, own.out])
+                if not nodes.any():
+                    continue
+                if drawn:
+                    new = found.setdefault(t, np.zeros((tries.shape[0], tries.shape[1] + 1, 2)))
+                    under = left[ends[t] - tries.size : ends[t]].reshape(*tries.shape, 1, -1)
+                    new[:, :-1] += np.bitwise_count(nodes[:, None] & under).sum(axis=-1, dtype=float)
+                    new[:, -1] += np.bitwise_count(nodes).sum(axis=-1, dtype=float)
+                    continue
+                new = found.setdefault(t, np.stack([np.full(tries.shape, np.inf), np.full(tries.shape, -np.inf)]))
+                # the root's are the same for all trees of a target and fold
+                ends_ = bits.ranges(nodes[:, 0] | nodes[:, 1], tries, None if level else roots.setdefault((own.target, own.out), {}))
+                new[0], new[1] = np.minimum(new[0], ends_[0]), np.maximum(new[1], ends_[1])
+
         for b in blocks(batches):
-            n = b.x.shape[1]
+            n = b.wide
+            if bitwise and many <= FEW * n and bool(((b.w == 0) | (b.w == 1)).all()):
+                put_bits(b)
+                continue
             ordered = Ordered(b.x)
             flat, beyond = ordered.ranks.ravel(), ordered.below(inner, len(leaf))
             left = ordered.below(cuts, max(ends.values(), default=0)) if drawn else None
@@ -487,7 +636,7 @@ def split(t: Tree, g: Growth, found: np.ndarray | None) -> None:
 
 def grow(rows: DataFrame, growths: list[Growth]) -> list[list[Tree]]:
     """The trees of each growth over rows as table() makes them. Two jobs a level, whatever the number of trees."""
-    head = rows.select(F.size("features").alias("n")).limit(1).collect()
+    head = rows.select((F.col("wide") if "ranks" in rows.columns else F.size("features")).alias("n")).limit(1).collect()
     trees = [Tree(i, k) for i, g in enumerate(growths) for k in range(1 if g.kind == "tree" else g.trees)]
     if head:
         n = head[0].n
@@ -517,6 +666,17 @@ def grow(rows: DataFrame, growths: list[Growth]) -> list[list[Tree]]:
 def root_weights(rows: DataFrame, growths: list[Growth]) -> list[tuple[float, float]]:
     """Weights of both classes among the rows that each growth learns from."""
     asked = sorted({(g.target, g.out) for g in growths})
+    if "ranks" in rows.columns:
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in blocks(batches):
+                w = [b.learnt(Growth(target=target, out=out)) for target, out in asked]
+                both = [[float(x[b.y[:, target] == c].sum()) for x, (target, _) in zip(w, asked, strict=True)] for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(asked), dtype=np.int32)), *map(pa.array, both)], names=["i", "zero", "one"])
+
+        found = rows.mapInArrow(added, "i int, zero double, one double").groupBy("i").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+        of = {asked[r.i]: (r.zero, r.one) for r in found.collect()}
+        return [of[g.target, g.out] for g in growths]
     sums = []
     for target, out in asked:
         y, left_out = F.col("targets")[target], F.lit(False)
@@ -593,13 +753,37 @@ def predicted(rows: DataFrame, forests: list[list[Tree]], trees: int | None = No
     return rows.mapInArrow(put, f"growth int, id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
-def importances(trees: list[Tree], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and deviation over trees of the share of the impurity's decrease that each feature has."""
-    each = np.zeros((len(trees), n))
+def tested(rows: DataFrame, growths: list[Growth], forests: list[list[Tree]]) -> DataFrame:
+    """growth, target, score, hit of the rows that each growth is tested on: predicted()'s scores, each only where it is asked for, and whether they are right."""
+    flat = [t for f in forests for t in f]
+    held = rows.sparkSession.sparkContext.broadcast((packed(flat), shares(flat)))
+    first, deep = np.cumsum([0, *map(len, forests)]), [max([d for t in f for d in t.depth], default=0) for f in forests]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, share = held.value
+        for b in blocks(batches):
+            out = []
+            for g, own in enumerate(growths):
+                y = b.y[:, own.target]
+                at = np.flatnonzero(b.having(own.test, True) & (b.w > 0) & (y >= 0))
+                total, trees = np.zeros(len(at)), first[g + 1] - first[g]
+                for t in range(first[g], first[g + 1]):
+                    *_, node = walked(b.x, p, t, deep[g], at)
+                    total += share[node]
+                out.append((np.full(len(at), g, np.int32), y[at].astype(np.int32), total / max(1, trees), (total > trees / 2) == (y[at] == 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["growth", "target", "score", "hit"])
+
+    return rows.mapInArrow(put, "growth int, target int, score double, hit boolean")
+
+
+def importances(trees: list[Tree], n: int, use: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation over trees of the share of the impurity's decrease that each feature (of n, or of those the trees may use) has."""
+    place = {f: i for i, f in enumerate(range(n) if use is None else use)}
+    each = np.zeros((len(trees), len(place)))
     for k, t in enumerate(trees):
         for f, gain in zip(t.feature, t.gain, strict=True):
             if f >= 0:
-                each[k, f] += gain
+                each[k, place[f]] += gain
         if each[k].sum() > 0:
             each[k] /= each[k].sum()
     return each.mean(axis=0), each.std(axis=0)

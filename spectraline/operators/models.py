@@ -187,10 +187,11 @@ def forward_selection(rows: DataFrame, gain: float = 0.01) -> DataFrame:
 
 
 def binned(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]], vector: bool = True) -> DataFrame:
-    """A feature table of labels (id, target, grp, region), with the sums of peaks (id, mz, intensity) in each bin."""
-    table = few(peaks.sparkSession, [(i, *b) for i, b in enumerate(bins)], "bin_idx long, lo double, hi double")
+    """A feature table of labels (id, target, grp, region), with the sums of peaks (id, mz, intensity) in each bin. A spectrum's sums are added up at once, for some tens of bins."""
     fan = -int(-sum(hi - lo for lo, hi in bins) // (max(hi for _, hi in bins) - min(lo for lo, _ in bins)))  # bins over a mass, on average
-    value = binning.pivot_features(binning.bin_sum(binning.dealt(peaks, ["id"], fan), table, ["id"]), ["id"], len(bins))
+    own = [F.sum(F.when(F.col("mz").between(lo, hi), F.col("intensity"))).alias(f"_{i}") for i, (lo, hi) in enumerate(bins)]
+    sums = binning.dealt(peaks, ["id"], fan).groupBy("id").agg(*own)
+    value = sums.select("id", F.array(*[F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(len(bins))]).alias("features"))
     none = F.array_repeat(F.lit(0.0), len(bins))
     out = labels.join(value, "id", "left").withColumn("features", F.coalesce("features", none))
     return out.withColumn("v", array_to_vector("features")) if vector else out

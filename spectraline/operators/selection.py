@@ -332,32 +332,63 @@ def permutation_importance(rows: DataFrame, repeats: int = 5, growth: T.Growth =
     return out.select(F.col("channel").cast("int").alias("channel"), (F.col("base") - F.col("a")).alias("drop"), "std")
 
 
+#: Bins of steps to come that a feature table has beside those of the first of its steps, all in all.
+COLUMNS = 64
+
+
+def halves(bins: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    return [half for lo, hi in bins for half in ((lo, (lo + hi) / 2), ((lo + hi) / 2, hi))]
+
+
+def ahead(now: list[list], limit: float) -> list[tuple[float, float]]:
+    """The bins of all folds, each once, and all that halving makes of them in the steps to come, as long as they are few."""
+    out, step = [], [b for own in now for b in own]
+    while not out or (min(hi - lo for lo, hi in step) > limit and len({*out, *step}) <= COLUMNS):
+        out, step = [*out, *step], list(dict.fromkeys(halves(step)))
+    return list(dict.fromkeys(out))
+
+
 def progressive_binning(peaks: DataFrame, labels: DataFrame, bins: list[tuple[float, float]], limit: float, folds: int = 1, growth: T.Growth = T.Growth()) -> tuple[list, list]:
     """Steps of refinement for each fold, as lists of (lo, hi, importance, kept), and (fold, step, accuracy, auc) of the kept bins.
 
     In a step the more important half of the bins is cut at its midpoints, until the narrowest bin is no wider than `limit`. With folds (column
-    fold of labels) the bins of a fold are found on the other folds and scored on the fold; all folds take a step together, their bins side by
-    side in one feature table. With one fold all rows are learnt from, and nothing is scored. Bins are parameters: their number stays as it began.
+    fold of labels) the bins of a fold are found on the other folds and scored on the fold; all folds take a step together, from one feature
+    table that has the bins of several steps if they are few. Trees on the kept bins of a step are grown with those on the bins of the next, and
+    all are scored in one pass. With one fold all rows are learnt from, and nothing is scored. Bins are parameters: their number stays as it began.
     """
     now, steps, scores = [bins] * folds, [[] for _ in range(folds)], []
-    while min(hi - lo for own in now for lo, hi in own) > limit:
-        first = np.cumsum([0, *map(len, now)])
-        rows = models.binned(peaks, labels, [b for own in now for b in own], vector=False)
-        t = sinks.stage(T.table(rows, folds=("fold",) if folds > 1 else ()))
+    t, place, waiting, grown = None, {}, [], []  # waiting: growths on kept bins; grown: those and their forests, as long as there is no other table
+
+    def score() -> None:
+        tests, forests = [g for g, _ in grown], [f for _, f in grown]
+        own = sinks.stage(T.tested(t, tests, forests)) if tests else None
+        right = {r.growth: r.accuracy for r in own.groupBy("growth").agg(stats.accuracy(F.col("hit")).alias("accuracy")).collect()} if tests else {}
+        auc = {r.growth: r.auc for r in stats.roc_auc(own, "growth").collect()} if tests else {}
+        before = len(steps[0]) - len(tests) // folds
+        scores.extend((g % folds, before + g // folds, right[g], auc[g]) for g in sorted(right))
+        grown.clear()
+
+    while (on := min(hi - lo for own in now for lo, hi in own) > limit) or waiting:
+        if not on or any(b not in place for own in now for b in own):
+            grown += zip(waiting, T.grow(t, waiting) if waiting else [], strict=True)
+            score()
+            waiting = []
+            if not on:
+                break
+            place = {b: i for i, b in enumerate(ahead(now, limit))}
+            t = T.table(models.binned(peaks, labels, list(place), vector=False), folds=("fold",) if folds > 1 else ())
+            t = sinks.stage(T.compact(t) if growth.kind == "extra" else t)
         out = [((0, f),) if folds > 1 else () for f in range(folds)]
-        each = [T.Growth(growth.kind, growth.trees, growth.depth, growth.features, out[f], out[f], tuple(range(first[f], first[f + 1])), seed=growth.seed) for f in range(folds)]
+        each = [T.Growth(growth.kind, growth.trees, growth.depth, growth.features, out[f], out[f], tuple(place[b] for b in own), seed=growth.seed) for f, own in enumerate(now)]
+        forests = T.grow(t, [*waiting, *each])
+        grown += zip(waiting, forests, strict=False)
         kept = []
-        for f, forest in enumerate(T.grow(t, each)):
-            imp = T.importances(forest, int(first[-1]))[0][first[f] : first[f + 1]]
+        for f, forest in enumerate(forests[len(waiting) :]):
+            imp = T.importances(forest, len(place), each[f].use)[0]
             order = sorted(range(len(now[f])), key=lambda i, imp=imp: (-imp[i], i))
             kept.append(set(order[: len(order) - len(order) // 2]))
             steps[f].append([(*b, float(imp[i]), i in kept[f]) for i, b in enumerate(now[f])])
         if folds > 1:
-            tests = [T.Growth(g.kind, g.trees, g.depth, g.features, g.out, g.test, tuple(int(first[f]) + i for i in sorted(kept[f])), seed=g.seed) for f, g in enumerate(each)]
-            forests = T.grow(t, tests)
-            fold = t.select("id", F.col("folds")[0].alias("growth"), F.col("targets")[0].alias("target"))
-            own = T.predicted(t, forests).join(fold, ["id", "growth"])
-            auc = {r.growth: r.auc for r in stats.roc_auc(own, "growth").collect()}
-            scores += [(r.growth, len(steps[0]) - 1, r.accuracy, auc[r.growth]) for r in T.settings_scores(t, tests, forests).collect()]
-        now = [[half for i, (lo, hi) in enumerate(own) if i in kept[f] for half in ((lo, (lo + hi) / 2), ((lo + hi) / 2, hi))] for f, own in enumerate(now)]
+            waiting = [T.Growth(g.kind, g.trees, g.depth, g.features, g.out, g.test, tuple(g.use[i] for i in sorted(kept[f])), seed=g.seed) for f, g in enumerate(each)]
+        now = [halves([b for i, b in enumerate(own) if i in kept[f]]) for f, own in enumerate(now)]
     return steps, scores

@@ -649,4 +649,4 @@ def f11(s, d):
     """Progressive binning inside five folds: the bins of each step are found on the other folds and scored on the fold: (fold, step, accuracy, auc)."""
     p, t = labelled(s, d)
     _, scores = S.progressive_binning(p, M.stratified_folds(t, 5), START, LIMIT, 5)
-    return s.createDataFrame(scores, "fold int, step int, accuracy double, auc double")
\ No newline at end of file
+    return M.few(s, scores, "fold int, step int, accuracy double, auc double")
\ No newline at end of file
